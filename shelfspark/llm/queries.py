@@ -41,6 +41,12 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_templates, op4_golay_simhash, op5_source_mixing, op7_piece_codec, op8_exact_top_k)}
+def op9_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fm_dedup import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_templates, op4_golay_simhash, op5_source_mixing, op7_piece_codec, op8_exact_top_k, op9_fm_dedup)}
 
 ORACLES: dict[str, str] = {}

@@ -39,7 +39,7 @@ def test_odd_urls(spark):
 
 
 def test_branches_generalise_merge_and_reject(spark):
-    rows = [(i, f"http://h.net/shop/item{i}/x") for i in range(60)] + [(100 + i, f"http://h.net/{p}/{i}") for i in range(40) for p in ("good", "fine", "bad")]
+    rows = [(i, f"http://h.net/shop/item{i}/x") for i in range(60)] + [(100 + 3 * i + j, f"http://h.net/{p}/{i}") for i in range(40) for j, p in enumerate(("good", "fine", "bad"))]
     pages = spark.createDataFrame(rows, "page_id long, url string")
     labels = pages.selectExpr("page_id", "cast(url like '%/bad/%' as int) bad")
     got = u.judge_urls(pages, labels=labels).collect()
