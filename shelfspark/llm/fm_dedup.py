@@ -270,14 +270,17 @@ def removed_words(n: int, places, masks) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: ``(doc_id, n_words, n_removed, kept_sha256)``, with keep_text also the words kept, joined by a space.
 
+    ``carry`` names string columns that go along.
+
     A word goes if any 35-word window over it starts anywhere else, in another row or in the same one. NULL and empty texts
     have no words; texts under 35 words lose nothing; repeated rows count as copies of each other and lose all words that
     windows cover; an empty table gives no rows; other columns are ignored.
     """
     keyed = _keyed(docs, id_col, text_col)
+    carried = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(c).cast("string").alias(c) for c in carry]).alias("carried")).withColumn("t", F.xxhash64("text"))
     copies = keyed.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t", F.lit(-1).alias("pos"), F.lit(0).alias("mask"))
     covered = covered_windows(keyed).unionByName(copies).groupBy("t").agg(F.collect_list(F.struct("pos", "mask")).alias("found"))
     extra = ", kept string" if keep_text else ""
@@ -300,7 +303,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
             arrays = [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
-            yield pa.RecordBatch.from_arrays(arrays[: 4 + keep_text], names=names[: 4 + keep_text])
+            taken = [batch.column(3 + k) for k in range(len(carry))]
+            yield pa.RecordBatch.from_arrays(arrays[: 4 + keep_text] + taken, names=[*names[: 4 + keep_text], *carry])
 
-    rows = keyed.join(covered, "t", "left").select("doc_id", "text", "found")
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + extra)
+    rows = carried.join(covered, "t", "left").select("doc_id", "text", "found", *[F.col(f"carried.{c}") for c in carry])
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + extra + "".join(f", `{c}` string" for c in carry))

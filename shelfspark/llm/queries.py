@@ -47,6 +47,45 @@ def op9_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_templates, op4_golay_simhash, op5_source_mixing, op7_piece_codec, op8_exact_top_k, op9_fm_dedup)}
+def op2_audio_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No given table holds sound: each embedding is played as a melody of its numbers."""
+    from .audio_chroma import align_recordings, melody
+
+    return align_recordings(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", melody)
+
+
+def op3_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .masked_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_wrappers import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .weak_quality import judge_quality
+
+    return judge_quality(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_templates,
+        op2_audio_chroma,
+        op3_masked_lm,
+        op4_golay_simhash,
+        op5_source_mixing,
+        op6_html_wrappers,
+        op7_piece_codec,
+        op8_exact_top_k,
+        op9_fm_dedup,
+        op10_weak_quality,
+    )
+}
 
 ORACLES: dict[str, str] = {}
