@@ -57,8 +57,8 @@ def _runs(h: np.ndarray, doublings: int) -> np.ndarray:
     return h
 
 
-def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, anchor, hash of the surroundings) of the least 8-word hash of every window, the leftmost on ties."""
+def anchors(h: np.ndarray, around: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, anchor, hash of the surroundings if asked for) of the least 8-word hash of every window, the leftmost on ties."""
     n = len(h) - WINDOW + 1
     if n <= 0:
         none = np.zeros(0, np.uint64)
@@ -73,10 +73,11 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         least = least & np.uint64(0x1FFFFF)
         places.append(least[np.flatnonzero(np.diff(least, prepend=least[:1] + np.uint64(1)))].astype(np.int64) + lo)
     place = np.unique(np.concatenate(places))
+    if not around:
+        return place, grams[place], np.zeros(len(place), np.uint64)
     gap = np.zeros(REACH, np.uint64)
     runs = _runs(np.concatenate([gap, h, gap]), 5)
-    around = mixed(runs[place] * _B + mixed(runs[place + SEGMENT - 32]))
-    return place, grams[place], around
+    return place, grams[place], mixed(runs[place] * _B + mixed(runs[place + SEGMENT - 32]))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -84,7 +85,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("t", F.xxhash64("text"))
 
 
-def occurrences(keyed: DataFrame) -> DataFrame:
+def occurrences(keyed: DataFrame, with_around: bool = True) -> DataFrame:
     """``(anchor, t, pos, around)`` for every anchor of every text; t stands for the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +94,7 @@ def occurrences(keyed: DataFrame) -> DataFrame:
             for t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
                 if len(words) >= WINDOW:
-                    found.append(anchors(word_hashes(words)))
+                    found.append(anchors(word_hashes(words), with_around))
                     keys.append(np.full(len(found[-1][0]), t, np.int64))
             if found:
                 place, anchor, around = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -164,13 +165,29 @@ def repeated_windows(segments: np.ndarray, anchor: np.ndarray, known: np.ndarray
     """Bit o of the result: the window that starts at place o of the segment is in another segment of its anchor too."""
     place = np.arange(1, SEGMENT + 1, dtype=np.uint64) * _B
     own = mixed(mixed(segments ^ mixed(anchor)[:, None]) + place[None, :])
-    index = FMIndex(np.where(segments == 0, np.uint64(0), np.maximum(own, np.uint64(1))))
-    present = segments != 0
-    start = np.maximum(0, present.argmax(axis=1))
-    stop = SEGMENT - present[:, ::-1].argmax(axis=1)
-    row = np.flatnonzero(~known & (stop - start >= WINDOW))
-    lo, hi = start[row], stop[row] - WINDOW
+    own = np.where(segments == 0, np.uint64(0), np.maximum(own, np.uint64(1)))
     mask = np.where(known, ALL_WINDOWS, 0)
+    # A word that no other segment has at its place ends every match, so only the stretch around the anchor between two
+    # such words is indexed and searched; a segment whose stretch is shorter than a window matches nothing.
+    symbol, count = np.unique(own, return_inverse=True, return_counts=True)[1:]
+    lone = ((count == 1)[symbol] | (segments == 0)).reshape(segments.shape)
+    start = REACH - np.where(lone[:, :REACH].any(axis=1), lone[:, REACH - 1 :: -1].argmax(axis=1), REACH)
+    after = REACH + GRAM
+    stop = after + np.where(lone[:, after:].any(axis=1), lone[:, after:].argmax(axis=1), REACH)
+    used = np.flatnonzero(stop - start >= WINDOW)
+    if not len(used) or known[used].all():
+        return mask
+    inside = (np.arange(SEGMENT) >= start[used, None]) & (np.arange(SEGMENT) < stop[used, None])
+    found = _searched(np.where(inside, own[used], np.uint64(0)), start[used], stop[used], known[used])
+    mask[used] |= found
+    return mask
+
+
+def _searched(rows: np.ndarray, start: np.ndarray, stop: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The windows of each unknown row that occur twice: whole ranges of windows first, then their halves."""
+    index, mask = FMIndex(rows), np.zeros(len(rows), np.int64)
+    row = np.flatnonzero(~known)
+    lo, hi = start[row], stop[row] - WINDOW
     while len(row):
         hit = index.occurs_twice(row, lo, hi + WINDOW)
         np.bitwise_or.at(mask, row[hit], (1 << (hi[hit] + 1)) - (1 << lo[hit]))
@@ -239,7 +256,7 @@ def covered_windows(keyed: DataFrame) -> DataFrame:
     """
     occ = occurrences(keyed)
     o = F.xxhash64("t", "pos")
-    twice = cut(occ.select("anchor", o.alias("o")).groupBy("anchor").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a <> b").select("anchor"))
+    twice = cut(occurrences(keyed, with_around=False).select("anchor", o.alias("o")).groupBy("anchor").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a <> b").select("anchor"))
     shared = cut(occ.join(twice, "anchor", "left_semi").dropDuplicates(["t", "pos"]))
     kinds = (
         shared.withColumn("o", o).groupBy("anchor", "around").agg(F.min("o").alias("a"), F.max("o").alias("b"), F.min_by("t", "o").alias("t"), F.min_by("pos", "o").alias("pos"))
