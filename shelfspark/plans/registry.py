@@ -1,4 +1,521 @@
-"""All registered queries of the retail engine."""
+"""All registered queries of the retail engine over the canonical sales view."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.expr import exact_sum, ratio, volume_range
+from ..operators import benchmarking as B
+from ..operators import breakdowns as D
+from ..operators import economics as E
+from ..operators import events as V
+from ..operators import ingest as I
+from ..operators import mart as M
+from ..operators import metrics as K
+from ..operators import periods as P
+from ..operators import portfolio as Q
+from ..sources.tables import load_canonical, table
+from ..streaming import incremental as S
+from .oracles import CURRENT, GAP, ORACLES, REFERENCE
+
+__all__ = ["ORACLES", "QUERIES"]
 QUERIES: dict = {}
-ORACLES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def enriched(spark, d):
+    return E.load_enriched(spark, d)
+
+
+def month(df, p=CURRENT):
+    return df.where(F.col("period") == F.lit(p).cast("date"))
+
+
+@query
+def category_month_economics(spark, d):
+    return K.grain_metrics(enriched(spark, d), "category").select("period", "category", "revenue_vat", "revenue_net", "units", "margin_pct", "avg_shelf_price")
+
+
+@query
+def canonical_sales(spark, d):
+    return load_canonical(spark, d).withColumn("revenue_vat", F.col("revenue_vat").cast("double"))
+
+
+@query
+def source_profile(spark, d):
+    return I.source_profile(load_canonical(spark, d))
+
+
+@query
+def duplicate_grain_rows(spark, d):
+    return I.duplicate_grain(load_canonical(spark, d))
+
+
+@query
+def store_alias(spark, d):
+    aliases = spark.createDataFrame([("STORE_1", "STORE_1"), ("STORE_2", "STORE_1")], "source_store string, canonical_store string")
+    return I.canonical_stores(load_canonical(spark, d), aliases).groupBy("canonical_store").agg(F.count("*").alias("n_rows"), F.countDistinct("store").alias("n_sources"))
+
+
+@query
+def semantic_value_map(spark, d):
+    mapped = I.map_values(load_canonical(spark, d), "store_format", {"HYPER": "hypermarket", "SUPER": "supermarket"})
+    return mapped.groupBy("store_format", "value_issue").agg(F.count("*").alias("n_rows"))
+
+
+@query
+def period_normalise(spark, d):
+    raw = table(spark, d, "lineitem").selectExpr("CAST(year(l_shipdate) AS STRING) AS y", "CASE l_linenumber WHEN 1 THEN '13' WHEN 2 THEN 'march' WHEN 3 THEN NULL ELSE CAST(month(l_shipdate) AS STRING) END AS m")
+    return I.normalise_period(raw, "y", "m").groupBy("period", "period_issue").agg(F.count("*").alias("n_rows"))
+
+
+@query
+def type_issues(spark, d):
+    raw = table(spark, d, "lineitem").selectExpr("CASE l_linenumber WHEN 1 THEN 'n/a' WHEN 2 THEN ' ' WHEN 3 THEN NULL ELSE CAST(l_partkey AS STRING) END AS text")
+    return raw.groupBy(I.numeric_issue("text").alias("issue")).agg(F.count("*").alias("n_rows"))
+
+
+@query
+def tax_resolution(spark, d):
+    rows = E.resolve_tax(load_canonical(spark, d), E.tax_rules(spark))
+    return rows.groupBy("period", "category_group", "tax_rule_id", "tax_rate").agg(F.count("*").alias("n_rows"))
+
+
+@query
+def tax_rule_issues(spark, d):
+    rules = (("a", "1996-01-01", "1998-12-31", 0.2, "CATEGORY_STANDARD"), ("b", "1998-01-01", None, 0.2, "CATEGORY_STANDARD"), ("c", "1995-01-01", None, 1.5, "CATEGORY_REDUCED"))
+    rows = E.resolve_tax(load_canonical(spark, d), E.tax_rules(spark, rules))
+    return rows.groupBy("period", "category_group", "tax_issue").agg(F.count("*").alias("n_rows"))
+
+
+@query
+def tax_semantics(spark, d):
+    rows = load_canonical(spark, d)
+    names = [r["category"] for r in rows.select("category").distinct().orderBy("category").limit(2).collect()]
+    rules = rows.select("category", "package").distinct().where(F.col("category").isin(names)).withColumn("tax_group", F.lit("REDUCED"))
+    rules = rules.unionByName(rules.where(F.col("category") == names[0]))
+    return E.semantic_tax_group(rows, rules, "STANDARD").groupBy("category", "tax_group", "tax_state").agg(F.count("*").alias("n_rows"))
+
+
+@query
+def row_economics(spark, d):
+    return enriched(spark, d).groupBy("period", "store", "sku").agg(exact_sum("revenue_net").alias("revenue_net"), exact_sum("input_cost_net").alias("input_cost_net"), exact_sum("margin_abs").alias("margin_abs"), F.max("margin_pct").alias("max_margin_pct"), F.min("markup_pct").alias("min_markup_pct"), F.max("realized_price_vat").alias("max_realized_price"))
+
+
+@query
+def sign_class(spark, d):
+    return enriched(spark, d).groupBy("sign_class").agg(F.count("*").alias("n_rows"), exact_sum("revenue_vat").alias("revenue_vat"))
+
+
+@query
+def reconciliation(spark, d):
+    source = table(spark, d, "lineitem").agg(F.count("*").alias("source_rows"), F.sum(F.expr("CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN -l_quantity ELSE l_quantity END").cast("decimal(18,2)")).cast("double").alias("source_units"))
+    made = load_canonical(spark, d).agg(F.count("*").alias("n_rows"), F.sum(D.units()).cast("double").alias("units"))
+    return source.crossJoin(made).withColumn("reconciled", (F.col("source_rows") == F.col("n_rows")) & (F.col("source_units") == F.col("units")))  # one row each
+
+
+def _grain(name):
+    def run(spark, d):
+        return K.grain_metrics(enriched(spark, d), name).select("period", *[k for k in K.GRAINS[name]], *K.METRICS)
+
+    QUERIES[f"metrics_{name}"] = run
+
+
+for _name in K.GRAINS:
+    _grain(_name)
+
+
+@query
+def active_store_count_broadcast(spark, d):
+    return K.distribution(enriched(spark, d), "brand").select("period", "category", "manufacturer", "brand", "selling_stores", "active_stores")
+
+
+@query
+def numeric_distribution(spark, d):
+    return K.distribution(enriched(spark, d), "brand").select("period", "category", "manufacturer", "brand", "numeric_distribution")
+
+
+@query
+def velocity(spark, d):
+    return K.distribution(enriched(spark, d), "manufacturer").select("period", "category", "manufacturer", "units_per_store", "revenue_per_store")
+
+
+@query
+def metric_share(spark, d):
+    return K.category_share(K.grain_metrics(enriched(spark, d), "brand")).select("period", "category", "manufacturer", "brand", "revenue_net", "share")
+
+
+@query
+def pl_scoped_metrics(spark, d):
+    return K.scoped_metrics(enriched(spark, d))
+
+
+@query
+def market_universe(spark, d):
+    rows = enriched(spark, d)
+    parts = [K.market_universe(rows, u).groupBy("period").agg(exact_sum("revenue_net").alias("revenue_net")).withColumn("universe", F.lit(u)) for u in Q.UNIVERSES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query
+def volume_range_filter(spark, d):
+    rows = load_canonical(spark, d).where("volume_l > 0.25 and volume_l <= 1.0 or round(volume_l, 6) in (2.5)")
+    return rows.groupBy("period", volume_range("volume_l").alias("volume_range")).agg(F.count("*").alias("n_rows"), exact_sum(D.units()).alias("units"))
+
+
+def _monthly(spark, d):
+    return K.grain_metrics(enriched(spark, d).where(f"period <> date'{GAP}'"), "category").select("period", "category", "revenue_net", "units")
+
+
+@query
+def compare_yoy(spark, d):
+    return P.compare(_monthly(spark, d), ("category",), "revenue_net", "YOY")
+
+
+@query
+def compare_mom(spark, d):
+    return P.compare(_monthly(spark, d), ("category",), "revenue_net", "MOM")
+
+
+@query
+def compare_previous_available(spark, d):
+    return P.compare(_monthly(spark, d), ("category",), "revenue_net", "PREVIOUS_AVAILABLE")
+
+
+@query
+def compare_custom(spark, d):
+    return P.compare(_monthly(spark, d), ("category",), "revenue_net", "CUSTOM", REFERENCE)
+
+
+@query
+def coverage(spark, d):
+    return P.coverage(load_canonical(spark, d).where(f"period <> date'{GAP}'"), "1998-01-01", "1998-12-01")
+
+
+@query
+def month_set_compare(spark, d):
+    return P.month_set_compare(_monthly(spark, d), ("category",), "revenue_net", 1998, 1997)
+
+
+@query
+def abc_batch(spark, d):
+    return Q.abc_classes(K.grain_metrics(enriched(spark, d), "sku"), "revenue_net").select("period", "category", "sku", "revenue_net", "abc_share", "cumulative_share", "abc_class")
+
+
+@query
+def abc_portfolio(spark, d):
+    rows = K.grain_metrics(month(enriched(spark, d)), "manufacturer")
+    return Q.abc_classes(rows, "revenue_net", entity="manufacturer").select("category", "manufacturer", "revenue_net", "cumulative_share", "abc_class")
+
+
+def _rank(name, by):
+    def run(spark, d):
+        rows = K.grain_metrics(enriched(spark, d), name)
+        keys = K.GRAINS[name]
+        return Q.ranks(rows, "revenue_net", by).select("period", *keys, "revenue_net", "rank", "tie_count", "population")
+
+    QUERIES[f"rank_{name}"] = run
+
+
+for _name, _by in (("category", ("period",)), ("manufacturer", ("period", "category")), ("brand", ("period", "category")), ("sku", ("period", "category"))):
+    _rank(_name, _by)
+
+
+def _movement(spark, d):
+    return Q.movement(K.grain_metrics(enriched(spark, d), "sku").select("period", "category", "sku", "revenue_net"), ("category", "sku"), "revenue_net", CURRENT, REFERENCE)
+
+
+@query
+def rank_movement(spark, d):
+    return _movement(spark, d).select("category", "sku", "current_rank", "reference_rank", "rank_movement", "movement_state")
+
+
+@query
+def share_movement(spark, d):
+    return _movement(spark, d).select("category", "sku", "current_share", "reference_share", "share_pp")
+
+
+@query
+def entity_share_cumulative(spark, d):
+    return Q.cumulative_share(K.grain_metrics(enriched(spark, d), "brand"), "revenue_net", ("period", "category"), "brand").select("period", "category", "brand", "share", "cumulative_share")
+
+
+def _products(spark, d):
+    return B.product_table(enriched(spark, d), CURRENT)
+
+
+@query
+def price_segments(spark, d):
+    return B.price_segments(_products(spark, d)).select("category", "sku", "price", "price_segment", "price_rank")
+
+
+@query
+def peers_broad(spark, d):
+    rows = _products(spark, d)
+    return B.peers(rows, rows, ("category",)).groupBy("target").agg(F.count("*").alias("n_peers"))
+
+
+@query
+def peers_topn(spark, d):
+    rows = _products(spark, d)
+    top = B.top_entities(rows, ("revenue_net", "units"), 10)
+    return B.peers(rows, rows.join(top, ["category", "sku"], "left_semi"), ("category",))
+
+
+@query
+def peers_direct(spark, d):
+    rows = B.price_segments(_products(spark, d))
+    return B.peers(rows, rows, ("category", "carbonation", "price_segment"))
+
+
+@query
+def benchmark_rank_percentile(spark, d):
+    return B.benchmark_ranks(_products(spark, d), "revenue_net")
+
+
+@query
+def relative_price(spark, d):
+    return B.relative_prices(_products(spark, d))
+
+
+def _facts(spark, d):
+    rows = enriched(spark, d)
+    return M.metric_facts(K.grain_metrics(rows, "category")).unionByName(M.metric_facts(K.grain_metrics(rows, "manufacturer")))
+
+
+@query
+def metric_facts(spark, d):
+    return _facts(spark, d)
+
+
+@query
+def duplicate_fact_identity(spark, d):
+    return M.duplicate_identities(_facts(spark, d))
+
+
+@query
+def fact_scan(spark, d):
+    return M.scan_facts(_facts(spark, d), "1998-01-01", "1998-06-01", ("revenue_net", "units"), ("category",), True).select("period_start", "entity_id", "metric", "value")
+
+
+@query
+def range_aggregate(spark, d):
+    return M.range_aggregate(M.scan_facts(_facts(spark, d), "1998-01-01", "1998-06-01"))
+
+
+@query
+def scoped_rollup(spark, d):
+    """Manufacturers selected by filter, summed to the network for metrics that can be added."""
+    rows = M.scan_facts(_facts(spark, d), "1998-01-01", "1998-06-01", ("revenue_net", "units"), ("manufacturer",)).where("entity_id in ('MFR_1', 'MFR_2')")
+    return rows.groupBy("period_start", "metric").agg(exact_sum(F.col("value").cast("decimal(24,8)")).alias("value"), F.countDistinct("entity_id").alias("n_entities"))
+
+
+@query
+def sku_store_facts(spark, d):
+    return M.sku_store_facts(enriched(spark, d))
+
+
+@query
+def store_universe(spark, d):
+    return M.store_universe(load_canonical(spark, d))
+
+
+@query
+def product_store_rollup(spark, d):
+    return M.rollup_sku_store(M.sku_store_facts(enriched(spark, d)), ("category", "store_format"))
+
+
+@query
+def catalog_match(spark, d):
+    schema = "metric string, label string, enabled boolean"
+    public = spark.createDataFrame([("revenue_net", "Net revenue", True), ("units", "Units", True), ("margin_pct", "Margin", True)], schema)
+    private = spark.createDataFrame([("units", "Pieces", False), ("margin_abs", "Margin sum", True)], schema)
+    return M.match_catalog(_facts(spark, d), public, private)
+
+
+@query
+def provenance(spark, d):
+    return M.provenance(_facts(spark, d))
+
+
+@query
+def store_format_distribution(spark, d):
+    return D.format_distribution(enriched(spark, d), "brand")
+
+
+@query
+def kpi_period(spark, d):
+    return D.kpis(enriched(spark, d), "brand")
+
+
+@query
+def kpi_range(spark, d):
+    return D.kpis(enriched(spark, d).where("period between date'1998-01-01' and date'1998-06-01'"), "brand", by_period=False)
+
+
+@query
+def kpi_weighted_distribution(spark, d):
+    return D.weighted_distribution(enriched(spark, d), "sku")
+
+
+@query
+def category_share(spark, d):
+    rows = K.grain_metrics(enriched(spark, d).where("period between date'1998-01-01' and date'1998-06-01'").withColumn("period", F.lit("1998-01-01").cast("date")), "manufacturer")
+    return K.category_share(rows).select("category", "manufacturer", "revenue_net", "share")
+
+
+@query
+def served_category_share(spark, d):
+    shares = K.category_share(K.grain_metrics(enriched(spark, d), "manufacturer"))
+    return P.compare(shares, ("category", "manufacturer"), "share", "YOY").withColumn("status", F.when(F.col("comparable"), "READY").otherwise("PARTIAL"))
+
+
+@query
+def active_sku_peak(spark, d):
+    return Q.active_sku_peak(load_canonical(spark, d), ("manufacturer",))
+
+
+@query
+def regional_summary(spark, d):
+    return D.regional_summary(enriched(spark, d))
+
+
+@query
+def geography_breakdown(spark, d):
+    return D.geography(enriched(spark, d), ("region", "store_format"), CURRENT, REFERENCE)
+
+
+@query
+def package_volume_mix(spark, d):
+    return D.package_volume_mix(enriched(spark, d), CURRENT, REFERENCE)
+
+
+@query
+def diagnostics_breakdown(spark, d):
+    return D.diagnostics(enriched(spark, d), "brand", CURRENT, REFERENCE)
+
+
+@query
+def entity_options(spark, d):
+    return D.entity_options(load_canonical(spark, d), "sku", ("category", "brand"))
+
+
+@query
+def volume_facet(spark, d):
+    return D.volume_facet(load_canonical(spark, d))
+
+
+@query
+def coverage_grid(spark, d):
+    rows = load_canonical(spark, d).where(f"period <> date'{GAP}'").select("period").distinct()
+    bounds = rows.agg(F.min("period").alias("a"), F.max("period").alias("b"))
+    grid = bounds.select(F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("period"))
+    return grid.join(rows.withColumn("there", F.lit(True)), "period", "left").select("period", F.coalesce("there", F.lit(False)).alias("available"))
+
+
+@query
+def contribution(spark, d):
+    return Q.contribution(enriched(spark, d), "category", "brand", "revenue_net", CURRENT, REFERENCE)
+
+
+@query
+def market_segment_delta(spark, d):
+    return Q.segment_deltas(enriched(spark, d), "revenue_net", CURRENT, REFERENCE)
+
+
+@query
+def segment_patterns(spark, d):
+    return Q.segment_patterns(Q.segment_deltas(enriched(spark, d), "revenue_net", CURRENT, REFERENCE))
+
+
+@query
+def brand_vs_category(spark, d):
+    rows = Q.two_periods(enriched(spark, d), ("category", "brand"), "revenue_net", CURRENT, REFERENCE)
+    whole = Q.two_periods(enriched(spark, d), ("category",), "revenue_net", CURRENT, REFERENCE).select("category", ratio(F.col("current_value") - F.col("reference_value"), "reference_value").alias("category_pct"))
+    own = rows.select("category", "brand", ratio(F.col("current_value") - F.col("reference_value"), "reference_value").alias("brand_pct"))
+    return own.join(whole, "category").withColumn("gap_pp", (F.col("brand_pct") - F.col("category_pct")) * 100)
+
+
+@query
+def manufacturer_population(spark, d):
+    return load_canonical(spark, d).groupBy("period", "category").agg(F.countDistinct("manufacturer").alias("population"))
+
+
+def _event_facts(spark, d):
+    rows = enriched(spark, d)
+    brands = K.grain_metrics(rows, "manufacturer").select("period", F.concat_ws("|", "category", "manufacturer").alias("entity_id"), "revenue_net")
+    compared = P.compare(brands, ("entity_id",), "revenue_net", "YOY")
+    abc = Q.abc_classes(brands, "revenue_net", by=("period",), entity="entity_id").select("period", "entity_id", "abc_class")
+    past = abc.select(F.add_months("period", 12).alias("period"), "entity_id", F.col("abc_class").alias("reference_abc_class"))
+    return V.event_facts(compared, abc.join(past, ["period", "entity_id"], "left"))
+
+
+@query
+def event_facts(spark, d):
+    return _event_facts(spark, d)
+
+
+@query
+def events_simple(spark, d):
+    return V.detect(_event_facts(spark, d))
+
+
+@query
+def events_composite(spark, d):
+    return V.composite(_event_facts(spark, d), [("comparison_delta_pct", "lte", -0.10), ("abc_abc_class", "eq", "A")])
+
+
+@query
+def event_missing_features(spark, d):
+    rules = (*V.RULES, ("price_gap", "PRICE_GAP", "benchmark", [("price_index", "gt", 120.0)], "INFO"))
+    return V.missing_features(_event_facts(spark, d), rules)
+
+
+@query
+def event_ids(spark, d):
+    """Rows only: ids are stable within this engine."""
+    return V.detect(_event_facts(spark, d)).select("rule_id", "entity_id", "period", V.event_id("rule_id", "entity_id", "period").alias("event_id"))
+
+
+@query
+def signal_feed(spark, d):
+    return V.signal_feed(V.detect(_event_facts(spark, d)))
+
+
+def _revisions(spark, d):
+    """Each store's months as a source revision; the hash is of what the revision holds."""
+    rows = load_canonical(spark, d).groupBy("store", "period").agg(F.count("*").alias("n"))
+    return rows.groupBy(F.lit("retailer_a").alias("retailer_id"), F.col("store").alias("source_id"), F.year("period").alias("revision")).agg(
+        F.array_sort(F.collect_set("period")).alias("periods"), F.sum("n").cast("string").alias("content_hash"), F.max("period").alias("activated")
+    )
+
+
+@query
+def ledger_register(spark, d):
+    rows = _revisions(spark, d)
+    incoming, ledger = rows.where("revision >= 1997"), rows.where("revision <= 1997 and source_id <> 'STORE_1'")
+    return M.register_sources(incoming, ledger).select("retailer_id", "source_id", "revision", "content_hash", "registration")
+
+
+@query
+def ledger_activate(spark, d):
+    rows = _revisions(spark, d)
+    fix = rows.where("revision = 1997").select("retailer_id", "source_id", F.lit(9999).alias("revision"), F.slice("periods", 1, 3).alias("periods"), "content_hash", F.lit("2005-01-01").cast("date").alias("activated"))
+    return M.activate_revisions(rows.unionByName(fix))
+
+
+@query
+def source_rows_page(spark, d):
+    rows = load_canonical(spark, d).select("period", "store", "sku", "units", F.col("revenue_vat").cast("double").alias("revenue_vat"), "shelf_price_vat")
+    return D.source_page(rows, ("period", "store", "sku", "units", "revenue_vat", "shelf_price_vat"), 100, 2)
+
+
+@query
+def incremental_rebuild(spark, d):
+    rows = enriched(spark, d)
+    changed = month(rows, "1998-02-01")
+    return S.rebuild(rows, changed, lambda r: K.grain_metrics(r, "category").select("period", "category", "revenue_net", "units"))
