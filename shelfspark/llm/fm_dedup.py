@@ -167,13 +167,21 @@ def repeated_windows(segments: np.ndarray, anchor: np.ndarray, known: np.ndarray
     own = mixed(mixed(segments ^ mixed(anchor)[:, None]) + place[None, :])
     own = np.where(segments == 0, np.uint64(0), np.maximum(own, np.uint64(1)))
     mask = np.where(known, ALL_WINDOWS, 0)
-    # A word that no other segment has at its place ends every match, so only the stretch around the anchor between two
-    # such words is indexed and searched; a segment whose stretch is shorter than a window matches nothing.
-    symbol, count = np.unique(own, return_inverse=True, return_counts=True)[1:]
-    lone = ((count == 1)[symbol] | (segments == 0)).reshape(segments.shape)
-    start = REACH - np.where(lone[:, :REACH].any(axis=1), lone[:, REACH - 1 :: -1].argmax(axis=1), REACH)
+    # A run of 1, 2, 4, 8 or 16 words that no other segment has at its place ends every match, so only the stretch
+    # around the anchor between two such runs is indexed and searched; a stretch shorter than a window matches nothing.
+    start, stop, runs = np.zeros(len(own), np.int64), np.full(len(own), SEGMENT), own
     after = REACH + GRAM
-    stop = after + np.where(lone[:, after:].any(axis=1), lone[:, after:].argmax(axis=1), REACH)
+    for width in (1, 2, 4, 8, 16):
+        symbol, count = np.unique(runs, return_inverse=True, return_counts=True)[1:]
+        lone = (count == 1)[symbol].reshape(runs.shape)
+        if width == 1:
+            lone |= segments == 0
+        left = lone[:, : min(REACH, after - width + 1)]
+        start = np.maximum(start, np.where(left.any(axis=1), left.shape[1] - left[:, ::-1].argmax(axis=1), 0))
+        first = max(REACH, after - width + 1)
+        right = lone[:, first:]
+        stop = np.minimum(stop, np.where(right.any(axis=1), first + right.argmax(axis=1) + width - 1, SEGMENT))
+        runs = runs[:, :-width] * _A + mixed(runs[:, width:])
     used = np.flatnonzero(stop - start >= WINDOW)
     if not len(used) or known[used].all():
         return mask
