@@ -10,7 +10,7 @@ three segment pairs; a join on the 24-bit key finds every such pair, and the bit
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bands import band_keys, shingle_set, similar_links
 from .common import cut
 from .components import components
 
@@ -67,32 +68,54 @@ def segment_keys(segment: np.ndarray, unit: np.ndarray, near: np.ndarray) -> np.
     return np.where(patterns < 0, -1, (segment[:, None] ^ patterns) >> 11)
 
 
-def fingerprint(text: str | None, width: int = 3, block: int = 65536) -> int:
-    """SimHash of the word shingles of a text; zero for a text without words. Works in blocks, so memory follows the text only."""
+def shingle_hashes(text: str | None, width: int = 3, block: int = 65536) -> Iterator[np.ndarray]:
+    """Hashes of the word shingles of a text in blocks; fewer words than the width make one shingle, no words none."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return
     flat, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]) - 1
     starts, ends = [0, *(ends[:-1] + 1).tolist()], ends.tolist()
     width, digest = min(width, len(words)), xxhash.xxh64_intdigest
-    total, ones = len(words) - width + 1, np.zeros(64, np.int64)
+    total = len(words) - width + 1
     for lo in range(0, total, block):
         hi = min(total, lo + block)
-        hashes = np.array([digest(flat[s:e], HASH_SEED) for s, e in zip(starts[lo:hi], ends[lo + width - 1 : hi + width - 1])], "<u8")
+        yield np.array([digest(flat[s:e], HASH_SEED) for s, e in zip(starts[lo:hi], ends[lo + width - 1 : hi + width - 1])], "<u8")
+
+
+def folded(blocks: Iterable[np.ndarray]) -> int:
+    """SimHash of shingle hashes; zero for none."""
+    total, ones = 0, np.zeros(64, np.int64)
+    for hashes in blocks:
+        total += len(hashes)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` per row; fp is the 64-bit pattern as a signed long."""
+def fingerprint(text: str | None, width: int = 3, block: int = 65536) -> int:
+    """SimHash of the word shingles of a text; zero for a text without words. Works in blocks, so memory follows the text only."""
+    return folded(shingle_hashes(text, width, block))
+
+
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
+    """``(doc_id, fp)`` per row; fp is the 64-bit pattern as a signed long. ``sets`` adds band keys and the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps, keys, shingles = [], [], []
+            for text in batch.column(1).to_pylist():
+                blocks = list(shingle_hashes(text, width)) if sets else shingle_hashes(text, width)
+                fps.append(folded(blocks))
+                if sets:
+                    hashes = np.concatenate([np.zeros(0, np.uint64), *blocks])
+                    keys.append(band_keys(hashes))
+                    shingles.append(shingle_set(hashes))
+            columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))]
+            if sets:
+                columns += [pa.array(keys, pa.list_(pa.int64())), pa.array(shingles, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "keys", "shingles"][: len(columns)])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fp long" + (", keys array<long>, shingles binary" if sets else ""))
 
 
 def _postings(fps: DataFrame) -> DataFrame:
@@ -181,18 +204,22 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return links.distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` per row of docs.
 
     Fingerprints of the lower-cased word shingles link at three or fewer differing bits; component_id is the smallest id
     reachable. NULL and empty texts have fingerprint zero and link like any other; repeated rows stay and share a
     component; an empty table gives no rows; other columns are ignored. A NULL id is kept and never becomes a component
     id unless its whole component has none. Equal fingerprints meet once before any link is sought, so groups of exact
-    copies cost one row.
+    copies cost one row. With ``similarity``, texts whose sets of shingles are at least so similar link as well (see bands).
     """
-    rows = cut(fingerprints(docs, width, id_col, text_col))
+    rows = cut(fingerprints(docs, width, id_col, text_col, similarity is not None))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("doc")))
-    roots = components(fingerprint_links(distinct))
+    links = fingerprint_links(distinct)
+    if similarity is not None:
+        least = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "keys", "shingles")).alias("one"))
+        links = similar_links(cut(least.select("fp", "one.keys", "one.shingles")), links, similarity)
+    roots = components(links)
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "doc", F.coalesce("root", "fp").alias("root")
     )
