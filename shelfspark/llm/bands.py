@@ -7,7 +7,7 @@ the pairs grow with the rows and not with the square of a group.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,31 +45,31 @@ def similarity_of(a: bytes, b: bytes) -> float:
     return shared / max(1, len(x) + len(y) - shared)
 
 
-def _verified(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = pa.array([similarity_of(a, b) >= similarity for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
-    sets = units.select("fp", "shingles")
     both = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")  # an end of many pairs is split by AQE
     return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def similar_links(units: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """``links`` and the links between units ``(fp, keys, shingles)`` whose sets are at least so similar.
+def similar_links(units: DataFrame, links: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """``links`` and the links between units ``(fp, keys)`` whose sets are at least so similar.
 
-    First each unit is held against the end it shares most bands with; what that joins need not be compared again, and
-    all other pairs follow.
+    ``sets_of`` gives the sets ``(fp, shingles)`` of the units that meet another one; no other set is moved. First each unit
+    is held against the end it shares most bands with; what that joins need not be compared again, and all other pairs follow.
     """
     rows = units.select("fp", F.explode("keys").alias("key"))
     ends = rows.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b")
     met = rows.join(ends, "key").select("fp", F.explode(F.array("a", "b")).alias("end")).where("fp <> end")
     pairs = cut(met.groupBy("fp", "end").agg(F.count("*").alias("bands")))
+    sets = cut(sets_of(pairs.select("fp").distinct()))  # an end meets the other end of its band, so it is a first part too
     best = pairs.groupBy("fp").agg(F.max(F.struct("bands", "end")).alias("best")).select(F.col("fp").alias("u"), F.col("best.end").alias("v"))
-    links = cut(links.select("u", "v").unionByName(_verified(best, units, similarity)))
+    links = cut(links.select("u", "v").unionByName(_verified(best, sets, similarity)))
     roots = cut(components(links))
     placed = pairs.select(F.least("fp", "end").alias("u"), F.greatest("fp", "end").alias("v")).distinct()
     placed = placed.join(roots.toDF("u", "ru"), "u", "left").join(roots.toDF("v", "rv"), "v", "left")
     rest = placed.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
-    return links.unionByName(_verified(cut(rest), units, similarity)).distinct()
+    return links.unionByName(_verified(cut(rest), sets, similarity)).distinct()

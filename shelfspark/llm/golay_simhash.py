@@ -96,26 +96,30 @@ def fingerprint(text: str | None, width: int = 3, block: int = 65536) -> int:
     return folded(shingle_hashes(text, width, block))
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
-    """``(doc_id, fp)`` per row; fp is the 64-bit pattern as a signed long. ``sets`` adds band keys and the shingle set."""
+#: Optional column of fingerprints(): its type here and in Arrow, and how it is made from the hashes.
+_EXTRA = {"keys": ("array<long>", pa.list_(pa.int64()), band_keys), "shingles": ("binary", pa.binary(), shingle_set)}
+
+
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", extra: str | None = None) -> DataFrame:
+    """``(doc_id, fp)`` per row; fp is the 64-bit pattern as a signed long. ``extra`` adds band "keys" or the set of "shingles"."""
+    sql_type, arrow_type, make = _EXTRA.get(extra, (None, None, None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, keys, shingles = [], [], []
+            fps, more = [], []
             for text in batch.column(1).to_pylist():
-                blocks = list(shingle_hashes(text, width)) if sets else shingle_hashes(text, width)
+                blocks = shingle_hashes(text, width)
+                if make:
+                    blocks = list(blocks)
+                    more.append(make(np.concatenate([np.zeros(0, np.uint64), *blocks])))
                 fps.append(folded(blocks))
-                if sets:
-                    hashes = np.concatenate([np.zeros(0, np.uint64), *blocks])
-                    keys.append(band_keys(hashes))
-                    shingles.append(shingle_set(hashes))
             columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))]
-            if sets:
-                columns += [pa.array(keys, pa.list_(pa.int64())), pa.array(shingles, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "keys", "shingles"][: len(columns)])
+            if make:
+                columns.append(pa.array(more, arrow_type))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", extra][: len(columns)])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long" + (", keys array<long>, shingles binary" if sets else ""))
+    return rows.mapInArrow(run, "doc_id long, fp long" + (f", {extra} {sql_type}" if extra else ""))
 
 
 def _postings(fps: DataFrame) -> DataFrame:
@@ -213,12 +217,21 @@ def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", tex
     id unless its whole component has none. Equal fingerprints meet once before any link is sought, so groups of exact
     copies cost one row. With ``similarity``, texts whose sets of shingles are at least so similar link as well (see bands).
     """
-    rows = cut(fingerprints(docs, width, id_col, text_col, similarity is not None))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("doc")))
-    links = fingerprint_links(distinct)
-    if similarity is not None:
-        least = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "keys", "shingles")).alias("one"))
-        links = similar_links(cut(least.select("fp", "one.keys", "one.shingles")), links, similarity)
+    rows = cut(fingerprints(docs, width, id_col, text_col, None if similarity is None else "keys"))
+    if similarity is None:
+        distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("doc")))
+        links = fingerprint_links(distinct)
+    else:
+        least = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "keys")).alias("one"))
+        distinct = cut(least.select("fp", F.col("one.doc_id").alias("doc"), "one.keys"))
+        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+        def sets_of(wanted: DataFrame) -> DataFrame:
+            owners = distinct.join(wanted, "fp", "left_semi").select("doc")
+            held = texts.join(owners, texts["doc_id"].eqNullSafe(owners["doc"]), "left_semi")
+            return fingerprints(held, width, extra="shingles").groupBy("fp").agg(F.min("shingles").alias("shingles"))
+
+        links = similar_links(distinct.select("fp", "keys"), fingerprint_links(distinct), sets_of, similarity)
     roots = components(links)
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "doc", F.coalesce("root", "fp").alias("root")
