@@ -86,3 +86,69 @@ def test_odd_rows_with_similarity(odd_docs, no_docs):
     assert zero == {1}
     assert len({r["component_id"] for r in rows if r["doc_id"] in (3, 4)}) == 1
     assert g.near_duplicates(no_docs, width=5, similarity=0.8).count() == 0
+
+
+def edited(words, k, tag, rng):
+    """``k`` words replaced, five apart at least."""
+    out = list(words)
+    for at in rng.choice(len(words) // 5 - 2, k, replace=False) * 5 + 5:
+        out[at] = f"{tag}at{at}"
+    return out
+
+
+def all_pairs_components(docs, met_only=False):
+    """Smallest id reachable over pairs at 0.8 or more (``met_only``: that share a band) or three bits, by a presence matrix."""
+    ids, sets, keys = sorted(docs), {}, {}
+    for i in ids:
+        hashes = np.concatenate(list(g.shingle_hashes(docs[i], 5)))
+        sets[i], keys[i] = np.unique(hashes), np.array(bands.band_keys(hashes))
+    vocabulary = {h: k for k, h in enumerate(np.unique(np.concatenate(list(sets.values()))).tolist())}
+    held = np.zeros((len(ids), len(vocabulary)), np.float32)
+    for row, i in enumerate(ids):
+        held[row, [vocabulary[h] for h in sets[i].tolist()]] = 1
+    shared, size = held @ held.T, held.sum(axis=1)
+    link = shared >= 0.8 * (size[:, None] + size[None, :] - shared) - 1e-3
+    if met_only:
+        every = np.stack([keys[i] for i in ids])
+        link &= np.any(np.stack([every[:, None, b] == every[None, :, b] for b in range(bands.BANDS)]), axis=0)
+    fps = np.array([brute_fingerprint(docs[i], 5) for i in ids], np.uint64)
+    link |= np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+    label = np.arange(len(ids))
+    while True:
+        new = np.where(link, label[None, :], len(ids)).min(axis=1)
+        if (new == label).all():
+            return {i: ids[label[row]] for row, i in enumerate(ids)}
+        label = new
+
+
+def test_an_original_links_its_copies_at_any_number(spark):
+    rng, texts, lost = np.random.default_rng(11), {}, 0
+    for base, n in enumerate((20, 100, 500, 1000)):
+        words = [f"w{base}x{i}" for i in range(300)]
+        first = 10_000 * base
+        for k in range(n + 1):
+            texts[first + k] = " ".join(words if k == n // 2 else edited(words, int(rng.integers(4, 7)), f"b{base}n{k}", rng))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in g.near_duplicates(docs, width=5, similarity=0.8).collect()}
+    expected = {}
+    for base in range(4):
+        group = {i: t for i, t in texts.items() if i // 10_000 == base}
+        assert len(set(all_pairs_components(group).values())) == 1
+        expected |= all_pairs_components(group, met_only=True)
+    lost = len(set(expected.values())) - 4
+    assert lost <= 4  # of 1,620 copies, those that share no band with anything similar
+    assert got == expected
+
+
+def test_pairs_away_from_the_hub_link(spark, monkeypatch):
+    monkeypatch.setattr(bands, "BLOCK", 16)
+    rng, texts = np.random.default_rng(12), {}
+    words = [f"w{i}" for i in range(300)]
+    for k in range(60):  # copies of a text that is not there are about 0.73 alike; each has a twin at 0.87
+        one = edited(words, 5, f"n{k}", rng)
+        texts[2 * k], texts[2 * k + 1] = " ".join(one), " ".join(edited(one, 4, f"t{k}", rng))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in g.near_duplicates(docs, width=5, similarity=0.8).collect()}
+    expected = all_pairs_components(texts, met_only=True)
+    assert len(set(expected.values())) > 20
+    assert got == expected
