@@ -3,13 +3,14 @@
 Overlapping heuristics vote good, bad or nothing on every document. Their votes are counted by pattern over the whole
 corpus, and expectation-maximisation on those counts estimates each labeller's accuracy in both classes and the posterior of
 each pattern. The posteriors label a bounded sample of documents, on which a linear scorer over hashed word and shape
-features is trained; it decides for all documents.
+features is trained; it decides for all documents. Counts of abusive words and the posterior of the abuse labellers are features of
+their own, so they count however rare abuse is. Abusive words of each language are learned from a bounded sample of labels.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,16 +20,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: A general list of English insults.
 INSULTS = tuple("idiot idiots moron morons stupid dumb loser losers scum trash pathetic worthless disgusting clown clowns imbecile retard bastard bitch asshole fool ugly filthy vermin".split())
 #: The labellers of junk and those of abuse; each group has its own latent class.
 JUNK_LABELLERS = ("doubled symbols", "shouting", "stutter", "separators", "symbols", "vocabulary")
-ABUSE_LABELLERS = ("an insult", "two insults", "insults by length")
+ABUSE_LABELLERS = ("an insult", "two insults", "insults by length", "a learned word", "two learned words")
 DIM = 1 << 18
 #: Expected documents in the training sample, chosen by a hash of id and text, and the share of them that must hold a word.
 SAMPLE_DOCS = 8_000
 LEAST_SHARE = 0.0125
-_LEXICAL = 512  # first place of the words; before it stand the measures and the byte shares
+#: Expected labelled documents from which abusive words are learned; documents voted abusive that the training sample holds at least.
+LABEL_DOCS = 20_000
+LEAST_ABUSIVE = 1_000
+_ABUSE, _LEXICAL = 256, 512  # first places of the abuse measures and of the words; before them stand the measures and the byte shares
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -44,9 +50,12 @@ _INSULT_HASHES = np.array(sorted(xxhash.xxh64_intdigest(w.encode()) for w in INS
 
 
 class Profile:
-    """What labellers and scorer look at in one text, measured on its bytes and word hashes."""
+    """What labellers and scorer look at in one text, measured on its bytes and word hashes.
+
+    ``learned`` are the hashes of abusive words by language; without any for ``lang`` their labellers vote nothing.
+    """
 
-    def __init__(self, text: str | None):
+    def __init__(self, text: str | None, lang: str | None = None, learned: dict[str, np.ndarray] | None = None):
         raw = (text or "").encode("utf-8", "surrogatepass")
         data = np.frombuffer(raw, np.uint8)
         words = raw.translate(_LOWER, _PUNCTUATION).split()
@@ -64,6 +73,9 @@ class Profile:
         self.symbols = float(self.bytes[_NOISE].sum())
         self.vocabulary = len(self.distinct) / max(1, n)
         self.insults = int((_INSULT_HASHES[np.searchsorted(_INSULT_HASHES[:-1], hashes)] == hashes).sum())
+        self.foreign = lang is not None and not lang.lower().startswith("en")
+        known = (learned or {}).get(lang or "")
+        self.learned = None if known is None else int(np.isin(self.distinct, known).sum())
 
     def votes(self) -> tuple[int, ...]:
         """1 good, -1 bad, 0 nothing: junk labellers, then abuse labellers. Texts under five words get no junk votes."""
@@ -73,16 +85,20 @@ class Profile:
             vote(self.doubled, 0.02, 0.15), vote(self.shouting, 0.3, 0.6), vote(self.stutter, 0.03, 0.15), vote(self.separators, 0.03, 0.15),
             vote(self.symbols, 0.01, 0.06), 0 if self.n < 30 else -1 if self.vocabulary < 0.15 else 1 if self.vocabulary > 0.4 else 0,
         )
-        abuse = (-1 if self.insults else 1, -1 if self.insults > 1 else 1, -1 if self.insults > 0.003 * self.n else 1)
+        none = 0 if self.foreign else 1  # that a German text holds no English insult says nothing
+        abuse = (-1 if self.insults else none, -1 if self.insults > 1 else none, -1 if self.insults > 0.003 * self.n else none)
+        abuse += (0, 0) if self.learned is None else (-1 if self.learned else 1, -1 if self.learned > 1 else 1)
         return junk + abuse
 
-    def features(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashed features: a bias, the measures, the shares of bytes under 128, and the words by presence."""
+    def features(self, abuse: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Hashed features: a bias, the measures, the shares of bytes under 128, the abuse measures with the posterior ``abuse``, and the words by presence."""
         measures = [1.0, self.doubled, self.shouting, 3 * self.stutter, self.separators, 5 * self.symbols, 1 - self.vocabulary, 1.0 if self.n < 8 else 0.0]
         used = np.flatnonzero(self.bytes[:128])
         lexical = (self.distinct % np.uint64(DIM - _LEXICAL)).astype(np.int64) + _LEXICAL
-        index = np.concatenate([np.arange(len(measures)), 8 + used, lexical])
-        return index, np.concatenate([measures, self.bytes[used], np.full(len(lexical), 0.5)]).astype(np.float32)
+        learned = self.learned or 0
+        abusive = [abuse, float(self.insults > 0), math.log1p(self.insults), min(1.0, 20 * self.insults / max(1, self.n)), float(learned > 0), math.log1p(learned)]
+        index = np.concatenate([np.arange(len(measures)), 8 + used, _ABUSE + np.arange(len(abusive)), lexical])
+        return index, np.concatenate([measures, self.bytes[used], abusive, np.full(len(lexical), 0.5)]).astype(np.float32)
 
 
 def fit_labellers(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
@@ -108,6 +124,14 @@ def fit_labellers(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> tu
     return dict(zip(keys, bad.tolist(), strict=True)), table
 
 
+def abuse_posterior(patterns: dict[tuple[int, ...], int]) -> dict[tuple[int, ...], float]:
+    """P(abuse) of the abuse labellers' votes."""
+    counts: Counter = Counter()
+    for votes, n in patterns.items():
+        counts[votes[len(JUNK_LABELLERS) :]] += n
+    return fit_labellers(counts)[0]
+
+
 def pattern_posterior(patterns: dict[tuple[int, ...], int]) -> dict[tuple[int, ...], float]:
     """P(junk or abuse) of each vote pattern, the two groups of labellers fitted apart."""
     k, parts = len(JUNK_LABELLERS), []
@@ -134,71 +158,154 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = 30, ra
     return w.astype(np.float32)
 
 
-def vote_patterns(docs: DataFrame, text_col: str = "text") -> dict[tuple[int, ...], int]:
-    """Counts of vote patterns over all documents: at most 3**9 rows, whatever the corpus."""
+def _rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), lang.cast("string").alias("lang"))
+
+
+def abusive_words(counts: dict[int, tuple[int, int]], toxic: int, clean: int, candidates: int) -> np.ndarray:
+    """Sorted hashes of words five times as frequent in toxic documents as in clean ones, beyond what chance gives any of the candidates in one of 20 corpora.
+
+    ``counts`` has toxic and clean documents by word. The chance of so many toxic ones among a word's documents is at most
+    exp(-n KL), so n KL must pass the log of 20 times the number of words tried.
+    """
+    found, base = [], toxic / max(1, toxic + clean)
+    for word, (t, c) in counts.items():
+        n, p = t + c, t / max(1, t + c)
+        if t < 3 or p <= base or (t + 0.5) * (clean + 1) <= 5 * (c + 0.5) * (toxic + 1):
+            continue
+        kl = p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0.0)
+        if n * kl > math.log(20 * (candidates + 1)):
+            found.append(word)
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
+def learn_words(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
+    """Hashes of abusive words by language, from about LABEL_DOCS of the ``labels`` (doc_id, toxic), chosen by a hash of the id.
+
+    Equal texts of a language count once. A language without toxic or clean labels has no entry.
+    """
+    if labels is None:
+        return {}
+    marked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    share = min(1.0, LABEL_DOCS / max(1, marked.count()))
+    picked = marked.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)) < share)
+    texts = _rows(docs, id_col, text_col, lang_col).join(F.broadcast(picked), "doc_id")  # twelve bytes a label
+    texts = texts.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "text").agg(F.max("toxic").alias("toxic"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict = defaultdict(lambda: [0, 0])
+            for lang, text, toxic in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                for word in [None, *Profile(text).distinct.view(np.int64).tolist()]:
+                    seen[lang, word][1 - toxic] += 1
+            keys, values = list(seen), list(seen.values())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values], pa.int64())],
+                names=["lang", "word", "t", "c"],
+            )
+
+    counts = cut(texts.select("lang", "text", "toxic").mapInArrow(run, "lang string, word long, t long, c long").groupBy("lang", "word").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
+    whole = counts.where("word is null and t > 0 and c > 0").select("lang", F.col("t").alias("toxic"), F.col("c").alias("clean"))
+    tried = counts.where("word is not null and t > 0").groupBy("lang").agg(F.count("*").alias("n"))
+    totals = {r["lang"]: (r["toxic"], r["clean"], r["n"]) for r in whole.join(tried, "lang").collect()}
+    near = counts.where("word is not null and t >= 3").join(F.broadcast(whole), "lang").where("(t + 0.5) * (clean + 1) > 5 * (c + 0.5) * (toxic + 1)")
+    held: dict = defaultdict(dict)
+    for r in near.select("lang", "word", "t", "c").collect():
+        held[r["lang"]][r["word"]] = (r["t"], r["c"])
+    return {lang: abusive_words(held[lang], *t) for lang, t in totals.items()}
+
+
+def vote_patterns(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", learned: dict[str, np.ndarray] | None = None) -> dict[tuple[int, ...], int]:
+    """Counts of vote patterns over all documents: at most 3**11 rows, whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            seen.update(Profile(t).votes() for t in batch.column(0).to_pylist())
+            seen.update(Profile(t, lang, learned).votes() for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array([",".join(map(str, k)) for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
 
-    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "pattern string, n long")
+    found = _rows(docs, id_col, text_col, lang_col).select("text", "lang").mapInArrow(run, "pattern string, n long")
     return {tuple(map(int, r["pattern"].split(","))): r["n"] for r in found.groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, dict]:
-    patterns = vote_patterns(docs, text_col)
-    posterior = pattern_posterior(patterns)
-    total = sum(patterns.values())
-    share = min(1.0, sample_docs / max(1, total))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    picked = rows.where((F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)) < share) if share < 1 else rows
+class Model:
+    """Weights of the scorer, posteriors by votes, and the learned words."""
+
+    def __init__(self, posterior: dict, abuse: dict, learned: dict[str, np.ndarray]):
+        self.posterior, self.abuse, self.learned = posterior, abuse, learned
+        self.weights = np.zeros(DIM, np.float32)
+
+    def look(self, text: str | None, lang: str | None) -> tuple[tuple[int, ...], float, Profile]:
+        """Votes, P(abuse) and profile of a text."""
+        profile = Profile(text, lang, self.learned)
+        votes = profile.votes()
+        return votes, self.abuse.get(votes[len(JUNK_LABELLERS) :], 0.0), profile
+
+    def logit(self, profile: Profile, abuse: float) -> float:
+        index, value = profile.features(abuse)
+        return float(self.weights[index] @ value)
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, labels: DataFrame | None = None, lang_col: str = "lang") -> Model:
+    learned = learn_words(docs, labels, id_col, text_col, lang_col)
+    patterns = vote_patterns(docs, text_col, id_col, lang_col, learned)
+    model = Model(pattern_posterior(patterns), abuse_posterior(patterns), learned)
+    share = min(1.0, sample_docs / max(1, sum(patterns.values())))
+    abusive = sum(n for v, n in patterns.items() if model.abuse[v[len(JUNK_LABELLERS) :]] > 0.5)
+    abusive_share = min(1.0, max(share, LEAST_ABUSIVE / max(1, abusive))) if abusive else share
+    place = (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)).alias("place")
+    picked = _rows(docs, id_col, text_col, lang_col).select("doc_id", "text", "lang", place).where((F.col("place") < abusive_share) | F.lit(abusive_share >= 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Profile(t) for t in batch.column(1).to_pylist()]
-            made = [t.features() for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([i.tolist() for i, _ in made], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in made], pa.list_(pa.float32())), pa.array([posterior.get(t.votes(), 0.5) for t in texts], pa.float64())],
-                names=["doc_id", "i", "v", "bad"],
-            )
+            ids, index, value, bad = [], [], [], []
+            for doc_id, text, lang, place in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                votes, abuse, profile = model.look(text, lang)
+                if place < share or abuse > 0.5:
+                    i, v = profile.features(abuse)
+                    ids.append(doc_id)
+                    index.append(i.tolist())
+                    value.append(v.tolist())
+                    bad.append(model.posterior.get(votes, 0.5))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32())), pa.array(bad, pa.float64())], names=["doc_id", "i", "v", "bad"])
 
     sample = picked.mapInArrow(run, "doc_id long, i array<int>, v array<float>, bad double").toArrow().to_pylist()
     sample.sort(key=lambda r: (r["doc_id"] is None, xxhash.xxh64_intdigest(str(r["doc_id"])), len(r["i"]), r["bad"]))
-    return train([(np.array(r["i"]), np.array(r["v"], np.float32), r["bad"]) for r in sample]), posterior
+    model.weights = train([(np.array(r["i"]), np.array(r["v"], np.float32), r["bad"]) for r in sample])
+    return model
 
 
-def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, labels: DataFrame | None = None, lang_col: str = "lang") -> DataFrame:
     """``(doc_id, votes, posterior, score, keep)`` per row of docs: score is the scorer's probability of "bad"; keep is score <= 0.5.
 
     NULL and empty texts have no votes but on the insults (none) and are scored by the bias and the empty vocabulary;
-    repeated rows get equal scores; an empty table gives no rows; other columns are ignored.
+    repeated rows get equal scores; an empty table gives no rows; other columns are ignored. ``labels`` (doc_id, toxic) and
+    the language, if there is one, give the abusive words of each language.
     """
-    weights, posterior = fit(docs, id_col, text_col, sample_docs)
+    model = fit(docs, id_col, text_col, sample_docs, labels, lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shown, post, score = [], [], []
-            for text in batch.column(1).to_pylist():
-                profile = Profile(text)
-                index, value = profile.features()
-                own = profile.votes()
+            for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own, abuse, profile = model.look(text, lang)
                 shown.append(",".join(map(str, own)))
-                post.append(round(posterior.get(own, 0.5), 6))
-                score.append(round(1 / (1 + math.exp(-max(-30.0, min(30.0, float(weights[index] @ value))))), 6))
+                post.append(round(model.posterior.get(own, 0.5), 6))
+                score.append(round(1 / (1 + math.exp(-max(-30.0, min(30.0, model.logit(profile, abuse))))), 6))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shown, pa.string()), pa.array(post, pa.float64()), pa.array(score, pa.float64()), pa.array([s <= 0.5 for s in score], pa.bool_())], names=["doc_id", "votes", "posterior", "score", "keep"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, votes string, posterior double, score double, keep boolean")
+    return _rows(docs, id_col, text_col, lang_col).mapInArrow(run, "doc_id long, votes string, posterior double, score double, keep boolean")
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, labels: DataFrame | None = None, lang_col: str = "lang") -> DataFrame:
     """The rows of docs that the scorer keeps, with all their columns."""
-    weights, _ = fit(docs, id_col, text_col, sample_docs)
+    model = fit(docs, id_col, text_col, sample_docs, labels, lang_col)
 
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([float(weights[i] @ v) <= 0 for i, v in (Profile(t).features() for t in texts)], dtype="bool")
+    def score(texts: pd.Series, langs: pd.Series) -> pd.Series:
+        looks = (model.look(t, lang) for t, lang in zip(texts, langs, strict=True))
+        return pd.Series([model.logit(profile, abuse) <= 0 for _, abuse, profile in looks], dtype="bool")
 
     good = F.pandas_udf(score, "boolean")
-    return docs.where(good(F.col(text_col).cast("string")))
+    lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None)
+    return docs.where(good(F.col(text_col).cast("string"), lang.cast("string")))
