@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm import fm_dedup, golay_simhash, mixing, piece_codec, weak_quality
-from shelfspark.llm.common import ensure_checkpoint_dir
+from shelfspark.llm.common import ensure_checkpoint_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the scorer rejects go."""
-    return weak_quality.keep_good(docs).select(*COLUMNS)
+    return weak_quality.keep_good(docs, labels=table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

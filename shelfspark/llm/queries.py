@@ -69,7 +69,7 @@ def op6_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .weak_quality import judge_quality
 
-    return judge_quality(table(spark, sf_dir, "documents"))
+    return judge_quality(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
 
 
 QUERIES = {
