@@ -1,16 +1,18 @@
 """Substring dedup with an FM-index per shard.
 
-A window is 35 consecutive words. Equal windows hold the same least 8-word hash at the same place (their anchor), so it is
-enough to bring together the surroundings of equal anchors:
+A window is 35 consecutive words. Equal windows have the same least 8-word hash at the same place (their anchor), so it is
+enough to bring together the surroundings of equal anchors, which are the words of the windows that have it as their least
+hash. Each window is looked at under its own anchor only:
 
 1. Anchors that occur once are dropped after one count.
-2. If the whole surroundings of an anchor (62 words: all windows that hold it) repeat, all its windows repeat.
+2. If the whole surroundings of an anchor (62 words at most) repeat, all its windows repeat.
 3. The rest goes to shards by anchor, one segment for each distinct surroundings. A shard builds a compressed FM-index of
    its segments: suffix order, Burrows-Wheeler transform, wavelet matrix with rank directories. Backward search gives the
    matching statistics of each segment: how far left a match that occurs twice reaches from each end; halving the range of
    windows finds all of length 35 or more. Symbols carry their anchor and place, so one stretch of text never matches
    itself through overlapping segments.
-4. Anchors with very many distinct surroundings are not sent to one shard; their windows are counted by hash and place.
+4. Anchors with very many distinct surroundings are not sent to one shard; their windows are counted by hash and place, and
+   those that only one surroundings holds are taken off.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, cut
+from .common import cut
+from .words import Group, groups, kept_text, mixed
 
 WINDOW = 35
 GRAM = 8
@@ -39,17 +41,6 @@ _CHUNK = 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # fixed values: odd multipliers
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _A
-    x = (x ^ (x >> np.uint64(29))) * _B
-    return x ^ (x >> np.uint64(32))
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    out = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    return np.maximum(out, np.uint64(1))  # zero stands for "no word"
-
-
 def _runs(h: np.ndarray, doublings: int) -> np.ndarray:
     """Hashes of all runs of 2**doublings words."""
     for k in range(doublings):
@@ -57,53 +48,72 @@ def _runs(h: np.ndarray, doublings: int) -> np.ndarray:
     return h
 
 
-def anchors(h: np.ndarray, around: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, anchor, hash of the surroundings if asked for) of the least 8-word hash of every window, the leftmost on ties."""
-    n = len(h) - WINDOW + 1
-    if n <= 0:
-        none = np.zeros(0, np.uint64)
-        return none.astype(np.int64), none, none
-    grams, places = mixed(_runs(h, 3)), []
+def spaced(group: Group) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of a group's texts with REACH zeros before, between and after them, and where each text begins in there."""
+    sizes = np.diff(group.edges)
+    begin = group.edges[:-1] + REACH * (1 + np.arange(len(sizes)))
+    line = np.zeros(len(group.start) + REACH * (len(sizes) + 1), np.uint64)
+    line[np.arange(len(group.start)) + np.repeat(REACH * (1 + np.arange(len(sizes))), sizes)] = group.hashes()
+    return line, begin
+
+
+def anchors(line: np.ndarray, begin: np.ndarray, sizes: np.ndarray, whole: bool = True) -> list[np.ndarray]:
+    """The places in line of the least 8-word hash of every window (the leftmost on ties), and these hashes.
+
+    With whole also the hash of the surroundings, the place of the first window in the segment around the anchor, and how
+    many windows have it; these are consecutive.
+    """
+    windows = np.maximum(sizes - WINDOW + 1, 0)
+    inside = np.zeros(len(line) + 1, np.int8)  # where a window of a text begins
+    inside[begin[windows > 0]] = 1
+    inside[(begin + windows)[windows > 0]] = -1
+    starts = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8) > 0)
+    if not len(starts):
+        return [starts, np.zeros(0, np.uint64), np.zeros(0, np.uint64), starts, starts][: 5 if whole else 2]
+    grams, places = mixed(_runs(line, 3)), []
+    n = len(line) - WINDOW + 1
     for lo in range(0, n, _CHUNK):
         part = grams[lo : min(n, lo + _CHUNK) + REACH]
         least = part & ~np.uint64(0x1FFFFF) | np.arange(len(part), dtype=np.uint64)
         for step in (1, 2, 4, 8):
             least = np.minimum(least[:-step], least[step:])
         least = np.minimum(least[: -(OFFSETS - 16)], least[OFFSETS - 16 :])
-        least = least & np.uint64(0x1FFFFF)
-        places.append(least[np.flatnonzero(np.diff(least, prepend=least[:1] + np.uint64(1)))].astype(np.int64) + lo)
-    place = np.unique(np.concatenate(places))
-    if not around:
-        return place, grams[place], np.zeros(len(place), np.uint64)
-    gap = np.zeros(REACH, np.uint64)
-    runs = _runs(np.concatenate([gap, h, gap]), 5)
-    return place, grams[place], mixed(runs[place] * _B + mixed(runs[place + SEGMENT - 32]))
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        places.append((least & np.uint64(0x1FFFFF)).astype(np.int64) + lo)
+    place = np.concatenate(places)[starts]
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    place, start, count = place[first], starts[first], np.diff(first, append=len(starts))
+    if not whole:
+        return [place, grams[place]]
+    runs, low = _runs(line, 5), start - place + REACH
+    around = mixed(runs[start] * _B + mixed(runs[start + count + WINDOW - 1 - 32])) ^ mixed((low * 64 + count).astype(np.uint64))
+    return [place, grams[place], around, low, count]
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(t, row)``: t stands for the text; the row is one struct (doc_id, text, carried), so that all joins on t read the same shuffle."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("t", F.xxhash64("text"))
+    row = F.struct(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *[F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate(carry)])
+    return docs.select(row.alias("row")).select(F.xxhash64("row.text").alias("t"), "row")
 
 
-def occurrences(keyed: DataFrame, with_around: bool = True) -> DataFrame:
-    """``(anchor, t, pos, around)`` for every anchor of every text; t stands for the text."""
+def occurrences(keyed: DataFrame, whole: bool = True) -> DataFrame:
+    """``(anchor, t, pos, around, low, n)`` for every anchor of every text, where t stands for the text; only ``anchor`` if not whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, keys = [], []
-            for t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = text.encode("utf-8", "surrogatepass").split()
-                if len(words) >= WINDOW:
-                    found.append(anchors(word_hashes(words), with_around))
-                    keys.append(np.full(len(found[-1][0]), t, np.int64))
-            if found:
-                place, anchor, around = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(np.concatenate(keys)), pa.array(place.astype(np.int32)), pa.array(around.view(np.int64))],
-                    names=["anchor", "t", "pos", "around"],
-                )
-
-    return keyed.select("t", "text").mapInArrow(run, "anchor long, t long, pos int, around long")
+            keys = batch.column(1).to_numpy() if whole else None
+            for group in groups(batch.column(0)):
+                line, begin = spaced(group)
+                place, anchor, *more = anchors(line, begin, np.diff(group.edges), whole)
+                columns = [pa.array(anchor.view(np.int64))]
+                if whole:
+                    text = np.searchsorted(begin, place, "right") - 1
+                    columns += [pa.array(keys[group.first + text]), pa.array((place - begin[text]).astype(np.int32)), pa.array(more[0].view(np.int64)), *(pa.array(m.astype(np.int8)) for m in more[1:])]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "t", "pos", "around", "low", "n"][: len(columns)])
+
+    if not whole:
+        return keyed.select("row.text").mapInArrow(run, "anchor long")
+    return keyed.select("row.text", "t").mapInArrow(run, "anchor long, t long, pos int, around long, low byte, n byte")
 
 
 class WaveletMatrix:
@@ -162,7 +172,7 @@ class FMIndex:
 
 
 def repeated_windows(segments: np.ndarray, anchor: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Bit o of the result: the window that starts at place o of the segment is in another segment of its anchor too."""
+    """Bit o of the result: the window that starts at place o of the segment is in another segment of its anchor too (all for the known)."""
     place = np.arange(1, SEGMENT + 1, dtype=np.uint64) * _B
     own = mixed(mixed(segments ^ mixed(anchor)[:, None]) + place[None, :])
     own = np.where(segments == 0, np.uint64(0), np.maximum(own, np.uint64(1)))
@@ -205,55 +215,106 @@ def _searched(rows: np.ndarray, start: np.ndarray, stop: np.ndarray, known: np.n
     return mask
 
 
+def _binary_rows(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of segments as rows of words."""
+    parts = []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        at = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        parts.append(np.frombuffer(data, np.uint8)[at[0] : at[-1]].view("<u8") if len(chunk) else np.zeros(0, np.uint64))
+    return np.concatenate(parts).reshape(-1, SEGMENT)
+
+
 def _shard(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Masks of the segments whose surroundings occur once; the known ones only help to find them."""
     anchor = table.column("anchor").to_numpy().view(np.uint64)
     around = table.column("around").to_numpy()
     own = np.unique(np.stack([anchor, around.view(np.uint64)]), axis=1, return_index=True)[1]
-    segments = np.frombuffer(b"".join(table.column("segment").to_pylist()), "<u8").reshape(-1, SEGMENT)[own]
-    mask = repeated_windows(segments, anchor[own], table.column("known").to_numpy(zero_copy_only=False)[own])
-    return pa.table({"anchor": pa.array(anchor[own].view(np.int64)), "around": pa.array(around[own]), "mask": pa.array(mask.astype(np.int32))})
+    known = table.column("known").to_numpy(zero_copy_only=False)[own]
+    mask = repeated_windows(_binary_rows(table.column("segment"))[own], anchor[own], known)
+    found = ~known & (mask != 0)
+    return pa.table({"anchor": pa.array(anchor[own][found].view(np.int64)), "around": pa.array(around[own][found]), "mask": pa.array(mask[found].astype(np.int32))})
 
 
-_SENT = pa.schema([("anchor", pa.int64()), ("around", pa.int64()), ("known", pa.bool_()), ("k", pa.int32()), ("segment", pa.binary())])
+def _asked(column: pa.ListArray, lo: int, hi: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(text, fields) of the list entries of the texts lo to hi."""
+    offsets = column.offsets.to_numpy()
+    part = column.values.slice(offsets[lo], offsets[hi] - offsets[lo])
+    return np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1])), [f.to_numpy(zero_copy_only=False) for f in part.flatten()]
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """(anchor, around, known), and the segment of each with its surroundings, for the places asked of each text."""
+    place = np.arange(SEGMENT)
     for batch in batches:
-        out = []
-        for text, sent in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            gap = np.zeros(REACH, np.uint64)
-            h = np.concatenate([gap, word_hashes(text.encode("utf-8", "surrogatepass").split()), gap])
-            out += [(s["anchor"], s["around"], s["known"], s["k"], h[s["pos"] : s["pos"] + SEGMENT].tobytes()) for s in sent]
-        for lo in range(0, len(out), 20_000):
-            yield batch_of(_SENT, *zip(*out[lo : lo + 20_000], strict=True))
+        for group in groups(batch.column(0).field("text")):
+            line, begin = spaced(group)
+            text, (pos, anchor, around, known, low, n) = _asked(batch.column(1), group.first, group.first + len(group))
+            for lo in range(0, len(pos), 20_000):
+                part = slice(lo, lo + 20_000)
+                left, start = begin[text[part]] + pos[part] - REACH, low[part, None].astype(np.int64)
+                inside = (place >= start) & (place < start + n[part, None] + WINDOW - 1)
+                yield [anchor[part], around[part], known[part]], np.where(inside, line[left[:, None] + place], np.uint64(0))
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (anchor, around, known), rows in _cut_segments(batches):
+        data = pa.py_buffer(np.ascontiguousarray(rows).tobytes())
+        offsets = pa.py_buffer((np.arange(len(rows) + 1, dtype=np.int32) * (8 * SEGMENT)).tobytes())
+        segment = pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, data])
+        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(around), pa.array(known), segment], names=["anchor", "around", "known", "segment"])
 
 
 def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        h = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, SEGMENT)
+    """``(anchor, o, w, around, other, known, bits)``: each window of the segments once, and one row (o = -1) for all that a segment has."""
+    for (anchor, around, known), h in _cut_segments(batches):
+        present = np.zeros(len(h), np.int32)
         for o in range(OFFSETS):
             part = h[:, o : o + WINDOW]
-            there = (part != 0).all(axis=1)
-            acc = np.zeros(len(h), np.uint64)
+            there = np.flatnonzero((part != 0).all(axis=1))
+            present[there] |= 1 << o
+            acc = np.zeros(len(there), np.uint64)
             for j in range(WINDOW):
-                acc = acc * _A + mixed(part[:, j])
-            keep = pa.array(there)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(np.full(int(there.sum()), o, np.int32)), pa.array(mixed(acc)[there].view(np.int64))],
-                names=["anchor", "around", "o", "w"],
-            )
-
-
-def _masks(segments: DataFrame, n: int) -> DataFrame:
-    """``(anchor, around, mask)`` for all segments sent: shards for most anchors, counts for the hot ones."""
-    shards = max(64, -(-n // SEGMENTS_PER_SHARD))
-    cold = segments.where(F.col("k") <= HOT_SURROUNDINGS).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    by_index = cold.groupBy("shard").applyInArrow(_shard, "anchor long, around long, mask int")
-    hot = segments.where(F.col("k") > HOT_SURROUNDINGS)
-    windows = hot.select("anchor", "around", "segment").mapInArrow(_window_hashes, "anchor long, around long, o int, w long")
-    seen = windows.groupBy("anchor", "o", "w").agg(F.min("around").alias("a"), F.max("around").alias("b"))
-    twice = seen.where("a <> b").select("anchor", "o", "w")
-    by_count = windows.join(twice, ["anchor", "o", "w"]).groupBy("anchor", "around").agg(F.bit_or(F.expr("shiftleft(1, o)")).alias("mask"))
+                acc = acc * _A + mixed(part[there, j])
+            w = mixed(acc).view(np.int64)
+            there, w = there[order := np.lexsort((w, anchor[there]))], w[order]
+            new = np.flatnonzero((np.diff(w, prepend=w[:1] + 1) != 0) | (np.diff(anchor[there], prepend=anchor[there][:1] + 1) != 0))
+            if len(new):
+                least, most = (f.reduceat(around[there], new) for f in (np.minimum, np.maximum))
+                yield _window_rows(anchor[there[new]], o, w[new], least, most, np.logical_or.reduceat(known[there], new), np.full(len(new), 1 << o, np.int32))
+        yield _window_rows(anchor, -1, around, around, around, known, present)
+
+
+def _window_rows(anchor, o, w, around, other, known, bits) -> pa.RecordBatch:
+    columns = [anchor, np.full(len(anchor), o, np.int32), w, around, other, known, bits]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "o", "w", "around", "other", "known", "bits"])
+
+
+def _texts_asked(keyed: DataFrame, sent: DataFrame) -> DataFrame:
+    """``(row, sent)``: one row of each text with the places to cut out of it."""
+    owner = keyed.groupBy("t").agg(F.min("row.doc_id").alias("owner"))
+    lists = sent.groupBy("t").agg(F.collect_list(F.struct("pos", "anchor", "around", "known", "low", "n")).alias("sent")).join(owner, "t")
+    own = F.col("row.doc_id")
+    # told by order, so that t stays the only key of the join
+    same = (own.isNull() & F.col("owner").isNull()) | ((own <= F.col("owner")) & (own >= F.col("owner")))
+    return keyed.join(lists, "t").where(same).select("row", "sent")
+
+
+def _masks(keyed: DataFrame, sent: DataFrame) -> DataFrame:
+    """``(anchor, around, mask)`` of the segments sent whose surroundings occur once: shards for most anchors, counts for the hot ones."""
+    hot = F.col("k") > HOT_SURROUNDINGS
+    n = sent.agg(F.count("*").alias("n"), F.coalesce(F.sum(hot.cast("int")), F.lit(0)).alias("hot")).first()
+    shards = max(64, -(-(n["n"] - n["hot"]) // SEGMENTS_PER_SHARD))
+    cold = _texts_asked(keyed, sent.where(~hot)).mapInArrow(_segments, "anchor long, around long, known boolean, segment binary")
+    by_index = cold.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")).applyInArrow(_shard, "anchor long, around long, mask int")
+    if not n["hot"]:
+        return by_index
+    # no window is joined back: those of one surroundings only are taken off the windows that it has
+    windows = _texts_asked(keyed, sent.where(hot)).mapInArrow(_window_hashes, "anchor long, o int, w long, around long, other long, known boolean, bits int")
+    lone = windows.groupBy("anchor", "o", "w").agg(F.min("around").alias("around"), F.max("other").alias("other"), F.max("known").alias("known"), F.max("bits").alias("bits"))
+    lone = lone.where("around = other and not known")
+    held = lone.groupBy("anchor", "around").agg(F.bit_or(F.when(F.col("o") < 0, F.col("bits")).otherwise(0)).alias("present"), F.bit_or(F.when(F.col("o") < 0, 0).otherwise(F.col("bits"))).alias("lone"))
+    by_count = held.select("anchor", "around", F.col("present").bitwiseAND(F.bitwise_not("lone")).alias("mask")).where("mask <> 0")
     return by_index.unionByName(by_count)
 
 
@@ -262,37 +323,29 @@ def covered_windows(keyed: DataFrame) -> DataFrame:
 
     Exact copies of a text count as one text here.
     """
-    occ = occurrences(keyed)
-    o = F.xxhash64("t", "pos")
-    twice = cut(occurrences(keyed, with_around=False).select("anchor", o.alias("o")).groupBy("anchor").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a <> b").select("anchor"))
-    shared = cut(occ.join(twice, "anchor", "left_semi").dropDuplicates(["t", "pos"]))
-    kinds = (
-        shared.withColumn("o", o).groupBy("anchor", "around").agg(F.min("o").alias("a"), F.max("o").alias("b"), F.min_by("t", "o").alias("t"), F.min_by("pos", "o").alias("pos"))
-        .select("anchor", "around", "t", "pos", (F.col("a") != F.col("b")).alias("known"))
-    )
-    kinds = cut(kinds)
+    twice = cut(occurrences(keyed, whole=False).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+    shared = cut(occurrences(keyed).join(twice, "anchor", "left_semi").dropDuplicates(["t", "pos"]))
+    place = F.struct("t", "pos", "low", "n")
+    kinds = shared.groupBy("anchor", "around").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+    kinds = cut(kinds.select("anchor", "around", "a.t", "a.pos", "a.low", "a.n", (F.col("a") != F.col("b")).alias("known")))
     varied = kinds.groupBy("anchor").agg(F.count("*").cast("int").alias("k"), F.bool_and("known").alias("all_known"))
     sent = cut(kinds.join(varied.where("k > 1 and not all_known").select("anchor", "k"), "anchor"))
-    owner = keyed.groupBy("t").agg(F.min("doc_id").alias("doc_id"))
-    lists = sent.groupBy("t").agg(F.collect_list(F.struct("pos", "anchor", "around", "known", "k")).alias("sent")).join(owner, "t")
-    lists = lists.select("t", F.col("doc_id").alias("owner"), "sent")
-    texts = keyed.join(lists, (keyed["t"] == lists["t"]) & keyed["doc_id"].eqNullSafe(lists["owner"])).select("text", "sent")
-    segments = texts.mapInArrow(_segments, "anchor long, around long, known boolean, k int, segment binary")
-    masks = _masks(segments, sent.count())
-    full = kinds.where("known").select("anchor", "around", F.lit(ALL_WINDOWS).alias("mask"))
-    found = masks.join(kinds.where("not known").select("anchor", "around"), ["anchor", "around"], "left_semi").where("mask <> 0")
-    return shared.join(full.unionByName(found), ["anchor", "around"]).select("t", "pos", "mask")
-
-
-def removed_words(n: int, places, masks) -> np.ndarray:
-    """Which of n words are in a window that starts elsewhere too."""
-    edge = np.zeros(n + WINDOW + 1, np.int32)
-    for pos, mask in zip(places, masks, strict=True):
-        starts = pos - REACH + np.flatnonzero(mask >> np.arange(OFFSETS) & 1)
-        starts = starts[(starts >= 0) & (starts + WINDOW <= n)]
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + WINDOW, -1)
-    return np.cumsum(edge)[:n] > 0
+    full = kinds.where("known").select("anchor", "around", F.expr("shiftleft(shiftleft(1, cast(n as int)) - 1, cast(low as int))").alias("mask"))
+    return shared.join(full.unionByName(_masks(keyed, sent)), ["anchor", "around"]).select("t", "pos", "mask")
+
+
+def removed_words(edges: np.ndarray, text: np.ndarray, pos: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Which words of a group's texts are in a window that starts elsewhere too; pos -1 stands for a copy of a whole text."""
+    edge, sizes = np.zeros(int(edges[-1]) + WINDOW + 1, np.int32), np.diff(edges)
+    row, o = np.nonzero(mask[:, None] >> np.arange(OFFSETS) & 1)
+    at = pos[row] - REACH + o
+    row, at = row[good := (at >= 0) & (at + WINDOW <= sizes[text[row]])], at[good]
+    np.add.at(edge, edges[text[row]] + at, 1)
+    np.subtract.at(edge, edges[text[row]] + at + WINDOW, 1)
+    copies = text[(pos < 0) & (sizes[text] >= WINDOW)]
+    np.add.at(edge, edges[copies], 1)
+    np.subtract.at(edge, edges[copies + 1], 1)
+    return np.cumsum(edge)[: int(edges[-1])] > 0
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -304,32 +357,28 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     have no words; texts under 35 words lose nothing; repeated rows count as copies of each other and lose all words that
     windows cover; an empty table gives no rows; other columns are ignored.
     """
-    keyed = _keyed(docs, id_col, text_col)
-    carried = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(c).cast("string").alias(c) for c in carry]).alias("carried")).withColumn("t", F.xxhash64("text"))
+    keyed = _keyed(docs, id_col, text_col, carry)
     copies = keyed.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t", F.lit(-1).alias("pos"), F.lit(0).alias("mask"))
     covered = covered_windows(keyed).unionByName(copies).groupBy("t").agg(F.collect_list(F.struct("pos", "mask")).alias("found"))
     extra = ", kept string" if keep_text else ""
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * keep_text, *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = text.encode("utf-8", "surrogatepass").split()
-                if not found or len(words) < WINDOW:
-                    gone = None
-                elif any(f["pos"] < 0 for f in found):
-                    gone = np.ones(len(words), bool)
-                else:
-                    gone = removed_words(len(words), [f["pos"] for f in found], [f["mask"] for f in found])
-                kept = words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                joined = b" ".join(kept)
-                out.append((len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "surrogatepass") if keep_text else None))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-            arrays = [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
-            taken = [batch.column(3 + k) for k in range(len(carry))]
-            yield pa.RecordBatch.from_arrays(arrays[: 4 + keep_text] + taken, names=[*names[: 4 + keep_text], *carry])
-
-    rows = carried.join(covered, "t", "left").select("doc_id", "text", "found", *[F.col(f"carried.{c}") for c in carry])
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + extra + "".join(f", `{c}` string" for c in carry))
+            own = batch.column(0).flatten()
+            for group in groups(own[1]):
+                lo, hi = group.first, group.first + len(group)
+                text, (pos, mask) = _asked(batch.column(1), lo, hi)  # NULL lists are empty
+                gone = removed_words(group.edges, text, pos, mask)
+                data, bounds = kept_text(group, ~gone)
+                before = np.concatenate([[0], np.cumsum(gone)])
+                joined = data.tobytes()
+                shas = [hashlib.sha256(memoryview(joined)[a:b]).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                columns = [own[0].slice(lo, hi - lo), pa.array(np.diff(group.edges)), pa.array(np.diff(before[group.edges])), pa.array(shas, pa.string())]
+                if keep_text:
+                    kept = pa.Array.from_buffers(pa.large_string(), hi - lo, [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(joined)])
+                    columns.append(kept.cast(pa.string()))
+                columns += [c.slice(lo, hi - lo) for c in own[2:]]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return keyed.join(covered, "t", "left").select("row", "found").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + extra + "".join(f", `{c}` string" for c in carry))
