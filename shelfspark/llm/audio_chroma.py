@@ -3,19 +3,23 @@
 A recording becomes frames of twelve pitch-class energies; filters over an integral image of the frames compare parts of a
 patch, and sixteen quantised comparisons pack into one 32-bit integer for each place. Recordings that share integers are
 aligned by the histogram of their offsets, and the alignment is judged by its share of differing bits.
+
+The queries go round in blocks of bounded size: every task holds a block's integers in order, streams its recordings past
+them, counts offsets in place and gives back only the alignments that hold. No table of common integers is made.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, ensure_checkpoint_dir
 
 RATE = 4_000
 FRAME = 1_024
@@ -28,6 +32,9 @@ STEPS = (-0.15, 0.0, 0.15)  # log-ratio steps of the quantiser
 GRAY = (0, 1, 3, 2)
 LEAST_VOTES = 3
 MOST_BIT_ERROR = 0.25
+#: Integers of the queries sent to the tasks at once (a single longer query goes alone), and meetings counted at once.
+BLOCK_INTEGERS = 1 << 19
+MEETINGS = 1 << 20
 
 
 def _pitch_classes() -> tuple[np.ndarray, np.ndarray]:
@@ -106,31 +113,96 @@ def fingerprints(media: DataFrame, id_col: str, media_col: str, decode: Callable
     return rows.mapInArrow(run, "rec_id long, ints array<int>, class_hash string")
 
 
+class QueryBlock:
+    """The integers of some queries in order of value, and where each stands."""
+
+    def __init__(self, ints: list[np.ndarray]):
+        self.ints = ints
+        sizes = np.array([len(x) for x in ints], np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint32), *ints])
+        self.order = np.argsort(flat, kind="stable")
+        self.values = flat[self.order]
+        self.query = np.repeat(np.arange(len(ints)), sizes)[self.order]
+        self.place = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[self.order]
+        self.longest = int(sizes.max(initial=0))
+
+    def votes(self, ints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, offset, votes) of all meetings of a recording's integers with the queries'."""
+        lo, hi = np.searchsorted(self.values, ints, "left"), np.searchsorted(self.values, ints, "right")
+        span = self.longest + len(ints) + 1
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        met = np.cumsum(hi - lo)
+        at = 0
+        while at < len(ints) and met[-1]:  # a common integer meets many: so many at once that MEETINGS bounds the memory
+            end = max(at + 1, int(np.searchsorted(met, (met[at - 1] if at else 0) + MEETINGS, "right")))
+            n = hi[at:end] - lo[at:end]
+            hit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at:end], n)
+            offset = np.repeat(np.arange(at, end), n) - self.place[hit]
+            new, own = np.unique(np.concatenate([keys, self.query[hit] * span + offset + self.longest]), return_inverse=True)
+            counts = np.bincount(own, np.concatenate([counts, np.ones(len(hit), np.int64)]), minlength=len(new)).astype(np.int64)
+            keys, at = new, end
+        return keys // span, keys % span - self.longest, counts
+
+    def alignments(self, ints: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(query, offset, votes, bit error) of the queries that align with a recording: the offset of most votes, the least on ties."""
+        query, offset, votes = self.votes(ints)
+        order = np.lexsort((offset, -votes, query))
+        best = order[np.flatnonzero(np.diff(query[order], prepend=-1))] if len(order) else order
+        out = []
+        for k in best[votes[best] >= LEAST_VOTES].tolist():
+            own, at = self.ints[query[k]], int(offset[k])
+            start, stop = max(0, -at), min(len(own), len(ints) - at)
+            differ = int(np.bitwise_count(own[start:stop] ^ ints[start + at : stop + at]).sum())
+            error = round(differ / (32 * (stop - start)), 6)
+            if error <= MOST_BIT_ERROR:
+                out.append((int(query[k]), at, int(votes[k]), error))
+        return out
+
+
+def _against(block: QueryBlock, names: list[str]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name, ints in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = block.alignments(ints.values.to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32))
+                out += [(names[q], name, at, votes, error) for q, at, votes, error in found if names[q] != name]
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            types = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["own", "class_hash", "offset", "votes", "bit_error"])
+
+    return run
+
+
 def align_recordings(media: DataFrame, id_col: str, media_col: str, decode: Callable = pcm16, every: int = 100) -> DataFrame:
     """``(query_id, class_id, n_members, offset, votes, bit_error)`` for each recording whose id is divisible by ``every``.
 
-    Recordings with equal integers form a class, named by its smallest id; a query is aligned with the classes of all rows,
-    its own included (offset 0, no bit error). Others count when at least LEAST_VOTES integers meet at the best offset and
-    at most a quarter of the overlapping bits differ. NULL, empty and short recordings have no integers and form one class;
-    rows without id, repeated rows and an empty table need no care: they are members, or give no rows.
+    Recordings with equal integers form a class, named by its smallest id (NULL if no member has one); a query is aligned
+    with the classes of all rows, its own included (offset 0, no votes counted, no bit error). Others count when at least
+    LEAST_VOTES integers meet at the best offset, the least offset on ties, and at most a quarter of the overlapping bits
+    differ. NULL, empty and short recordings have no integers and form one class, which only meets itself. A recording is
+    held whole by its task, however long; its meetings with a block are counted in parts. Repeated rows are members of one
+    class, a repeated query id asks once; rows without id never ask; an empty table gives no rows; other columns are ignored.
     """
+    spark = media.sparkSession
     found = cut(fingerprints(media, id_col, media_col, decode))
     classes = cut(found.groupBy("class_hash").agg(F.min("rec_id").alias("class_id"), F.count("*").alias("n_members"), F.first("ints").alias("ints")))
-    asked = found.where(F.col("rec_id") % every == 0).select("rec_id", "class_hash").distinct()
-    asking = cut(asked.join(classes.select("class_hash", "class_id", "n_members"), "class_hash").select(F.col("rec_id").alias("query_id"), F.col("class_id").alias("own"), "n_members"))
-    # queries with the same integers ask once
-    sources = asking.select("own").distinct().join(classes.select(F.col("class_id").alias("own"), F.col("ints").alias("q_ints")), "own")
-    left = sources.select("own", F.posexplode("q_ints").alias("qp", "value"))
-    right = classes.select("class_id", F.posexplode("ints").alias("p", "value"))
-    votes = left.join(right, "value").where("own <> class_id").groupBy("own", "class_id", (F.col("p") - F.col("qp")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = F.row_number().over(Window.partitionBy("own", "class_id").orderBy(F.desc("votes"), "offset"))
-    top = votes.where(F.col("votes") >= LEAST_VOTES).withColumn("place", best).where("place = 1").drop("place")
-    both = top.join(sources, "own").join(classes.select("class_id", "n_members", "ints"), "class_id")
-    start, stop = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("q_ints"), F.size("ints") - F.col("offset"))
-    length = stop - start
-    a, b = F.slice("q_ints", start + 1, length), F.slice("ints", start + F.col("offset") + 1, length)
-    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    judged = both.withColumn("bit_error", F.round(differ / (32 * length), 6)).where(F.col("bit_error") <= MOST_BIT_ERROR)
-    others = asking.select("query_id", "own").join(judged.select("own", "class_id", "n_members", "offset", "votes", "bit_error"), "own").drop("own")
-    selves = asking.select("query_id", F.col("own").alias("class_id"), "n_members", F.lit(0).alias("offset"), F.lit(0).cast("long").alias("votes"), F.lit(0.0).alias("bit_error"))
+    named = classes.select("class_hash", "class_id", "n_members")
+    asking = found.where(F.col("rec_id") % every == 0).select(F.col("rec_id").alias("query_id"), "class_hash").distinct()
+    selves = asking.join(named, "class_hash").select("query_id", "class_id", "n_members", F.lit(0).alias("offset"), F.lit(0).cast("long").alias("votes"), F.lit(0.0).alias("bit_error"))
+    # queries with the same integers ask once, and go round in blocks
+    sources = cut(classes.join(asking.select("class_hash").distinct(), "class_hash", "left_semi").where(F.size("ints") > 0).select("class_hash", "ints"))
+    total = sources.agg(F.coalesce(F.sum(F.size("ints")), F.lit(0)).alias("n")).first()["n"]
+    if not total:
+        return selves
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/chroma-{uuid.uuid4().hex}"
+    blocks = -(-total // BLOCK_INTEGERS)
+    for b in range(blocks):
+        # the bound on what is collected is BLOCK_INTEGERS times the spread of the hash
+        part = sources.where(F.pmod(F.xxhash64("class_hash"), F.lit(blocks)) == b).orderBy("class_hash").toArrow()
+        ints = [x.values.to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32) for x in part.column("ints")]
+        held = _against(QueryBlock(ints), part.column("class_hash").to_pylist())
+        classes.select("class_hash", "ints").mapInArrow(held, "own string, class_hash string, offset int, votes long, bit_error double").write.mode("append").parquet(folder)
+    met = spark.read.parquet(folder).join(named, "class_hash").drop("class_hash")
+    others = asking.withColumnRenamed("class_hash", "own").join(met, "own").select("query_id", "class_id", "n_members", "offset", "votes", "bit_error")
     return selves.unionByName(others)
