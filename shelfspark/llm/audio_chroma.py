@@ -11,7 +11,6 @@ them, counts offsets in place and gives back only the alignments that hold. No t
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ensure_checkpoint_dir
+from .common import cut, shared_folder
 
 RATE = 4_000
 FRAME = 1_024
@@ -194,8 +193,7 @@ def align_recordings(media: DataFrame, id_col: str, media_col: str, decode: Call
     total = sources.agg(F.coalesce(F.sum(F.size("ints")), F.lit(0)).alias("n")).first()["n"]
     if not total:
         return selves
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/chroma-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "chroma")
     blocks = -(-total // BLOCK_INTEGERS)
     for b in range(blocks):
         # the bound on what is collected is BLOCK_INTEGERS times the spread of the hash

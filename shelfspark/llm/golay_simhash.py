@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bands import band_keys, shingle_set, similar_links
@@ -100,26 +100,33 @@ def fingerprint(text: str | None, width: int = 3, block: int = 65536) -> int:
 _EXTRA = {"keys": ("array<long>", pa.list_(pa.int64()), band_keys), "shingles": ("binary", pa.binary(), shingle_set)}
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", extra: str | None = None) -> DataFrame:
-    """``(doc_id, fp)`` per row; fp is the 64-bit pattern as a signed long. ``extra`` adds band "keys" or the set of "shingles"."""
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", extra: str | None = None, tag: Column | None = None) -> DataFrame:
+    """``(doc_id, fp)`` per row; fp is the 64-bit pattern as a signed long.
+
+    ``extra`` adds unit, which stands for the set of shingles, and band "keys" or the set itself ("shingles"); ``tag`` is a
+    string that goes along.
+    """
     sql_type, arrow_type, make = _EXTRA.get(extra, (None, None, None))
+    names = ["doc_id", "fp", *["unit", extra] * bool(extra), *["tag"] * (tag is not None)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, more = [], []
+            fps, units, more = [], [], []
             for text in batch.column(1).to_pylist():
                 blocks = shingle_hashes(text, width)
                 if make:
                     blocks = list(blocks)
-                    more.append(make(np.concatenate([np.zeros(0, np.uint64), *blocks])))
+                    hashes = np.unique(np.concatenate([np.zeros(0, np.uint64), *blocks]))
+                    units.append(xxhash.xxh64_intdigest(hashes.tobytes()))
+                    more.append(make(hashes))
                 fps.append(folded(blocks))
             columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))]
             if make:
-                columns.append(pa.array(more, arrow_type))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", extra][: len(columns)])
+                columns += [pa.array(np.array(units, np.uint64).view(np.int64)), pa.array(more, arrow_type)]
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names=names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long" + (f", {extra} {sql_type}" if extra else ""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[] if tag is None else [tag.cast("string").alias("tag")])
+    return rows.mapInArrow(run, "doc_id long, fp long" + (f", unit long, {extra} {sql_type}" if extra else "") + (", tag string" if tag is not None else ""))
 
 
 def _postings(fps: DataFrame) -> DataFrame:
@@ -208,36 +215,40 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return links.distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)`` per row of docs.
+def near_duplicates(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, tag: Column | None = None) -> DataFrame:
+    """``(doc_id, fingerprint, component_id, root)`` per row of docs, and ``tag``, a string of the row that goes along.
 
     Fingerprints of the lower-cased word shingles link at three or fewer differing bits; component_id is the smallest id
-    reachable. NULL and empty texts have fingerprint zero and link like any other; repeated rows stay and share a
-    component; an empty table gives no rows; other columns are ignored. A NULL id is kept and never becomes a component
-    id unless its whole component has none. Equal fingerprints meet once before any link is sought, so groups of exact
-    copies cost one row. With ``similarity``, texts whose sets of shingles are at least so similar link as well (see bands).
+    reachable, and root stands for the component (rows without id have one, too). NULL and empty texts have fingerprint zero
+    and link like any other; very long texts are hashed in blocks; repeated rows stay and share a component; an empty table
+    gives no rows; other columns are ignored. A NULL id is kept and never becomes a component id unless its whole component
+    has none. Equal texts meet once before any link is sought, so groups of exact copies cost one row. With ``similarity``,
+    texts whose sets of shingles are at least so similar link as well (see bands).
     """
-    rows = cut(fingerprints(docs, width, id_col, text_col, None if similarity is None else "keys"))
+    rows = cut(fingerprints(docs, width, id_col, text_col, None if similarity is None else "keys", tag))
     if similarity is None:
+        node = "fp"
         distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("doc")))
         links = fingerprint_links(distinct)
     else:
-        least = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "keys")).alias("one"))
-        distinct = cut(least.select("fp", F.col("one.doc_id").alias("doc"), "one.keys"))
+        node = "unit"
+        least = rows.groupBy("unit").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "keys")).alias("one"))
+        distinct = cut(least.select("unit", "one.fp", F.col("one.doc_id").alias("doc"), "one.keys"))
+        first = distinct.groupBy("fp").agg(F.min("unit").alias("first"))
         texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
         def sets_of(wanted: DataFrame) -> DataFrame:
-            owners = distinct.join(wanted, "fp", "left_semi").select("doc")
+            owners = distinct.join(wanted.select(F.col("fp").alias("unit")), "unit", "left_semi").select("unit", "doc")
             held = texts.join(owners, texts["doc_id"].eqNullSafe(owners["doc"]), "left_semi")
-            return fingerprints(held, width, extra="shingles").groupBy("fp").agg(F.min("shingles").alias("shingles"))
+            sets = fingerprints(held, width, extra="shingles").join(owners.select("unit"), "unit", "left_semi")
+            return sets.dropDuplicates(["unit"]).select(F.col("unit").alias("fp"), "shingles")
 
-        links = similar_links(distinct.select("fp", "keys"), fingerprint_links(distinct), sets_of, similarity)
+        near = fingerprint_links(distinct.select("fp").distinct())
+        near = near.join(first.toDF("u", "a"), "u").join(first.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        same = distinct.join(first, "fp").where("unit <> first").select(F.col("unit").alias("u"), F.col("first").alias("v"))
+        links = similar_links(distinct.select(F.col("unit").alias("fp"), "keys"), near.unionByName(same), sets_of, similarity)
     roots = components(links)
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "doc", F.coalesce("root", "fp").alias("root")
-    )
+    placed = distinct.join(roots.withColumnRenamed("node", node), node, "left").select(node, "doc", F.coalesce("root", node).alias("root"))
     least = placed.groupBy("root").agg(F.min("doc").alias("component_id"))
-    member = cut(placed.join(least, "root").select("fp", "component_id"))
-    return rows.join(member, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    member = cut(placed.join(least, "root").select(node, "component_id", "root"))
+    return rows.join(member, node).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root", *[] if tag is None else ["tag"])
