@@ -4,7 +4,8 @@ Overlapping heuristics vote good, bad or nothing on every document. Their votes
 corpus, and expectation-maximisation on those counts estimates each labeller's accuracy in both classes and the posterior of
 each pattern. The posteriors label a bounded sample of documents, on which a linear scorer over hashed word and shape
 features is trained; it decides for all documents. Counts of abusive words and the posterior of the abuse labellers are features of
-their own, so they count however rare abuse is. Abusive words of each language are learned from a bounded sample of labels.
+their own, so they count however rare abuse is. Abusive words and stems of each language are learned from a bounded sample
+of labels. A labeller that votes nothing says nothing: it takes no part in the estimate of that document.
 """
 
 from __future__ import annotations
@@ -26,13 +27,16 @@ from .common import cut
 INSULTS = tuple("idiot idiots moron morons stupid dumb loser losers scum trash pathetic worthless disgusting clown clowns imbecile retard bastard bitch asshole fool ugly filthy vermin".split())
 #: The labellers of junk and those of abuse; each group has its own latent class.
 JUNK_LABELLERS = ("doubled symbols", "shouting", "stutter", "separators", "symbols", "vocabulary")
-ABUSE_LABELLERS = ("an insult", "two insults", "insults by length", "a learned word", "two learned words")
+ABUSE_LABELLERS = ("an insult", "two insults", "insults by length", "learned words by rate", "two learned words", "many learned words")
 DIM = 1 << 18
 #: Expected documents in the training sample, chosen by a hash of id and text, and the share of them that must hold a word.
 SAMPLE_DOCS = 8_000
 LEAST_SHARE = 0.0125
 #: Expected labelled documents from which abusive words are learned; documents voted abusive that the training sample holds at least.
 LABEL_DOCS = 20_000
+#: Characters of the stems that may be learned; how many times as frequent in toxic texts a learned word or stem must be.
+STEMS = range(3, 9)
+LEAST_RATIO = 20
 LEAST_ABUSIVE = 1_000
 _ABUSE, _LEXICAL = 256, 512  # first places of the abuse measures and of the words; before them stand the measures and the byte shares
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -49,16 +53,44 @@ _NOISE = _bytes_in(b"#$%&*+<=>@[\\]^_`{|}~")
 _INSULT_HASHES = np.array(sorted(xxhash.xxh64_intdigest(w.encode()) for w in INSULTS), np.uint64)
 
 
+class Lexicon:
+    """Learned stems, and whole words written with a space behind them.
+
+    ``toxic`` and ``clean`` are their shares of the words of toxic and of clean texts.
+    """
+
+    def __init__(self, entries: tuple[bytes, ...], toxic: float, clean: float):
+        self.entries, self.toxic, self.clean = frozenset(entries), toxic, clean
+        self.sizes = tuple(sorted({len(e) for e in entries if not e.endswith(b" ")}))
+        self.whole = any(e.endswith(b" ") for e in entries)
+
+    def odds(self, hits: int, n: int) -> float:
+        """Log of how much likelier so many hits in n words are in a toxic text than in a clean one."""
+        return hits * math.log(self.toxic / self.clean) - n * (self.toxic - self.clean)
+
+    def hits(self, words: list[bytes]) -> int:
+        """How many of the words are learned or begin with a learned stem."""
+        held, n = self.entries, 0
+        for w in words:
+            n += any(w[:k] in held for k in self.sizes) or (self.whole and w + b" " in held)
+        return n
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    """Words without ASCII punctuation, A-Z lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER, _PUNCTUATION).split()
+
+
 class Profile:
     """What labellers and scorer look at in one text, measured on its bytes and word hashes.
 
-    ``learned`` are the hashes of abusive words by language; without any for ``lang`` their labellers vote nothing.
+    ``learned`` are abusive words and stems by language; without any for ``lang`` their labellers vote nothing.
     """
 
-    def __init__(self, text: str | None, lang: str | None = None, learned: dict[str, np.ndarray] | None = None):
+    def __init__(self, text: str | None, lang: str | None = None, learned: dict[str, Lexicon] | None = None):
         raw = (text or "").encode("utf-8", "surrogatepass")
         data = np.frombuffer(raw, np.uint8)
-        words = raw.translate(_LOWER, _PUNCTUATION).split()
+        words = plain_words(text)
         self.n = n = len(words)
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
         self.distinct = np.unique(hashes)
@@ -75,7 +107,8 @@ class Profile:
         self.insults = int((_INSULT_HASHES[np.searchsorted(_INSULT_HASHES[:-1], hashes)] == hashes).sum())
         self.foreign = lang is not None and not lang.lower().startswith("en")
         known = (learned or {}).get(lang or "")
-        self.learned = None if known is None else int(np.isin(self.distinct, known).sum())
+        self.learned = None if known is None else known.hits(words)
+        self.odds = known.odds(self.learned, n) if self.learned else -math.inf
 
     def votes(self) -> tuple[int, ...]:
         """1 good, -1 bad, 0 nothing: junk labellers, then abuse labellers. Texts under five words get no junk votes."""
@@ -87,7 +120,8 @@ class Profile:
         )
         none = 0 if self.foreign else 1  # that a German text holds no English insult says nothing
         abuse = (-1 if self.insults else none, -1 if self.insults > 1 else none, -1 if self.insults > 0.003 * self.n else none)
-        abuse += (0, 0) if self.learned is None else (-1 if self.learned else 1, -1 if self.learned > 1 else 1)
+        hits = self.learned
+        abuse += (0, 0, 0) if hits is None else (-1 if self.odds > 2 else 1, -1 if hits > 1 else 1, -1 if self.odds > 4 else 1)  # toxic texts are the fewer
         return junk + abuse
 
     def features(self, abuse: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
@@ -96,27 +130,30 @@ class Profile:
         used = np.flatnonzero(self.bytes[:128])
         lexical = (self.distinct % np.uint64(DIM - _LEXICAL)).astype(np.int64) + _LEXICAL
         learned = self.learned or 0
-        abusive = [abuse, float(self.insults > 0), math.log1p(self.insults), min(1.0, 20 * self.insults / max(1, self.n)), float(learned > 0), math.log1p(learned)]
+        abusive = [abuse, float(self.insults > 0), math.log1p(self.insults), min(1.0, 20 * self.insults / max(1, self.n)), float(self.odds > 2), math.log1p(learned), min(1.0, 20 * learned / max(1, self.n))]
         index = np.concatenate([np.arange(len(measures)), 8 + used, _ABUSE + np.arange(len(abusive)), lexical])
         return index, np.concatenate([measures, self.bytes[used], abusive, np.full(len(lexical), 0.5)]).astype(np.float32)
 
 
 def fit_labellers(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
-    """EM over counts of vote patterns -> posterior of "bad" per pattern, and P(vote | class) of each labeller.
+    """EM over counts of vote patterns -> posterior of "bad" per pattern, and P(bad vote or good vote | class) of each labeller.
 
-    Starts from "any bad vote is bad"; one pseudo-count a cell keeps probabilities away from zero.
+    Starts from "any bad vote is bad"; a labeller that votes nothing takes no part; one pseudo-count a cell keeps
+    probabilities away from zero.
     """
     keys = sorted(patterns)
     if not keys:
-        return {}, np.zeros((0, 2, 3))
+        return {}, np.zeros((0, 2, 2))
     votes_, n = np.array(keys), np.array([patterns[k] for k in keys], float)
     bad = np.where((votes_ == -1).any(axis=1), 0.95, 0.05)
     for _ in range(rounds):
         weight = np.stack([n * (1 - bad), n * bad])
         prior = (weight.sum(axis=1) + 1) / (n.sum() + 2)
-        table = np.stack([[[w[votes_[:, k] == v].sum() + 1 for v in (-1, 0, 1)] for w in weight] for k in range(votes_.shape[1])])
+        table = np.stack([[[w[votes_[:, k] == v].sum() + 1 for v in (-1, 1)] for w in weight] for k in range(votes_.shape[1])])
         table /= table.sum(axis=2, keepdims=True)
-        logs = np.log(prior)[None, :] + sum(np.log(table[k])[:, votes_[:, k] + 1].T for k in range(votes_.shape[1]))
+        logs = np.log(prior)[None, :] + np.zeros((len(keys), 2))
+        for k in range(votes_.shape[1]):
+            logs += np.where(votes_[:, k, None] == 0, 0.0, np.log(table[k])[:, (votes_[:, k] > 0).astype(int)].T)
         new = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
         done, bad = np.abs(new - bad).max() < 1e-9, new
         if done:
@@ -163,27 +200,59 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), lang.cast("string").alias("lang"))
 
 
-def abusive_words(counts: dict[int, tuple[int, int]], toxic: int, clean: int, candidates: int) -> np.ndarray:
-    """Sorted hashes of words five times as frequent in toxic documents as in clean ones, beyond what chance gives any of the candidates in one of 20 corpora.
+def evidence(t: int, c: int, toxic: int, clean: int) -> float:
+    """n KL of t toxic and c clean documents; the chance of so many toxic ones among them is at most exp(-n KL)."""
+    n, p, base = t + c, t / max(1, t + c), toxic / max(1, toxic + clean)
+    if t < 3 or p <= base:
+        return 0.0
+    return n * (p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0.0))
 
-    ``counts`` has toxic and clean documents by word. The chance of so many toxic ones among a word's documents is at most
-    exp(-n KL), so n KL must pass the log of 20 times the number of words tried.
-    """
-    found, base = [], toxic / max(1, toxic + clean)
-    for word, (t, c) in counts.items():
-        n, p = t + c, t / max(1, t + c)
-        if t < 3 or p <= base or (t + 0.5) * (clean + 1) <= 5 * (c + 0.5) * (toxic + 1):
-            continue
-        kl = p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0.0)
-        if n * kl > math.log(20 * (candidates + 1)):
-            found.append(word)
-    return np.sort(np.array(found, np.int64).view(np.uint64))
 
+def gain(wt: float, wc: float, toxic: float, clean: float) -> float:
+    """Log-likelihood that a word gains by having a rate of its own in toxic texts: wt and wc uses in so many words."""
+    pooled = (wt + wc) / (toxic + clean)
+    return sum(n * math.log(n / (size * pooled)) for n, size in ((wt, toxic), (wc, clean)) if n)
 
-def learn_words(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
-    """Hashes of abusive words by language, from about LABEL_DOCS of the ``labels`` (doc_id, toxic), chosen by a hash of the id.
 
-    Equal texts of a language count once. A language without toxic or clean labels has no entry.
+def abusive_words(counts: dict[bytes, tuple[int, int]], holders: list[dict[bytes, int]], docs: tuple[int, int], words: tuple[int, int], least: float) -> tuple[bytes, ...]:
+    """Words and stems that tell toxic documents: the one whose uses gain most first, the longest on ties, then those that tell the documents left.
+
+    ``counts`` has clean documents and uses by word, ``holders`` the uses of words in each toxic one; ``docs`` and ``words``
+    are the sizes of the toxic and the clean side. The evidence in documents must pass ``least``. Documents that are near
+    copies of each other are told by one word, so their other words are not learned.
+    """
+    kept, open_ = [], list(holders)
+    while open_:
+        held, uses = Counter(w for own in open_ for w in own), Counter()
+        for own in open_:
+            uses.update(own)
+        sure = [w for w, t in held.items() if evidence(t, counts[w][0], *docs) > least]
+        if not sure:
+            break
+        best = max(sure, key=lambda w: (round(gain(uses[w], counts[w][1], *words), 6), len(w), w))
+        kept.append(best)
+        open_ = [own for own in open_ if best not in own]
+    return tuple(kept)
+
+
+def _tried(text: str | None) -> Counter:
+    """How often each word of a text (with a space behind) and each stem stands in it."""
+    out: Counter = Counter()
+    for word, n in Counter(plain_words(text)).items():
+        shown = word.decode("utf-8", "ignore")
+        for k in STEMS:
+            if len(shown) >= k:
+                out[shown[:k].encode()] += n
+        out[shown.encode() + b" "] += n
+    return out
+
+
+def learn_words(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, Lexicon]:
+    """Abusive words and stems by language, from about LABEL_DOCS of the ``labels`` (doc_id, toxic), chosen by a hash of the id.
+
+    Equal texts of a language count once. A word is tried if its share of the words of toxic texts is LEAST_RATIO times that
+    of clean ones; its evidence must be beyond what chance gives any word tried in one of 20 corpora. A language without
+    toxic or clean labels has no entry.
     """
     if labels is None:
         return {}
@@ -191,33 +260,60 @@ def learn_words(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id
     share = min(1.0, LABEL_DOCS / max(1, marked.count()))
     picked = marked.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)) < share)
     texts = _rows(docs, id_col, text_col, lang_col).join(F.broadcast(picked), "doc_id")  # twelve bytes a label
-    texts = texts.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "text").agg(F.max("toxic").alias("toxic"))
+    texts = cut(texts.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "text").agg(F.max("toxic").alias("toxic")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict = defaultdict(lambda: [0, 0])
+            seen: dict = defaultdict(lambda: [0, 0, 0, 0])
             for lang, text, toxic in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                for word in [None, *Profile(text).distinct.view(np.int64).tolist()]:
-                    seen[lang, word][1 - toxic] += 1
-            keys, values = list(seen), list(seen.values())
+                own = _tried(text)
+                own[b""] = sum(n for w, n in own.items() if w.endswith(b" "))  # the empty word counts documents and words
+                for word, n in own.items():
+                    row = seen[lang, word]
+                    row[1 - toxic] += 1
+                    row[3 - toxic] += n
+            keys, values = list(seen), list(zip(*seen.values(), strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([v[0] for v in values], pa.int64()), pa.array([v[1] for v in values], pa.int64())],
-                names=["lang", "word", "t", "c"],
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()), *(pa.array(v, pa.int64()) for v in values)], names=["lang", "word", "t", "c", "wt", "wc"]
             )
 
-    counts = cut(texts.select("lang", "text", "toxic").mapInArrow(run, "lang string, word long, t long, c long").groupBy("lang", "word").agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
-    whole = counts.where("word is null and t > 0 and c > 0").select("lang", F.col("t").alias("toxic"), F.col("c").alias("clean"))
-    tried = counts.where("word is not null and t > 0").groupBy("lang").agg(F.count("*").alias("n"))
-    totals = {r["lang"]: (r["toxic"], r["clean"], r["n"]) for r in whole.join(tried, "lang").collect()}
-    near = counts.where("word is not null and t >= 3").join(F.broadcast(whole), "lang").where("(t + 0.5) * (clean + 1) > 5 * (c + 0.5) * (toxic + 1)")
+    found = texts.mapInArrow(run, "lang string, word binary, t long, c long, wt long, wc long").groupBy("lang", "word").agg(*[F.sum(k).alias(k) for k in ("t", "c", "wt", "wc")])
+    found = cut(found.where("t > 0"))  # without a toxic document none is tried
+    empty = F.length("word") == 0
+    whole = found.where(empty & (F.col("c") > 0)).select("lang", *[F.col(k).alias(f"all_{k}") for k in ("t", "c", "wt", "wc")])
+    tried = found.where(~empty).groupBy("lang").agg(F.count("*").alias("n"))
+    totals = {r["lang"]: r for r in whole.join(tried, "lang").collect()}
+    near = found.where(~empty & (F.col("t") >= 3)).join(F.broadcast(whole), "lang").where(f"wt * (all_wc + 1.0) > {LEAST_RATIO} * (wc + 1.0) * all_wt")
     held: dict = defaultdict(dict)
-    for r in near.select("lang", "word", "t", "c").collect():
-        held[r["lang"]][r["word"]] = (r["t"], r["c"])
-    return {lang: abusive_words(held[lang], *t) for lang, t in totals.items()}
-
+    for r in near.select("lang", "word", "t", "c", "wt", "wc").collect():  # bounded by the words of the sampled labels
+        all_ = totals[r["lang"]]
+        if evidence(r["t"], r["c"], all_["all_t"], all_["all_c"]) > math.log(20 * (all_["n"] + 1)):
+            held[r["lang"]][bytes(r["word"])] = (r["c"], r["wt"], r["wc"])
+    if not held:
+        return {}
+    names = {lang: frozenset(words) for lang, words in held.items()}
 
-def vote_patterns(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", learned: dict[str, np.ndarray] | None = None) -> dict[tuple[int, ...], int]:
-    """Counts of vote patterns over all documents: at most 3**11 rows, whatever the corpus."""
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [{w: n for w, n in _tried(text).items() if w in names.get(lang, ())} for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            columns = [pa.array([list(x) for x in own], pa.list_(pa.binary())), pa.array([list(x.values()) for x in own], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["lang", "words", "uses"])
+
+    holders: dict = defaultdict(list)
+    for r in texts.where("toxic = 1").select("lang", "text").mapInArrow(told, "lang string, words array<binary>, uses array<long>").where("size(words) > 0").toArrow().to_pylist():
+        holders[r["lang"]].append(dict(zip(r["words"], r["uses"], strict=True)))  # the toxic documents of the sample
+    out = {}
+    for lang, words in held.items():
+        all_ = totals[lang]
+        kept = abusive_words({w: (c, wc) for w, (c, _, wc) in words.items()}, holders[lang], (all_["all_t"], all_["all_c"]), (all_["all_wt"], all_["all_wc"]), math.log(20 * (all_["n"] + 1)))
+        if kept:
+            rates = [(sum(words[w][k] for w in kept) + 1) / (all_[name] + 1) for k, name in ((1, "all_wt"), (2, "all_wc"))]
+            out[lang] = Lexicon(kept, max(rates[0], 2 * rates[1]), rates[1])
+    return out
+
+
+def vote_patterns(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", learned: dict[str, Lexicon] | None = None) -> dict[tuple[int, ...], int]:
+    """Counts of vote patterns over all documents: at most 3**12 rows, whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -232,7 +328,7 @@ def vote_patterns(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
 class Model:
     """Weights of the scorer, posteriors by votes, and the learned words."""
 
-    def __init__(self, posterior: dict, abuse: dict, learned: dict[str, np.ndarray]):
+    def __init__(self, posterior: dict, abuse: dict, learned: dict[str, Lexicon]):
         self.posterior, self.abuse, self.learned = posterior, abuse, learned
         self.weights = np.zeros(DIM, np.float32)
 
@@ -270,17 +366,24 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
                     bad.append(model.posterior.get(votes, 0.5))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32())), pa.array(bad, pa.float64())], names=["doc_id", "i", "v", "bad"])
 
-    sample = picked.mapInArrow(run, "doc_id long, i array<int>, v array<float>, bad double").toArrow().to_pylist()
-    sample.sort(key=lambda r: (r["doc_id"] is None, xxhash.xxh64_intdigest(str(r["doc_id"])), len(r["i"]), r["bad"]))
-    model.weights = train([(np.array(r["i"]), np.array(r["v"], np.float32), r["bad"]) for r in sample])
+    sample = picked.mapInArrow(run, "doc_id long, i array<int>, v array<float>, bad double").toArrow().combine_chunks()
+    rows = []
+    if len(sample):
+        lists = [sample.column(k).chunk(0) for k in (1, 2)]
+        ends, (index, value) = lists[0].offsets.to_pylist(), [x.values.to_numpy(zero_copy_only=False) for x in lists]
+        rows = [(index[a:b], value[a:b], bad) for a, b, bad in zip(ends, ends[1:], sample.column(3).to_pylist(), strict=False)]
+        ids = sample.column(0).to_pylist()
+        order = sorted(range(len(rows)), key=lambda k: (ids[k] is None, xxhash.xxh64_intdigest(str(ids[k])), len(rows[k][0]), rows[k][2]))
+        rows = [rows[k] for k in order]
+    model.weights = train(rows)
     return model
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, labels: DataFrame | None = None, lang_col: str = "lang") -> DataFrame:
     """``(doc_id, votes, posterior, score, keep)`` per row of docs: score is the scorer's probability of "bad"; keep is score <= 0.5.
 
-    NULL and empty texts have no votes but on the insults (none) and are scored by the bias and the empty vocabulary;
-    repeated rows get equal scores; an empty table gives no rows; other columns are ignored. ``labels`` (doc_id, toxic) and
+    NULL and empty texts have no votes but on the insults (none) and are scored by the bias and the empty vocabulary; very
+    long texts are measured whole; repeated rows get equal scores, and a score of 0.5 is kept; an empty table gives no rows; other columns are ignored. ``labels`` (doc_id, toxic) and
     the language, if there is one, give the abusive words of each language.
     """
     model = fit(docs, id_col, text_col, sample_docs, labels, lang_col)

@@ -30,6 +30,19 @@ def test_toxic_recall_in_each_language(spark):
     figures = {(r["lang"], r["toxic"]): (r["n"], r["kept"]) for r in odd.groupBy("lang", "toxic").agg(F.count("*").alias("n"), F.avg(F.col("keep").cast("int")).alias("kept")).collect()}
     print("FIGURES", figures)
     for lang in ("de", "en", "fr", "es"):
-        if lang != "es":  # its 16 toxic labels of even ids are too few: README gives the figure
-            assert 1 - figures[lang, 1][1] >= 0.9, (lang, figures)
+        assert figures[lang, 1][1] <= 0.1, (lang, figures)
         assert figures[lang, 0][1] >= 0.95, (lang, figures)
+
+
+def test_labellers_that_say_nothing_do_not_make_a_class():
+    """Two groups of documents, judged by different labellers: the class is abuse and not the group."""
+    patterns = {(1, 1, 0, 0): 9000, (-1, -1, 0, 0): 500, (-1, 1, 0, 0): 20, (0, 0, 1, 1): 4000, (0, 0, -1, -1): 300, (0, 0, -1, 1): 40, (0, 0, 0, 0): 700}
+    bad, _ = w.fit_labellers(patterns)
+    assert bad[1, 1, 0, 0] < 0.05 and bad[0, 0, 1, 1] < 0.05 and bad[0, 0, 0, 0] < 0.5
+    assert bad[-1, -1, 0, 0] > 0.9 and bad[0, 0, -1, -1] > 0.9
+
+
+def test_near_copies_teach_one_word():
+    counts = {b"bad": (2, 2), b"badx": (0, 0), b"copied ": (0, 0), b"alone": (0, 0)}
+    holders = [{b"bad": 4, b"badx": 1, b"copied ": 1}] * 9 + [{b"bad": 2}] * 5 + [{b"alone": 1}] * 6
+    assert w.abusive_words(counts, holders, (20, 300), (2000, 30_000), 11.0) == (b"bad", b"alone")
