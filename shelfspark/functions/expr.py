@@ -46,14 +46,26 @@ def rule_condition(conditions: list[tuple[str, str, object]], columns: list[str]
     return all_of(OPERATORS[op](F.col(field), value) for field, op, value in conditions)
 
 
-#: The upper ends of the volume ranges in litres, half-open (min, max].
+#: The upper ends of the volume ranges in litres, half-open (min, max], and the ids of the ranges.
 VOLUME_EDGES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 5.0)
+VOLUME_IDS = ("le_0_25", "gt_0_25_le_0_50", "gt_0_50_le_0_75", "gt_0_75_le_1_00", "gt_1_00_le_1_50", "gt_1_50_le_2_00", "gt_2_00_le_5_00", "gt_5_00")
 
 
 def volume_range(v) -> Column:
     """Id of the half-open volume range, NULL for NULL or non-positive volumes."""
     c = F.col(v) if isinstance(v, str) else v
     out = F.when(c <= 0, F.lit(None).cast("string"))
-    for k, edge in enumerate(VOLUME_EDGES):
-        out = out.when(c <= edge, F.lit(f"R{k + 1}"))
-    return out.when(c.isNotNull(), F.lit(f"R{len(VOLUME_EDGES) + 1}"))
+    for name, edge in zip(VOLUME_IDS, VOLUME_EDGES, strict=False):
+        out = out.when(c <= edge, F.lit(name))
+    return out.when(c.isNotNull(), F.lit(VOLUME_IDS[-1]))
+
+
+def volume_filter(v, exact: tuple[float, ...] = (), ranges: tuple[str, ...] = ()) -> Column:
+    """Positive volumes that equal a value (to six decimals) or lie in one of the ranges; NULL never passes."""
+    c = F.col(v) if isinstance(v, str) else v
+    bounds = dict(zip(VOLUME_IDS, zip((0.0, *VOLUME_EDGES), (*VOLUME_EDGES, None), strict=True), strict=True))
+    out = F.round(c, 6).isin(*[round(x, 6) for x in exact]) if exact else F.lit(False)
+    for name in ranges:
+        low, high = bounds[name]
+        out = out | ((c > low) & (c <= high) if high is not None else c > low)
+    return F.coalesce((c > 0) & out, F.lit(False))

@@ -18,10 +18,15 @@ def price_segments(prices: DataFrame, by: tuple[str, ...] = ("category",), least
     rank = F.rank().over(part.orderBy("price"))
     bucket = F.least(F.floor((rank - 1) * len(SEGMENTS) / n), F.lit(len(SEGMENTS) - 1)).cast("int")
     names = F.array(*map(F.lit, SEGMENTS))
-    label = F.when(F.col("price").isNull(), "UNKNOWN_PRICE").when(~good, "INVALID_PRICE").when(n < least, "INSUFFICIENT_POPULATION").otherwise(F.get(names, bucket))
+    label = F.when(F.col("price").isNull(), "UNCLASSIFIED_PRICE_NULL").when(~good, "UNCLASSIFIED_PRICE_INVALID").when(n < least, "INSUFFICIENT_POPULATION").otherwise(F.get(names, bucket))
     return prices.select("*", label.alias("price_segment"), F.when(good, rank).alias("price_rank"))
 
 
+def latest_priced_period(rows: DataFrame, keys: tuple[str, ...] = ("category",), price: str = "price") -> DataFrame:
+    """The last period in which anything of a group has a positive price; groups without one have NULL."""
+    return rows.groupBy(*keys).agg(F.max(F.when(F.col(price) > 0, F.col("period"))).alias("benchmark_period"))
+
+
 def top_entities(products: DataFrame, metrics: tuple[str, ...], n: int) -> DataFrame:
     """Union over metrics of the n best SKUs of each category."""
     out = None

@@ -36,10 +36,13 @@ def weighted_distribution(df: DataFrame, entity: str) -> DataFrame:
 
 
 def format_distribution(df: DataFrame, entity: str) -> DataFrame:
-    """Selling stores over all stores of each format."""
+    """Selling stores over all stores of each format; every entity of a month has a row for every format of it, zero without sales."""
     universe = df.groupBy("period", "store_format").agg(F.countDistinct("store").alias("format_stores"))
-    own = df.groupBy("period", "store_format", entity).agg(F.countDistinct(F.when(F.col("units") > 0, F.col("store"))).alias("selling_stores"))
-    return own.join(universe, ["period", "store_format"]).withColumn("numeric_distribution", ratio("selling_stores", "format_stores"))
+    own = df.groupBy("period", "store_format", entity).agg(F.countDistinct(F.when(F.col("units") > 0, F.col("store"))).alias("n"))
+    entities = own.select("period", entity).distinct()
+    grid = entities.join(universe, "period")  # formats of a month are a few
+    out = grid.join(own, ["period", "store_format", entity], "left").withColumn("selling_stores", F.coalesce("n", F.lit(0)).cast("long")).drop("n")
+    return out.withColumn("numeric_distribution", ratio("selling_stores", "format_stores"))
 
 
 def regional_summary(df: DataFrame) -> DataFrame:

@@ -15,6 +15,10 @@ TAX_RULES = (
 )
 
 
+#: Rules that are broadcast, some 50 bytes each.
+MOST_RULES = 50_000
+
+
 def tax_rules(spark, rules=TAX_RULES) -> DataFrame:
     raw = spark.createDataFrame(list(rules), "rule_id string, valid_from string, valid_to string, rate double, category_group string")
     return raw.select("rule_id", F.to_date("valid_from").alias("valid_from"), F.to_date("valid_to").alias("valid_to"), "rate", F.col("category_group").alias("rule_group"))
@@ -23,17 +27,19 @@ def tax_rules(spark, rules=TAX_RULES) -> DataFrame:
 def resolve_tax(df: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds tax_rule_id, tax_rate and tax_issue. A row needs exactly one rule with its group and month.
 
-    Rules are resolved once per distinct (group, month), so the sales rows are never multiplied or regrouped.
+    The rules of a group go to its rows as one list and are held against the month in place, so the sales are read once and
+    rows are never multiplied or regrouped. The lists are broadcast up to MOST_RULES rules.
     """
-    keys = df.select("category_group", "period").distinct()
-    fits = (F.col("category_group") == F.col("rule_group")) & (F.col("period") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("period") <= F.col("valid_to")))
-    found = keys.join(F.broadcast(rules), fits, "left").groupBy("category_group", "period").agg(
-        F.count("rule_id").alias("n"), F.min("rule_id").alias("rule_id"), F.min("rate").alias("rate")
-    )
-    valid = (F.col("n") == 1) & F.col("rate").between(0, 0.9999999)
-    issue = F.when(F.col("n") == 0, "no_matching_tax_rule").when(F.col("n") > 1, "multiple_matching_tax_rules").when(~valid, "invalid_tax_rate")
-    found = found.select("category_group", "period", F.when(F.col("n") == 1, F.col("rule_id")).alias("tax_rule_id"), F.when(valid, F.col("rate")).alias("tax_rate"), issue.alias("tax_issue"))
-    return df.join(found, ["category_group", "period"])
+    own = rules.groupBy(F.col("rule_group").alias("category_group")).agg(F.array_sort(F.collect_list(F.struct("rule_id", "rate", "valid_from", "valid_to"))).alias("rules"))
+    if rules.limit(MOST_RULES + 1).count() <= MOST_RULES:
+        own = F.broadcast(own)
+    fits = F.filter("rules", lambda r: (F.col("period") >= r["valid_from"]) & (r["valid_to"].isNull() | (F.col("period") <= r["valid_to"])))
+    n, one = F.coalesce(F.size("fits"), F.lit(0)), F.get("fits", F.lit(0))
+    n = F.greatest(n, F.lit(0))  # the size of a missing list is -1 or NULL
+    valid = F.coalesce((n == 1) & one["rate"].between(0, 0.9999999), F.lit(False))
+    issue = F.when(n == 0, "no_matching_tax_rule").when(n > 1, "multiple_matching_tax_rules").when(~valid, "invalid_tax_rate")
+    out = df.join(own, "category_group", "left").withColumn("fits", fits)
+    return out.select(*df.columns, F.when(n == 1, one["rule_id"]).alias("tax_rule_id"), F.when(valid, one["rate"]).alias("tax_rate"), issue.alias("tax_issue"))
 
 
 def add_economics(df: DataFrame) -> DataFrame:
@@ -47,6 +53,7 @@ def add_economics(df: DataFrame) -> DataFrame:
             "margin_pct": ratio("margin_abs", "revenue_net"),
             "markup_pct": ratio("margin_abs", "input_cost_net"),
             "realized_price_vat": F.when(F.col("units") > 0, ratio("revenue_vat", "units")),
+            "shelf_price_delta_vat": F.col("shelf_price_vat") - F.when(F.col("units") > 0, ratio("revenue_vat", "units")),
             "sign_class": sign_class(),
         }
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,12 +12,21 @@ from ..functions.expr import rule_condition
 
 #: (rule id, event type, feature, conditions, severity).
 RULES = (
-    ("revenue_up", "REVENUE_GROWTH", "comparison", [("delta_pct", "gte", 0.10)], "INFO"),
-    ("revenue_down", "REVENUE_DECLINE", "comparison", [("delta_pct", "lte", -0.10)], "WARNING"),
+    ("revenue_up", "MATERIAL_REVENUE_GROWTH", "comparison", [("delta_pct", "gte", 0.10)], "INFO"),
+    ("revenue_down", "MATERIAL_REVENUE_DECLINE", "comparison", [("delta_pct", "lte", -0.10)], "WARNING"),
     ("abc_change", "ABC_CLASS_CHANGE", "abc", [("label_changed", "eq", True)], "INFO"),
 )
 
 
+#: The event types and families.
+EVENT_TYPES = (
+    "MATERIAL_REVENUE_GROWTH", "MATERIAL_REVENUE_DECLINE", "MATERIAL_UNITS_GROWTH", "MATERIAL_UNITS_DECLINE", "MATERIAL_MARGIN_GROWTH", "MATERIAL_MARGIN_DECLINE", "DISTRIBUTION_GAIN",
+    "DISTRIBUTION_LOSS", "VELOCITY_GAIN", "VELOCITY_LOSS", "STABLE_VELOCITY", "SHARE_GAIN", "SHARE_LOSS", "PRICE_INCREASE", "PRICE_DECREASE", "MARGIN_PCT_GAIN", "MARGIN_PCT_EROSION", "ABC_CLASS_CHANGE",
+    "PERSISTENT_C_CLASS", "STABLE_SKU", "PEER_OUTPERFORMANCE", "PEER_UNDERPERFORMANCE", "HIGH_VELOCITY_LOW_DISTRIBUTION", "LOW_VELOCITY_HIGH_DISTRIBUTION", "PRICE_POWER_PATTERN", "PRICE_PRESSURE_PATTERN", "PROMO_LIKE_PATTERN",
+)
+EVENT_FAMILIES = ("GROWTH_DECLINE", "DISTRIBUTION", "VELOCITY", "SHARE", "PRICE", "MARGIN_PCT", "PORTFOLIO", "BENCHMARK", "PATTERN_CANDIDATE")
+
+
 def event_facts(comparisons: DataFrame, abc: DataFrame) -> DataFrame:
     """Comparisons and ABC labels as one long table of features."""
     left = comparisons.select(F.lit("comparison").alias("feature"), "entity_id", "period", "current_value", "reference_value", "delta_pct", "comparison_quality", F.lit(None).cast("string").alias("abc_class"), F.lit(None).cast("string").alias("reference_abc_class"))
@@ -35,7 +47,60 @@ def detect(facts: DataFrame, rules=RULES) -> DataFrame:
         for rule, kind, feature, conditions, severity in rules
     ]
     out = facts.select("*", F.explode(F.array_compact(F.array(*fired))).alias("e")).select("e.*", "entity_id", "period", "current_value", "reference_value", "delta_pct", "comparison_quality")
-    return out.withColumn("confidence", F.when(F.coalesce(F.col("comparison_quality") == "LOW", F.lit(False)), "MEDIUM").otherwise("HIGH"))
+    return out.withColumn("confidence", confidence(F.lit("HIGH"), F.col("comparison_quality"), F.lit(None).cast("long")))
+
+
+def confidence(own, quality, population):
+    """HIGH falls to MEDIUM on a comparison of LOW quality or a population under two."""
+    weak = F.coalesce(quality == "LOW", F.lit(False)) | F.coalesce(population < 2, F.lit(False))
+    return F.when((own == "HIGH") & weak, "MEDIUM").otherwise(own)
+
+
+#: What an event id stands for: where it comes from, its rule in its version, and what it is about.
+IDENTITY = ("analysis_run_id", "retailer_id", "source_id", "rule_version", "rule_id", "event_config_hash", "event_type", "entity_id", "period")
+
+
+def identified(events: DataFrame, analysis_run_id: str, retailer_id: str, source_id: str, rule_version: str, rules=RULES) -> DataFrame:
+    """Events with the context they were made in and their ids."""
+    config = hashlib.sha256(json.dumps(rules, sort_keys=True).encode()).hexdigest()[:16]
+    context = {"analysis_run_id": analysis_run_id, "retailer_id": retailer_id, "source_id": source_id, "rule_version": rule_version, "event_config_hash": config}
+    out = events.withColumns({k: F.lit(v) for k, v in context.items()})
+    return out.withColumn("event_id", event_id(*IDENTITY))
+
+
+def deduplicated(events: DataFrame, payload: tuple[str, ...]) -> DataFrame:
+    """One row for each id; ``conflict`` marks ids whose rows differ in the payload, of which the least stays."""
+    held = F.struct(*payload)
+    return events.groupBy("event_id").agg(F.min(held).alias("e"), F.count("*").alias("n_rows"), (F.min(held) != F.max(held)).alias("conflict")).select("event_id", "e.*", "n_rows", "conflict")
+
+
+def vocabulary_issues(rules: DataFrame) -> DataFrame:
+    """Issues of rules (rule_id, event_type, event_family): unknown types and families, rule ids that stand more than once."""
+    rules = rules.withColumn("n_rules", F.count("*").over(Window.partitionBy("rule_id")))
+    known = lambda c, values: F.coalesce(F.col(c).isin(*values), F.lit(False))
+    issues = F.array_compact(F.array(F.when(~known("event_type", EVENT_TYPES), "UNKNOWN_EVENT_TYPE"), F.when(~known("event_family", EVENT_FAMILIES), "UNKNOWN_EVENT_FAMILY"), F.when(F.col("n_rules") > 1, "DUPLICATE_EVENT_RULE_ID")))
+    return rules.select("rule_id", F.explode(issues).alias("issue_code")).distinct()
+
+
+def candidates(facts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Facts that a rule may look at: its feature, and the entity types and qualities it names (NULL lists take all). Rules are few."""
+    rules = rules.select("rule_id", F.col("feature").alias("wanted"), "entity_types", "qualities")
+    named = lambda values, c: F.col(values).isNull() | F.coalesce(F.array_contains(values, F.col(c)), F.lit(False))
+    return facts.join(rules, (F.col("feature") == F.col("wanted")) & named("entity_types", "entity_type") & named("qualities", "comparison_quality")).drop("wanted", "entity_types", "qualities")
+
+
+def scope_limitations(columns: list[str], filters: dict[str, tuple], grain: str = "network", private_label_scope: str = "INCLUDE", entity_ids: tuple = ()) -> tuple[str, ...]:
+    """Filters that stored events cannot answer; a feed with any of them stays empty instead of ignoring the filter."""
+    held, out = set(columns), []
+    if private_label_scope != "INCLUDE" and "private_label_scope" not in held:
+        out.append("event_private_label_scope_not_materialized")
+    if (grain != "network" or entity_ids) and not {"entity_type", "entity_id"} <= held:
+        out.append("event_entity_scope_not_materialized")
+    for key in ("category", "manufacturer", "brand", "package", "volume", "sku", "store"):
+        there = key in held or (key == "volume" and "volume_l" in held) or (key != "category" and grain == key and {"entity_type", "entity_id"} <= held)
+        if filters.get(key) and not there:
+            out.append(f"event_{key}_scope_not_materialized")
+    return tuple(out)
 
 
 def composite(facts: DataFrame, conditions) -> DataFrame:

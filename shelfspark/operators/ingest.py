@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MONTHS = {n: k for k, n in enumerate(("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"), 1)}  # fixed values
@@ -54,3 +54,15 @@ def source_profile(df: DataFrame) -> DataFrame:
 
 def duplicate_grain(df: DataFrame, grain: tuple[str, ...] = ("period", "retailer_id", "store", "sku")) -> DataFrame:
     return df.groupBy(*grain).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+
+
+def numbered(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Adds source_row_number from one up in the order of ``by`` and then of all columns, the same on every run.
+
+    Rows are counted by group first and numbered within their group, so no task holds more than a group.
+    """
+    whole = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy(*by).agg(F.count("*").alias("n")).select(*by, F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("start"))  # a row a group
+    within = F.row_number().over(Window.partitionBy(*by).orderBy(*[c for c in df.columns if c not in by]))
+    joined = df.withColumn("_within", within).join(starts, list(by))
+    return joined.withColumn("source_row_number", F.col("start") + F.col("_within")).drop("_within", "start")

@@ -7,22 +7,49 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import exact_sum, ratio
 
-#: Metric -> range strategy.
-STRATEGIES = {"revenue_vat": "SUM", "revenue_net": "SUM", "units": "SUM", "margin_abs": "SUM", "margin_pct": "RATIO_OF_SUMS", "avg_shelf_price": "PERIOD_ONLY", "selling_stores": "UNSUPPORTED", "selling_skus": "UNSUPPORTED"}
-COMPONENTS = {"margin_pct": ("margin_abs", "revenue_net")}
+#: The range strategies.
+SUM, RATIO, WEIGHTED, RECOMPUTE, SHARE, PERIOD_ONLY, UNSUPPORTED = "sum_available_periods", "ratio_of_sums", "weighted_ratio_of_sums", "recompute_from_components", "recompute_share_scope", "period_only", "unsupported"
+#: Metric -> (aggregation, numerator, denominator, share scope).
+MEASURES = {
+    "revenue_vat": ("sum", None, None, None), "revenue_net": ("sum", None, None, None), "units": ("sum", None, None, None), "margin_abs": ("sum", None, None, None),
+    "margin_pct": ("ratio_of_sums", "margin_abs", "revenue_net", None), "avg_shelf_price": ("weighted_average", "priced_value", "priced_units", None),
+    "selling_stores": ("distinct_count", None, None, None), "selling_skus": ("distinct_count", None, None, None),
+    "category_revenue_share": ("ratio_of_sums", "revenue_net", "category_revenue", "category"),
+}
+
+
+def range_strategy(aggregation, concept, name, has_parts, share_scope):
+    """How a metric is carried over a range, from what it is and whether its parts are there; columns or literals."""
+    both = F.concat_ws(" ", F.lower(concept), F.lower(name))
+    parts = lambda s: F.when(has_parts, s).otherwise(PERIOD_ONLY)
+    return (
+        F.when(F.contains(both, F.lit("share")), F.when(has_parts & share_scope.isNotNull(), SHARE).otherwise(PERIOD_ONLY))
+        .when(F.contains(both, F.lit("distribution")) | F.contains(both, F.lit("velocity")) | F.contains(both, F.lit("per_selling_store")) | F.contains(both, F.lit("abc")), PERIOD_ONLY)
+        .when(aggregation == "ratio_of_sums", parts(RATIO)).when(aggregation == "weighted_average", parts(WEIGHTED))
+        .when(aggregation == "sum", SUM).when(aggregation == "distinct_count", PERIOD_ONLY).otherwise(UNSUPPORTED)
+    )
+
+
 IDENTITY = ("period_start", "entity_type", "entity_id", "category", "manufacturer", "metric")
 
 
 def metric_facts(wide: DataFrame) -> DataFrame:
-    """One fact per metric with its period bounds, parents, components and range strategy."""
-    part = lambda m, k: f"cast({COMPONENTS[m][k]} as double)" if m in COMPONENTS else "cast(null as double)"
-    items = ", ".join(f"'{m}', '{s}', cast({m} as double), {part(m, 0)}, {part(m, 1)}" for m, s in STRATEGIES.items())
+    """One fact per metric with its period bounds, parents, components, share scope and range strategy.
+
+    Metrics whose parts the rows lack get none, and the strategy that goes with that; measures that the rows lack have no facts.
+    """
+    text = lambda x: "cast(null as string)" if x is None else f"'{x}'"
+    part = lambda c: f"cast({c} as double)" if c in wide.columns else "cast(null as double)"
+    held = {m: x for m, x in MEASURES.items() if m in wide.columns}
+    items = ", ".join(f"'{m}', '{a}', {text(scope)}, cast({m} as double), {part(n)}, {part(d)}" for m, (a, n, d, scope) in held.items())
     for c in ("category", "manufacturer"):
         if c not in wide.columns:
             wide = wide.withColumn(c, F.lit(None).cast("string"))
-    rows = wide.select("period", "entity_type", "entity_id", "category", "manufacturer", F.expr(f"stack({len(STRATEGIES)}, {items}) as (metric, range_strategy, value, numerator, denominator)"))
+    rows = wide.select("period", "entity_type", "entity_id", "category", "manufacturer", F.expr(f"stack({len(held)}, {items}) as (metric, aggregation, share_scope, value, numerator, denominator)"))
+    has_parts = F.col("numerator").isNotNull() & F.col("denominator").isNotNull()
+    rows = rows.withColumn("range_strategy", range_strategy(F.col("aggregation"), F.col("metric"), F.col("metric"), has_parts, F.col("share_scope")))
     return rows.select(
-        F.col("period").alias("period_start"), F.last_day("period").alias("period_end"), "entity_type", "entity_id", "category", "manufacturer", "metric", "range_strategy", "value", "numerator", "denominator",
+        F.col("period").alias("period_start"), F.last_day("period").alias("period_end"), "entity_type", "entity_id", "category", "manufacturer", "metric", "range_strategy", "share_scope", "value", "numerator", "denominator",
         F.when(F.col("value").isNull(), "null_value").otherwise("valid").alias("quality_status"),
     )
 
@@ -42,18 +69,54 @@ def scan_facts(facts: DataFrame, first, last, metrics=None, grains=None, valid_o
 
 
 def range_aggregate(facts: DataFrame) -> DataFrame:
-    """Facts over a range by each metric's strategy. A NULL part, and what cannot be added, gives NULL with a limitation code."""
+    """Facts over a range by each metric's strategy. A NULL part, and what cannot be carried over, gives NULL with a limitation code."""
     whole = lambda c: F.when(F.count(F.col(c)) == F.count("*"), F.sum(F.col(c).cast("decimal(24,8)")).cast("double"))
     out = facts.groupBy("entity_type", "entity_id", "category", "manufacturer", "metric", "range_strategy").agg(
-        whole("value").alias("total"), whole("numerator").alias("num"), whole("denominator").alias("den"), F.count("*").alias("n_periods"), F.max("value").alias("only")
+        whole("value").alias("total"), whole("numerator").alias("num"), whole("denominator").alias("den"), F.count("*").alias("n_periods"),
+        (F.coalesce(F.min("share_scope") == F.max("share_scope"), F.lit(False)) & (F.count("share_scope") == F.count("*"))).alias("one_scope"),
     )
     s = F.col("range_strategy")
-    value = F.when(s == "SUM", F.col("total")).when(s == "RATIO_OF_SUMS", ratio("num", "den")).when((s == "PERIOD_ONLY") & (F.col("n_periods") == 1), F.col("only"))
+    by_parts = s.isin(RATIO, WEIGHTED, RECOMPUTE, SHARE)
     code = (
-        F.when(s == "UNSUPPORTED", "UNSUPPORTED_RANGE_AGGREGATION").when((s == "PERIOD_ONLY") & (F.col("n_periods") > 1), "PERIOD_ONLY_METRIC")
-        .when((s == "SUM") & F.col("total").isNull(), "NULL_COMPONENT").when((s == "RATIO_OF_SUMS") & (F.col("num").isNull() | F.col("den").isNull()), "NULL_COMPONENT")
+        F.when((s == SUM) & F.col("total").isNull(), "additive_value_missing")
+        .when(by_parts & (F.col("num").isNull() | F.col("den").isNull()), "range_components_missing").when(by_parts & (F.col("den") == 0), "zero_range_denominator")
+        .when((s == SHARE) & ~F.col("one_scope"), "share_scope_missing_or_mixed").when(s == PERIOD_ONLY, "range_aggregation_period_only")
+        .when(~(s == SUM) & ~by_parts, "range_aggregation_unsupported")
     )
-    return out.select("entity_type", "entity_id", "category", "manufacturer", "metric", value.alias("value"), "n_periods", code.alias("limitation"))
+    out = out.withColumn("limitation", code)
+    value = F.when(F.col("limitation").isNull(), F.when(s == SUM, F.col("total")).when(by_parts, ratio("num", "den")))
+    return out.select("entity_type", "entity_id", "category", "manufacturer", "metric", "range_strategy", value.alias("value"), F.when(by_parts, F.col("num")).alias("numerator"), F.when(by_parts, F.col("den")).alias("denominator"), "n_periods", "limitation")
+
+
+def fact_comparison(facts: DataFrame, current, reference) -> DataFrame:
+    """Facts of two periods by identity; only what both have."""
+    side = lambda p, name: facts.where(F.col("period_start") == F.lit(p).cast("date")).select("entity_type", "entity_id", "category", "manufacturer", "metric", F.col("value").alias(name))
+    a, b = side(current, "current_value"), side(reference, "reference_value")
+    on = [a[k].eqNullSafe(b[k]) for k in ("entity_type", "entity_id", "category", "manufacturer", "metric")]
+    both = a.join(b, on).select(*[a[k] for k in a.columns], "reference_value")
+    delta = F.col("current_value") - F.col("reference_value")
+    return both.withColumn("delta_abs", delta).withColumn("delta_pct", ratio(delta, "reference_value"))
+
+
+def month_set_ranges(facts: DataFrame, current: int, reference: int) -> DataFrame:
+    """Two years over the months that both have, each carried over by its strategy, then compared."""
+    years = facts.where(F.year("period_start").isin(current, reference))
+    months = years.select(F.year("period_start").alias("y"), F.month("period_start").alias("m")).distinct()
+    shared = months.groupBy("m").agg(F.count("*").alias("n")).where("n = 2").select("m")
+    rows = years.join(F.broadcast(shared), F.month("period_start") == F.col("m"), "left_semi")  # at most twelve months
+    side = lambda y: range_aggregate(rows.where(F.year("period_start") == y))
+    keys = ("entity_type", "entity_id", "category", "manufacturer", "metric")
+    a = side(current).select(*keys, F.col("value").alias("current_value"), "n_periods", "limitation")
+    b = side(reference).select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("value").alias("reference_value"))
+    both = a.join(b, [F.col(k).eqNullSafe(F.col(f"r_{k}")) for k in keys]).select(*a.columns, "reference_value")
+    delta = F.col("current_value") - F.col("reference_value")
+    return both.withColumn("delta_abs", delta).withColumn("delta_pct", ratio(delta, "reference_value"))
+
+
+def metric_templates(facts: DataFrame) -> DataFrame:
+    """The latest fact of each metric tells how rolled-up rows of it are described."""
+    last = F.max(F.struct("period_start", "range_strategy", "share_scope", "entity_type"))
+    return facts.groupBy("metric").agg(last.alias("t")).select("metric", F.col("t.period_start").alias("period_start"), F.col("t.range_strategy").alias("range_strategy"), F.col("t.share_scope").alias("share_scope"))
 
 
 def sku_store_facts(df: DataFrame) -> DataFrame:
@@ -81,7 +144,7 @@ def match_catalog(facts: DataFrame, public: DataFrame, private: DataFrame) -> Da
     merged = public.join(private.select("metric", F.col("label").alias("own_label"), F.col("enabled").alias("own_enabled")), "metric", "full_outer")
     merged = merged.select("metric", F.coalesce("own_label", "label").alias("label"), F.coalesce("own_enabled", "enabled").alias("enabled"))
     counted = facts.groupBy("metric").agg(F.count("*").alias("n_facts"))
-    code = F.when(F.col("label").isNull(), "METRIC_NOT_IN_CATALOG").when(~F.col("enabled"), "METRIC_DISABLED")
+    code = F.when(F.col("label").isNull(), "metric_not_in_catalog").when(~F.col("enabled"), "metric_disabled")
     return counted.join(merged, "metric", "left").withColumn("limitation", code)
 
 

@@ -19,8 +19,8 @@ GRAINS = {
 SCOPE = ("retailer_id", "source_id", "analysis_run_id", "period")
 
 
-def sums():
-    """The core sums; all metrics of a grain come from one aggregation."""
+def sums(one: str | None = None):
+    """The core sums; all metrics of a grain come from one aggregation. ``one`` names the dimension that a group has one of."""
     weighted = F.col("units") > 0
     price = (F.col("shelf_price_vat") * F.col("units")).cast("decimal(24,8)")
     return [
@@ -30,15 +30,24 @@ def sums():
         exact_sum("margin_abs").alias("margin_abs"),
         ratio(F.sum("margin_abs"), F.sum("revenue_net")).alias("margin_pct"),
         ratio(F.sum(F.when(weighted, price)), F.sum(F.when(weighted, F.col("units").cast("decimal(18,2)")))).alias("avg_shelf_price"),
-        F.countDistinct(F.when(F.col("units") > 0, F.col("store"))).alias("selling_stores"),
-        F.countDistinct(F.when(F.col("units") > 0, F.col("sku"))).alias("selling_skus"),
+        F.sum(F.when(weighted, price)).cast("double").alias("priced_value"),
+        F.sum(F.when(weighted, F.col("units").cast("decimal(18,2)"))).cast("double").alias("priced_units"),
+        selling("store", one).alias("selling_stores"),
+        selling("sku", one).alias("selling_skus"),
     ]
 
 
+def selling(dimension: str, one: str | None = None):
+    """Distinct values with sales; in a group of one value no distinct count is needed."""
+    if dimension == one:
+        return F.coalesce(F.max(F.when(F.col("units") > 0, 1)), F.lit(0)).cast("long")
+    return F.countDistinct(F.when(F.col("units") > 0, F.col(dimension)))
+
+
 def grain_metrics(df: DataFrame, grain: str) -> DataFrame:
     keys = GRAINS[grain]
     entity = F.col(keys[-1]) if keys else F.lit("ALL")
-    out = df.groupBy("period", *keys).agg(*sums())
+    out = df.groupBy("period", *keys).agg(*sums(keys[-1] if keys else None))
     return out.withColumn("entity_type", F.lit(grain)).withColumn("entity_id", entity)
 
 

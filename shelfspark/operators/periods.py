@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import ratio
 
-POINT_METRICS = ("margin_pct", "numeric_distribution", "share")
+#: Metrics whose change is told in points; so are those that end in _share.
+POINT_METRICS = ("margin_pct", "retailer_margin_pct", "distribution", "numeric_distribution", "share")
+
+
+def comparison_quality(kind: str, months):
+    """HIGH for a year or a month exactly, MEDIUM over a gap to the last available period, else LOW."""
+    if kind in ("YOY", "MOM"):
+        return F.when(months == (12 if kind == "YOY" else 1), "HIGH").otherwise("LOW")
+    return F.when(months > 1, "MEDIUM").otherwise("LOW") if kind == "PREVIOUS_AVAILABLE" else F.lit("LOW")
 
 
 def references(periods: DataFrame, kind: str, custom=None) -> DataFrame:
@@ -26,25 +34,37 @@ def references(periods: DataFrame, kind: str, custom=None) -> DataFrame:
 
 
 def compare(values: DataFrame, keys: tuple[str, ...], metric: str, kind: str, custom=None) -> DataFrame:
-    """Each row against its reference month: deltas, quality and comparability; keys match NULL to NULL."""
-    periods = values.select("period").distinct()
-    with_ref = values.join(F.broadcast(references(periods, kind, custom)), "period", "left")  # one row a month
-    past = values.select(F.col("period").alias("p"), *[F.col(k).alias(f"r_{k}") for k in keys], F.col(metric).alias("reference_value"))
-    on = F.col("reference_period") == F.col("p")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"r_{k}"))
-    both = with_ref.join(past, on, "left")
-    delta = F.col(metric) - F.col("reference_value")
-    gap = F.col("period").isNotNull() & F.col("reference_period").isNotNull()
-    months = F.when(gap, (F.year("period") - F.year("reference_period")) * 12 + F.month("period") - F.month("reference_period"))
-    quality = F.when(F.col("reference_value").isNull(), "LOW").when((months == 1) | (months == 12), "HIGH").otherwise("MEDIUM")
+    """Each row of a period that has a reference period against that period: deltas, quality and comparability.
+
+    Keys match NULL to NULL. A row is dealt to its own period and to those that refer to it, and both sides meet in one
+    grouping, so the values are not joined with themselves. Deltas in points are plain differences.
+    """
+    refs = references(values.select("period").distinct(), kind, custom)  # one row a month
+    dealt = refs.groupBy("reference_period").agg(F.collect_list("period").alias("users"))
+    rows = values.select("period", *keys, F.col(metric).cast("double").alias("v")).join(F.broadcast(dealt.withColumnRenamed("reference_period", "period")), "period", "left")
+    own, past = F.array(F.struct(F.col("period").alias("p"), F.lit(0).alias("side"))), F.transform("users", lambda u: F.struct(u.alias("p"), F.lit(1).alias("side")))
+    rows = rows.select(F.explode(F.concat(own, F.coalesce(past, F.array().cast("array<struct<p: date, side: int>>")))).alias("x"), *keys, "v")
+    side = lambda k: F.max(F.when(F.col("x.side") == k, F.struct("v")))
+    both = rows.groupBy(F.col("x.p").alias("period"), *keys).agg(side(0).alias("now"), side(1).alias("then")).where("now is not null")
+    both = both.join(F.broadcast(refs), "period").select("period", *keys, "reference_period", F.col("now.v").alias("current_value"), F.col("then.v").alias("reference_value"))
+    delta = F.col("current_value") - F.col("reference_value")
+    months = (F.year("period") - F.year("reference_period")) * 12 + F.month("period") - F.month("reference_period")
+    points = metric in POINT_METRICS or metric.endswith("_share")
     return both.select(
-        "period", *keys, "reference_period", F.col(metric).alias("current_value"), "reference_value", delta.alias("delta_abs"),
-        ratio(delta, "reference_value").alias("delta_pct"), (F.lit(None).cast("double") if metric not in POINT_METRICS else delta * 100).alias("delta_pp"),
-        F.col("reference_value").isNotNull().alias("comparable"), months.alias("month_gap"), quality.alias("comparison_quality"),
+        "period", *keys, "reference_period", "current_value", "reference_value", delta.alias("delta_abs"), ratio(delta, "reference_value").alias("delta_pct"),
+        (delta if points else F.lit(None).cast("double")).alias("delta_pp"), F.col("reference_value").isNotNull().alias("comparable"), months.alias("month_gap"),
+        (months == 1).alias("is_contiguous"), (F.month("period") == F.month("reference_period")).alias("same_calendar_month"), comparison_quality(kind, months).alias("comparison_quality"),
     )
 
 
+def comparison_issues(compared: DataFrame, values: DataFrame, kind: str, custom=None) -> DataFrame:
+    """Rows without base, rows with a zero base, and periods without a reference period, counted by period."""
+    missing = compared.groupBy("period").agg(F.sum(F.col("reference_value").isNull().cast("int")).alias("MISSING_COMPARISON_BASE"), F.sum((F.col("reference_value") == 0).cast("int")).alias("ZERO_METRIC_DENOMINATOR"))
+    rows = missing.select("period", F.expr("stack(2, 'MISSING_COMPARISON_BASE', MISSING_COMPARISON_BASE, 'ZERO_METRIC_DENOMINATOR', ZERO_METRIC_DENOMINATOR) as (issue_code, n_rows)")).where("n_rows > 0")
+    alone = values.groupBy("period").agg(F.count("*").alias("n_rows")).join(F.broadcast(references(values.select("period").distinct(), kind, custom)), "period", "left_anti")
+    return rows.unionByName(alone.select("period", F.lit("MISSING_COMPARISON_BASE").alias("issue_code"), "n_rows"))
+
+
 def coverage(df: DataFrame, first: str, last: str) -> DataFrame:
     """Every month of a window with whether the data has it, and the window's coverage ratio."""
     spark = df.sparkSession

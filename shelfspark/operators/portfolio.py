@@ -24,6 +24,22 @@ def abc_classes(skus: DataFrame, value: str, by: tuple[str, ...] = ("period", "c
     return out.withColumn("abc_class", label).drop("place")
 
 
+def abc_portfolio(values: DataFrame, value: str, by: tuple[str, ...], entity: str) -> DataFrame:
+    """Portfolio classes: the first row A, zero always C, else by the running share after the row (0.8 and 0.95).
+
+    A group that holds a negative value gets no classes; its rows say so.
+    """
+    exact = F.col(value).cast("decimal(24,8)")
+    whole = Window.partitionBy(*by)
+    order = whole.orderBy(F.desc(exact), entity)
+    total, negative = F.sum(exact).over(whole), F.min(exact).over(whole) < 0
+    rows = values.select("*", negative.alias("refused"), F.row_number().over(order).alias("place"), ratio(F.sum(exact).over(order.rowsBetween(Window.unboundedPreceding, 0)), total).alias("running"))
+    label = F.when(exact == 0, "C").when((F.col("place") == 1) | (F.col("running") <= 0.8), "A").when(F.col("running") <= 0.95, "B").otherwise("C")
+    kept = lambda c: F.when(~F.col("refused"), c)
+    out = rows.withColumns({"cumulative_share": kept(F.col("running")), "abc_class": kept(label), "limitation": F.when(F.col("refused"), "abc_negative_values_not_applicable")})
+    return out.drop("refused", "place", "running")
+
+
 def ranks(values: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
     """Competition rank, rows with the same value, and population."""
     whole = Window.partitionBy(*by)
@@ -58,16 +74,29 @@ def two_periods(df: DataFrame, keys: tuple[str, ...], value: str, current, refer
     return df.where(F.col("period").isin(c, r)).groupBy(*keys).agg(exact_sum(F.when(F.col("period") == c, x)).alias("current_value"), exact_sum(F.when(F.col("period") == r, x)).alias("reference_value"))
 
 
+#: The pairs whose parts add up, and the metrics that do.
+PARENT_CHILD = (("network", "category"), ("category", "manufacturer"), ("category", "brand"), ("category", "sku"))
+ADDITIVE = ("revenue_vat", "revenue_net", "units", "margin_abs")
+TOLERANCE = 1e-6
+
+
 def contribution(df: DataFrame, parent: str, child: str, value: str, current, reference, limit: int = 200) -> DataFrame:
-    """Share of each child's delta in its parent's, largest deltas first."""
-    rows = two_periods(df, (parent, child), value, current, reference)
-    delta = F.col("current_value") - F.col("reference_value")
-    exact = delta.cast("decimal(24,6)")
-    rows = rows.withColumn("delta_abs", exact.cast("double"))
-    parents = F.sum(exact).over(Window.partitionBy(parent)).cast("double")
-    rows = rows.withColumn("parent_delta", parents).withColumn("contribution", ratio("delta_abs", "parent_delta"))
-    rows = rows.withColumn("state", F.when(F.col("parent_delta") == 0, "ZERO_PARENT_DELTA").otherwise("READY"))
-    return rows.orderBy(F.desc(F.abs("delta_abs")), F.desc("current_value"), parent, child).limit(limit)
+    """Share of each child's delta in its parent's, largest deltas first; the parent is summed apart and must reconcile."""
+    if (parent, child) not in PARENT_CHILD or value not in ADDITIVE:
+        raise ValueError("NOT_APPLICABLE_PARENT_CHILD_SCOPE")
+    up = () if parent == "network" else (parent,)
+    rows = two_periods(df, (*up, child), value, current, reference)
+    whole = two_periods(df, up, value, current, reference).select(*up, F.col("current_value").alias("parent_current"), F.col("reference_value").alias("parent_reference"))
+    exact = lambda a, b: (F.col(a) - F.col(b)).cast("decimal(24,6)")
+    rows = rows.withColumn("delta_abs", exact("current_value", "reference_value").cast("double"))
+    rows = rows.join(whole, list(up)) if up else rows.crossJoin(F.broadcast(whole))  # one row
+    rows = rows.withColumn("parent_delta", exact("parent_current", "parent_reference").cast("double")).withColumn("contribution", ratio("delta_abs", "parent_delta"))
+    part = Window.partitionBy(*up)
+    rows = rows.withColumn("delta", F.col("current_value") - F.col("reference_value"))
+    off = lambda c, total: F.abs(F.sum(F.col(c).cast("decimal(24,8)")).over(part).cast("double") - F.col(total)) > TOLERANCE * F.greatest(F.lit(1.0), F.abs(F.col(total)) / 1e6)
+    flags = F.array_compact(F.array(F.when(off("current_value", "parent_current"), "RECONCILIATION_CURRENT_WARNING"), F.when(off("reference_value", "parent_reference"), "RECONCILIATION_REFERENCE_WARNING"), F.when(off("delta", "parent_delta"), "RECONCILIATION_DELTA_WARNING")))
+    rows = rows.withColumn("flags", F.array_join(flags, ",")).withColumn("state", F.when(F.col("parent_delta") == 0, "TOTAL_DELTA_ZERO").otherwise("READY"))
+    return rows.drop("parent_current", "parent_reference", "delta").orderBy(F.desc(F.abs("delta_abs")), F.desc("current_value"), *up, child).limit(limit)
 
 
 UNIVERSES = ("TOTAL_MARKET", "MARKET_EX_PRIVATE_LABEL", "PRIVATE_LABEL", "OWN_PORTFOLIO")

@@ -38,6 +38,7 @@ SKUS = "count(DISTINCT CASE WHEN units > 0 THEN sku END)"
 SUMS = f"""{s('revenue_vat')} AS revenue_vat, {s('revenue_net')} AS revenue_net, {s(U)} AS units, {s('margin_abs')} AS margin_abs,
  {r('sum(margin_abs)', 'sum(revenue_net)')} AS margin_pct,
  {r('sum(CASE WHEN units > 0 THEN CAST(shelf_price_vat * units AS DECIMAL(24,8)) END)', f'sum(CASE WHEN units > 0 THEN {U} END)')} AS avg_shelf_price,
+ CAST(sum(CASE WHEN units > 0 THEN CAST(shelf_price_vat * units AS DECIMAL(24,8)) END) AS DOUBLE) AS priced_value, CAST(sum(CASE WHEN units > 0 THEN {U} END) AS DOUBLE) AS priced_units,
  {STORES} AS selling_stores, {SKUS} AS selling_skus"""
 GRAINS = {"network": "", "category": "category", "manufacturer": "category, manufacturer", "brand": "category, manufacturer, brand", "sku": "category, manufacturer, brand, sku", "store": "store"}
 METRICS = "revenue_vat, revenue_net, units, margin_abs, margin_pct, avg_shelf_price, selling_stores, selling_skus"
@@ -48,19 +49,23 @@ def grain(name: str, alias: str = "g", where: str = "true") -> str:
     return f"{alias} AS (SELECT {keys}, {SUMS} FROM e WHERE {where} GROUP BY {keys})"
 
 
+_RANGES = ((0.25, "le_0_25"), (0.5, "gt_0_25_le_0_50"), (0.75, "gt_0_50_le_0_75"), (1.0, "gt_0_75_le_1_00"), (1.5, "gt_1_00_le_1_50"), (2.0, "gt_1_50_le_2_00"), (5.0, "gt_2_00_le_5_00"))
+
+
 def vrange(v: str) -> str:
-    edges = "".join(f" WHEN {v} <= {x} THEN 'R{k}'" for k, x in enumerate((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 5.0), 1))
-    return f"CASE WHEN {v} <= 0 THEN NULL{edges} WHEN {v} IS NOT NULL THEN 'R8' END"
+    return f"CASE WHEN {v} <= 0 THEN NULL{''.join(f" WHEN {v} <= {x} THEN '{n}'" for x, n in _RANGES)} WHEN {v} IS NOT NULL THEN 'gt_5_00' END"
 
 
-def compare(keys: tuple[str, ...], metric: str, ref: str, source: str, point: bool = False, extra: str = "") -> str:
+def compare(keys: tuple[str, ...], metric: str, ref: str, source: str, kind: str, point: bool = False, extra: str = "") -> str:
+    """Only a year and a month exactly are of HIGH quality, a gap to the last available period is MEDIUM; points are plain differences."""
     on = " AND ".join(f"a.{k} IS NOT DISTINCT FROM b.{k}" for k in keys)
     gap = "((year(a.period) - year(ref)) * 12 + month(a.period) - month(ref))"
-    pp = f"(a.{metric} - b.{metric}) * 100" if point else "CAST(NULL AS DOUBLE)"
+    quality = {"YOY": f"CASE WHEN {gap} = 12 THEN 'HIGH' ELSE 'LOW' END", "MOM": f"CASE WHEN {gap} = 1 THEN 'HIGH' ELSE 'LOW' END", "PREVIOUS_AVAILABLE": f"CASE WHEN {gap} > 1 THEN 'MEDIUM' ELSE 'LOW' END", "CUSTOM": "'LOW'"}[kind]
+    pp = f"a.{metric} - b.{metric}" if point else "CAST(NULL AS DOUBLE)"
     return f"""SELECT a.period, {', '.join('a.' + k for k in keys)}, ref AS reference_period, a.{metric} AS current_value, b.{metric} AS reference_value, a.{metric} - b.{metric} AS delta_abs,
- (a.{metric} - b.{metric}) / nullif(b.{metric}, 0) AS delta_pct, {pp} AS delta_pp, b.{metric} IS NOT NULL AS comparable, {gap} AS month_gap,
- CASE WHEN b.{metric} IS NULL THEN 'LOW' WHEN {gap} IN (1, 12) THEN 'HIGH' ELSE 'MEDIUM' END AS comparison_quality{extra}
- FROM (SELECT {source}.*, {ref} AS ref FROM {source}) a LEFT JOIN {source} b ON b.period = ref AND {on}"""
+ (a.{metric} - b.{metric}) / nullif(b.{metric}, 0) AS delta_pct, {pp} AS delta_pp, b.{metric} IS NOT NULL AS comparable, {gap} AS month_gap, {gap} = 1 AS is_contiguous, month(a.period) = month(ref) AS same_calendar_month,
+ {quality} AS comparison_quality{extra}
+ FROM (SELECT {source}.*, {ref} AS ref FROM {source}) a LEFT JOIN {source} b ON b.period = ref AND {on} WHERE ref IS NOT NULL"""
 
 
 def have(expr: str, source: str = "g") -> str:
@@ -100,10 +105,10 @@ ORACLES |= {
     "pl_scoped_metrics": e(f"SELECT x.*, active_stores, {r('selling_stores', 'active_stores')} AS numeric_distribution FROM (" + " UNION ALL ".join(f"SELECT period, '{n}' AS scope, category, {s('revenue_net')} AS revenue_net, {s(U)} AS units, {STORES} AS selling_stores FROM e WHERE {w} GROUP BY period, category" for n, w in (("INCLUDE", "true"), ("EXCLUDE", "NOT private_label"), ("ONLY", "private_label"))) + ") x JOIN act USING (period)", _ACTIVE),
     "market_universe": e(" UNION ALL ".join(f"SELECT period, {s('revenue_net')} AS revenue_net, '{n}' AS universe FROM e WHERE {w} GROUP BY period" for n, w in (("TOTAL_MARKET", "true"), ("MARKET_EX_PRIVATE_LABEL", "NOT private_label"), ("PRIVATE_LABEL", "private_label"), ("OWN_PORTFOLIO", "is_own")))),
     "volume_range_filter": c(f"SELECT period, {vrange('volume_l')} AS volume_range, count(*) AS n_rows, {s(U)} AS units FROM canon WHERE volume_l > 0.25 AND volume_l <= 1.0 OR round(volume_l, 6) = 2.5 GROUP BY 1, 2"),
-    "compare_yoy": e(compare(("category",), "revenue_net", YOY, "g"), MONTHLY),
-    "compare_mom": e(compare(("category",), "revenue_net", MOM, "g"), MONTHLY),
-    "compare_previous_available": e(compare(("category",), "revenue_net", PREVIOUS, "g"), MONTHLY),
-    "compare_custom": e(compare(("category",), "revenue_net", REF, "g"), MONTHLY),
+    "compare_yoy": e(compare(("category",), "revenue_net", YOY, "g", "YOY"), MONTHLY),
+    "compare_mom": e(compare(("category",), "revenue_net", MOM, "g", "MOM"), MONTHLY),
+    "compare_previous_available": e(compare(("category",), "revenue_net", PREVIOUS, "g", "PREVIOUS_AVAILABLE"), MONTHLY),
+    "compare_custom": e(compare(("category",), "revenue_net", REF, "g", "CUSTOM"), MONTHLY),
     "coverage": c(f"SELECT period, available, expected, present, {r('present', 'expected')} AS coverage_ratio, CASE WHEN present = expected THEN 'COMPLETE' WHEN present = 0 THEN 'MISSING' ELSE 'PARTIAL' END AS coverage_status FROM (SELECT period, available, count(*) OVER () AS expected, CAST(sum(CAST(available AS INT)) OVER () AS BIGINT) AS present FROM (SELECT CAST(m AS DATE) AS period, CAST(m AS DATE) IN (SELECT period FROM canon WHERE period <> DATE '{GAP}') AS available FROM (SELECT unnest(generate_series(TIMESTAMP '1998-01-01', TIMESTAMP '1998-12-01', INTERVAL 1 MONTH)) AS m)))"),
     "month_set_compare": e(f"SELECT *, current_value - reference_value AS delta_abs, (current_value - reference_value) / nullif(reference_value, 0) AS delta_pct FROM (SELECT category, CAST(sum(CASE WHEN year(period) = 1998 THEN CAST(revenue_net AS DECIMAL(24,8)) END) AS DOUBLE) AS current_value, CAST(sum(CASE WHEN year(period) = 1997 THEN CAST(revenue_net AS DECIMAL(24,8)) END) AS DOUBLE) AS reference_value, count(DISTINCT month(period)) AS n_months FROM g WHERE year(period) IN (1997, 1998) AND month(period) IN (SELECT month(period) FROM g WHERE year(period) IN (1997, 1998) GROUP BY 1 HAVING count(DISTINCT year(period)) = 2) GROUP BY category)", MONTHLY),
 }
@@ -124,7 +129,7 @@ def two(keys: str, cond: str = "true") -> str:
 _MOVE = f"""{grain('sku')}, q AS (SELECT period, category, sku, rank() OVER (PARTITION BY period, category ORDER BY revenue_net DESC) AS rk, {r('revenue_net', 'sum(CAST(revenue_net AS DECIMAL(24,8))) OVER (PARTITION BY period, category)')} AS sh FROM g),
  m AS (SELECT coalesce(a.category, b.category) AS category, coalesce(a.sku, b.sku) AS sku, a.rk AS current_rank, b.rk AS reference_rank, a.sh AS current_share, b.sh AS reference_share FROM (SELECT * FROM q WHERE period = {CUR}) a FULL JOIN (SELECT * FROM q WHERE period = {REF}) b ON a.category = b.category AND a.sku = b.sku)"""
 _PRODUCTS = f"""prod AS (SELECT category, sku, any_value(is_own) AS is_own, any_value(carbonation) AS carbonation, any_value(package) AS package, any_value(volume_l) AS volume_l, {SUMS} FROM e WHERE period = {CUR} GROUP BY category, sku),
- seg AS (SELECT category, sku, is_own, carbonation, price, CASE WHEN price IS NULL THEN 'UNKNOWN_PRICE' WHEN price <= 0 THEN 'INVALID_PRICE' WHEN n < 3 THEN 'INSUFFICIENT_POPULATION' ELSE ['ECONOMY', 'MID', 'PREMIUM'][1 + least(2, CAST(floor((rk - 1) * 3 / n) AS INT))] END AS price_segment, CASE WHEN price > 0 THEN rk END AS price_rank FROM
+ seg AS (SELECT category, sku, is_own, carbonation, price, CASE WHEN price IS NULL THEN 'UNCLASSIFIED_PRICE_NULL' WHEN price <= 0 THEN 'UNCLASSIFIED_PRICE_INVALID' WHEN n < 3 THEN 'INSUFFICIENT_POPULATION' ELSE ['ECONOMY', 'MID', 'PREMIUM'][1 + least(2, CAST(floor((rk - 1) * 3 / n) AS INT))] END AS price_segment, CASE WHEN price > 0 THEN rk END AS price_rank FROM
  (SELECT *, avg_shelf_price AS price, count(*) OVER (PARTITION BY category, avg_shelf_price > 0) AS n, rank() OVER (PARTITION BY category, avg_shelf_price > 0 ORDER BY avg_shelf_price) AS rk FROM prod))"""
 
 
@@ -133,23 +138,35 @@ def ranked(name: str, by: str) -> str:
 
 
 _IDENT = "entity_type, entity_id, category, manufacturer, metric"
-_FACTS = f"{grain('category', 'g1')}, {grain('manufacturer', 'g2')}, f AS (" + " UNION ALL ".join(
-    f"SELECT period AS period_start, last_day(period) AS period_end, '{g}' AS entity_type, {ent} AS entity_id, category, {mf} AS manufacturer, '{m}' AS metric, '{st}' AS range_strategy, CAST({m} AS DOUBLE) AS value, {num} AS numerator, {den} AS denominator, CASE WHEN {m} IS NULL THEN 'null_value' ELSE 'valid' END AS quality_status FROM {src}"
+_FACTS = f"""{grain('category', 'g1')}, {grain('manufacturer', 'g0')}, g2 AS (SELECT *, CAST(sum(CAST(revenue_net AS DECIMAL(24,8))) OVER (PARTITION BY period, category) AS DOUBLE) AS category_revenue, {r('revenue_net', 'sum(CAST(revenue_net AS DECIMAL(24,8))) OVER (PARTITION BY period, category)')} AS category_revenue_share FROM g0), f AS (""" + " UNION ALL ".join(
+    f"SELECT period AS period_start, last_day(period) AS period_end, '{g}' AS entity_type, {ent} AS entity_id, category, {mf} AS manufacturer, '{m}' AS metric, {f"CASE WHEN {num} IS NOT NULL AND {den} IS NOT NULL THEN '{st}' ELSE 'period_only' END" if num != 'CAST(NULL AS DOUBLE)' else f"'{st}'"} AS range_strategy, {scope} AS share_scope, CAST({m} AS DOUBLE) AS value, {num} AS numerator, {den} AS denominator, CASE WHEN {m} IS NULL THEN 'null_value' ELSE 'valid' END AS quality_status FROM {src}"
     for g, ent, mf, src in (("category", "category", "CAST(NULL AS VARCHAR)", "g1"), ("manufacturer", "manufacturer", "manufacturer", "g2"))
-    for m, st, num, den in (
-        *((m, "SUM", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)") for m in ("revenue_vat", "revenue_net", "units", "margin_abs")),
-        ("margin_pct", "RATIO_OF_SUMS", "margin_abs", "revenue_net"), ("avg_shelf_price", "PERIOD_ONLY", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)"),
-        ("selling_stores", "UNSUPPORTED", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)"), ("selling_skus", "UNSUPPORTED", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)"),
+    for m, st, num, den, scope in (
+        *((m, "sum_available_periods", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS VARCHAR)") for m in ("revenue_vat", "revenue_net", "units", "margin_abs")),
+        ("margin_pct", "ratio_of_sums", "margin_abs", "revenue_net", "CAST(NULL AS VARCHAR)"), ("avg_shelf_price", "weighted_ratio_of_sums", "priced_value", "priced_units", "CAST(NULL AS VARCHAR)"),
+        ("selling_stores", "period_only", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS VARCHAR)"), ("selling_skus", "period_only", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)", "CAST(NULL AS VARCHAR)"),
+        *((("category_revenue_share", "recompute_share_scope", "revenue_net", "category_revenue", "'category'"),) if src == "g2" else ()),
     )
 ) + ")"
 _WINDOW = "period_start BETWEEN DATE '1998-01-01' AND DATE '1998-06-01'"
 _WHOLE = lambda x: f"CASE WHEN count({x}) = count(*) THEN CAST(sum(CAST({x} AS DECIMAL(24,8))) AS DOUBLE) END"
+
+
+def _ranges(where: str) -> str:
+    return f"""SELECT {_IDENT}, st AS range_strategy, CASE WHEN limitation IS NULL THEN CASE WHEN st = 'sum_available_periods' THEN total ELSE num / den END END AS value, CASE WHEN parts THEN num END AS numerator, CASE WHEN parts THEN den END AS denominator, n_periods, limitation FROM (
+ SELECT *, CASE WHEN st = 'sum_available_periods' AND total IS NULL THEN 'additive_value_missing' WHEN parts AND (num IS NULL OR den IS NULL) THEN 'range_components_missing' WHEN parts AND den = 0 THEN 'zero_range_denominator'
+ WHEN st = 'recompute_share_scope' AND NOT one_scope THEN 'share_scope_missing_or_mixed' WHEN st = 'period_only' THEN 'range_aggregation_period_only' WHEN st <> 'sum_available_periods' AND NOT parts THEN 'range_aggregation_unsupported' END AS limitation FROM (
+ SELECT {_IDENT}, range_strategy AS st, {_WHOLE('value')} AS total, {_WHOLE('numerator')} AS num, {_WHOLE('denominator')} AS den, count(*) AS n_periods, count(DISTINCT share_scope) = 1 AND count(share_scope) = count(*) AS one_scope,
+ range_strategy IN ('ratio_of_sums', 'weighted_ratio_of_sums', 'recompute_from_components', 'recompute_share_scope') AS parts FROM f WHERE {where} GROUP BY ALL))"""
+
+
 _SS = f"ss AS (SELECT period, sku, store, category, manufacturer, brand, store_format, region, {s('revenue_vat')} AS revenue_vat, {s('revenue_net')} AS revenue_net, {s(U)} AS units, {s('margin_abs')} AS margin_abs, CAST(sum(CAST(margin_abs IS NULL AS INT)) AS BIGINT) AS null_margins FROM e GROUP BY ALL)"
 _D8 = lambda x: f"coalesce(CAST(sum(CAST({x} AS DECIMAL(24,8))) AS DOUBLE), 0.0)"
 
 ORACLES |= {
     "abc_batch": e(f"SELECT period, category, sku, revenue_net, abc_share, cumulative_share, abc_class FROM {abc('g', 'period, category', 'sku')}", grain("sku")),
-    "abc_portfolio": e(f"SELECT category, manufacturer, revenue_net, cumulative_share, abc_class FROM {abc('g', 'period, category', 'manufacturer')}", grain("manufacturer", where=f"period = {CUR}")),
+    "abc_portfolio": e(f"""SELECT category, manufacturer, revenue_net, CASE WHEN NOT neg THEN running END AS cumulative_share, CASE WHEN NOT neg THEN CASE WHEN x = 0 THEN 'C' WHEN place = 1 OR running <= 0.8 THEN 'A' WHEN running <= 0.95 THEN 'B' ELSE 'C' END END AS abc_class, CASE WHEN neg THEN 'abc_negative_values_not_applicable' END AS limitation FROM (
+ SELECT *, min(x) OVER (PARTITION BY category) < 0 AS neg, row_number() OVER w AS place, {r('sum(x) OVER (PARTITION BY category ORDER BY x DESC, manufacturer ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)', 'sum(x) OVER (PARTITION BY category)')} AS running FROM (SELECT *, CAST(revenue_net AS DECIMAL(24,8)) AS x FROM g) WINDOW w AS (PARTITION BY category ORDER BY x DESC, manufacturer))""", grain("manufacturer", where=f"period = {CUR}")),
     "rank_category": ranked("category", "period"),
     "rank_manufacturer": ranked("manufacturer", "period, category"),
     "rank_brand": ranked("brand", "period, category"),
@@ -166,14 +183,14 @@ ORACLES |= {
     "metric_facts": e("SELECT * FROM f", _FACTS),
     "duplicate_fact_identity": e(f"SELECT period_start, {_IDENT}, count(*) AS n FROM f GROUP BY ALL HAVING count(*) > 1", _FACTS),
     "fact_scan": e(f"SELECT period_start, entity_id, metric, value FROM f WHERE {_WINDOW} AND metric IN ('revenue_net', 'units') AND entity_type = 'category' AND quality_status = 'valid'", _FACTS),
-    "range_aggregate": e(f"SELECT {_IDENT}, CASE WHEN st = 'SUM' THEN total WHEN st = 'RATIO_OF_SUMS' THEN num / nullif(den, 0) WHEN st = 'PERIOD_ONLY' AND n_periods = 1 THEN only_value END AS value, n_periods, CASE WHEN st = 'UNSUPPORTED' THEN 'UNSUPPORTED_RANGE_AGGREGATION' WHEN st = 'PERIOD_ONLY' AND n_periods > 1 THEN 'PERIOD_ONLY_METRIC' WHEN st = 'SUM' AND total IS NULL THEN 'NULL_COMPONENT' WHEN st = 'RATIO_OF_SUMS' AND (num IS NULL OR den IS NULL) THEN 'NULL_COMPONENT' END AS limitation FROM (SELECT {_IDENT}, range_strategy AS st, {_WHOLE('value')} AS total, {_WHOLE('numerator')} AS num, {_WHOLE('denominator')} AS den, count(*) AS n_periods, max(value) AS only_value FROM f WHERE {_WINDOW} GROUP BY ALL)", _FACTS),
+    "range_aggregate": e(_ranges(_WINDOW), _FACTS),
     "scoped_rollup": e(f"SELECT period_start, metric, {_D8('value')} AS value, count(DISTINCT entity_id) AS n_entities FROM f WHERE {_WINDOW} AND metric IN ('revenue_net', 'units') AND entity_id IN ('MFR_1', 'MFR_2') GROUP BY 1, 2", _FACTS),
     "sku_store_facts": e("SELECT * FROM ss", _SS),
     "store_universe": c("SELECT period, store, min(store_format) AS store_format, min(region) AS region, count(DISTINCT store_format) > 1 AS ambiguous_format FROM canon GROUP BY 1, 2"),
     "product_store_rollup": e(f"SELECT *, margin_abs / nullif(revenue_net, 0) AS margin_pct FROM (SELECT period, category, store_format, {_D8('revenue_vat')} AS revenue_vat, {_D8('revenue_net')} AS revenue_net, {_D8('units')} AS units, {_D8('margin_abs')} AS margin_abs, CAST(sum(null_margins) AS BIGINT) AS null_margins, count(DISTINCT sku) AS n_skus, count(DISTINCT store) AS n_stores FROM ss GROUP BY 1, 2, 3)", _SS),
-    "catalog_match": e("SELECT metric, n_facts, label, enabled, CASE WHEN label IS NULL THEN 'METRIC_NOT_IN_CATALOG' WHEN NOT enabled THEN 'METRIC_DISABLED' END AS limitation FROM (SELECT metric, count(*) AS n_facts FROM f GROUP BY 1) LEFT JOIN (VALUES ('revenue_net', 'Net revenue', true), ('units', 'Pieces', false), ('margin_pct', 'Margin', true), ('margin_abs', 'Margin sum', true)) v(metric, label, enabled) USING (metric)", _FACTS),
+    "catalog_match": e("SELECT metric, n_facts, label, enabled, CASE WHEN label IS NULL THEN 'metric_not_in_catalog' WHEN NOT enabled THEN 'metric_disabled' END AS limitation FROM (SELECT metric, count(*) AS n_facts FROM f GROUP BY 1) LEFT JOIN (VALUES ('revenue_net', 'Net revenue', true), ('units', 'Pieces', false), ('margin_pct', 'Margin', true), ('margin_abs', 'Margin sum', true)) v(metric, label, enabled) USING (metric)", _FACTS),
     "provenance": e("SELECT metric, min(period_start) AS first_period, max(period_start) AS last_period, count(DISTINCT period_start) AS n_periods, string_agg(DISTINCT entity_type, ',' ORDER BY entity_type) AS grains, string_agg(DISTINCT quality_status, ',' ORDER BY quality_status) AS quality FROM f GROUP BY 1", _FACTS),
-    "store_format_distribution": e(f"SELECT a.*, format_stores, {r('selling_stores', 'format_stores')} AS numeric_distribution FROM (SELECT period, store_format, brand, {STORES} AS selling_stores FROM e GROUP BY 1, 2, 3) a JOIN (SELECT period, store_format, count(DISTINCT store) AS format_stores FROM e GROUP BY 1, 2) USING (period, store_format)"),
+    "store_format_distribution": e(f"SELECT q.period, q.brand, u.store_format, format_stores, coalesce(selling_stores, 0) AS selling_stores, {r('coalesce(selling_stores, 0)', 'format_stores')} AS numeric_distribution FROM (SELECT DISTINCT period, brand FROM e) q JOIN (SELECT period, store_format, count(DISTINCT store) AS format_stores FROM e GROUP BY 1, 2) u USING (period) LEFT JOIN (SELECT period, store_format, brand, {STORES} AS selling_stores FROM e GROUP BY 1, 2, 3) a ON a.period = q.period AND a.brand = q.brand AND a.store_format = u.store_format"),
 }
 
 
@@ -186,11 +203,11 @@ def kpi(keys: str, where: str, join: str) -> str:
 
 _HALF = "period BETWEEN DATE '1998-01-01' AND DATE '1998-06-01'"
 _SEG = "seg AS (" + " UNION ALL ".join(f"SELECT '{n}' AS universe, x.* FROM ({two('category', w)}) x" for n, w in (("TOTAL_MARKET", "true"), ("MARKET_EX_PRIVATE_LABEL", "NOT private_label"), ("PRIVATE_LABEL", "private_label"), ("OWN_PORTFOLIO", "is_own"))) + "), segd AS (SELECT category, universe, current_value, reference_value, current_value - reference_value AS delta_abs, (current_value - reference_value) / nullif(reference_value, 0) AS delta_pct, CASE WHEN reference_value = 0 THEN 'ZERO_REFERENCE_DENOMINATOR' ELSE 'READY' END AS state FROM seg)"
-_EV = f"""{grain('manufacturer', 'g0')}, g AS (SELECT period, category || '|' || manufacturer AS entity_id, revenue_net FROM g0), cmp AS ({compare(('entity_id',), 'revenue_net', YOY, 'g')}),
+_EV = f"""{grain('manufacturer', 'g0')}, g AS (SELECT period, category || '|' || manufacturer AS entity_id, revenue_net FROM g0), cmp AS ({compare(('entity_id',), 'revenue_net', YOY, 'g', 'YOY')}),
  ab AS (SELECT period, entity_id, abc_class FROM {abc('g', 'period', 'entity_id')}),
  ev AS (SELECT 'comparison' AS feature, entity_id, period, current_value, reference_value, delta_pct, comparison_quality, CAST(NULL AS VARCHAR) AS abc_class, CAST(NULL AS VARCHAR) AS reference_abc_class, CAST(NULL AS BOOLEAN) AS label_changed FROM cmp
  UNION ALL SELECT 'abc', ab.entity_id, ab.period, NULL, NULL, NULL, NULL, ab.abc_class, p.abc_class, ab.abc_class <> p.abc_class FROM ab LEFT JOIN ab p ON p.entity_id = ab.entity_id AND p.period = CAST(ab.period - INTERVAL 12 MONTH AS DATE)),
- det AS (SELECT rule_id, event_type, severity, entity_id, period, current_value, reference_value, delta_pct, comparison_quality, CASE WHEN comparison_quality = 'LOW' THEN 'MEDIUM' ELSE 'HIGH' END AS confidence FROM ev JOIN (VALUES ('revenue_up', 'REVENUE_GROWTH', 'INFO'), ('revenue_down', 'REVENUE_DECLINE', 'WARNING'), ('abc_change', 'ABC_CLASS_CHANGE', 'INFO')) v(rule_id, event_type, severity)
+ det AS (SELECT rule_id, event_type, severity, entity_id, period, current_value, reference_value, delta_pct, comparison_quality, CASE WHEN comparison_quality = 'LOW' THEN 'MEDIUM' ELSE 'HIGH' END AS confidence FROM ev JOIN (VALUES ('revenue_up', 'MATERIAL_REVENUE_GROWTH', 'INFO'), ('revenue_down', 'MATERIAL_REVENUE_DECLINE', 'WARNING'), ('abc_change', 'ABC_CLASS_CHANGE', 'INFO')) v(rule_id, event_type, severity)
  ON (rule_id = 'revenue_up' AND feature = 'comparison' AND delta_pct >= 0.10) OR (rule_id = 'revenue_down' AND feature = 'comparison' AND delta_pct <= -0.10) OR (rule_id = 'abc_change' AND feature = 'abc' AND label_changed))"""
 _REV = "rev AS (SELECT 'retailer_a' AS retailer_id, store AS source_id, year(period) AS revision, CAST(count(*) AS VARCHAR) AS content_hash, max(period) AS activated FROM canon GROUP BY 1, 2, 3)"
 
@@ -199,7 +216,7 @@ ORACLES |= {
     "kpi_range": e(kpi("brand", _HALF, "CROSS JOIN {}")),
     "kpi_weighted_distribution": e(f"SELECT period, category, sku, {r('sum(bs.r)', 'any_value(total)')} AS weighted_distribution FROM (SELECT DISTINCT period, category, sku, store FROM e WHERE units > 0) JOIN bs USING (period, category, store) JOIN (SELECT period, category, sum(r) AS total FROM bs GROUP BY 1, 2) USING (period, category) GROUP BY 1, 2, 3", "bs AS (SELECT period, category, store, sum(revenue_vat) AS r FROM e GROUP BY 1, 2, 3)"),
     "category_share": e(f"SELECT category, manufacturer, revenue_net, {r('revenue_net', 'sum(CAST(revenue_net AS DECIMAL(24,8))) OVER (PARTITION BY category)')} AS share FROM (SELECT category, manufacturer, {s('revenue_net')} AS revenue_net FROM e WHERE {_HALF} GROUP BY 1, 2)"),
-    "served_category_share": e(compare(("category", "manufacturer"), "share", YOY, "g", True, ", CASE WHEN b.share IS NOT NULL THEN 'READY' ELSE 'PARTIAL' END AS status"), f"{grain('manufacturer', 'g0')}, g AS (SELECT *, {r('revenue_net', 'sum(CAST(revenue_net AS DECIMAL(24,8))) OVER (PARTITION BY period, category)')} AS share FROM g0)"),
+    "served_category_share": e(compare(("category", "manufacturer"), "share", YOY, "g", "YOY", True, ", CASE WHEN b.share IS NOT NULL THEN 'READY' ELSE 'PARTIAL' END AS status"), f"{grain('manufacturer', 'g0')}, g AS (SELECT *, {r('revenue_net', 'sum(CAST(revenue_net AS DECIMAL(24,8))) OVER (PARTITION BY period, category)')} AS share FROM g0)"),
     "active_sku_peak": c(f"SELECT *, min(CASE WHEN active_skus = peak_skus THEN period END) OVER (PARTITION BY manufacturer) AS peak_period, active_skus - peak_skus AS change_from_peak FROM (SELECT manufacturer, period, active_skus, max(active_skus) OVER (PARTITION BY manufacturer) AS peak_skus FROM (SELECT m.manufacturer, p.period, coalesce(n, 0) AS active_skus FROM (SELECT DISTINCT manufacturer FROM canon) m CROSS JOIN (SELECT DISTINCT period FROM canon) p LEFT JOIN (SELECT manufacturer, period, {SKUS} AS n FROM canon GROUP BY 1, 2) x ON x.manufacturer = m.manufacturer AND x.period = p.period))"),
     "regional_summary": e(f"SELECT period, region, CAST(r AS DOUBLE) AS revenue_net, units, n_stores, {r('r', 'sum(r) OVER (PARTITION BY period)')} AS share FROM (SELECT period, region, sum(revenue_net) AS r, {s(U)} AS units, count(DISTINCT store) AS n_stores FROM e GROUP BY 1, 2)"),
     "geography_breakdown": e(f"SELECT *, (revenue_net - reference_revenue) / nullif(abs(reference_revenue), 0) AS delta_pct FROM (SELECT region, store_format, {s(f'CASE WHEN period = {CUR} THEN revenue_net END')} AS revenue_net, {s(f'CASE WHEN period = {REF} THEN revenue_net END')} AS reference_revenue, {s(f'CASE WHEN period = {CUR} THEN {U} END')} AS units, {r(f'sum(CASE WHEN period = {CUR} THEN margin_abs END)', f'sum(CASE WHEN period = {CUR} THEN revenue_net END)')} AS margin_pct, count(DISTINCT CASE WHEN period = {CUR} THEN store END) AS n_stores FROM e WHERE period IN ({CUR}, {REF}) GROUP BY 1, 2)"),
@@ -208,7 +225,8 @@ ORACLES |= {
     "entity_options": c("SELECT category, brand, sku, count(DISTINCT period) AS n_periods, min(trim(sku_name)) AS label FROM canon GROUP BY 1, 2, 3"),
     "volume_facet": c(f"SELECT {vrange('volume_l')} AS volume_range, round(volume_l, 6) AS volume, count(DISTINCT sku) AS n_skus FROM canon WHERE volume_l > 0 GROUP BY 1, 2"),
     "coverage_grid": c(f"SELECT CAST(m AS DATE) AS period, CAST(m AS DATE) IN (SELECT period FROM canon WHERE period <> DATE '{GAP}') AS available FROM (SELECT unnest(generate_series(CAST((SELECT min(period) FROM canon) AS TIMESTAMP), CAST((SELECT max(period) FROM canon) AS TIMESTAMP), INTERVAL 1 MONTH)) AS m)"),
-    "contribution": e(f"SELECT category, brand, current_value, reference_value, delta_abs, parent_delta, delta_abs / nullif(parent_delta, 0) AS contribution, CASE WHEN parent_delta = 0 THEN 'ZERO_PARENT_DELTA' ELSE 'READY' END AS state FROM (SELECT *, CAST(x AS DOUBLE) AS delta_abs, CAST(sum(x) OVER (PARTITION BY category) AS DOUBLE) AS parent_delta FROM (SELECT *, CAST(current_value - reference_value AS DECIMAL(24,6)) AS x FROM ({two('category, brand')}))) ORDER BY abs(delta_abs) DESC, current_value DESC, category, brand LIMIT 200"),
+    **{f"contribution{'' if (p, k) == ('category', 'brand') else f'_{p}_{k}'}": e(f"""SELECT {p + ', ' if p != 'network' else ''}{k}, current_value, reference_value, delta_abs, parent_delta, delta_abs / nullif(parent_delta, 0) AS contribution, '' AS flags, CASE WHEN parent_delta = 0 THEN 'TOTAL_DELTA_ZERO' ELSE 'READY' END AS state FROM (
+ SELECT a.*, CAST(CAST(a.current_value - a.reference_value AS DECIMAL(24,6)) AS DOUBLE) AS delta_abs, CAST(CAST(b.current_value - b.reference_value AS DECIMAL(24,6)) AS DOUBLE) AS parent_delta FROM ({two(f'{p}, {k}' if p != 'network' else k)}) a JOIN ({two(p if p != 'network' else "'ALL' AS one").replace("GROUP BY 'ALL' AS one", "GROUP BY 1")}) b ON {f'a.{p} = b.{p}' if p != 'network' else 'true'}) ORDER BY abs(delta_abs) DESC, current_value DESC, {p + ', ' if p != 'network' else ''}{k} LIMIT 200""") for p, k in (("category", "brand"), ("network", "category"), ("category", "manufacturer"), ("category", "sku"))},
     "market_segment_delta": e("SELECT * FROM segd", _SEG),
     "segment_patterns": e("SELECT *, CASE WHEN own_pct < 0 AND market_pct < 0 THEN own_pct / nullif(market_pct, 0) END AS decline_speed, coalesce(private_label_pct > 0 AND own_pct < 0, false) AS private_label_gains FROM (SELECT category, max(CASE WHEN universe = 'TOTAL_MARKET' THEN delta_pct END) AS market_pct, max(CASE WHEN universe = 'PRIVATE_LABEL' THEN delta_pct END) AS private_label_pct, max(CASE WHEN universe = 'OWN_PORTFOLIO' THEN delta_pct END) AS own_pct FROM segd GROUP BY 1)", _SEG),
     "brand_vs_category": e(f"SELECT category, brand, brand_pct, category_pct, (brand_pct - category_pct) * 100 AS gap_pp FROM (SELECT category, brand, (current_value - reference_value) / nullif(reference_value, 0) AS brand_pct FROM ({two('category, brand')})) JOIN (SELECT category, (current_value - reference_value) / nullif(reference_value, 0) AS category_pct FROM ({two('category')})) USING (category)"),
@@ -223,3 +241,51 @@ ORACLES |= {
     "source_rows_page": c("SELECT period, store, sku, units, CAST(revenue_vat AS DOUBLE) AS revenue_vat, shelf_price_vat FROM canon ORDER BY period, store, sku, units, CAST(revenue_vat AS DOUBLE), shelf_price_vat LIMIT 100 OFFSET 200"),
     "incremental_rebuild": e("SELECT period, category, revenue_net, units FROM g WHERE period IN (DATE '1998-02-01', DATE '1998-03-01', DATE '1999-02-01')", grain("category")),
 }
+
+_CORE = {"revenue_vat": "revenue_vat", "revenue": "revenue_net", "units": "units", "retailer_margin_abs": "margin_abs", "retailer_margin_pct": "margin_pct", "weighted_shelf_price_vat": "avg_shelf_price", "weighted_input_price_vat": "avg_input_price"}
+_MORE = {"store_count": "CAST(stores AS DOUBLE)", "selling_store_count": "CAST(selling_stores AS DOUBLE)", "active_store_count": "CAST(active_stores AS DOUBLE)", "distribution": r("selling_stores", "active_stores"), "units_per_selling_store": r("units", "selling_stores"), "revenue_per_selling_store": r("revenue_net", "selling_stores"), "margin_per_selling_store": r("margin_abs", "selling_stores")}
+_STORE = {f"assortment_{k}_count": f"CAST(selling_{k}s AS DOUBLE)" for k in ("sku", "brand", "category")}
+
+
+def _wide(name: str) -> str:
+    keys = f"period{', ' + GRAINS[name] if GRAINS[name] else ''}"
+    used = "units > 0 AND input_price_vat IS NOT NULL"
+    return f"""w_{name} AS (SELECT w.*, active_stores FROM (SELECT {keys}, {SUMS}, {r(f'sum(CASE WHEN {used} THEN CAST(input_price_vat * units AS DECIMAL(24,8)) END)', f'sum(CASE WHEN {used} THEN {U} END)')} AS avg_input_price, count(DISTINCT store) AS stores,
+ count(DISTINCT CASE WHEN units > 0 THEN brand END) AS selling_brands, count(DISTINCT CASE WHEN units > 0 THEN category END) AS selling_categorys FROM e GROUP BY {keys}) w JOIN act USING (period))"""
+
+
+def _long() -> str:
+    parts = []
+    for g, keys in GRAINS.items():
+        concepts = _CORE | (_MORE if g in ("category", "manufacturer", "brand", "sku") else _STORE if g == "store" else {})
+        entity = keys.split(", ")[-1] if keys else "'ALL'"
+        parts += [f"SELECT period, '{g}' AS entity_type, {entity} AS entity_id, '{k}' AS concept, '{g}_{k}' AS metric_name, CAST({v} AS DOUBLE) AS metric_value FROM w_{g}" for k, v in concepts.items()]
+    return " UNION ALL ".join(parts)
+
+
+_REVS = "rv AS (SELECT 'retailer_a' AS retailer_id, store AS source_id, year(period) AS revision, list_sort(list(DISTINCT period)) AS periods, CAST(count(*) AS VARCHAR) AS content_hash, max(period) AS activated FROM canon GROUP BY store, year(period))"
+_ACT = f"{_REVS}, fixed AS (SELECT * FROM rv UNION ALL SELECT retailer_id, source_id, 9999, periods[1:3], content_hash, DATE '2005-01-01' FROM rv WHERE revision = 1997), ac AS (SELECT retailer_id, source_id, revision, period, row_number() OVER (PARTITION BY retailer_id, source_id, period ORDER BY activated DESC, revision DESC) = 1 AS is_active FROM (SELECT retailer_id, source_id, revision, activated, unnest(periods) AS period FROM fixed))"
+ORACLES |= {
+    "metric_definitions": e(_long(), ", ".join((_ACTIVE, *(_wide(g) for g in GRAINS)))),
+    "comparison_issues": e("SELECT period, issue_code, n_rows FROM (SELECT period, 'MISSING_COMPARISON_BASE' AS issue_code, count(*) FILTER (WHERE reference_value IS NULL) AS n_rows FROM x GROUP BY 1 UNION ALL SELECT period, 'ZERO_METRIC_DENOMINATOR', count(*) FILTER (WHERE reference_value = 0) FROM x GROUP BY 1) WHERE n_rows > 0 UNION ALL SELECT period, 'MISSING_COMPARISON_BASE', count(*) FROM g WHERE period NOT IN (SELECT period FROM x) GROUP BY 1", f"{MONTHLY}, x AS ({compare(('category',), 'revenue_net', YOY, 'g', 'YOY')})"),
+    "fact_comparison": e(f"SELECT a.entity_type, a.entity_id, a.category, a.manufacturer, a.metric, a.value AS current_value, b.value AS reference_value, a.value - b.value AS delta_abs, (a.value - b.value) / nullif(b.value, 0) AS delta_pct FROM f a JOIN f b ON a.entity_type = b.entity_type AND a.entity_id = b.entity_id AND a.category = b.category AND a.manufacturer IS NOT DISTINCT FROM b.manufacturer AND a.metric = b.metric WHERE a.period_start = {CUR} AND b.period_start = {REF}", _FACTS),
+    "month_set_ranges": e("SELECT a.entity_type, a.entity_id, a.category, a.manufacturer, a.metric, a.value AS current_value, a.n_periods, a.limitation, b.value AS reference_value, a.value - b.value AS delta_abs, (a.value - b.value) / nullif(b.value, 0) AS delta_pct FROM a JOIN b ON a.entity_type = b.entity_type AND a.entity_id = b.entity_id AND a.category = b.category AND a.manufacturer IS NOT DISTINCT FROM b.manufacturer AND a.metric = b.metric",
+        f"{_FACTS}, m AS (SELECT month(period_start) AS m FROM f WHERE year(period_start) IN (1997, 1998) GROUP BY 1 HAVING count(DISTINCT year(period_start)) = 2), a AS ({_ranges('year(period_start) = 1998 AND month(period_start) IN (SELECT m FROM m)')}), b AS ({_ranges('year(period_start) = 1997 AND month(period_start) IN (SELECT m FROM m)')})"),
+    "metric_templates": e("SELECT metric, max(period_start) AS period_start, arg_max(range_strategy, (period_start, range_strategy)) AS range_strategy, any_value(share_scope) AS share_scope FROM f GROUP BY metric", _FACTS),
+    "filter_grain_rollup": e(f"SELECT period, 'brand' AS entity_type, brand AS entity_id, CAST(sum(CAST(revenue_net AS DECIMAL(24,8))) AS DOUBLE) AS revenue_net, CAST(sum(CAST(units AS DECIMAL(24,8))) AS DOUBLE) AS units, CAST(sum(CAST(margin_abs AS DECIMAL(24,8))) AS DOUBLE) AS margin_abs FROM ss WHERE brand IN ('Brand#11', 'Brand#12', 'Brand#7', 'Brand#8') AND store IN ('STORE_1', 'STORE_2', 'STORE_3') GROUP BY period, category, manufacturer, brand", _SS),
+    "sign_issues": c("SELECT issue_code, severity, count(*) AS n_rows FROM (SELECT CASE WHEN units < 0 AND revenue_vat < 0 THEN 'BUSINESS_EXCEPTION' WHEN units >= 0 AND revenue_vat >= 0 THEN NULL ELSE 'SUSPICIOUS' END AS issue_code, CASE WHEN units < 0 AND revenue_vat < 0 THEN 'INFO' ELSE 'WARNING' END AS severity FROM canon) WHERE issue_code IS NOT NULL GROUP BY 1, 2"),
+    "price_issues": c("SELECT 'MISSING_OPTIONAL_PRICE' AS issue_code, 'input_price_vat' AS field, count(*) AS n_rows FROM canon WHERE input_price_vat IS NULL"),
+    "quality_summary": c("SELECT CASE WHEN units >= 0 AND revenue_vat >= 0 THEN 'valid' ELSE 'review' END AS quality_status, concat_ws(',', CASE WHEN input_price_vat IS NULL THEN 'no_input_price' END, CASE WHEN private_label IS NULL THEN 'unknown_private_label' END) AS quality_flags, count(*) AS n_rows FROM canon GROUP BY 1, 2"),
+    "row_sequence": c("SELECT count(*) AS n_rows, 1 AS first, count(*) AS last, count(*) AS n_numbers, true AS in_sequence FROM canon"),
+    "totals_reconcile": c(f"SELECT measure, total AS source_total, total AS made_total, true AS reconciled FROM (SELECT 'rows' AS measure, CAST(count(*) AS DOUBLE) AS total FROM canon UNION ALL SELECT 'units', CAST(sum({U}) AS DOUBLE) FROM canon)"),
+    "latest_priced_period": c("SELECT category, max(CASE WHEN shelf_price_vat > 0 THEN period END) AS benchmark_period FROM canon GROUP BY 1"),
+    "product_filter": e(f"SELECT period, count(*) AS n_rows, CAST(sum(CAST(revenue_net AS DECIMAL(24,8))) AS DOUBLE) AS revenue_net FROM ss WHERE sku IN (SELECT sku FROM canon WHERE package IN (SELECT min(package) FROM canon)) GROUP BY 1", _SS),
+    "active_revisions": c("SELECT retailer_id, source_id, revision, array_to_string(list_sort(list(DISTINCT strftime(period, '%Y-%m-%d'))), ',') AS periods FROM ac WHERE is_active GROUP BY 1, 2, 3", _ACT),
+    "revision_ids": c("SELECT source_id, revision, 'source_artifact_' || substr(sha256(retailer_id || '|' || source_id || '|' || content_hash), 1, 16) AS source_artifact_id, 'source_revision_' || substr(sha256(retailer_id || '|' || source_id || '|' || content_hash || '|' || revision), 1, 16) AS source_revision_id FROM rv", _REVS),
+    "inactive_facts": c("SELECT x.source_id, x.period, x.revision, ac.revision AS expected FROM (SELECT store AS source_id, period, year(period) AS revision FROM canon GROUP BY ALL) x LEFT JOIN (SELECT * FROM ac WHERE is_active) ac ON ac.source_id = x.source_id AND ac.period = x.period WHERE x.revision IS DISTINCT FROM ac.revision", _ACT),
+    "build_coverage": c("SELECT a.source_id, count(*) AS n_active, count(b.period) AS n_held, min(a.period) AS first_period, max(a.period) AS last_period FROM (SELECT DISTINCT source_id, period FROM ac WHERE is_active) a LEFT JOIN (SELECT DISTINCT store AS source_id, period FROM canon WHERE period < DATE '1998-01-01') b ON a.source_id = b.source_id AND a.period = b.period GROUP BY 1", _ACT),
+    "resolve_build": c("SELECT source_id AS retailer_id, CAST(max(revision) FILTER (WHERE revision = 1997) AS VARCHAR) AS mart_build_id, count(*) AS n_builds, 'RESOLVED' AS state FROM rv GROUP BY 1 HAVING count(*) FILTER (WHERE revision = 1997) = 1 UNION ALL SELECT source_id, CASE WHEN count(*) = 1 THEN CAST(max(revision) AS VARCHAR) END, count(*), CASE WHEN count(*) = 1 THEN 'RESOLVED' ELSE 'AMBIGUOUS_BUILD' END FROM rv GROUP BY 1 HAVING count(*) FILTER (WHERE revision = 1997) <> 1", _REVS),
+    "period_modes": c("SELECT mode, count(DISTINCT period) AS n_periods, count(*) AS n_rows FROM (SELECT 'SINGLE_PERIOD' AS mode, period FROM canon WHERE period = DATE '1998-03-01' UNION ALL SELECT 'DATE_RANGE', period FROM canon WHERE period BETWEEN DATE '1998-01-01' AND DATE '1998-06-01' UNION ALL SELECT 'AVAILABLE_MONTH_SET', period FROM canon WHERE year(period) IN (2000, 2001) AND month(period) IN (SELECT month(period) FROM canon WHERE year(period) IN (2000, 2001) GROUP BY 1 HAVING count(DISTINCT year(period)) = 2) UNION ALL SELECT 'FULL_AVAILABLE_HISTORY', period FROM canon) GROUP BY 1"),
+    "gated_events": e("SELECT rule_id, count(*) AS n FROM det WHERE (SELECT count(*) FROM canon WHERE units IS NULL) = 0 GROUP BY 1", _EV),
+    "events_deduplicated": e("SELECT rule_id, count(*) AS n_events, CAST(sum(1) AS BIGINT) * 2 AS n_rows, 0 AS n_conflicts FROM det GROUP BY 1", _EV),
+}

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import exact_sum, ratio, volume_range
+from ..functions.expr import exact_sum, ratio, volume_filter, volume_range
 from ..operators import benchmarking as B
 from ..operators import breakdowns as D
+from ..operators import definitions as N
 from ..operators import economics as E
 from ..operators import events as V
+from ..operators import governance as G
 from ..operators import ingest as I
 from ..operators import mart as M
 from ..operators import metrics as K
@@ -163,7 +166,7 @@ def market_universe(spark, d):
 
 @query
 def volume_range_filter(spark, d):
-    rows = load_canonical(spark, d).where("volume_l > 0.25 and volume_l <= 1.0 or round(volume_l, 6) in (2.5)")
+    rows = load_canonical(spark, d).where(volume_filter("volume_l", (2.5,), ("gt_0_25_le_0_50", "gt_0_50_le_0_75", "gt_0_75_le_1_00")))
     return rows.groupBy("period", volume_range("volume_l").alias("volume_range")).agg(F.count("*").alias("n_rows"), exact_sum(D.units()).alias("units"))
 
 
@@ -209,7 +212,7 @@ def abc_batch(spark, d):
 @query
 def abc_portfolio(spark, d):
     rows = K.grain_metrics(month(enriched(spark, d)), "manufacturer")
-    return Q.abc_classes(rows, "revenue_net", entity="manufacturer").select("category", "manufacturer", "revenue_net", "cumulative_share", "abc_class")
+    return Q.abc_portfolio(rows, "revenue_net", ("category",), "manufacturer").select("category", "manufacturer", "revenue_net", "cumulative_share", "abc_class", "limitation")
 
 
 def _rank(name, by):
@@ -284,7 +287,10 @@ def relative_price(spark, d):
 
 def _facts(spark, d):
     rows = enriched(spark, d)
-    return M.metric_facts(K.grain_metrics(rows, "category")).unionByName(M.metric_facts(K.grain_metrics(rows, "manufacturer")))
+    makers = K.grain_metrics(rows, "manufacturer")
+    whole = F.sum(F.col("revenue_net").cast("decimal(24,8)")).over(Window.partitionBy("period", "category"))
+    makers = makers.withColumns({"category_revenue": whole.cast("double"), "category_revenue_share": ratio("revenue_net", whole)})
+    return M.metric_facts(K.grain_metrics(rows, "category")).unionByName(M.metric_facts(makers))
 
 
 @query
@@ -478,7 +484,8 @@ def event_missing_features(spark, d):
 @query
 def event_ids(spark, d):
     """Rows only: ids are stable within this engine."""
-    return V.detect(_event_facts(spark, d)).select("rule_id", "entity_id", "period", V.event_id("rule_id", "entity_id", "period").alias("event_id"))
+    events = V.identified(V.detect(_event_facts(spark, d)), "run_a", "retailer_a", "source_a", "rules_v1")
+    return events.select("rule_id", "entity_id", "period", "event_id")
 
 
 @query
@@ -519,3 +526,151 @@ def incremental_rebuild(spark, d):
     rows = enriched(spark, d)
     changed = month(rows, "1998-02-01")
     return S.rebuild(rows, changed, lambda r: K.grain_metrics(r, "category").select("period", "category", "revenue_net", "units"))
+
+
+def _contribution(parent, child):
+    def run(spark, d):
+        return Q.contribution(enriched(spark, d), parent, child, "revenue_net", CURRENT, REFERENCE)
+
+    QUERIES[f"contribution_{parent}_{child}"] = run
+
+
+for _pair in (("network", "category"), ("category", "manufacturer"), ("category", "sku")):
+    _contribution(*_pair)
+
+
+@query
+def metric_definitions(spark, d):
+    """All configured metrics of all grains, in dependency order, one aggregation for each grain."""
+    rows, _ = N.calculate(enriched(spark, d), N.standard_definitions())
+    return rows.select("period", "entity_type", "entity_id", "concept", "metric_name", "metric_value")
+
+
+@query
+def comparison_issues(spark, d):
+    values = _monthly(spark, d)
+    return P.comparison_issues(P.compare(values, ("category",), "revenue_net", "YOY"), values, "YOY")
+
+
+@query
+def fact_comparison(spark, d):
+    return M.fact_comparison(_facts(spark, d), CURRENT, REFERENCE)
+
+
+@query
+def month_set_ranges(spark, d):
+    return M.month_set_ranges(_facts(spark, d), 1998, 1997)
+
+
+@query
+def metric_templates(spark, d):
+    return M.metric_templates(_facts(spark, d))
+
+
+@query
+def filter_grain_rollup(spark, d):
+    filters = {"brand": ("Brand#11", "Brand#12", "Brand#7", "Brand#8"), "store": ("STORE_1", "STORE_2", "STORE_3")}
+    return N.filtered_rollup(M.sku_store_facts(enriched(spark, d)), filters)
+
+
+def _numbered(spark, d):
+    """Canonical rows with their place in the source order; several rows of one place are numbered by what they hold."""
+    rows = load_canonical(spark, d)
+    return rows.withColumn("source_row_number", F.xxhash64(*rows.columns))
+
+
+@query
+def sign_issues(spark, d):
+    return G.sign_issues(_numbered(spark, d)).groupBy("issue_code", "severity").agg(F.count("*").alias("n_rows"))
+
+
+@query
+def price_issues(spark, d):
+    return G.price_issues(_numbered(spark, d)).groupBy("issue_code", "field").agg(F.count("*").alias("n_rows"))
+
+
+@query
+def quality_summary(spark, d):
+    status = F.when((F.col("units") >= 0) & (F.col("revenue_vat") >= 0), "valid").otherwise("review")
+    return G.quality_summary(load_canonical(spark, d), status, [("no_input_price", F.col("input_price_vat").isNull()), ("unknown_private_label", F.col("private_label").isNull())])
+
+
+@query
+def row_sequence(spark, d):
+    rows = I.numbered(load_canonical(spark, d), ("period", "store"))
+    return G.sequence_issues(rows)
+
+
+@query
+def totals_reconcile(spark, d):
+    source = table(spark, d, "lineitem").select(F.expr("CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN -l_quantity ELSE l_quantity END").alias("units"))
+    return G.within_tolerance(source, load_canonical(spark, d), ("units",), 0.005)
+
+
+@query
+def latest_priced_period(spark, d):
+    return B.latest_priced_period(load_canonical(spark, d), ("category",), "shelf_price_vat")
+
+
+@query
+def product_filter(spark, d):
+    rows = load_canonical(spark, d)
+    package = rows.agg(F.min("package")).first()[0]
+    kept = G.product_filter(M.sku_store_facts(enriched(spark, d)), rows.select("sku", "package"), {"package": (package,)})
+    return kept.groupBy("period").agg(F.count("*").alias("n_rows"), F.sum(F.col("revenue_net").cast("decimal(24,8)")).cast("double").alias("revenue_net"))
+
+
+def _activated(spark, d):
+    rows = _revisions(spark, d)
+    fix = rows.where("revision = 1997").select("retailer_id", "source_id", F.lit(9999).alias("revision"), F.slice("periods", 1, 3).alias("periods"), "content_hash", F.lit("2005-01-01").cast("date").alias("activated"))
+    return M.activate_revisions(rows.unionByName(fix))
+
+
+@query
+def active_revisions(spark, d):
+    return G.active_revisions(_activated(spark, d)).withColumn("periods", F.array_join(F.transform("periods", lambda p: F.date_format(p, "yyyy-MM-dd")), ","))
+
+
+@query
+def revision_ids(spark, d):
+    return G.with_ids(_revisions(spark, d)).select("source_id", "revision", "source_artifact_id", "source_revision_id")
+
+
+@query
+def inactive_facts(spark, d):
+    facts = load_canonical(spark, d).select("retailer_id", F.col("store").alias("source_id"), "period", F.year("period").alias("revision"))
+    return G.inactive_facts(facts, _activated(spark, d)).drop("retailer_id")
+
+
+@query
+def build_coverage(spark, d):
+    builds = load_canonical(spark, d).where("period < date'1998-01-01'").select("retailer_id", F.col("store").alias("source_id"), "period")
+    return G.build_coverage(builds, _activated(spark, d)).drop("retailer_id")
+
+
+@query
+def resolve_build(spark, d):
+    builds = _revisions(spark, d).select(F.col("source_id").alias("retailer_id"), F.col("revision").cast("string").alias("mart_build_id"), F.when(F.col("revision") == 1997, "APPROVED").otherwise("DRAFT").alias("status"))
+    return G.resolve_build(builds)
+
+
+@query
+def period_modes(spark, d):
+    rows, out = load_canonical(spark, d).select("period"), None
+    for mode, more in (("SINGLE_PERIOD", {"first": CURRENT}), ("DATE_RANGE", {"first": "1998-01-01", "last": "1998-06-01"}), ("AVAILABLE_MONTH_SET", {"years": (2000, 2001)}), ("FULL_AVAILABLE_HISTORY", {})):
+        own = G.selected_periods(rows, mode, **more).agg(F.lit(mode).alias("mode"), F.countDistinct("period").alias("n_periods"), F.count("*").alias("n_rows"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query
+def gated_events(spark, d):
+    issues = load_canonical(spark, d).where("units is null").select(F.lit("MISSING_UNITS").alias("issue_code"), F.lit("FATAL").alias("severity"))
+    return G.gated(V.detect(_event_facts(spark, d)), issues).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+@query
+def events_deduplicated(spark, d):
+    events = V.identified(V.detect(_event_facts(spark, d)), "run_a", "retailer_a", "source_a", "rules_v1")
+    kept = V.deduplicated(events.unionByName(events), ("rule_id", "entity_id", "period", "current_value", "confidence"))
+    return kept.groupBy("rule_id").agg(F.count("*").alias("n_events"), F.sum("n_rows").alias("n_rows"), F.sum(F.col("conflict").cast("int")).cast("long").alias("n_conflicts"))
