@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, shared_folder
 
 SCALE = 64
 BINS = 512
@@ -23,6 +23,8 @@ BINS = 512
 QUERY_BLOCK = 4_096
 #: Candidates scored at once, so that a score matrix has at most 4M entries.
 SCORE_CELLS = 4_000_000
+#: Components and scores beyond a long are the nearest long but one (its negative is a long, too).
+LARGEST = 2**63 - 1
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -30,7 +32,7 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     x = F.transform(F.col(vec_col), lambda c: c.cast("double"))
     bad = F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).where("x is not null and vec_id is not null").where(~F.coalesce(bad, F.lit(True)))
-    return rows.select("vec_id", F.transform("x", lambda c: F.floor(c * SCALE).cast("long")).alias("v"))
+    return rows.select("vec_id", F.transform("x", lambda c: F.greatest(F.floor(F.greatest(F.least(c * SCALE, F.lit(float(2**63))), F.lit(-float(2**63)))).cast("long"), F.lit(-LARGEST))).alias("v"))
 
 
 def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
@@ -48,7 +50,10 @@ def _scored(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray) -
             part = m[lo : lo + step]
             # doubles hold the sums exactly while every product and sum stays under 2**53
             small = exact and np.abs(part).max(initial=0) < 2**20 and q.shape[1] < 2**13
-            scores = (part.astype(np.float64) @ qf).astype(np.int64) if small else part @ q.T
+            if small:
+                scores = (part.astype(np.float64) @ qf).astype(np.int64)
+            else:  # whole numbers of any size, cut to a long at the end
+                scores = np.clip(part.astype(object) @ q.T.astype(object), -LARGEST, LARGEST).astype(np.int64)
             yield own[lo : lo + step], scores
 
 
@@ -59,8 +64,9 @@ def _histograms(ids, q, low, width, k):
         counts = np.zeros((len(ids), BINS + 1), np.int64)
         flat = counts.reshape(-1)
         for own, scores in _scored(batches, ids, q):
-            bins = np.minimum((scores - low) // width, BINS)
-            row, col = np.nonzero((bins >= 0) & (own[:, None] != ids[None, :]))
+            above = (scores - low).view(np.uint64)  # right even where the difference is no long
+            bins = np.minimum(above // width.astype(np.uint64), np.uint64(BINS)).astype(np.int64)
+            row, col = np.nonzero((scores >= low) & (own[:, None] != ids[None, :]))
             flat += np.bincount(col * (BINS + 1) + bins[row, col], minlength=len(flat))
         from_top = counts[:, ::-1].cumsum(axis=1)[:, ::-1]
         need = (counts > 0) & (from_top - counts < k)
@@ -88,7 +94,7 @@ def kth_scores(rows: DataFrame, ids: np.ndarray, q: np.ndarray, bound: int, k: i
     """The k-th highest score of each query (or less than any score where there are fewer)."""
     low = np.full(len(ids), -bound, np.int64)
     width = np.full(len(ids), max(1, -(-(2 * bound + 1) // BINS)), np.int64)
-    while True:
+    while True:  # at most seven rounds for longs
         found = rows.mapInArrow(_histograms(ids, q, low, width, k), "q int, bin int, n long")
         summed = found.groupBy("q", "bin").agg(F.sum("n").alias("n"))
         above = F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0))
@@ -96,7 +102,7 @@ def kth_scores(rows: DataFrame, ids: np.ndarray, q: np.ndarray, bound: int, k: i
         at = np.zeros(len(ids), np.int64)
         for r in reached.collect():  # one number for each query of the block
             at[r["q"]] = r["bin"]
-        low = low + at * width
+        low = (low.view(np.uint64) + at.astype(np.uint64) * width.astype(np.uint64)).view(np.int64)
         if (width == 1).all():
             return low
         width = np.maximum(1, -(-width // BINS))
@@ -107,7 +113,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
 
     All other rows are candidates; equal scores go to the smaller id. Vectors that are NULL or hold NULL or non-finite
     parts take no part; vectors of another length than the table's longest are compared as if filled up with zeros.
-    Rows with the same id are candidates each, but never of their own id, and count as one query (the smallest vector).
+    Components and scores beyond a long are the nearest long. Rows with the same id are candidates each, but never of their own id, and count as one query (the smallest vector).
     An empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -121,18 +127,20 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     rows = cut(rows.select("vec_id", F.when(F.size("v") == width, F.col("v")).otherwise(F.slice(F.concat("v", F.array_repeat(F.lit(0).cast("long"), width)), 1, width)).alias("v")))
     queries = cut(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")))
     groups = -(-seen["queries"] // QUERY_BLOCK)
-    best = None
+    folder, written = shared_folder(spark, "top-k"), False
     for g in range(groups):
         # one block at a time; the bound on its size is QUERY_BLOCK times the spread of the hash
         block = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g).orderBy("vec_id").toPandas()
         if not len(block):
             continue
         ids, q = block["vec_id"].to_numpy(np.int64), np.array(block["v"].tolist(), np.int64).reshape(len(block), width)
-        bound = int(np.abs(q).sum(axis=1).max()) * int(seen["top"]) + 1
+        bound = min(LARGEST, max(sum(map(abs, x)) for x in q.tolist()) * int(seen["top"]) + 1)
         floor_ = kth_scores(rows, ids, q, bound, k)
         kept = rows.mapInArrow(_kept(ids, q, floor_, k), "query_id long, vec_id long, score long")
-        best = kept if best is None else best.unionByName(kept)
-    if best is None:
+        kept.write.mode("append").parquet(folder)  # so that the plan does not grow with the queries
+        written = True
+    if not written:
         return empty
+    best = spark.read.parquet(folder)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.select("query_id", place.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -13,6 +13,7 @@ import pyarrow as pa
 
 GROUP_BYTES = 1 << 20
 #: White space of the corpus contracts: space and the ASCII controls tab to carriage return.
+_LOWER = np.frombuffer(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256)), np.uint8)
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # fixed values: odd multipliers
 _BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,13 +91,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), bounds
 
 
-def groups(column: pa.Array) -> Iterator[Group]:
-    """The texts of a column in groups of about GROUP_BYTES; a longer text is a group of its own."""
+def groups(column: pa.Array, lower: bool = False) -> Iterator[Group]:
+    """The texts of a column in groups of about GROUP_BYTES; a longer text is a group of its own. ``lower`` lower-cases A-Z."""
     data, bounds = text_buffers(column)
     lo, n = 0, len(bounds) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + GROUP_BYTES, "right")) - 1)
         own, part = bounds[lo : hi + 1] - bounds[lo], data[bounds[lo] : bounds[hi]]
+        if lower:
+            part = _LOWER[part]
         gap = _SPACE[part]
         before, after = np.ones(len(part), bool), np.ones(len(part), bool)
         before[1:], after[:-1] = gap[:-1], gap[1:]

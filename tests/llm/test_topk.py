@@ -34,3 +34,16 @@ def test_ties_blocks_and_bad_vectors(spark, monkeypatch):
     assert sorted(map(tuple, topk.top_k(df).collect())) == brute(rows)
     assert topk.top_k(df.limit(0)).count() == 0
     assert topk.top_k(df.where("vec_id = 3")).count() == 0
+
+
+def test_large_values_have_defined_scores(spark):
+    rows = [(0, [1e10, 1.0]), (1, [1e10, 2.0]), (2, [-1e10, 0.0]), (3, [1e300, 0.0]), (20, [0.5, 0.5]), (4, [1e5, 1e5])]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5).collect()]
+    limit = 2**63 - 1
+    clip = lambda x: max(-limit, min(limit, x))
+    whole = {i: [clip(int(np.floor(max(-(2.0**63), min(2.0**63, 64 * x))))) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 20):
+        scores = sorted(((-clip(sum(a * b for a, b in zip(whole[q], whole[i], strict=True))), i) for i in whole if i != q))
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(scores, 1)]
+    assert sorted(got) == sorted(want)
