@@ -1,9 +1,10 @@
 """HTML main text by wrapper inference (union-free regular expressions over same-host pages).
 
-A page becomes a row of text blocks, each named by the path of the elements around it. Adjacent repeats fold into repeated
-groups. The structures of a host are then aligned one after another: what both have stays, what one lacks becomes optional,
-what differs in number becomes repeated; this gives the host's wrapper. The texts of a slot that never change over a host's
-pages are template text. A slot is content unless boilerplate elements surround it or its text is template text.
+A page becomes a row of text blocks, each named by the path of the elements around it. The pages of a host are aligned one
+after another: equal texts at equal paths anchor the alignment; between anchors, blocks at equal paths whose texts differ
+resolve into text slots; what one side lacks becomes optional, and neighbours at the path of a slot fold into it as a
+repeated slot. This gives the host's wrapper. What stays the same text in at least half of a host's distinct pages is
+template text; the rest is content, unless the nearest telling element around it is boilerplate by its tag or class.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import cut
 from .url_templates import url_host
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^>\"'])*>|<[!?][^>]*>", re.S)
+_QUOTED = re.compile(r"</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _MARK = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "template"))
@@ -35,17 +37,64 @@ _MAIN = frozenset(("article", "main"))
 _CLOSES_P = frozenset(("address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"))
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _FENCES = frozenset(("ul", "ol", "dl", "table", "article", "main", "body", "div", "section", "nav"))
-GROUP = 4
-#: Structures of a host are aligned in three rounds, so many groups share a host with many structures.
+#: A class name that begins so tells what is not there.
+_ABSENT = frozenset(("no", "without", "has", "with", "hide", "not"))
+#: Pages of a host are aligned in three rounds, so many groups share a host with many pages.
 ROUNDS = (1024, 32, 1)
+#: Longer paths are named by their hash.
+PATH_CHARS = 1000
+
+
+class Markup:
+    """Finds the pieces of markup of a page, in linear time: once a tag's quote is not closed, tags end at their first ``>``."""
+
+    def __init__(self, page: str):
+        self.page, self.quoted = page, True
+
+    def next(self, at: int) -> tuple[int, int] | None:
+        """Where the next piece at or behind a place begins and ends."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            after, end = page[at + 1 : at + 3].lstrip("/")[:1], None
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                end = end + 3 if end >= 0 else len(page)  # what is not closed takes the rest
+            elif page.startswith("<![CDATA[", at):
+                end = page.find("]]>", at)
+                end = end + 3 if end >= 0 else len(page)
+            elif page[at + 1 : at + 2] in ("!", "?"):
+                end = page.find(">", at) + 1 or len(page)
+            elif after.isascii() and after.isalpha():
+                found = _QUOTED.match(page, at) if self.quoted else None
+                self.quoted = found is not None
+                end = found.end() if found else page.find(">", at) + 1 or len(page)
+            if end is not None:
+                return at, end
+            at += 1
+        return None
+
+
+def told_by_class(token: str) -> list[str]:
+    """The boilerplate words in the class, id, role or itemprop of a tag."""
+    out = set()
+    for value in _MARK.findall(token):
+        for name in "".join(value).lower().split():
+            words = re.split(r"[^a-z0-9]+", name)
+            if words[0] not in _ABSENT:
+                out.update(w for w in words if w in _SKIPPED_MARKS)
+    return sorted(out)
 
 
 def blocks(page: str | None) -> list[tuple[str, str]]:
-    """``(path, text)`` of each text block in page order; character references decoded, white space folded."""
+    """``(path, text)`` of each text block in page order; character references decoded, white space folded.
+
+    A path begins with what the nearest telling element makes of it: ``m`` in a main element, ``s`` in boilerplate, ``n`` neither.
+    """
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []
+    open_: Counter = Counter()
     text: list[str] = []
-    path = ""
+    path = "n"
 
     def flush() -> None:
         if text:
@@ -57,22 +106,25 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
     def leave(depth: int) -> None:
         nonlocal path
         flush()
+        open_.subtract(t for t, _ in stack[depth:])
         del stack[depth:]
-        path = "/".join(mark for _, mark in stack)
+        path = stack[-1][1] if stack else "n"
 
     page, at = page or "", 0
-    found = _TOKEN.search(page)
-    while found:
-        if found.start() > at:
-            text.append(page[at : found.start()])
-        token, at = found[0], found.end()
+    markup = Markup(page)
+    while found := markup.next(at):
+        if found[0] > at:
+            text.append(page[at : found[0]])
+        token, at = page[found[0] : found[1]], found[1]
         name = _NAME.match(token)
         if name:
             tag = name[1].lower()
             if token[1] == "/":
                 if tag not in _INLINE:
-                    depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-                    flush() if depth is None else leave(depth)
+                    if open_[tag] > 0:
+                        leave(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
+                    else:
+                        flush()
             elif tag in _RAW and not token.endswith("/>"):
                 flush()
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
@@ -80,9 +132,9 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
             elif tag in ("br", "hr"):
                 flush()
             elif tag not in _VOID and tag not in _INLINE:
-                if tag in _CLOSES_P and any(t == "p" for t, _ in stack):
-                    leave(max(k for k, (t, _) in enumerate(stack) if t == "p"))
-                elif tag in _SAME:
+                if tag in _CLOSES_P and open_["p"] > 0:
+                    leave(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"))
+                elif tag in _SAME and any(open_[t] > 0 for t in _SAME[tag]):
                     for k in range(len(stack) - 1, -1, -1):
                         if stack[k][0] in _SAME[tag]:
                             leave(k)
@@ -91,135 +143,148 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
                             break
                 flush()
                 if not token.endswith("/>"):
-                    marks = sorted({w for m in _MARK.findall(token) for w in re.split(r"[^a-z0-9]+", "".join(m).lower()) if w in _SKIPPED_MARKS})
-                    stack.append((tag, ".".join([tag, *marks])))
-                    path = "/".join(mark for _, mark in stack)
+                    marks = [] if tag in ("html", "body") or tag in _MAIN else told_by_class(token)
+                    state = "m" if tag in _MAIN else "s" if tag in _SKIPPED or marks else path[0]
+                    path = f"{state}{path[1:]}/{'.'.join([tag, *marks])}"
+                    if len(path) > PATH_CHARS:
+                        path = f"{state}#{xxhash.xxh64_hexdigest(path)}"
+                    stack.append((tag, path))
+                    open_[tag] += 1
         elif token.startswith("<![CDATA["):
             text.append(html_lib.escape(token[9:].removesuffix("]]>")))
-        found = _TOKEN.search(page, at)
     text.append(page[at:])
     flush()
     return out
 
 
 def boilerplate(path: str) -> bool:
-    return any(step.partition(".")[0] in _SKIPPED or "." in step for step in path.split("/"))
+    return path[0] == "s"
 
 
 def in_main(path: str) -> bool:
-    return any(step.partition(".")[0] in _MAIN for step in path.split("/"))
+    return path[0] == "m"
+
+
+#: Items of a wrapper: [path, text hash or None for a slot, optional, repeated, pages that have this text].
+Item = list
+
+
+def said(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) >> 1
 
 
-def folded(items: list[list]) -> list[list]:
-    """Adjacent equal groups of up to GROUP items become one repeated group; items are ``[paths, optional, repeated]``."""
-    for width in range(1, GROUP + 1):
-        out: list[list] = []
-        for item in items:
+def shared(item: Item, pages: int) -> bool:
+    """Whether a text stands in a twentieth of the pages, as each does in the first twenty."""
+    return item[1] is not None and 20 * item[4] >= pages
+
+
+def folded(items: list[Item], pages: int) -> list[Item]:
+    """Neighbours at the path of a slot fold into it, but for shared texts."""
+    out: list[Item] = []
+    for item in items:
+        last = out[-1] if out else None
+        if last is not None and last[0] == item[0] and (last[1] is None or item[1] is None) and not shared(last, pages) and not shared(item, pages):
+            out[-1] = [item[0], None, last[2] and item[2], True, 0]
+        else:
             out.append(item)
-            while len(out) >= 2 * width and [x[0] for x in out[-width:]] == [x[0] for x in out[-2 * width : -width]]:
-                for old, new in zip(out[-2 * width : -width], out[-width:], strict=True):
-                    old[1], old[2] = old[1] and new[1], True
-                del out[-width:]
-        items = out
-    return items
+    return out
 
 
-def structure(paths: list[str]) -> str:
-    return json.dumps(folded([[p, False, False] for p in paths]))
+def structure(page: list[tuple[str, str]]) -> str:
+    """The wrapper of one page: all its blocks that are no boilerplate, with their texts."""
+    return json.dumps([1, [[path, said(text), False, False, 1] for path, text in page if not boilerplate(path)]])
 
 
 def align(a: str, b: str) -> str:
-    """The wrapper of two wrappers: shared items keep their place, the others become optional."""
-    left, right = json.loads(a), json.loads(b)
-    out: list[list] = []
-    matcher = SequenceMatcher(None, [x[0] for x in left], [x[0] for x in right], autojunk=False)
-    for kind, i, j, k, m in matcher.get_opcodes():
+    """The wrapper of two wrappers."""
+    (m, left), (n, right) = json.loads(a), json.loads(b)
+    out: list[Item] = []
+
+    def slots(xs: list[Item], ys: list[Item]) -> None:
+        """Between anchors: equal paths become slots, the others optional; a text that two pages share gives way to no other."""
+        paths = [[(x[0],) if x[1] is None or x[4] < 2 or not shared(x, size) else (x[0], x[1], side) for x in own] for side, (own, size) in enumerate(((xs, m), (ys, n)))]
+        for kind, i, j, k, l in SequenceMatcher(None, *paths, autojunk=False).get_opcodes():
+            if kind == "equal":
+                out.extend([x[0], None, x[2] or y[2], x[3] or y[3], 0] for x, y in zip(xs[i:j], ys[k:l], strict=True))
+            else:
+                out.extend([x[0], x[1], True, x[3], x[4]] for x in xs[i:j] + ys[k:l])
+
+    keys = [[(x[0], x[1]) for x in side] for side in (left, right)]
+    for kind, i, j, k, l in SequenceMatcher(None, *keys, autojunk=False).get_opcodes():
         if kind == "equal":
-            out += [[x[0], x[1] or y[1], x[2] or y[2]] for x, y in zip(left[i:j], right[k:m], strict=True)]
+            out += [[x[0], x[1], x[2] or y[2], x[3] or y[3], x[4] + y[4]] for x, y in zip(left[i:j], right[k:l], strict=True)]
         else:
-            out += [[x[0], True, x[2]] for x in left[i:j] + right[k:m]]
-    return json.dumps(folded(out))
+            slots(left[i:j], right[k:l])
+    return json.dumps([m + n, folded(out, m + n)])
 
 
 def _fold(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    whole, *rest = sorted(set(table.column("wrapper").to_pylist()))
+    whole, *rest = sorted(table.column("wrapper").to_pylist())
     for other in rest:
         whole = align(whole, other)
     return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "wrapper": pa.array([whole], pa.string())})
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """``(host, wrapper, slots)`` per page: its own structure and a hash of what each slot outside the main element says."""
+    """``(host, wrapper)`` of each page by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shapes, slots = [], []
-            for page in batch.column(1).to_pylist():
-                own, said = blocks(page), {}
-                for path, text in own:
-                    if not in_main(path) and not boilerplate(path):
-                        said.setdefault(path, []).append(text)
-                shapes.append(structure([p for p, _ in own]))
-                slots.append([{"path": p, "said": xxhash.xxh64_intdigest("\n".join(t)) >> 1} for p, t in sorted(said.items())])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(shapes, pa.string()), pa.array(slots, pa.list_(pa.struct([("path", pa.string()), ("said", pa.int64())])))],
-                names=["host", "wrapper", "slots"],
-            )
-
-    return pages.select("host", "html").mapInArrow(run, "host string, wrapper string, slots array<struct<path: string, said: bigint>>")
+            shapes = [structure(blocks(page)) for page in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.string())], names=["host", "wrapper"])
+
+    return pages.select("host", "html").mapInArrow(run, "host string, wrapper string")
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """``(host, wrapper, fixed)``: the wrapper as JSON items ``[path, optional, repeated]`` and the paths of template text."""
-    parsed = _parsed(pages)
-    shapes = cut(parsed.groupBy("host", "wrapper").agg(F.count("*").alias("n")))
-    wrappers = shapes.select("host", "wrapper")
+    """``(host, wrapper)``: JSON of the number of distinct pages and the items ``[path, text hash, optional, repeated, pages]``."""
+    wrappers = _parsed(pages).distinct()  # a page that stands again is no other page
     for groups in ROUNDS:
         salt = F.pmod(F.xxhash64("wrapper"), F.lit(groups)).alias("salt")
         wrappers = wrappers.select("host", "wrapper", salt).groupBy("host", "salt").applyInArrow(_fold, "host string, wrapper string")
-    slots = parsed.select("host", F.explode("slots").alias("s")).select("host", "s.path", "s.said")
-    stats = slots.groupBy("host", "path").agg(F.min("said").alias("a"), F.max("said").alias("b"), F.count("*").alias("n"))
-    fixed = stats.where("a = b and n >= 3").groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("fixed"))
-    return wrappers.join(fixed, "host", "left")
+    return wrappers
 
 
-def content_paths(wrapper: str, fixed: list[str] | None) -> frozenset[str]:
-    """The slots of a wrapper that hold content."""
-    left_out = frozenset(fixed or ())
-    return frozenset(path for path, _, _ in json.loads(wrapper) if not boilerplate(path) and path not in left_out)
+def template_texts(wrapper: str) -> frozenset[tuple[str, int]]:
+    """(path, text hash) of the template text: the same in three distinct pages and half of the host's, where other text varies."""
+    pages, items = json.loads(wrapper)
+    if all(item[1] is not None for item in items):
+        return frozenset()
+    return frozenset((path, text) for path, text, _, _, n in items if text is not None and n >= 3 and 2 * n >= pages)
 
 
-def main_text(page: str | None, content: frozenset[str]) -> str:
+def main_text(page: str | None, template: frozenset[tuple[str, int]]) -> str:
     """The content blocks joined by a space; where a page has a main element, only those inside."""
-    own = [(path, text) for path, text in blocks(page) if path in content]
-    inside = [text for path, text in own if in_main(path)]
-    return " ".join(inside or [text for _, text in own])
+    own = [(path, text) for path, text in blocks(page) if not boilerplate(path)]
+    if any(in_main(path) for path, _ in own):
+        own = [(path, text) for path, text in own if in_main(path)]
+    return " ".join(text for path, text in own if (path, said(text)) not in template)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)`` per row of pages; n_chars counts code points.
 
-    NULL and empty html give an empty text; pages without a host share the wrapper of the empty host; repeated rows stay;
-    pages without text are part of no wrapper; an empty table gives no rows; other columns are ignored.
+    NULL and empty html give an empty text; pages without a host share the wrapper of the empty host; repeated rows stay and
+    count as one page of the wrapper; very long pages are parsed whole, in time that grows with their length; what is not
+    closed takes the rest of the page; of equal alignments the first is taken, and pages are aligned in the order of their
+    structures; an empty table gives no rows; other columns are ignored.
     """
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), url_host(url).alias("host"))
     wrappers = cut(infer_wrappers(rows))
-    size = wrappers.agg(F.sum(F.length("wrapper") + F.coalesce(F.length(F.to_json("fixed")), F.lit(0))).alias("n")).first()["n"] or 0
+    size = wrappers.agg(F.sum(F.length("wrapper")).alias("n")).first()["n"] or 0
     side = F.broadcast(wrappers) if size <= 8_000_000 else wrappers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, frozenset[str]] = {}
+        known: dict[str, frozenset] = {}
         for batch in batches:
             texts = []
-            for page, wrapper, fixed in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                key = (wrapper, tuple(fixed or ()))
-                if key not in known:
+            for page, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if wrapper not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[key] = content_paths(wrapper, fixed)
-                texts.append(main_text(page, known[key]))
+                    known[wrapper] = template_texts(wrapper)
+                texts.append(main_text(page, known[wrapper]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    joined = rows.join(side, "host").select("page_id", "url", "html", "wrapper", "fixed")
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.join(side, "host").select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string, n_chars long")

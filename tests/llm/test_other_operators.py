@@ -22,11 +22,6 @@ def test_main_text_of_odd_pages(spark):
     assert h.extract_main_text(df.limit(0)).count() == 0
 
 
-def test_wrappers_get_optional_and_repeated_parts():
-    assert h.structure(["a", "a", "b", "c", "b", "c"]) == '[["a", false, true], ["b", false, true], ["c", false, true]]'
-    assert h.align(h.structure(["a", "b"]), h.structure(["a", "a", "c"])) == '[["a", false, true], ["b", true, false], ["c", true, false]]'
-
-
 def test_em_finds_accurate_labellers():
     rng = np.random.default_rng(0)
     bad = rng.random(20_000) < 0.2
@@ -53,16 +48,6 @@ def test_masked_scores(spark, odd_docs, no_docs):
     assert m.score_documents(no_docs).count() == 0
 
 
-def test_network_learns_the_next_class():
-    tokens = np.tile(np.array([1, 2, 3, 4], np.int32), 3000)
-    trainer = m.Trainer(m.initial())
-    rows, bucket = m.contexts([tokens])
-    for _ in range(20):
-        trainer.learn(rows, bucket)
-    logp = m.forward(trainer.weights, rows)[2]
-    assert logp[np.arange(len(rows)), bucket % m.CLASSES].mean() > -0.2
-
-
 def test_shifted_recording_is_aligned(spark):
     rng = np.random.default_rng(3)
     song = rng.normal(0, 0.2, 64).tolist()
