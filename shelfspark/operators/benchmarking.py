@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import ratio, volume_range
@@ -44,24 +46,46 @@ def peers(products: DataFrame, pool: DataFrame, on: tuple[str, ...]) -> DataFram
     return left.join(right, list(on)).where("target <> peer").select("target", "peer").distinct()
 
 
-def benchmark_ranks(products: DataFrame, metric: str, ascending: bool = False) -> DataFrame:
-    """Rank and mid-rank percentile of each SKU among the competitors of its category and itself, without making pairs.
+def benchmark_ranks(products: DataFrame, metric: str, ascending: bool | Column = False, by: tuple[str, ...] = ("category",)) -> DataFrame:
+    """Rank and mid-rank percentile of each SKU among the competitors of its group and itself, without making pairs.
 
     Among competitors the rank comes from a window; an own product ranks one behind the competitors that beat it.
     """
     v = F.col(metric)
-    order = v if ascending else -v
-    part = Window.partitionBy("category")
+    order = F.when(F.lit(ascending) if isinstance(ascending, bool) else ascending, v).otherwise(-v)
+    part = Window.partitionBy(*by)
     rival = F.when(~F.col("is_own") & v.isNotNull(), 1).otherwise(0)
     before = part.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy("category", metric)
+    same = Window.partitionBy(*by, metric)
     upto, ties, n = F.sum(rival).over(before), F.sum(rival).over(same), F.sum(rival).over(part)
     own = F.when(F.col("is_own"), 1).otherwise(0)
-    rows = products.where(v.isNotNull()).select("category", "sku", "is_own", v.alias("value"), (upto - ties + 1).alias("rank"), (ties + own).alias("ties"), (n + own).alias("population"))
+    rows = products.where(v.isNotNull()).select(*by, "sku", "is_own", v.alias("value"), (upto - ties + 1).alias("rank"), (ties + own).alias("ties"), (n + own).alias("population"))
     mid = F.col("rank") + (F.col("ties") - 1) / F.lit(2.0)
     return rows.withColumn("percentile", F.when(F.col("population") > 1, 1 - (mid - 1) / (F.col("population") - 1)))
 
 
+#: The metrics that products are benchmarked by.
+BENCHMARK_METRICS = ("revenue_net", "units", "units_per_selling_store", "retailer_margin_abs", "numeric_distribution", "weighted_shelf_price_vat")
+#: Scope -> the dimensions that its peers share.
+SCOPES = {"BROAD": ("category",), "DIRECT": ("category", "carbonation", "price_segment")}
+
+
+def benchmark_features(products: DataFrame, metrics: tuple[str, ...] = BENCHMARK_METRICS, scopes: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Rank, percentile and population of every SKU for each metric in each scope: one pass of windows, no pairs.
+
+    A SKU without one of a scope's dimensions is in no group of it; a NULL metric has no row.
+    """
+    scopes = SCOPES if scopes is None else scopes
+    held = [
+        F.when(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in dims]), F.struct(F.lit(name).alias("scope"), F.concat_ws("|", *[F.col(c).cast("string") for c in dims]).alias("scope_key")))
+        for name, dims in scopes.items()
+    ]
+    items = ", ".join(f"'{m}', cast({m} as double)" for m in metrics)
+    rows = products.select("sku", "is_own", *metrics, F.explode(F.array_compact(F.array(*held))).alias("s"))
+    rows = rows.select("s.scope", "s.scope_key", "sku", "is_own", F.expr(f"stack({len(metrics)}, {items}) as (metric, measure)"))
+    return benchmark_ranks(rows, "measure", F.col("metric") == "weighted_shelf_price_vat", ("scope", "scope_key", "metric"))  # the cheapest first
+
+
 def relative_prices(products: DataFrame) -> DataFrame:
     """Price against the median of the category's competitors, the target itself left out.
 

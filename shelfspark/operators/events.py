@@ -50,6 +50,43 @@ def detect(facts: DataFrame, rules=RULES) -> DataFrame:
     return out.withColumn("confidence", confidence(F.lit("HIGH"), F.col("comparison_quality"), F.lit(None).cast("long")))
 
 
+#: (event type, family, metric, conditions) over comparisons of many metrics.
+FAMILY_RULES = (
+    ("MATERIAL_REVENUE_GROWTH", "GROWTH_DECLINE", "revenue_net", [("delta_pct", "gte", 0.10)]), ("MATERIAL_REVENUE_DECLINE", "GROWTH_DECLINE", "revenue_net", [("delta_pct", "lte", -0.10)]),
+    ("MATERIAL_UNITS_GROWTH", "GROWTH_DECLINE", "units", [("delta_pct", "gte", 0.10)]), ("MATERIAL_UNITS_DECLINE", "GROWTH_DECLINE", "units", [("delta_pct", "lte", -0.10)]),
+    ("MATERIAL_MARGIN_GROWTH", "GROWTH_DECLINE", "margin_abs", [("delta_pct", "gte", 0.10)]), ("MATERIAL_MARGIN_DECLINE", "GROWTH_DECLINE", "margin_abs", [("delta_pct", "lte", -0.10)]),
+    ("DISTRIBUTION_GAIN", "DISTRIBUTION", "numeric_distribution", [("delta_pp", "gte", 0.05)]), ("DISTRIBUTION_LOSS", "DISTRIBUTION", "numeric_distribution", [("delta_pp", "lte", -0.05)]),
+    ("VELOCITY_GAIN", "VELOCITY", "units_per_store", [("delta_pct", "gte", 0.10)]), ("VELOCITY_LOSS", "VELOCITY", "units_per_store", [("delta_pct", "lte", -0.10)]),
+    ("STABLE_VELOCITY", "VELOCITY", "units_per_store", [("delta_pct", "between", (-0.05, 0.05))]),
+    ("SHARE_GAIN", "SHARE", "category_revenue_share", [("delta_pp", "gte", 0.005)]), ("SHARE_LOSS", "SHARE", "category_revenue_share", [("delta_pp", "lte", -0.005)]),
+    ("PRICE_INCREASE", "PRICE", "avg_shelf_price", [("delta_pct", "gte", 0.03)]), ("PRICE_DECREASE", "PRICE", "avg_shelf_price", [("delta_pct", "lte", -0.03)]),
+    ("MARGIN_PCT_GAIN", "MARGIN_PCT", "margin_pct", [("delta_pp", "gte", 0.01)]), ("MARGIN_PCT_EROSION", "MARGIN_PCT", "margin_pct", [("delta_pp", "lte", -0.01)]),
+)
+#: (event type, conditions) over the changes of an entity's metrics side by side; all must be there.
+PATTERN_RULES = (
+    ("PRICE_POWER_PATTERN", [("avg_shelf_price", "gte", 0.03), ("units", "gte", 0.0)]),
+    ("PRICE_PRESSURE_PATTERN", [("avg_shelf_price", "gte", 0.03), ("units", "lte", -0.10)]),
+    ("PROMO_LIKE_PATTERN", [("avg_shelf_price", "lte", -0.03), ("units", "gte", 0.10)]),
+)
+
+
+def detect_families(compared: DataFrame, rules=FAMILY_RULES) -> DataFrame:
+    """Rules of all families in one pass over comparisons of many metrics; no shuffle."""
+    fired = [F.when((F.col("metric") == metric) & rule_condition(conditions, compared.columns), F.struct(F.lit(kind).alias("event_type"), F.lit(family).alias("event_family"))) for kind, family, metric, conditions in rules]
+    out = compared.select("*", F.explode(F.array_compact(F.array(*fired))).alias("e"))
+    out = out.withColumn("confidence", confidence(F.lit("HIGH"), F.col("comparison_quality"), F.lit(None).cast("long")))
+    return out.select("e.*", "entity_id", "period", "metric", "current_value", "reference_value", "delta_pct", "delta_pp", "confidence")
+
+
+def patterns(compared: DataFrame, rules=PATTERN_RULES) -> DataFrame:
+    """Pattern candidates: the relative changes of the named metrics of an entity and period side by side, in one grouping."""
+    names = sorted({field for _, conditions in rules for field, _, _ in conditions})
+    rows = compared.where(F.col("metric").isin(*names))  # only what the rules look at is shuffled
+    wide = rows.groupBy("entity_id", "period").agg(*[F.max(F.when(F.col("metric") == m, F.col("delta_pct"))).alias(m) for m in names])
+    fired = [F.when(rule_condition(conditions, wide.columns), F.lit(kind)) for kind, conditions in rules]
+    return wide.select(F.explode(F.array_compact(F.array(*fired))).alias("event_type"), F.lit("PATTERN_CANDIDATE").alias("event_family"), "entity_id", "period", *names)
+
+
 def confidence(own, quality, population):
     """HIGH falls to MEDIUM on a comparison of LOW quality or a population under two."""
     weak = F.coalesce(quality == "LOW", F.lit(False)) | F.coalesce(population < 2, F.lit(False))

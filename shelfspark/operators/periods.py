@@ -57,6 +57,14 @@ def compare(values: DataFrame, keys: tuple[str, ...], metric: str, kind: str, cu
     )
 
 
+def compare_metrics(wide: DataFrame, keys: tuple[str, ...], metrics: tuple[str, ...], kind: str, custom=None) -> DataFrame:
+    """Several metrics of a wide table compared in one grouping; each metric's name tells whether its delta is in points."""
+    items = ", ".join(f"'{m}', cast({m} as double)" for m in metrics)
+    long = wide.select("period", *keys, F.expr(f"stack({len(metrics)}, {items}) as (metric, value)"))
+    points = F.col("metric").isin(*POINT_METRICS) | F.col("metric").endswith("_share")
+    return compare(long, (*keys, "metric"), "value", kind, custom).withColumn("delta_pp", F.when(points, F.col("delta_abs")))
+
+
 def comparison_issues(compared: DataFrame, values: DataFrame, kind: str, custom=None) -> DataFrame:
     """Rows without base, rows with a zero base, and periods without a reference period, counted by period."""
     missing = compared.groupBy("period").agg(F.sum(F.col("reference_value").isNull().cast("int")).alias("MISSING_COMPARISON_BASE"), F.sum((F.col("reference_value") == 0).cast("int")).alias("ZERO_METRIC_DENOMINATOR"))

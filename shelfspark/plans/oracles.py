@@ -289,3 +289,33 @@ ORACLES |= {
     "gated_events": e("SELECT rule_id, count(*) AS n FROM det WHERE (SELECT count(*) FROM canon WHERE units IS NULL) = 0 GROUP BY 1", _EV),
     "events_deduplicated": e("SELECT rule_id, count(*) AS n_events, CAST(sum(1) AS BIGINT) * 2 AS n_rows, 0 AS n_conflicts FROM det GROUP BY 1", _EV),
 }
+
+_FEATURES = ("revenue_net", "units", "margin_abs", "margin_pct", "avg_shelf_price", "category_revenue_share", "numeric_distribution", "units_per_store")
+_CF = f"""{grain('manufacturer', 'g0')}, act AS (SELECT period, {STORES} AS active_stores FROM e GROUP BY period),
+ w AS (SELECT g0.*, category || '|' || manufacturer AS entity_id, {r('revenue_net', 'sum(CAST(revenue_net AS DECIMAL(24,8))) OVER (PARTITION BY period, category)')} AS category_revenue_share, {r('selling_stores', 'active_stores')} AS numeric_distribution,
+ {r('units', 'selling_stores')} AS units_per_store FROM g0 JOIN act USING (period)),
+ g AS (SELECT period, entity_id, unnest([{', '.join(f"'{m}'" for m in _FEATURES)}]) AS metric, unnest([{', '.join(f'CAST({m} AS DOUBLE)' for m in _FEATURES)}]) AS value FROM w),
+ cmp AS (SELECT * REPLACE (CASE WHEN metric IN ('margin_pct', 'numeric_distribution', 'category_revenue_share') THEN delta_abs END AS delta_pp) FROM ({compare(('entity_id', 'metric'), 'value', YOY, 'g', 'YOY')}))"""
+_KINDS = [
+    ("MATERIAL_REVENUE_GROWTH", "GROWTH_DECLINE", "revenue_net", "delta_pct >= 0.10"), ("MATERIAL_REVENUE_DECLINE", "GROWTH_DECLINE", "revenue_net", "delta_pct <= -0.10"),
+    ("MATERIAL_UNITS_GROWTH", "GROWTH_DECLINE", "units", "delta_pct >= 0.10"), ("MATERIAL_UNITS_DECLINE", "GROWTH_DECLINE", "units", "delta_pct <= -0.10"),
+    ("MATERIAL_MARGIN_GROWTH", "GROWTH_DECLINE", "margin_abs", "delta_pct >= 0.10"), ("MATERIAL_MARGIN_DECLINE", "GROWTH_DECLINE", "margin_abs", "delta_pct <= -0.10"),
+    ("DISTRIBUTION_GAIN", "DISTRIBUTION", "numeric_distribution", "delta_abs >= 0.05"), ("DISTRIBUTION_LOSS", "DISTRIBUTION", "numeric_distribution", "delta_abs <= -0.05"),
+    ("VELOCITY_GAIN", "VELOCITY", "units_per_store", "delta_pct >= 0.10"), ("VELOCITY_LOSS", "VELOCITY", "units_per_store", "delta_pct <= -0.10"), ("STABLE_VELOCITY", "VELOCITY", "units_per_store", "delta_pct BETWEEN -0.05 AND 0.05"),
+    ("SHARE_GAIN", "SHARE", "category_revenue_share", "delta_abs >= 0.005"), ("SHARE_LOSS", "SHARE", "category_revenue_share", "delta_abs <= -0.005"),
+    ("PRICE_INCREASE", "PRICE", "avg_shelf_price", "delta_pct >= 0.03"), ("PRICE_DECREASE", "PRICE", "avg_shelf_price", "delta_pct <= -0.03"),
+    ("MARGIN_PCT_GAIN", "MARGIN_PCT", "margin_pct", "delta_abs >= 0.01"), ("MARGIN_PCT_EROSION", "MARGIN_PCT", "margin_pct", "delta_abs <= -0.01"),
+]
+_BM = f"""{_PRODUCTS}, act AS (SELECT {STORES} AS active_stores FROM e WHERE period = {CUR}),
+ pm AS (SELECT category, sku, prod.is_own, prod.carbonation, price_segment, unnest(['revenue_net', 'units', 'units_per_selling_store', 'retailer_margin_abs', 'numeric_distribution', 'weighted_shelf_price_vat']) AS metric,
+ unnest([revenue_net, units, {r('units', 'selling_stores')}, margin_abs, {r('selling_stores', 'active_stores')}, avg_shelf_price]) AS v FROM prod JOIN seg USING (category, sku), act),
+ px AS (SELECT 'BROAD' AS scope, category AS scope_key, sku, is_own, metric, v FROM pm WHERE v IS NOT NULL UNION ALL SELECT 'DIRECT', category || '|' || carbonation || '|' || price_segment, sku, is_own, metric, v FROM pm WHERE v IS NOT NULL AND carbonation IS NOT NULL)"""
+ORACLES |= {
+    "compare_features": e("SELECT * FROM cmp", _CF),
+    "event_families": e(" UNION ALL ".join(f"SELECT '{k}' AS event_type, '{f}' AS event_family, entity_id, period, metric, current_value, reference_value, delta_pct, delta_pp, CASE WHEN comparison_quality = 'LOW' THEN 'MEDIUM' ELSE 'HIGH' END AS confidence FROM cmp WHERE metric = '{m}' AND {x}" for k, f, m, x in _KINDS), _CF),
+    "event_patterns": e("""SELECT kind AS event_type, 'PATTERN_CANDIDATE' AS event_family, entity_id, period, p.delta_pct AS avg_shelf_price, u.delta_pct AS units FROM (SELECT * FROM cmp WHERE metric = 'avg_shelf_price') p JOIN (SELECT * FROM cmp WHERE metric = 'units') u USING (entity_id, period)
+ JOIN (VALUES ('PRICE_POWER_PATTERN'), ('PRICE_PRESSURE_PATTERN'), ('PROMO_LIKE_PATTERN')) k(kind) ON (kind = 'PRICE_POWER_PATTERN' AND p.delta_pct >= 0.03 AND u.delta_pct >= 0) OR (kind = 'PRICE_PRESSURE_PATTERN' AND p.delta_pct >= 0.03 AND u.delta_pct <= -0.10) OR (kind = 'PROMO_LIKE_PATTERN' AND p.delta_pct <= -0.03 AND u.delta_pct >= 0.10)""", _CF),
+    "event_candidates": e("SELECT 'any' AS rule_id, metric, count(*) AS n_facts FROM cmp GROUP BY metric UNION ALL SELECT 'good', metric, count(*) FROM cmp WHERE comparison_quality = 'HIGH' GROUP BY metric", _CF),
+    "benchmark_features": e("""SELECT *, CASE WHEN population > 1 THEN 1 - (rank + (ties - 1) / 2.0::DOUBLE - 1) / (population - 1) END AS percentile FROM (SELECT a.scope, a.scope_key, a.metric, a.sku, a.is_own, a.v AS value, 1 + count(*) FILTER (WHERE CASE WHEN a.metric = 'weighted_shelf_price_vat' THEN b.v < a.v ELSE b.v > a.v END) AS rank,
+ count(*) FILTER (WHERE b.v = a.v) + CAST(a.is_own AS INT) AS ties, count(b.sku) + CAST(a.is_own AS INT) AS population FROM px a LEFT JOIN (SELECT * FROM px WHERE NOT is_own) b ON a.scope = b.scope AND a.scope_key = b.scope_key AND a.metric = b.metric GROUP BY a.scope, a.scope_key, a.metric, a.sku, a.is_own, a.v)""", _BM),
+}

@@ -674,3 +674,50 @@ def events_deduplicated(spark, d):
     events = V.identified(V.detect(_event_facts(spark, d)), "run_a", "retailer_a", "source_a", "rules_v1")
     kept = V.deduplicated(events.unionByName(events), ("rule_id", "entity_id", "period", "current_value", "confidence"))
     return kept.groupBy("rule_id").agg(F.count("*").alias("n_events"), F.sum("n_rows").alias("n_rows"), F.sum(F.col("conflict").cast("int")).cast("long").alias("n_conflicts"))
+
+
+FEATURES = ("revenue_net", "units", "margin_abs", "margin_pct", "avg_shelf_price", "category_revenue_share", "numeric_distribution", "units_per_store")
+
+
+def _compared_features(spark, d):
+    rows = enriched(spark, d)
+    own = K.category_share(K.grain_metrics(rows, "manufacturer")).withColumnRenamed("share", "category_revenue_share")
+    active = rows.groupBy("period").agg(F.countDistinct(F.when(F.col("units") > 0, F.col("store"))).alias("active_stores"))
+    wide = own.join(F.broadcast(active), "period")  # a row a month
+    wide = wide.withColumns({"entity_id": F.concat_ws("|", "category", "manufacturer"), "numeric_distribution": ratio("selling_stores", "active_stores"), "units_per_store": ratio("units", "selling_stores")})
+    return P.compare_metrics(wide, ("entity_id",), FEATURES, "YOY")
+
+
+@query
+def compare_features(spark, d):
+    return _compared_features(spark, d)
+
+
+@query
+def event_families(spark, d):
+    return V.detect_families(_compared_features(spark, d))
+
+
+@query
+def event_patterns(spark, d):
+    return V.patterns(_compared_features(spark, d))
+
+
+@query
+def event_candidates(spark, d):
+    facts = _compared_features(spark, d).withColumns({"feature": F.lit("comparison"), "entity_type": F.lit("manufacturer")})
+    wanted = [("any", "comparison", None, None), ("good", "comparison", ["manufacturer", "brand"], ["HIGH"]), ("skus", "comparison", ["sku"], None), ("peers", "benchmark", None, None)]
+    rules = spark.createDataFrame(wanted, "rule_id string, feature string, entity_types array<string>, qualities array<string>")
+    return V.candidates(facts, F.broadcast(rules)).groupBy("rule_id", "metric").agg(F.count("*").alias("n_facts"))
+
+
+@query
+def benchmark_features(spark, d):
+    rows = enriched(spark, d)
+    active = month(rows).agg(F.countDistinct(F.when(F.col("units") > 0, F.col("store"))).alias("active_stores"))
+    products = B.price_segments(_products(spark, d)).crossJoin(F.broadcast(active))  # one row
+    products = products.withColumns({
+        "units_per_selling_store": ratio("units", "selling_stores"), "numeric_distribution": ratio("selling_stores", "active_stores"),
+        "retailer_margin_abs": F.col("margin_abs"), "weighted_shelf_price_vat": F.col("avg_shelf_price"),
+    })
+    return B.benchmark_features(products)
