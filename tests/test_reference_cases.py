@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.operators import definitions, economics, events, governance, mart, periods, portfolio
+from shelfspark.operators import benchmarking, definitions, economics, events, governance, mart, periods, portfolio
 
 
 def d(text):
@@ -144,6 +144,23 @@ def test_event_duplicates_vocabulary_and_scope(spark):
     assert events.scope_limitations(["entity_type", "entity_id"], {"category": ("c",), "sku": ("s",)}, grain="sku", private_label_scope="ONLY") == ("event_private_label_scope_not_materialized", "event_category_scope_not_materialized")
 
 
+def test_families_and_patterns(spark):
+    rows = [(d(p), "e", *v) for p, v in (("2025-01-01", (100.0, 100.0, 10.0, 0.5, 0.2)), ("2026-01-01", (105.0, 120.0, 9.0, 0.6, 0.2)))]
+    wide = spark.createDataFrame(rows, "period date, entity_id string, revenue_net double, units double, avg_shelf_price double, numeric_distribution double, margin_pct double")
+    compared = periods.compare_metrics(wide, ("entity_id",), ("revenue_net", "units", "avg_shelf_price", "numeric_distribution", "margin_pct"), "YOY")
+    assert sorted((r["event_type"], r["event_family"]) for r in events.detect_families(compared).collect()) == [("DISTRIBUTION_GAIN", "DISTRIBUTION"), ("MATERIAL_UNITS_GROWTH", "GROWTH_DECLINE"), ("PRICE_DECREASE", "PRICE")]
+    assert [r["event_type"] for r in events.patterns(compared).collect()] == ["PROMO_LIKE_PATTERN"]
+
+
+def test_benchmark_features_of_hand_rows(spark):
+    rows = [("c", "own", True, "still", None, 5.0, 2.0), ("c", "x", False, "still", "MID", 9.0, 3.0), ("c", "y", False, "still", "MID", 5.0, None)]
+    df = spark.createDataFrame(rows, "category string, sku string, is_own boolean, carbonation string, price_segment string, units double, weighted_shelf_price_vat double")
+    got = {(r["scope"], r["metric"], r["sku"]): (r["rank"], r["population"]) for r in benchmarking.benchmark_features(df, ("units", "weighted_shelf_price_vat")).collect()}
+    assert got["BROAD", "units", "own"] == (2, 3) and got["BROAD", "units", "x"] == (1, 2)
+    assert got["BROAD", "weighted_shelf_price_vat", "own"] == (1, 2) and ("BROAD", "weighted_shelf_price_vat", "y") not in got
+    assert ("DIRECT", "units", "own") not in got and got["DIRECT", "units", "y"] == (2, 2)
+
+
 def test_revisions_and_builds(spark):
     builds = spark.createDataFrame([("r", "b1", "APPROVED"), ("r", "b2", "DRAFT"), ("q", "b3", "DRAFT"), ("p", "b4", "DRAFT"), ("p", "b5", "DRAFT")], "retailer_id string, mart_build_id string, status string")
     assert {r["retailer_id"]: (r["mart_build_id"], r["state"]) for r in governance.resolve_build(builds).collect()} == {"r": ("b1", "RESOLVED"), "q": ("b3", "RESOLVED"), "p": (None, "AMBIGUOUS_BUILD")}
