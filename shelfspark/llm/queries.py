@@ -72,6 +72,12 @@ def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
 
 
+def op11_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_tiles import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hard_negatives import mine_hard_negatives
 
@@ -99,6 +105,7 @@ QUERIES = {
         op8_exact_top_k,
         op9_fm_dedup,
         op10_weak_quality,
+        op11_jaccard_tiles,
         op12_hard_negatives,
         op13_fill_middle,
     )
@@ -116,6 +123,16 @@ ORACLES: dict[str, str] = {
  words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
  kept AS (SELECT r, string_agg(word, ' ' ORDER BY k) AS t, count(*) AS n FROM words ANTI JOIN gone USING (r, k) GROUP BY r)
  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)""",
+    "op11_jaccard_tiles": f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) AS w FROM documents),
+ s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM d),
+ sized AS (SELECT r, doc_id, len(g) AS n, list_sort(g) AS g FROM s),
+ c AS (SELECT g, min(r) AS c, any_value(n) AS n FROM sized WHERE n > 0 GROUP BY g),
+ x AS (SELECT c, n, unnest(g) AS t FROM c),
+ p AS (SELECT a.c AS u, b.c AS v FROM x a JOIN x b ON a.t = b.t AND a.c <> b.c GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+ reach(u, v) AS (SELECT c, c FROM c UNION SELECT reach.u, p.v FROM reach JOIN p ON reach.v = p.u),
+ members AS (SELECT c.c, sized.r, sized.doc_id FROM sized JOIN c ON sized.g = c.g),
+ least AS (SELECT reach.u AS c, min(m.doc_id) AS component_id FROM reach JOIN members m ON m.c = reach.v GROUP BY reach.u)
+ SELECT sized.doc_id, CAST(n AS BIGINT) AS n_shingles, CASE WHEN n > 0 THEN component_id ELSE sized.doc_id END AS component_id FROM sized LEFT JOIN members m ON m.r = sized.r LEFT JOIN least ON least.c = m.c""",
     "op12_hard_negatives": """WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
  s AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
