@@ -116,5 +116,5 @@ def product_table(df: DataFrame, period) -> DataFrame:
 
     own = df.where(F.col("period") == F.lit(period).cast("date"))
     first = [F.first(c).alias(c) for c in ("is_own", "carbonation", "package", "volume_l")]
-    rows = own.groupBy("category", "sku").agg(*first, *sums())
+    rows = own.groupBy("category", "sku").agg(*first, *sums(own))
     return rows.withColumn("price", F.col("avg_shelf_price")).withColumn("volume_band", volume_range("volume_l"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import exact_sum, ratio, volume_range
+from .metrics import selling, sold
 
 
 def units():
@@ -18,10 +19,10 @@ def kpis(df: DataFrame, entity: str, by_period: bool = True) -> DataFrame:
     litres = (units() * F.col("volume_l").cast("decimal(10,3)")).cast("decimal(24,8)")
     own = df.groupBy(*keys, entity).agg(
         exact_sum(units()).alias("units"), exact_sum("revenue_vat").alias("revenue_vat"),
-        F.countDistinct(F.when(F.col("units") > 0, F.col("store"))).alias("selling_stores"),
+        selling(df, "store").alias("selling_stores"),
         ratio(F.sum(F.when(F.col("volume_l") > 0, F.col("revenue_vat"))), F.sum(F.when(F.col("volume_l") > 0, litres))).alias("price_per_litre"),
     )
-    market = df.groupBy(*keys).agg(F.countDistinct(F.when(F.col("units") > 0, F.col("store"))).alias("active_stores"))
+    market = df.groupBy(*keys).agg(selling(df, "store").alias("active_stores"))
     out = own.join(market, list(keys)) if keys else own.crossJoin(F.broadcast(market))  # one row
     return out.withColumn("velocity", ratio("units", "selling_stores")).withColumn("distribution", ratio("selling_stores", "active_stores"))
 
@@ -29,7 +30,7 @@ def kpis(df: DataFrame, entity: str, by_period: bool = True) -> DataFrame:
 def weighted_distribution(df: DataFrame, entity: str) -> DataFrame:
     """Category revenue of the stores that sell the entity, over the category's revenue."""
     by_store = df.groupBy("period", "category", "store").agg(F.sum("revenue_vat").alias("r"))
-    sells = df.where("units > 0").select("period", "category", entity, "store").distinct()
+    sells = df.where(sold(df)).select("period", "category", entity, "store").distinct()
     reach = sells.join(by_store, ["period", "category", "store"]).groupBy("period", "category", entity).agg(F.sum("r").alias("reached"))
     total = by_store.groupBy("period", "category").agg(F.sum("r").alias("total"))
     return reach.join(total, ["period", "category"]).select("period", "category", entity, ratio("reached", "total").alias("weighted_distribution"))
@@ -38,7 +39,7 @@ def weighted_distribution(df: DataFrame, entity: str) -> DataFrame:
 def format_distribution(df: DataFrame, entity: str) -> DataFrame:
     """Selling stores over all stores of each format; every entity of a month has a row for every format of it, zero without sales."""
     universe = df.groupBy("period", "store_format").agg(F.countDistinct("store").alias("format_stores"))
-    own = df.groupBy("period", "store_format", entity).agg(F.countDistinct(F.when(F.col("units") > 0, F.col("store"))).alias("n"))
+    own = df.groupBy("period", "store_format", entity).agg(selling(df, "store").alias("n"))
     entities = own.select("period", entity).distinct()
     grid = entities.join(universe, "period")  # formats of a month are a few
     out = grid.join(own, ["period", "store_format", entity], "left").withColumn("selling_stores", F.coalesce("n", F.lit(0)).cast("long")).drop("n")
@@ -84,7 +85,7 @@ def diagnostics(df: DataFrame, entity: str, current, reference) -> DataFrame:
     now, then = F.col("period") == c, F.col("period") == r
     out = df.where(F.col("period").isin(c, r)).groupBy(entity).agg(
         *[exact_sum(F.when(k, F.col(m))).alias(f"{n}_{m}") for n, k in (("current", now), ("reference", then)) for m in ("revenue_net", "margin_abs")],
-        F.countDistinct(F.when(now & (F.col("units") > 0), F.col("sku"))).alias("current_skus"), F.countDistinct(F.when(then & (F.col("units") > 0), F.col("sku"))).alias("reference_skus"),
+        F.countDistinct(F.when(now & sold(df), F.col("sku"))).alias("current_skus"), F.countDistinct(F.when(then & sold(df), F.col("sku"))).alias("reference_skus"),
     )
     return out.withColumn("revenue_delta", F.col("current_revenue_net") - F.col("reference_revenue_net")).withColumn("margin_pct", ratio("current_margin_abs", "current_revenue_net")).withColumn("sku_delta", F.col("current_skus") - F.col("reference_skus"))
 

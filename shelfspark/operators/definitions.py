@@ -79,57 +79,151 @@ def resolve(definitions) -> tuple[list[Definition], list[str]]:
     return order, [d.name for d in waiting]
 
 
-def _guarded(d: Definition, c: Column) -> Column:
-    return c if d.condition is None else F.when(CONDITIONS[d.condition[1]](F.col(d.condition[0]), d.condition[2]), c)
+#: What the rows of a presence base are told by: a month, a SKU with its attributes, a store with its place.
+DIMENSIONS = ("period", "category", "manufacturer", "brand", "sku", "store")
+
+
+def _name(condition: tuple[str, str, object] | None) -> str:
+    """The flag of a condition; sales are what counts ask for most."""
+    if condition is None:
+        return "present"
+    return "sold" if condition == ("units", "gt", 0) else "is_" + "_".join(str(x).replace(".", "_").replace("-", "m") for x in condition)
+
+
+def _part(column: str, d: Definition, of: str = "") -> str:
+    return column + of + ("" if d.condition is None else f"_{_name(d.condition)}")
+
+
+def parts(definitions) -> dict[str, Column]:
+    """The aggregates of sales rows that all metrics can be made of, by name: sums add up and flags are joined by OR in every roll-up."""
+    out: dict[str, Column] = {}
+    for d in definitions:
+        met = F.lit(True) if d.condition is None else F.coalesce(CONDITIONS[d.condition[1]](F.col(d.condition[0]), d.condition[2]), F.lit(False))
+        total = lambda c: F.sum(F.when(met, c.cast(MONEY)))  # noqa: B023, E731
+        if d.aggregation == "sum":
+            out[_part(d.column, d)] = total(F.col(d.column))
+        elif d.aggregation == "ratio_of_sums":
+            out |= {_part(c, d): total(F.col(c)) for c in (d.numerator, d.denominator)}
+        elif d.aggregation == "weighted_average":
+            used = (F.col(d.weight) > 0) & F.col(d.column).isNotNull()
+            out[_part(d.column, d, "_value")] = total(F.when(used, F.col(d.column) * F.col(d.weight)))
+            out[_part(d.column, d, "_weight")] = total(F.when(used, F.col(d.weight)))
+        elif d.aggregation == "distinct_count":
+            out[_name(d.condition)] = F.max(met)
+        elif d.aggregation != "derived_ratio":
+            raise ValueError(f"no aggregation {d.aggregation}")
+    return out
 
 
-def _aggregates(d: Definition) -> dict[str, Column]:
-    """Value, numerator and denominator of a metric that rows give."""
-    total = lambda c: F.sum(_guarded(d, c.cast(MONEY))).cast("double")
+def presence(df: DataFrame, definitions, dimensions: tuple[str, ...] = DIMENSIONS, more: tuple[Column, ...] = ()) -> DataFrame:
+    """One row for each month, SKU and store with the parts of the definitions: the base that every grain is rolled up from."""
+    return df.groupBy(*dimensions).agg(*[c.alias(k) for k, c in parts(definitions).items()], *more)
+
+
+def _counted(definitions) -> list[tuple[Definition, tuple[str, ...], str]]:
+    """(definition, keys that it is counted by, flag) of the distinct counts."""
+    return [(d, GRAINS[d.grain] if d.broadcast is None else d.broadcast, _name(d.condition)) for d in definitions if d.aggregation == "distinct_count"]
+
+
+def rolled_up(base: DataFrame, order: list[Definition]) -> DataFrame:
+    """One row for each month, grain and entity with the parts and counts of all grains side by side, from one pass over the base.
+
+    Distinct values are counted in two steps: GROUPING SETS bring the base to one row for each entity and counted value, and
+    those rows are counted by entity, so no set of values is held anywhere. A grain's sums come from the smallest of these
+    sets that tells its entities apart. Counts by coarser keys are joined back.
+    """
+    keys = tuple(k for k in DIMENSIONS if k != "period")
+    grains, counted = list(dict.fromkeys(d.grain for d in order)), _counted(order)
+    names = list(parts(order))
+    flags = [n for n in names if n in {f for _, _, f in counted}]
+    sums = [n for n in names if n not in flags]
+    sets = {frozenset((*by, d.column)) for d, by, _ in counted} | {frozenset(GRAINS[g]) for g in grains if not any(d.grain == g and d.broadcast is None for d, _, _ in counted)}
+    carrier = {g: min((s for s in sets if s >= set(GRAINS[g])), key=lambda s: (len(s), sorted(s))) for g in grains}
+    sets = {s for s in sets if any(frozenset((*by, d.column)) == s for d, by, _ in counted) or s in carrier.values()}
+    listed = sorted(sets, key=lambda s: (len(s), sorted(s)))
+    merged = [F.sum(n).alias(n) for n in sums] + [F.max(n).alias(n) for n in flags]
+    gid = lambda s: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s)
+    one = base.groupingSets([("period", *[k for k in keys if k in s]) for s in listed], "period", *keys).agg(F.grouping_id().alias("gid"), *merged)
+    slots = list(dict.fromkeys((by, d.column, f) for d, by, f in counted))
+    # a row of a set goes to the grains that take their sums from it and to the keys that count it
+    targets = {tuple(GRAINS[g]): g for g in grains}
+
+    def goes_to(s: frozenset) -> list[Column]:
+        out = []
+        for by in dict.fromkeys([*targets, *[by for by, _, _ in slots]]):
+            here = [k for k, (b, c, _) in enumerate(slots) if b == by and frozenset((*b, c)) == s]
+            sums_here = by in targets and carrier[targets[by]] == s
+            if here or sums_here:
+                own = [F.col(k) if k in by else F.lit(None).cast("string") for k in keys]
+                out.append(F.struct(F.lit("+".join(by)).alias("by"), *[c.cast("string").alias(k) for c, k in zip(own, keys, strict=True)], F.lit(sums_here).alias("carried"), *[F.lit(k in here).alias(f"slot{k}") for k in range(len(slots))]))
+        return out
+
+    to = None
+    for s in listed:
+        to = (F if to is None else to).when(F.col("gid") == gid(s), F.array(*goes_to(s)))
+    rows = one.select("period", F.explode(to).alias("to"), *keys, *sums, *flags)
+    seen = lambda k: F.count(F.when(F.col(f"to.slot{k}") & F.col(slots[k][2]) & F.col(slots[k][1]).isNotNull(), 1)).cast("double")
+    two = rows.groupBy("period", "to.by", *[F.col(f"to.{k}").alias(k) for k in keys]).agg(
+        *[F.sum(F.when(F.col("to.carried"), F.col(n))).alias(n) for n in sums], *[seen(k).alias(f"count{k}") for k in range(len(slots))], F.max("to.carried").alias("carried")
+    )
+    out = two.where("carried")
+    for by in dict.fromkeys(d.broadcast for d, _, _ in counted if d.broadcast is not None):
+        own = [k for k, (b, _, _) in enumerate(slots) if b == by]
+        side = two.where(F.col("by") == "+".join(by)).select("period", *by, *[F.col(f"count{k}").alias(f"all{k}") for k in own])
+        out = out.join(F.broadcast(side) if not by else side, ["period", *by], "left")  # without keys there is a row a month
+    place = {slot: k for k, slot in enumerate(slots)}
+    named = {d.name: F.coalesce(F.col(f"{'count' if d.broadcast is None else 'all'}{place[by, d.column, f]}"), F.lit(0.0)) for d, by, f in counted}
+    grain = None
+    for by, g in targets.items():
+        grain = (F if grain is None else grain).when(F.col("by") == "+".join(by), g)
+    return out.select("period", grain.alias("grain"), *keys, *sums, *[c.alias(n) for n, c in named.items()])
+
+
+def _value(d: Definition) -> tuple[Column, Column | None, Column | None]:
+    """Value, numerator and denominator of a metric from rolled-up parts."""
+    total = lambda c: F.col(c).cast("double")
     if d.aggregation == "sum":
-        return {d.name: F.coalesce(total(F.col(d.column)), F.lit(0.0))}
-    if d.aggregation == "ratio_of_sums":
-        n, m = total(F.col(d.numerator)), total(F.col(d.denominator))
-        return {d.name: ratio(n, m), f"{d.name}:n": n, f"{d.name}:d": m}
-    if d.aggregation == "weighted_average":
-        used = (F.col(d.weight) > 0) & F.col(d.column).isNotNull()
-        n, m = total(F.when(used, F.col(d.column) * F.col(d.weight))), total(F.when(used, F.col(d.weight)))
-        return {d.name: ratio(n, m), f"{d.name}:n": n, f"{d.name}:d": m}
+        return F.coalesce(total(_part(d.column, d)), F.lit(0.0)), None, None
     if d.aggregation == "distinct_count":
-        return {d.name: F.countDistinct(_guarded(d, F.col(d.column))).cast("double")}
-    raise ValueError(f"no aggregation {d.aggregation}")
-
-
-def grain_table(df: DataFrame, order: list[Definition], grain: str) -> DataFrame:
-    """All metrics of a grain side by side: one grouping, coarser counts joined back, derived ratios behind what they need."""
-    keys, own = GRAINS[grain], [d for d in order if d.grain == grain]
-    named = {k: c for d in own if d.aggregation != "derived_ratio" and d.broadcast is None for k, c in _aggregates(d).items()}
-    out = df.groupBy("period", *keys).agg(*[c.alias(k) for k, c in named.items()])
-    for coarse in dict.fromkeys(d.broadcast for d in own if d.broadcast is not None):
-        counts = [c.alias(k) for d in own if d.broadcast == coarse for k, c in _aggregates(d).items()]
-        out = out.join(df.groupBy("period", *coarse).agg(*counts), ["period", *coarse])
-    for d in own:
-        if d.aggregation == "derived_ratio":
-            out = out.withColumns({d.name: ratio(d.numerator, d.denominator), f"{d.name}:n": F.col(d.numerator), f"{d.name}:d": F.col(d.denominator)})
-    return out
+        return F.col(d.name), None, None
+    if d.aggregation == "ratio_of_sums":
+        n, m = total(_part(d.numerator, d)), total(_part(d.denominator, d))
+    else:
+        n, m = total(_part(d.column, d, "_value")), total(_part(d.column, d, "_weight"))
+    return ratio(n, m), n, m
 
 
-def calculate(df: DataFrame, definitions) -> tuple[DataFrame, list[str]]:
-    """Long metrics with metadata, and MISSING_METRIC_DEPENDENCY issues. Grains that lack a key column have it NULL."""
+def calculate_base(base: DataFrame, definitions) -> tuple[DataFrame, list[str]]:
+    """Long metrics with metadata from a presence base, and MISSING_METRIC_DEPENDENCY issues. Grains that lack a key column have it NULL."""
     order, missing = resolve(definitions)
-    config, out = config_hash(definitions), None
+    held: dict[str, tuple[Column, Column | None, Column | None]] = {}
+    for d in order:
+        if d.aggregation == "derived_ratio":
+            n, m = held[d.numerator][0], held[d.denominator][0]
+            held[d.name] = ratio(n, m), n, m
+        else:
+            held[d.name] = _value(d)
+    names = ("concept", "metric_name", "metric_definition_id", "metric_definition_version", "aggregation", "share_scope", "numerator_metric_name", "denominator_metric_name")
+
+    def item(d: Definition) -> Column:
+        parents = (d.numerator, d.denominator) if d.aggregation in ("derived_ratio", "ratio_of_sums") else (None, None)
+        texts = (d.concept, d.name, d.definition_id, d.version, d.aggregation, d.share_scope, *parents)
+        numbers = [F.lit(None) if c is None else c for c in held[d.name]]
+        return F.struct(*[F.lit(t).cast("string").alias(n) for n, t in zip(names, texts, strict=True)], *[c.cast("double").alias(n) for n, c in zip(("metric_value", "numerator_value", "denominator_value"), numbers, strict=True)])
+
+    items, entity = None, None
     for grain in dict.fromkeys(d.grain for d in order):
-        keys, wide = GRAINS[grain], grain_table(df, order, grain)
-        own = [d for d in order if d.grain == grain]
-        part = lambda d, k: f"`{d.name}:{k}`" if f"{d.name}:{k}" in wide.columns else "cast(null as double)"  # noqa: B023, E731
-        text = lambda x: "cast(null as string)" if x is None else f"'{x}'"
-        items = ", ".join(f"'{d.concept}', '{d.name}', '{d.definition_id}', '{d.version}', '{d.aggregation}', {text(d.share_scope)}, `{d.name}`, {part(d, 'n')}, {part(d, 'd')}" for d in own)
-        rows = wide.select(
-            "period", *keys, F.lit(grain).alias("entity_type"), (F.col(keys[-1]) if keys else F.lit("ALL")).alias("entity_id"), F.lit(config).alias("metric_config_hash"),
-            F.expr(f"stack({len(own)}, {items}) as (concept, metric_name, metric_definition_id, metric_definition_version, aggregation, share_scope, metric_value, numerator_value, denominator_value)"),
-        )
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    return out, [f"MISSING_METRIC_DEPENDENCY:{name}" for name in missing]
+        own, keys = F.array(*[item(d) for d in order if d.grain == grain]), GRAINS[grain]
+        items = (F if items is None else items).when(F.col("grain") == grain, own)
+        entity = (F if entity is None else entity).when(F.col("grain") == grain, F.col(keys[-1]) if keys else F.lit("ALL"))
+    keys = [k for k in DIMENSIONS if k != "period"]
+    rows = rolled_up(base, order).select("period", *keys, F.col("grain").alias("entity_type"), entity.alias("entity_id"), F.lit(config_hash(definitions)).alias("metric_config_hash"), F.explode(items).alias("m"))
+    return rows.select("period", *keys, "entity_type", "entity_id", "metric_config_hash", "m.*"), [f"MISSING_METRIC_DEPENDENCY:{name}" for name in missing]
+
+
+def calculate(df: DataFrame, definitions) -> tuple[DataFrame, list[str]]:
+    """calculate_base over sales rows."""
+    return calculate_base(presence(df, resolve(definitions)[0]), definitions)
 
 
 #: The grains from fine to coarse, which filters select.

@@ -123,7 +123,7 @@ def sku_store_facts(df: DataFrame) -> DataFrame:
     return df.groupBy("period", "sku", "store", "category", "manufacturer", "brand", "store_format", "region").agg(
         exact_sum("revenue_vat").alias("revenue_vat"), exact_sum("revenue_net").alias("revenue_net"),
         exact_sum(F.col("units").cast("decimal(18,2)")).alias("units"), exact_sum("margin_abs").alias("margin_abs"),
-        F.sum(F.col("margin_abs").isNull().cast("int")).cast("long").alias("null_margins"),
+        (F.sum("null_margins") if "null_margins" in df.columns else F.sum(F.col("margin_abs").isNull().cast("int")).cast("long")).alias("null_margins"),
     )
 
 

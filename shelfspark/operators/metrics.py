@@ -19,56 +19,59 @@ GRAINS = {
 SCOPE = ("retailer_id", "source_id", "analysis_run_id", "period")
 
 
-def sums(one: str | None = None):
-    """The core sums; all metrics of a grain come from one aggregation. ``one`` names the dimension that a group has one of."""
-    weighted = F.col("units") > 0
+def sold(df: DataFrame):
+    """Whether a row stands for a sale: sales rows tell by their units, rows of a presence base by their flag."""
+    return F.col("sold") if "sold" in df.columns else F.col("units") > 0
+
+
+def priced(df: DataFrame):
+    """(value, units) that average prices come from; a presence base holds both."""
+    if "priced_value" in df.columns:
+        return F.col("priced_value"), F.col("priced_units")
     price = (F.col("shelf_price_vat") * F.col("units")).cast("decimal(24,8)")
+    return F.when(sold(df), price), F.when(sold(df), F.col("units").cast("decimal(18,2)"))
+
+
+def base_parts():
+    """What a presence base holds beside the parts of the configured metrics."""
+    value, units = (F.when(F.col("units") > 0, c) for c in ((F.col("shelf_price_vat") * F.col("units")).cast("decimal(24,8)"), F.col("units").cast("decimal(18,2)")))
+    return (F.sum(value).alias("priced_value"), F.sum(units).alias("priced_units"), F.count("*").alias("n_rows"), F.sum(F.col("margin_abs").isNull().cast("int")).cast("long").alias("null_margins"))
+
+
+def sums(df: DataFrame, one: str | None = None):
+    """The core sums; all metrics of a grain come from one aggregation. ``one`` names the dimension that a group has one of."""
+    price, priced_units = priced(df)
     return [
         exact_sum("revenue_vat").alias("revenue_vat"),
         exact_sum("revenue_net").alias("revenue_net"),
         exact_sum(F.col("units").cast("decimal(18,2)")).alias("units"),
         exact_sum("margin_abs").alias("margin_abs"),
         ratio(F.sum("margin_abs"), F.sum("revenue_net")).alias("margin_pct"),
-        ratio(F.sum(F.when(weighted, price)), F.sum(F.when(weighted, F.col("units").cast("decimal(18,2)")))).alias("avg_shelf_price"),
-        F.sum(F.when(weighted, price)).cast("double").alias("priced_value"),
-        F.sum(F.when(weighted, F.col("units").cast("decimal(18,2)"))).cast("double").alias("priced_units"),
-        selling("store", one).alias("selling_stores"),
-        selling("sku", one).alias("selling_skus"),
+        ratio(F.sum(price), F.sum(priced_units)).alias("avg_shelf_price"),
+        F.sum(price).cast("double").alias("priced_value"),
+        F.sum(priced_units).cast("double").alias("priced_units"),
+        selling(df, "store", one).alias("selling_stores"),
+        selling(df, "sku", one).alias("selling_skus"),
     ]
 
 
-def selling(dimension: str, one: str | None = None):
+def selling(df: DataFrame, dimension: str, one: str | None = None):
     """Distinct values with sales; in a group of one value no distinct count is needed."""
     if dimension == one:
-        return F.coalesce(F.max(F.when(F.col("units") > 0, 1)), F.lit(0)).cast("long")
-    return F.countDistinct(F.when(F.col("units") > 0, F.col(dimension)))
+        return F.coalesce(F.max(F.when(sold(df), 1)), F.lit(0)).cast("long")
+    return F.countDistinct(F.when(sold(df), F.col(dimension)))
 
 
 def grain_metrics(df: DataFrame, grain: str) -> DataFrame:
     keys = GRAINS[grain]
     entity = F.col(keys[-1]) if keys else F.lit("ALL")
-    out = df.groupBy("period", *keys).agg(*sums(keys[-1] if keys else None))
+    out = df.groupBy("period", *keys).agg(*sums(df, keys[-1] if keys else None))
     return out.withColumn("entity_type", F.lit(grain)).withColumn("entity_id", entity)
 
 
 METRICS = ("revenue_vat", "revenue_net", "units", "margin_abs", "margin_pct", "avg_shelf_price", "selling_stores", "selling_skus")
 
 
-def long_metrics(wide: DataFrame) -> DataFrame:
-    """Wide metrics of a grain to one row per metric."""
-    pairs = ", ".join(f"'{m}', cast({m} as double)" for m in METRICS)
-    keep = [c for c in ("period", "category", "manufacturer", "brand", "entity_type", "entity_id") if c in wide.columns]
-    return wide.select(*keep, F.expr(f"stack({len(METRICS)}, {pairs}) as (metric, value)"))
-
-
-def all_metrics(df: DataFrame, grains=("network", "category", "manufacturer", "brand")) -> DataFrame:
-    parts = [long_metrics(grain_metrics(df, g)) for g in grains]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
-
-
 def category_share(metrics: DataFrame, value: str = "revenue_net") -> DataFrame:
     """Share of each entity in its category and month; NULL on a zero total."""
     total = F.sum(F.col(value).cast("decimal(24,8)")).over(Window.partitionBy("period", "category"))
@@ -78,7 +81,7 @@ def category_share(metrics: DataFrame, value: str = "revenue_net") -> DataFrame:
 def distribution(df: DataFrame, grain: str) -> DataFrame:
     """Selling stores over the stores active in the month, and units and revenue per selling store."""
     own = grain_metrics(df, grain)
-    active = df.groupBy("period").agg(F.countDistinct(F.when(F.col("units") > 0, F.col("store"))).alias("active_stores"))
+    active = df.groupBy("period").agg(selling(df, "store").alias("active_stores"))
     out = own.join(active, "period")
     return out.select(
         "period", *GRAINS[grain], "selling_stores", "active_stores",
@@ -100,12 +103,12 @@ def private_label_scope(df: DataFrame, scope: str, keep_unknown: bool = False) -
 
 def scoped_metrics(df: DataFrame, scopes=("INCLUDE", "EXCLUDE", "ONLY")) -> DataFrame:
     """Category metrics by scope; the active stores stay those of the whole market."""
-    active = df.groupBy("period").agg(F.countDistinct(F.when(F.col("units") > 0, F.col("store"))).alias("active_stores"))
+    active = df.groupBy("period").agg(selling(df, "store").alias("active_stores"))
     flag = F.col("private_label")
     own = F.array_compact(F.array(*[x for x in (F.lit("INCLUDE") if "INCLUDE" in scopes else None, F.when(flag == F.lit(False), "EXCLUDE") if "EXCLUDE" in scopes else None, F.when(flag, "ONLY") if "ONLY" in scopes else None) if x is not None]))
     by = df.select("*", F.explode(own).alias("scope")).groupBy("period", "scope", "category").agg(
         exact_sum("revenue_net").alias("revenue_net"), exact_sum(F.col("units").cast("decimal(18,2)")).alias("units"),
-        F.countDistinct(F.when(F.col("units") > 0, F.col("store"))).alias("selling_stores"),
+        selling(df, "store").alias("selling_stores"),
     )
     return by.join(active, "period").withColumn("numeric_distribution", ratio("selling_stores", "active_stores"))
 

@@ -17,6 +17,7 @@ from ..operators import mart as M
 from ..operators import metrics as K
 from ..operators import periods as P
 from ..operators import portfolio as Q
+from ..sources.store import open_build
 from ..sources.tables import load_canonical, table
 from ..streaming import incremental as S
 from .oracles import CURRENT, GAP, ORACLES, REFERENCE
@@ -34,13 +35,23 @@ def enriched(spark, d):
     return E.load_enriched(spark, d)
 
 
+#: What sales rows are told by in the stored base; SKUs and stores with conflicting attributes keep a row for each.
+BASE = (*N.DIMENSIONS, "store_format", "region", "package", "carbonation", "volume_l", "private_label", "is_own")
+
+
+def based(spark, d):
+    """The presence base of the sales: stored once for a build and read by every query on sums and counts."""
+    made = lambda: N.presence(enriched(spark, d), N.standard_definitions(), BASE, K.base_parts())
+    return open_build(spark, d).dataset("presence", made)
+
+
 def month(df, p=CURRENT):
     return df.where(F.col("period") == F.lit(p).cast("date"))
 
 
 @query
 def category_month_economics(spark, d):
-    return K.grain_metrics(enriched(spark, d), "category").select("period", "category", "revenue_vat", "revenue_net", "units", "margin_pct", "avg_shelf_price")
+    return K.grain_metrics(based(spark, d), "category").select("period", "category", "revenue_vat", "revenue_net", "units", "margin_pct", "avg_shelf_price")
 
 
 @query
@@ -123,7 +134,7 @@ def reconciliation(spark, d):
 
 def _grain(name):
     def run(spark, d):
-        return K.grain_metrics(enriched(spark, d), name).select("period", *[k for k in K.GRAINS[name]], *K.METRICS)
+        return K.grain_metrics(based(spark, d), name).select("period", *[k for k in K.GRAINS[name]], *K.METRICS)
 
     QUERIES[f"metrics_{name}"] = run
 
@@ -134,32 +145,32 @@ for _name in K.GRAINS:
 
 @query
 def active_store_count_broadcast(spark, d):
-    return K.distribution(enriched(spark, d), "brand").select("period", "category", "manufacturer", "brand", "selling_stores", "active_stores")
+    return K.distribution(based(spark, d), "brand").select("period", "category", "manufacturer", "brand", "selling_stores", "active_stores")
 
 
 @query
 def numeric_distribution(spark, d):
-    return K.distribution(enriched(spark, d), "brand").select("period", "category", "manufacturer", "brand", "numeric_distribution")
+    return K.distribution(based(spark, d), "brand").select("period", "category", "manufacturer", "brand", "numeric_distribution")
 
 
 @query
 def velocity(spark, d):
-    return K.distribution(enriched(spark, d), "manufacturer").select("period", "category", "manufacturer", "units_per_store", "revenue_per_store")
+    return K.distribution(based(spark, d), "manufacturer").select("period", "category", "manufacturer", "units_per_store", "revenue_per_store")
 
 
 @query
 def metric_share(spark, d):
-    return K.category_share(K.grain_metrics(enriched(spark, d), "brand")).select("period", "category", "manufacturer", "brand", "revenue_net", "share")
+    return K.category_share(K.grain_metrics(based(spark, d), "brand")).select("period", "category", "manufacturer", "brand", "revenue_net", "share")
 
 
 @query
 def pl_scoped_metrics(spark, d):
-    return K.scoped_metrics(enriched(spark, d))
+    return K.scoped_metrics(based(spark, d))
 
 
 @query
 def market_universe(spark, d):
-    rows = enriched(spark, d)
+    rows = based(spark, d)
     parts = [K.market_universe(rows, u).groupBy("period").agg(exact_sum("revenue_net").alias("revenue_net")).withColumn("universe", F.lit(u)) for u in Q.UNIVERSES]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
@@ -171,7 +182,7 @@ def volume_range_filter(spark, d):
 
 
 def _monthly(spark, d):
-    return K.grain_metrics(enriched(spark, d).where(f"period <> date'{GAP}'"), "category").select("period", "category", "revenue_net", "units")
+    return K.grain_metrics(based(spark, d).where(f"period <> date'{GAP}'"), "category").select("period", "category", "revenue_net", "units")
 
 
 @query
@@ -206,18 +217,18 @@ def month_set_compare(spark, d):
 
 @query
 def abc_batch(spark, d):
-    return Q.abc_classes(K.grain_metrics(enriched(spark, d), "sku"), "revenue_net").select("period", "category", "sku", "revenue_net", "abc_share", "cumulative_share", "abc_class")
+    return Q.abc_classes(K.grain_metrics(based(spark, d), "sku"), "revenue_net").select("period", "category", "sku", "revenue_net", "abc_share", "cumulative_share", "abc_class")
 
 
 @query
 def abc_portfolio(spark, d):
-    rows = K.grain_metrics(month(enriched(spark, d)), "manufacturer")
+    rows = K.grain_metrics(month(based(spark, d)), "manufacturer")
     return Q.abc_portfolio(rows, "revenue_net", ("category",), "manufacturer").select("category", "manufacturer", "revenue_net", "cumulative_share", "abc_class", "limitation")
 
 
 def _rank(name, by):
     def run(spark, d):
-        rows = K.grain_metrics(enriched(spark, d), name)
+        rows = K.grain_metrics(based(spark, d), name)
         keys = K.GRAINS[name]
         return Q.ranks(rows, "revenue_net", by).select("period", *keys, "revenue_net", "rank", "tie_count", "population")
 
@@ -229,7 +240,7 @@ for _name, _by in (("category", ("period",)), ("manufacturer", ("period", "categ
 
 
 def _movement(spark, d):
-    return Q.movement(K.grain_metrics(enriched(spark, d), "sku").select("period", "category", "sku", "revenue_net"), ("category", "sku"), "revenue_net", CURRENT, REFERENCE)
+    return Q.movement(K.grain_metrics(based(spark, d), "sku").select("period", "category", "sku", "revenue_net"), ("category", "sku"), "revenue_net", CURRENT, REFERENCE)
 
 
 @query
@@ -244,11 +255,11 @@ def share_movement(spark, d):
 
 @query
 def entity_share_cumulative(spark, d):
-    return Q.cumulative_share(K.grain_metrics(enriched(spark, d), "brand"), "revenue_net", ("period", "category"), "brand").select("period", "category", "brand", "share", "cumulative_share")
+    return Q.cumulative_share(K.grain_metrics(based(spark, d), "brand"), "revenue_net", ("period", "category"), "brand").select("period", "category", "brand", "share", "cumulative_share")
 
 
 def _products(spark, d):
-    return B.product_table(enriched(spark, d), CURRENT)
+    return B.product_table(based(spark, d), CURRENT)
 
 
 @query
@@ -286,7 +297,7 @@ def relative_price(spark, d):
 
 
 def _facts(spark, d):
-    rows = enriched(spark, d)
+    rows = based(spark, d)
     makers = K.grain_metrics(rows, "manufacturer")
     whole = F.sum(F.col("revenue_net").cast("decimal(24,8)")).over(Window.partitionBy("period", "category"))
     makers = makers.withColumns({"category_revenue": whole.cast("double"), "category_revenue_share": ratio("revenue_net", whole)})
@@ -322,7 +333,7 @@ def scoped_rollup(spark, d):
 
 @query
 def sku_store_facts(spark, d):
-    return M.sku_store_facts(enriched(spark, d))
+    return M.sku_store_facts(based(spark, d))
 
 
 @query
@@ -332,7 +343,7 @@ def store_universe(spark, d):
 
 @query
 def product_store_rollup(spark, d):
-    return M.rollup_sku_store(M.sku_store_facts(enriched(spark, d)), ("category", "store_format"))
+    return M.rollup_sku_store(M.sku_store_facts(based(spark, d)), ("category", "store_format"))
 
 
 @query
@@ -350,33 +361,33 @@ def provenance(spark, d):
 
 @query
 def store_format_distribution(spark, d):
-    return D.format_distribution(enriched(spark, d), "brand")
+    return D.format_distribution(based(spark, d), "brand")
 
 
 @query
 def kpi_period(spark, d):
-    return D.kpis(enriched(spark, d), "brand")
+    return D.kpis(based(spark, d), "brand")
 
 
 @query
 def kpi_range(spark, d):
-    return D.kpis(enriched(spark, d).where("period between date'1998-01-01' and date'1998-06-01'"), "brand", by_period=False)
+    return D.kpis(based(spark, d).where("period between date'1998-01-01' and date'1998-06-01'"), "brand", by_period=False)
 
 
 @query
 def kpi_weighted_distribution(spark, d):
-    return D.weighted_distribution(enriched(spark, d), "sku")
+    return D.weighted_distribution(based(spark, d), "sku")
 
 
 @query
 def category_share(spark, d):
-    rows = K.grain_metrics(enriched(spark, d).where("period between date'1998-01-01' and date'1998-06-01'").withColumn("period", F.lit("1998-01-01").cast("date")), "manufacturer")
+    rows = K.grain_metrics(based(spark, d).where("period between date'1998-01-01' and date'1998-06-01'").withColumn("period", F.lit("1998-01-01").cast("date")), "manufacturer")
     return K.category_share(rows).select("category", "manufacturer", "revenue_net", "share")
 
 
 @query
 def served_category_share(spark, d):
-    shares = K.category_share(K.grain_metrics(enriched(spark, d), "manufacturer"))
+    shares = K.category_share(K.grain_metrics(based(spark, d), "manufacturer"))
     return P.compare(shares, ("category", "manufacturer"), "share", "YOY").withColumn("status", F.when(F.col("comparable"), "READY").otherwise("PARTIAL"))
 
 
@@ -387,22 +398,22 @@ def active_sku_peak(spark, d):
 
 @query
 def regional_summary(spark, d):
-    return D.regional_summary(enriched(spark, d))
+    return D.regional_summary(based(spark, d))
 
 
 @query
 def geography_breakdown(spark, d):
-    return D.geography(enriched(spark, d), ("region", "store_format"), CURRENT, REFERENCE)
+    return D.geography(based(spark, d), ("region", "store_format"), CURRENT, REFERENCE)
 
 
 @query
 def package_volume_mix(spark, d):
-    return D.package_volume_mix(enriched(spark, d), CURRENT, REFERENCE)
+    return D.package_volume_mix(based(spark, d), CURRENT, REFERENCE)
 
 
 @query
 def diagnostics_breakdown(spark, d):
-    return D.diagnostics(enriched(spark, d), "brand", CURRENT, REFERENCE)
+    return D.diagnostics(based(spark, d), "brand", CURRENT, REFERENCE)
 
 
 @query
@@ -425,23 +436,23 @@ def coverage_grid(spark, d):
 
 @query
 def contribution(spark, d):
-    return Q.contribution(enriched(spark, d), "category", "brand", "revenue_net", CURRENT, REFERENCE)
+    return Q.contribution(based(spark, d), "category", "brand", "revenue_net", CURRENT, REFERENCE)
 
 
 @query
 def market_segment_delta(spark, d):
-    return Q.segment_deltas(enriched(spark, d), "revenue_net", CURRENT, REFERENCE)
+    return Q.segment_deltas(based(spark, d), "revenue_net", CURRENT, REFERENCE)
 
 
 @query
 def segment_patterns(spark, d):
-    return Q.segment_patterns(Q.segment_deltas(enriched(spark, d), "revenue_net", CURRENT, REFERENCE))
+    return Q.segment_patterns(Q.segment_deltas(based(spark, d), "revenue_net", CURRENT, REFERENCE))
 
 
 @query
 def brand_vs_category(spark, d):
-    rows = Q.two_periods(enriched(spark, d), ("category", "brand"), "revenue_net", CURRENT, REFERENCE)
-    whole = Q.two_periods(enriched(spark, d), ("category",), "revenue_net", CURRENT, REFERENCE).select("category", ratio(F.col("current_value") - F.col("reference_value"), "reference_value").alias("category_pct"))
+    rows = Q.two_periods(based(spark, d), ("category", "brand"), "revenue_net", CURRENT, REFERENCE)
+    whole = Q.two_periods(based(spark, d), ("category",), "revenue_net", CURRENT, REFERENCE).select("category", ratio(F.col("current_value") - F.col("reference_value"), "reference_value").alias("category_pct"))
     own = rows.select("category", "brand", ratio(F.col("current_value") - F.col("reference_value"), "reference_value").alias("brand_pct"))
     return own.join(whole, "category").withColumn("gap_pp", (F.col("brand_pct") - F.col("category_pct")) * 100)
 
@@ -452,7 +463,7 @@ def manufacturer_population(spark, d):
 
 
 def _event_facts(spark, d):
-    rows = enriched(spark, d)
+    rows = based(spark, d)
     brands = K.grain_metrics(rows, "manufacturer").select("period", F.concat_ws("|", "category", "manufacturer").alias("entity_id"), "revenue_net")
     compared = P.compare(brands, ("entity_id",), "revenue_net", "YOY")
     abc = Q.abc_classes(brands, "revenue_net", by=("period",), entity="entity_id").select("period", "entity_id", "abc_class")
@@ -523,14 +534,14 @@ def source_rows_page(spark, d):
 
 @query
 def incremental_rebuild(spark, d):
-    rows = enriched(spark, d)
+    rows = based(spark, d)
     changed = month(rows, "1998-02-01")
     return S.rebuild(rows, changed, lambda r: K.grain_metrics(r, "category").select("period", "category", "revenue_net", "units"))
 
 
 def _contribution(parent, child):
     def run(spark, d):
-        return Q.contribution(enriched(spark, d), parent, child, "revenue_net", CURRENT, REFERENCE)
+        return Q.contribution(based(spark, d), parent, child, "revenue_net", CURRENT, REFERENCE)
 
     QUERIES[f"contribution_{parent}_{child}"] = run
 
@@ -542,7 +553,7 @@ for _pair in (("network", "category"), ("category", "manufacturer"), ("category"
 @query
 def metric_definitions(spark, d):
     """All configured metrics of all grains, in dependency order, one aggregation for each grain."""
-    rows, _ = N.calculate(enriched(spark, d), N.standard_definitions())
+    rows, _ = N.calculate_base(based(spark, d), N.standard_definitions())
     return rows.select("period", "entity_type", "entity_id", "concept", "metric_name", "metric_value")
 
 
@@ -570,7 +581,7 @@ def metric_templates(spark, d):
 @query
 def filter_grain_rollup(spark, d):
     filters = {"brand": ("Brand#11", "Brand#12", "Brand#7", "Brand#8"), "store": ("STORE_1", "STORE_2", "STORE_3")}
-    return N.filtered_rollup(M.sku_store_facts(enriched(spark, d)), filters)
+    return N.filtered_rollup(M.sku_store_facts(based(spark, d)), filters)
 
 
 def _numbered(spark, d):
@@ -616,7 +627,7 @@ def latest_priced_period(spark, d):
 def product_filter(spark, d):
     rows = load_canonical(spark, d)
     package = rows.agg(F.min("package")).first()[0]
-    kept = G.product_filter(M.sku_store_facts(enriched(spark, d)), rows.select("sku", "package"), {"package": (package,)})
+    kept = G.product_filter(M.sku_store_facts(based(spark, d)), rows.select("sku", "package"), {"package": (package,)})
     return kept.groupBy("period").agg(F.count("*").alias("n_rows"), F.sum(F.col("revenue_net").cast("decimal(24,8)")).cast("double").alias("revenue_net"))
 
 
@@ -680,9 +691,9 @@ FEATURES = ("revenue_net", "units", "margin_abs", "margin_pct", "avg_shelf_price
 
 
 def _compared_features(spark, d):
-    rows = enriched(spark, d)
+    rows = based(spark, d)
     own = K.category_share(K.grain_metrics(rows, "manufacturer")).withColumnRenamed("share", "category_revenue_share")
-    active = rows.groupBy("period").agg(F.countDistinct(F.when(F.col("units") > 0, F.col("store"))).alias("active_stores"))
+    active = rows.groupBy("period").agg(K.selling(rows, "store").alias("active_stores"))
     wide = own.join(F.broadcast(active), "period")  # a row a month
     wide = wide.withColumns({"entity_id": F.concat_ws("|", "category", "manufacturer"), "numeric_distribution": ratio("selling_stores", "active_stores"), "units_per_store": ratio("units", "selling_stores")})
     return P.compare_metrics(wide, ("entity_id",), FEATURES, "YOY")
@@ -713,8 +724,8 @@ def event_candidates(spark, d):
 
 @query
 def benchmark_features(spark, d):
-    rows = enriched(spark, d)
-    active = month(rows).agg(F.countDistinct(F.when(F.col("units") > 0, F.col("store"))).alias("active_stores"))
+    rows = based(spark, d)
+    active = month(rows).agg(K.selling(rows, "store").alias("active_stores"))
     products = B.price_segments(_products(spark, d)).crossJoin(F.broadcast(active))  # one row
     products = products.withColumns({
         "units_per_selling_store": ratio("units", "selling_stores"), "numeric_distribution": ratio("selling_stores", "active_stores"),
