@@ -211,20 +211,87 @@ def _sets_of(pairs: DataFrame, units: DataFrame, tagged: DataFrame, width: int)
     return cut(texts.mapInArrow(run, "u long, shingles binary"))
 
 
-def tile_pairs(l_rows: dict[str, np.ndarray], r_rows: dict[str, np.ndarray], percent: int, half: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (left, right) of pairs of a tile that are in different components and that the bitmaps do not rule out; half: right is left."""
-    width = min(l_rows["bits"].shape[1], r_rows["bits"].shape[1])
-    left, right = folded(l_rows["bits"], width), folded(r_rows["bits"], width)
-    for i in range(len(left)):
-        n = l_rows["n"][i]
-        open_ = (r_rows["root"] != l_rows["root"][i]) & (r_rows["own"] | l_rows["own"][i])
-        if half:
-            open_[: i + 1] = False
-        at = np.flatnonzero(open_)
-        if len(at):
-            differing = np.bitwise_count(left[i] ^ right[at]).sum(axis=1, dtype=np.int64)
-            at = at[may_link(n, r_rows["n"][at], differing, percent)]
-            yield np.full(len(at), i), at
+#: Pairs of a tile that are held against each other in one go.
+PAIRS = 1 << 17
+
+
+def _in_width(bits: list[bytes], rows: np.ndarray, width: int) -> np.ndarray:
+    return folded(np.frombuffer(b"".join(bits[k] for k in rows), "<u8").reshape(len(rows), -1), width)
+
+
+def tile_pairs(cell: np.ndarray, rows: dict[str, np.ndarray], bits: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b) of pairs that are in different components and that the bitmaps do not rule out.
+
+    Rows come tile by tile (``cell`` grows with the tile), those of the left side first; ``half`` tiles compare their left
+    side with itself, too.
+    """
+    n = len(cell)
+    start = np.searchsorted(cell, cell, "left")
+    stop = np.searchsorted(cell, cell, "right")
+    lefts = np.concatenate([[0], np.cumsum(~rows["right"])])
+    first = np.where(rows["half"], np.arange(n) + 1, start + lefts[stop] - lefts[start])
+    count = np.where(rows["right"], 0, stop - np.maximum(first, start))
+    words = np.array([len(b) // 8 for b in bits])
+    done = 0
+    totals = np.cumsum(count)
+    while done < n:
+        upto = max(done + 1, int(np.searchsorted(totals, (totals[done - 1] if done else 0) + PAIRS, "right")))
+        own = np.arange(done, upto)
+        a = np.repeat(own, count[own])
+        b = np.arange(len(a)) - np.repeat(np.cumsum(count[own]) - count[own], count[own]) + first[a]
+        keep = (rows["root"][a] != rows["root"][b]) & (rows["own"][a] | rows["own"][b])
+        a, b = a[keep], b[keep]
+        low, high = np.minimum(rows["n"][a], rows["n"][b]), np.maximum(rows["n"][a], rows["n"][b])
+        keep = low * 100 >= high * percent
+        a, b = a[keep], b[keep]
+        width = np.minimum(words[a], words[b])
+        for w in np.unique(width).tolist():
+            x, y = a[width == w], b[width == w]
+            step = max(1, (1 << 22) // w)
+            for lo in range(0, len(x), step):
+                one, two = x[lo : lo + step], y[lo : lo + step]
+                held, place = np.unique(np.concatenate([one, two]), return_inverse=True)
+                m = np.empty((len(held), w), np.uint64)
+                for own_width in np.unique(words[held]).tolist():
+                    some = words[held] == own_width
+                    m[some] = _in_width(bits, held[some], w)
+                differing = np.bitwise_count(m[place[: len(one)]] ^ m[place[len(one) :]]).sum(axis=1, dtype=np.int64)
+                good = may_link(rows["n"][one], rows["n"][two], differing, percent)
+                yield one[good], two[good]
+        done = upto
+
+
+def _compared(percent: int):
+    """Rows (token, tile, i, j, right, u, n, own, root, bits), sorted by tile, to pairs; a tile is held until its last row is there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(table: pa.Table) -> pa.RecordBatch:
+            keys = [table.column(k).to_numpy() for k in ("token", "tile", "i", "j")]
+            new = np.zeros(len(table), bool)
+            for k in keys:
+                new[1:] |= k[1:] != k[:-1]
+            rows = {name: table.column(name).to_numpy() for name in ("right", "u", "n", "own", "root")}
+            rows["half"] = (keys[2] == keys[3]) & ~rows["right"]
+            found = list(tile_pairs(np.cumsum(new), rows, table.column("bits").to_pylist(), percent))
+            ends = [rows["u"][np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)])] for k in range(2)]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends))], names=["u", "v"])
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            if not len(table):
+                continue
+            last = [table.column(k).to_numpy() for k in ("token", "tile", "i", "j")]
+            same = np.logical_and.reduce([k == k[-1] for k in last])
+            cut_at = len(table) - int(np.argmin(same[::-1])) if not same.all() else 0
+            held = table.slice(cut_at)
+            if cut_at:
+                yield pairs(table.slice(0, cut_at))
+        if held is not None and len(held):
+            yield pairs(held)
+
+    return run
 
 
 def _tile_candidates(members: DataFrame, roots: DataFrame, units: DataFrame, percent: int) -> DataFrame:
@@ -248,24 +315,9 @@ def _tile_candidates(members: DataFrame, roots: DataFrame, units: DataFrame, per
     busy = cells.groupBy(*keys).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(~F.col("right")).alias("left")).where("lo <> hi and left")
     cells = cells.join(busy.select(*keys), keys, "left_semi").join(units.select("u", "bits"), "u")
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        right = table.column("right").to_numpy(zero_copy_only=False)
-
-        def rows(which: np.ndarray) -> dict[str, np.ndarray]:
-            part = table.filter(pa.array(which))
-            out = {name: part.column(name).to_numpy(zero_copy_only=False) for name in ("u", "n", "own", "root")}
-            bits = [np.frombuffer(b, "<u8") for b in part.column("bits").to_pylist()]
-            width = min(map(len, bits), default=1)
-            return out | {"bits": np.array([folded(b, width) for b in bits], np.uint64).reshape(len(bits), width)}
-
-        left, others = rows(~right), rows(right)
-        found = [(left["u"][i], others["u"][j]) for i, j in tile_pairs(left, others, percent, False)]
-        if key[2].as_py() == key[3].as_py():
-            found += [(left["u"][i], left["u"][j]) for i, j in tile_pairs(left, left, percent, True)]
-        ends = [np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(2)]
-        return pa.table({"u": pa.array(np.minimum(*ends)), "v": pa.array(np.maximum(*ends))})
-
-    return cells.groupBy(*keys).applyInArrow(run, "u long, v long").distinct()
+    # most tiles hold a few rows, so tasks take them as they come instead of one group at a time
+    placed = cells.select(*keys, "right", "u", "n", "own", "root", "bits").repartition(*keys).sortWithinPartitions(*keys, "right")
+    return placed.mapInArrow(_compared(percent), "u long, v long").distinct()
 
 
 def unit_links(units: DataFrame, tagged: DataFrame, width: int, percent: int) -> DataFrame:
