@@ -66,24 +66,86 @@ def benchmark_ranks(products: DataFrame, metric: str, ascending: bool | Column =
 
 #: The metrics that products are benchmarked by.
 BENCHMARK_METRICS = ("revenue_net", "units", "units_per_selling_store", "retailer_margin_abs", "numeric_distribution", "weighted_shelf_price_vat")
-#: Scope -> the dimensions that its peers share.
-SCOPES = {"BROAD": ("category",), "DIRECT": ("category", "carbonation", "price_segment")}
+#: The metrics whose best products make the TOP_N pool, how many of each, and what direct peers share.
+RANKING_METRICS = ("revenue_net", "units", "units_per_selling_store")
+TOP_N = 10
+DIRECT = ("category", "carbonation", "volume_band", "price_segment", "package")
 
 
-def benchmark_features(products: DataFrame, metrics: tuple[str, ...] = BENCHMARK_METRICS, scopes: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """Rank, percentile and population of every SKU for each metric in each scope: one pass of windows, no pairs.
+def pooled(products: DataFrame, ranking: tuple[str, ...] = RANKING_METRICS, n: int = TOP_N, direct: tuple[str, ...] = DIRECT) -> DataFrame:
+    """Each product once for each scope: scope, scope_key, and whether it is in the pool that targets of this key are held against.
 
-    A SKU without one of a scope's dimensions is in no group of it; a NULL metric has no row.
+    BROAD: the competitors of the category. TOP_N: those among the best n of it by any ranking metric, ties to the smaller
+    SKU. DIRECT: products that share all dimensions; one without any of them is in no group.
     """
-    scopes = SCOPES if scopes is None else scopes
-    held = [
-        F.when(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in dims]), F.struct(F.lit(name).alias("scope"), F.concat_ws("|", *[F.col(c).cast("string") for c in dims]).alias("scope_key")))
-        for name, dims in scopes.items()
-    ]
+    rival = ~F.coalesce("is_own", F.lit(False))
+    best = [F.row_number().over(Window.partitionBy("category", rival & F.col(m).isNotNull()).orderBy(F.desc(m), "sku")) for m in ranking]
+    top = reduce(lambda a, b: a | b, [rival & F.col(m).isNotNull() & (F.col(f"_place{k}") <= n) for k, m in enumerate(ranking)])
+    rows = products.select("*", *[c.alias(f"_place{k}") for k, c in enumerate(best)])
+    key = lambda dims: F.concat_ws("|", *[F.col(c).cast("string") for c in dims])
+    scope = lambda name, dims, member: F.struct(F.lit(name).alias("scope"), key(dims).alias("scope_key"), member.alias("in_pool"))
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in direct])
+    scopes = F.array_compact(F.array(scope("BROAD", ("category",), rival), scope("TOP_N", ("category",), top), F.when(whole, scope("DIRECT", direct, F.lit(True)))))
+    return rows.select(*products.columns, F.explode(scopes).alias("s")).select("s.*", *products.columns)
+
+
+def pool_ranks(rows: DataFrame, lower_first: Column) -> DataFrame:
+    """Adds rank, percentile and population_size of ``value`` in the pool of (scope, scope_key, metric) and the row itself, without pairs.
+
+    Better members are counted by a window; a row outside the pool stands one behind those that beat it. The population
+    counts members without a value, ranks and percentiles do not; a row without value keeps its place with both NULL. Rows
+    that are alone have no peers and are left out.
+    """
+    v, by = F.col("value"), ("scope", "scope_key", "metric")
+    member = F.when(F.col("in_pool") & v.isNotNull(), 1).otherwise(0)
+    part = Window.partitionBy(*by)
+    upto = F.sum(member).over(part.orderBy(F.when(lower_first, v).otherwise(-v)).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ties, n, size = F.sum(member).over(Window.partitionBy(*by, "value")), F.sum(member).over(part), F.sum(F.col("in_pool").cast("int")).over(part)
+    out = rows.withColumns({"_upto": upto, "_ties": ties, "_n": n, "_size": size}).where("_size > cast(in_pool as int)")
+    extra = F.when(F.col("in_pool"), 0).otherwise(1)
+    rank = F.when(v.isNotNull(), F.col("_upto") - F.col("_ties") + 1)
+    n, ties = F.col("_n") + extra, F.col("_ties") + extra
+    percentile = F.when(n > 1, 1 - (rank + (ties - 1) / F.lit(2.0) - 1) / (n - 1))
+    return out.withColumns({"rank": rank, "percentile": percentile, "population_size": F.col("_size") + extra}).drop("_upto", "_ties", "_n", "_size")
+
+
+def benchmark_features(products: DataFrame, metrics: tuple[str, ...] = BENCHMARK_METRICS) -> DataFrame:
+    """``(scope, scope_key, sku, metric, value, rank, percentile, population_size)`` of every product for each metric in each scope; cheaper is better."""
     items = ", ".join(f"'{m}', cast({m} as double)" for m in metrics)
-    rows = products.select("sku", "is_own", *metrics, F.explode(F.array_compact(F.array(*held))).alias("s"))
-    rows = rows.select("s.scope", "s.scope_key", "sku", "is_own", F.expr(f"stack({len(metrics)}, {items}) as (metric, measure)"))
-    return benchmark_ranks(rows, "measure", F.col("metric") == "weighted_shelf_price_vat", ("scope", "scope_key", "metric"))  # the cheapest first
+    rows = pooled(products).select("scope", "scope_key", "in_pool", "sku", F.expr(f"stack({len(metrics)}, {items}) as (metric, value)"))
+    ranked = pool_ranks(rows, F.col("metric") == "weighted_shelf_price_vat")
+    return ranked.select("scope", "scope_key", "sku", "metric", "value", "rank", "percentile", "population_size")
+
+
+def pool_prices(products: DataFrame) -> DataFrame:
+    """Price of every product against the median of its peers' valid prices in each scope, the product itself left out.
+
+    Leaving one price out moves the median among the middle three places only. Without peers' prices or without a price of
+    its own a product has NULLs and the issues say so; population_size counts its peers.
+    """
+    rows = pooled(products).select("scope", "scope_key", "in_pool", "sku", "price")
+    key = ("scope", "scope_key")
+    part = Window.partitionBy(*key, F.col("in_pool") & F.coalesce(F.col("price") > 0, F.lit(False)))
+    valid = F.col("in_pool") & F.coalesce(F.col("price") > 0, F.lit(False))
+    size = F.sum(F.col("in_pool").cast("int")).over(Window.partitionBy(*key)) - F.col("in_pool").cast("int")
+    rows = rows.withColumns({"i": F.when(valid, F.row_number().over(part.orderBy("price", "sku")) - 1), "population_size": size})
+    counted = rows.withColumn("n", F.count("i").over(Window.partitionBy(*key)))
+    half = F.floor(F.col("n") / 2)
+    at = lambda k: F.max(F.when(F.col("i") == half + k, F.col("price"))).over(Window.partitionBy(*key))
+    out = counted.withColumns({"a": at(-1), "b": at(0), "c": at(1)}).where("population_size > 0")
+    odd = F.col("n") % 2 == 1
+    whole = F.when(odd, F.col("b")).otherwise((F.col("a") + F.col("b")) / 2)
+    low, high = F.when(F.col("i") > half - 1, F.col("a")).otherwise(F.col("b")), F.when(F.col("i") > half, F.col("b")).otherwise(F.col("c"))
+    without = F.when(F.col("n") > 1, F.when(odd, (low + high) / 2).otherwise(low))
+    median = F.when(F.col("price").isNotNull(), F.when(F.col("i").isNull(), whole).otherwise(without))
+    out = out.withColumn("peer_median_price", median)
+    usable = F.nullif("peer_median_price", F.lit(0.0))
+    delta = F.when(usable.isNotNull(), F.col("price") - F.col("peer_median_price"))
+    issues = F.array_join(F.array_compact(F.array(F.when(F.col("peer_median_price").isNull(), "EMPTY_DIRECT_PEER_GROUP"), F.when(usable.isNull(), "ZERO_PEER_MEDIAN"))), ",")
+    return out.select(
+        *key, "sku", "price", "peer_median_price", delta.alias("price_vs_peer_median_abs"), (100 * F.col("price") / usable).alias("price_index_to_peer_median"), (F.col("price") / usable - 1).alias("price_delta_pct_to_peer_median"),
+        "population_size", issues.alias("issues"),
+    )
 
 
 def relative_prices(products: DataFrame) -> DataFrame:

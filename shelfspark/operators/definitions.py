@@ -226,15 +226,22 @@ def calculate(df: DataFrame, definitions) -> tuple[DataFrame, list[str]]:
     return calculate_base(presence(df, resolve(definitions)[0]), definitions)
 
 
-#: The grains from fine to coarse, which filters select.
-FILTER_GRAINS = ("sku", "brand", "manufacturer", "category", "store")
+#: The order of the grains that filters select.
+FILTER_GRAINS = ("category", "manufacturer", "brand", "sku", "store")
 
 
 def effective_grain(requested: str, filters: dict[str, tuple]) -> tuple[str, bool]:
-    """The finest selected filter becomes the grain that is rolled up; whether SKU x store facts are needed for it."""
+    """The last selected filter in this order becomes the grain if it stands behind the requested one; whether SKU x store facts are needed.
+
+    They are for package and volume filters, and where a product grain or filter meets a store filter or grain.
+    """
     used = [g for g in FILTER_GRAINS if filters.get(g)]
-    product = any(g != "store" for g in used) or any(filters.get(k) for k in ("package", "volume"))
-    return (used[0] if used else requested), (product and "store" in used) or any(filters.get(k) for k in ("package", "volume"))
+    place = FILTER_GRAINS.index(requested) if requested in FILTER_GRAINS else -1
+    grain = used[-1] if used and FILTER_GRAINS.index(used[-1]) > place else requested
+    products = FILTER_GRAINS[:-1]
+    filtered_product, filtered_store = any(g in products for g in used), "store" in used
+    both = (filtered_store and (requested in products or filtered_product)) or (requested == "store" and filtered_product)
+    return grain, bool(filters.get("package") or filters.get("volume")) or both
 
 
 def filtered(df: DataFrame, filters: dict[str, tuple]) -> DataFrame:

@@ -29,13 +29,6 @@ def mapping_issues(spark, columns: list[str], mapping: dict[str, str], required:
     return spark.createDataFrame(rows, ISSUE)
 
 
-def canonical_order(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """The canonical columns in their order, the others behind; a missing one is an error."""
-    if missing := [c for c in columns if c not in df.columns]:
-        raise ValueError(f"missing canonical columns: {', '.join(missing)}")
-    return df.select(*columns, *[c for c in df.columns if c not in columns])
-
-
 def require(issues: DataFrame, severities: tuple[str, ...] = ("FATAL",)) -> None:
     """Raise when an issue of these severities is there; one row is fetched."""
     if found := issues.where(F.upper("severity").isin(*severities)).limit(1).collect():
@@ -147,12 +140,6 @@ def build_coverage(builds: DataFrame, activated: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n_active"), F.count("there").alias("n_held"), F.min("period").alias("first_period"), F.max("period").alias("last_period"))
 
 
-def first_of_each(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
-    """The first row of each key in a stated order."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_place", place).where("_place = 1").drop("_place")
-
-
 def selected_periods(df: DataFrame, mode: str, first=None, last=None, years: tuple[int, ...] = ()) -> DataFrame:
     """SINGLE_PERIOD, DATE_RANGE, AVAILABLE_MONTH_SET (months that all years have) or FULL_AVAILABLE_HISTORY."""
     p = F.col("period")

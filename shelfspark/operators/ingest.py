@@ -59,10 +59,17 @@ def duplicate_grain(df: DataFrame, grain: tuple[str, ...] = ("period", "retailer
 def numbered(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """Adds source_row_number from one up in the order of ``by`` and then of all columns, the same on every run.
 
-    Rows are counted by group first and numbered within their group, so no task holds more than a group.
+    Groups are counted first and rows are numbered within their group. A group starts behind the groups before it of the same
+    first key and behind all earlier first keys, so no task holds more than a group or the groups of one first key.
     """
-    whole = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    starts = df.groupBy(*by).agg(F.count("*").alias("n")).select(*by, F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("start"))  # a row a group
+    first, rest = by[0], by[1:]
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = df.groupBy(*by).agg(F.count("*").alias("n"))
+    parts = counted.groupBy(first).agg(F.sum("n").alias("n")).select(first, before(Window.orderBy(first)).alias("_base"))  # a row a first key
+    starts = counted.select(*by, before(Window.partitionBy(first).orderBy(*rest)).alias("_start")) if rest else counted.select(*by, F.lit(0).alias("_start"))
+    same = lambda a, b, keys: [a[k].eqNullSafe(b[k]) for k in keys]
+    starts = starts.join(F.broadcast(parts), same(starts, parts, (first,)), "left").select(*[starts[k] for k in by], (F.col("_base") + F.col("_start")).alias("_offset"))
     within = F.row_number().over(Window.partitionBy(*by).orderBy(*[c for c in df.columns if c not in by]))
-    joined = df.withColumn("_within", within).join(starts, list(by))
-    return joined.withColumn("source_row_number", F.col("start") + F.col("_within")).drop("_within", "start")
+    numbered_ = df.withColumn("_within", within)
+    joined = numbered_.join(starts, same(numbered_, starts, by)).select(*[numbered_[c] for c in numbered_.columns], "_offset")
+    return joined.withColumn("source_row_number", F.col("_offset") + F.col("_within")).drop("_within", "_offset")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,18 +20,150 @@ MEASURES = {
 }
 
 
-def range_strategy(aggregation, concept, name, has_parts, share_scope):
-    """How a metric is carried over a range, from what it is and whether its parts are there; columns or literals."""
+_SCOPED = ("distribution", "velocity", "per_selling_store")
+
+
+def range_strategy(aggregation, concept, name, has_parts=None, share_scope=None):
+    """How a metric is carried over a range; columns or literals.
+
+    Without ``has_parts`` nothing is known of the parts and the answer is the careful one, asked for ABC classes first. With
+    it (whether numerator and denominator are there) shares and ratios are carried over by their parts.
+    """
     both = F.concat_ws(" ", F.lower(concept), F.lower(name))
+    holds = lambda *words: F.coalesce(reduce(lambda a, b: a | b, [F.contains(both, F.lit(w)) for w in words]), F.lit(False))
+    kind = F.lower(aggregation)
+    careful = (
+        F.when(holds("abc", "share", *_SCOPED), PERIOD_ONLY).when(kind == "sum", SUM).when(kind == "ratio_of_sums", RATIO)
+        .when(kind == "weighted_average", WEIGHTED).when(kind == "distinct_count", PERIOD_ONLY).otherwise(UNSUPPORTED)
+    )
+    if has_parts is None:
+        return careful
     parts = lambda s: F.when(has_parts, s).otherwise(PERIOD_ONLY)
     return (
-        F.when(F.contains(both, F.lit("share")), F.when(has_parts & share_scope.isNotNull(), SHARE).otherwise(PERIOD_ONLY))
-        .when(F.contains(both, F.lit("distribution")) | F.contains(both, F.lit("velocity")) | F.contains(both, F.lit("per_selling_store")) | F.contains(both, F.lit("abc")), PERIOD_ONLY)
-        .when(aggregation == "ratio_of_sums", parts(RATIO)).when(aggregation == "weighted_average", parts(WEIGHTED))
-        .when(aggregation == "sum", SUM).when(aggregation == "distinct_count", PERIOD_ONLY).otherwise(UNSUPPORTED)
+        F.when(holds("share"), parts(F.when(F.coalesce(share_scope != "", F.lit(False)), SHARE).otherwise(PERIOD_ONLY))).when(holds(*_SCOPED), PERIOD_ONLY)
+        .when(aggregation == "ratio_of_sums", parts(RATIO)).when(aggregation == "weighted_average", parts(WEIGHTED)).otherwise(careful)
     )
 
 
+#: The columns of stored metric facts with their types, in order.
+FACT_SCHEMA = {
+    "retailer_id": "string",
+    "source_id": "string",
+    "source_revision_id": "string",
+    "analysis_run_id": "string",
+    "mart_build_id": "string",
+    "private_label_scope": "string",
+    "period_grain": "string",
+    "period_start": "date",
+    "period_end": "date",
+    "business_period_id": "string",
+    "grain_id": "string",
+    "entity_id": "string",
+    "parent_entity_ids": "string",
+    "metric_concept": "string",
+    "metric_name": "string",
+    "metric_definition_id": "string",
+    "metric_definition_version": "string",
+    "metric_config_hash": "string",
+    "semantic_family": "string",
+    "semantic_compatibility_version": "string",
+    "cross_retailer_comparable": "boolean",
+    "value": "double",
+    "numerator_value": "double",
+    "denominator_value": "double",
+    "business_rule_id": "string",
+    "denominator_universe_type": "string",
+    "store_alias_mapping_version": "string",
+    "numerator_metric_name": "string",
+    "denominator_metric_name": "string",
+    "aggregation": "string",
+    "range_aggregation_strategy": "string",
+    "share_scope": "string",
+    "rule_version": "string",
+    "quality_status": "string",
+    "quality_flags": "string",
+    "created_at": "timestamp",
+}
+#: What a stored fact is told by, and the keys of its parents.
+FACT_IDENTITY = (
+    "retailer_id", "source_id", "mart_build_id", "analysis_run_id", "private_label_scope", "period_grain", "period_start", "period_end", "grain_id", "entity_id", "parent_entity_ids",
+    "metric_definition_id", "metric_definition_version", "metric_config_hash", "rule_version",
+)
+PARENT_KEYS = {"brand": "brand", "canonical_product_id": "sku", "canonical_store_id": "store", "category": "category", "manufacturer": "manufacturer"}
+#: Columns that a metric row must have before it becomes a fact.
+REQUIRED = ("period", "entity_type", "entity_id", "concept", "metric_name", "metric_definition_id", "metric_definition_version", "metric_config_hash", "metric_value", "numerator_value", "denominator_value", "aggregation")
+
+
+def parent_ids(columns: list[str]):
+    """The parents of a row that are there, as a JSON object with its keys in order."""
+    pair = lambda k, c: F.concat(F.lit(f'"{k}": '), F.expr(f"substr(to_json(array({c})), 2, length(to_json(array({c}))) - 2)"))
+    held = [F.when(F.col(c).isNotNull(), pair(k, c)) for k, c in PARENT_KEYS.items() if c in columns]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *held), F.lit("}"))
+
+
+def stored_facts(metrics: DataFrame, scope: dict[str, str], created_at=None) -> DataFrame:
+    """Long metrics as facts of a build in the fixed layout; a missing source column is an error.
+
+    ``scope`` gives retailer_id, source_id, source_revision_id, analysis_run_id, mart_build_id, rule_version and, if it is not
+    INCLUDE, private_label_scope. Values are taken as they are; what the layout has and the rows lack is NULL.
+    """
+    if missing := sorted(set(REQUIRED) - set(metrics.columns)):
+        raise ValueError(f"metric rows lack columns: {', '.join(missing)}")
+    c, text = F.col, lambda name: F.col(name) if name in metrics.columns else F.lit(None)
+    has_parts = c("numerator_value").isNotNull() & c("denominator_value").isNotNull()
+    made = {
+        "private_label_scope": F.lit(scope.get("private_label_scope", "INCLUDE")), "period_grain": F.lit("month"), "period_start": c("period"), "period_end": F.last_day("period"),
+        "business_period_id": F.coalesce(text("business_period_id").cast("string"), F.date_format("period", "yyyy-MM-dd")), "grain_id": c("entity_type"), "parent_entity_ids": parent_ids(metrics.columns), "metric_concept": c("concept"),
+        "cross_retailer_comparable": F.lit(False), "value": c("metric_value"), "range_aggregation_strategy": range_strategy(c("aggregation"), c("concept"), c("metric_name"), has_parts, text("share_scope").cast("string")),
+        "quality_status": F.lit("valid"), "created_at": F.current_timestamp() if created_at is None else F.lit(created_at),
+    } | {k: F.lit(v) for k, v in scope.items()}
+    return metrics.select(*[(made[k] if k in made else text(k)).cast(t).alias(k) for k, t in FACT_SCHEMA.items()])
+
+
+def fact_issues(facts: DataFrame, allowed: dict[str, tuple[str, ...]]) -> DataFrame:
+    """``(issue_code, subject, n_rows)``: values outside the build's, facts without revision, identities that stand more than once."""
+    outside = [F.when(~F.coalesce(F.col(k).isin(*v), F.lit(False)), F.concat(F.lit(f"{k}="), F.coalesce(F.col(k), F.lit("NULL")))) for k, v in allowed.items()]
+    codes = F.concat(
+        F.transform(F.array_compact(F.array(*outside)) if outside else F.array().cast("array<string>"), lambda x: F.struct(F.lit("OUTSIDE_BUILD").alias("issue_code"), x.alias("subject"))),
+        F.when(F.coalesce(F.col("source_revision_id"), F.lit("")) == "", F.array(F.struct(F.lit("MISSING_SOURCE_REVISION").alias("issue_code"), F.lit("source_revision_id").alias("subject")))).otherwise(F.array().cast("array<struct<issue_code:string,subject:string>>")),
+    )
+    rows = facts.select(F.explode(codes).alias("i")).groupBy("i.issue_code", "i.subject").agg(F.count("*").alias("n_rows"))
+    twice = facts.groupBy(*FACT_IDENTITY).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+    return rows.unionByName(twice.select(F.lit("DUPLICATE_IDENTITY").alias("issue_code"), F.concat_ws("|", "grain_id", "entity_id", "metric_definition_id", F.col("period_start").cast("string")).alias("subject"), "n_rows"))
+
+
+#: The order in which a scan returns facts.
+SCAN_ORDER = ("retailer_id", "source_id", "period_start", "grain_id", "entity_id", "metric_definition_id")
+
+
+def query_facts(facts: DataFrame, first=None, last=None, **equal: str) -> DataFrame:
+    """Facts of a scope in a fixed order: equalities on retailer_id, source_id, grain_id, metric_concept, metric_definition_id and mart_build_id, and bounds of the period.
+
+    Scope, build and the first month reach the partitions; months end in their own month, so the last bound does, too.
+    """
+    known = {"retailer_id", "source_id", "grain_id", "metric_concept", "metric_definition_id", "mart_build_id"}
+    if wrong := sorted(set(equal) - known):
+        raise ValueError(f"no filter on {', '.join(wrong)}")
+    for k, v in equal.items():
+        facts = facts.where(F.col(k) == v)
+    if first is not None:
+        facts = facts.where(F.col("period_start") >= F.lit(first).cast("date"))
+    if last is not None:
+        bound = F.lit(last).cast("date")
+        facts = facts.where((F.col("period_start") <= bound) & (F.col("period_end") <= bound))
+    return facts.orderBy(*SCAN_ORDER)
+
+
+def read_policy(facts: DataFrame, first, last, grain: str, scope: dict[str, tuple] | None = None, parents: dict[str, tuple] | None = None, valid_only: bool = True) -> DataFrame:
+    """The main fact scan: a grain and window, lists of values for columns, and lists for parents, which are read from their JSON."""
+    out = facts.where(F.col("period_start").between(F.lit(first).cast("date"), F.lit(last).cast("date")) & (F.col("grain_id") == grain))
+    for k, values in (scope or {}).items():
+        out = out.where(F.col(k).isin(*values))
+    for k, values in (parents or {}).items():
+        out = out.where(F.get_json_object("parent_entity_ids", f"$.{k}").isin(*values))
+    return out.where("quality_status = 'valid'") if valid_only else out
+
+
 IDENTITY = ("period_start", "entity_type", "entity_id", "category", "manufacturer", "metric")
 
 

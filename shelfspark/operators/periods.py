@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import ratio
 
-#: Metrics whose change is told in points; so are those that end in _share.
-POINT_METRICS = ("margin_pct", "retailer_margin_pct", "distribution", "numeric_distribution", "share")
+#: Concepts whose change is told in points; so are those that end in _share.
+POINT_METRICS = ("distribution", "retailer_margin_pct")
+#: Columns of wide tables that hold these concepts under names of their own.
+POINT_COLUMNS = {"margin_pct": "retailer_margin_pct", "numeric_distribution": "distribution", "share": "category_share"}
+
+
+def in_points(metric: str) -> bool:
+    concept = POINT_COLUMNS.get(metric, metric)
+    return concept in POINT_METRICS or concept.endswith("_share")
 
 
 def comparison_quality(kind: str, months):
@@ -49,7 +56,7 @@ def compare(values: DataFrame, keys: tuple[str, ...], metric: str, kind: str, cu
     both = both.join(F.broadcast(refs), "period").select("period", *keys, "reference_period", F.col("now.v").alias("current_value"), F.col("then.v").alias("reference_value"))
     delta = F.col("current_value") - F.col("reference_value")
     months = (F.year("period") - F.year("reference_period")) * 12 + F.month("period") - F.month("reference_period")
-    points = metric in POINT_METRICS or metric.endswith("_share")
+    points = in_points(metric)
     return both.select(
         "period", *keys, "reference_period", "current_value", "reference_value", delta.alias("delta_abs"), ratio(delta, "reference_value").alias("delta_pct"),
         (delta if points else F.lit(None).cast("double")).alias("delta_pp"), F.col("reference_value").isNotNull().alias("comparable"), months.alias("month_gap"),
@@ -61,7 +68,7 @@ def compare_metrics(wide: DataFrame, keys: tuple[str, ...], metrics: tuple[str,
     """Several metrics of a wide table compared in one grouping; each metric's name tells whether its delta is in points."""
     items = ", ".join(f"'{m}', cast({m} as double)" for m in metrics)
     long = wide.select("period", *keys, F.expr(f"stack({len(metrics)}, {items}) as (metric, value)"))
-    points = F.col("metric").isin(*POINT_METRICS) | F.col("metric").endswith("_share")
+    points = F.col("metric").isin(*[m for m in metrics if in_points(m)])
     return compare(long, (*keys, "metric"), "value", kind, custom).withColumn("delta_pp", F.when(points, F.col("delta_abs")))
 
 

@@ -74,16 +74,19 @@ def two_periods(df: DataFrame, keys: tuple[str, ...], value: str, current, refer
     return df.where(F.col("period").isin(c, r)).groupBy(*keys).agg(exact_sum(F.when(F.col("period") == c, x)).alias("current_value"), exact_sum(F.when(F.col("period") == r, x)).alias("reference_value"))
 
 
-#: The pairs whose parts add up, and the metrics that do.
+#: The pairs whose parts add up, and the concepts that do.
 PARENT_CHILD = (("network", "category"), ("category", "manufacturer"), ("category", "brand"), ("category", "sku"))
-ADDITIVE = ("revenue_vat", "revenue_net", "units", "margin_abs")
+ADDITIVE = ("revenue_vat", "revenue", "units", "retailer_margin_abs")
+#: Columns of sales rows that hold concepts under names of their own.
+CONCEPT_COLUMNS = {"revenue": "revenue_net", "retailer_margin_abs": "margin_abs"}
 TOLERANCE = 1e-6
 
 
 def contribution(df: DataFrame, parent: str, child: str, value: str, current, reference, limit: int = 200) -> DataFrame:
-    """Share of each child's delta in its parent's, largest deltas first; the parent is summed apart and must reconcile."""
+    """Share of each child's delta in its parent's for an additive concept, largest deltas first; the parent is summed apart and must reconcile."""
     if (parent, child) not in PARENT_CHILD or value not in ADDITIVE:
         raise ValueError("NOT_APPLICABLE_PARENT_CHILD_SCOPE")
+    value = CONCEPT_COLUMNS.get(value, value)
     up = () if parent == "network" else (parent,)
     rows = two_periods(df, (*up, child), value, current, reference)
     whole = two_periods(df, up, value, current, reference).select(*up, F.col("current_value").alias("parent_current"), F.col("reference_value").alias("parent_reference"))

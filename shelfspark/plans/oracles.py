@@ -235,7 +235,6 @@ ORACLES |= {
     "events_simple": e("SELECT * FROM det", _EV),
     "events_composite": e("SELECT * FROM (SELECT entity_id, period, max(CASE WHEN feature = 'comparison' THEN delta_pct END) AS comparison_delta_pct, max(CASE WHEN feature = 'abc' THEN abc_class END) AS abc_abc_class FROM ev GROUP BY 1, 2) WHERE comparison_delta_pct <= -0.10 AND abc_abc_class = 'A'", _EV),
     "event_missing_features": e("SELECT rule_id, feature FROM (VALUES ('revenue_up', 'comparison'), ('revenue_down', 'comparison'), ('abc_change', 'abc'), ('price_gap', 'benchmark')) v(rule_id, feature) WHERE feature NOT IN (SELECT feature FROM ev)", _EV),
-    "signal_feed": e("SELECT event_type, CASE WHEN event_type = 'ABC_CLASS_CHANGE' THEN 'pattern' ELSE 'commercial' END AS signal_class, entity_id, period, delta_pct, place, greatest(n - 5, 0) AS excluded FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY abs(delta_pct) DESC NULLS LAST, entity_id, period) AS place, count(*) OVER (PARTITION BY event_type) AS n FROM det) WHERE place <= 5", _EV),
     "ledger_register": c("SELECT retailer_id, source_id, revision, content_hash, CASE WHEN EXISTS (SELECT 1 FROM rev l WHERE l.revision <= 1997 AND l.source_id <> 'STORE_1' AND l.source_id = rev.source_id AND l.content_hash = rev.content_hash) THEN 'IDENTICAL_DUPLICATE' WHEN source_id <> 'STORE_1' AND EXISTS (SELECT 1 FROM rev l WHERE l.revision <= 1997 AND l.source_id = rev.source_id) THEN 'NEW_REVISION' ELSE 'NEW_ARTIFACT' END AS registration FROM rev WHERE revision >= 1997", _REV),
     "ledger_activate": c("SELECT retailer_id, source_id, revision, period, row_number() OVER (PARTITION BY source_id, period ORDER BY revision DESC) = 1 AS is_active FROM (SELECT DISTINCT 'retailer_a' AS retailer_id, store AS source_id, year(period) AS revision, period FROM canon UNION ALL SELECT 'retailer_a', source_id, 9999, period FROM (SELECT source_id, period, row_number() OVER (PARTITION BY source_id ORDER BY period) AS k FROM (SELECT DISTINCT store AS source_id, period FROM canon WHERE year(period) = 1997)) WHERE k <= 3)"),
     "source_rows_page": c("SELECT period, store, sku, units, CAST(revenue_vat AS DOUBLE) AS revenue_vat, shelf_price_vat FROM canon ORDER BY period, store, sku, units, CAST(revenue_vat AS DOUBLE), shelf_price_vat LIMIT 100 OFFSET 200"),
@@ -263,6 +262,7 @@ def _long() -> str:
     return " UNION ALL ".join(parts)
 
 
+_NUM = f"num AS (SELECT *, row_number() OVER (ORDER BY period, store, {', '.join(f'{k} NULLS FIRST' for k in CANONICAL if k not in ('period', 'store'))}) AS source_row_number FROM canon)"
 _REVS = "rv AS (SELECT 'retailer_a' AS retailer_id, store AS source_id, year(period) AS revision, list_sort(list(DISTINCT period)) AS periods, CAST(count(*) AS VARCHAR) AS content_hash, max(period) AS activated FROM canon GROUP BY store, year(period))"
 _ACT = f"{_REVS}, fixed AS (SELECT * FROM rv UNION ALL SELECT retailer_id, source_id, 9999, periods[1:3], content_hash, DATE '2005-01-01' FROM rv WHERE revision = 1997), ac AS (SELECT retailer_id, source_id, revision, period, row_number() OVER (PARTITION BY retailer_id, source_id, period ORDER BY activated DESC, revision DESC) = 1 AS is_active FROM (SELECT retailer_id, source_id, revision, activated, unnest(periods) AS period FROM fixed))"
 ORACLES |= {
@@ -272,9 +272,9 @@ ORACLES |= {
     "month_set_ranges": e("SELECT a.entity_type, a.entity_id, a.category, a.manufacturer, a.metric, a.value AS current_value, a.n_periods, a.limitation, b.value AS reference_value, a.value - b.value AS delta_abs, (a.value - b.value) / nullif(b.value, 0) AS delta_pct FROM a JOIN b ON a.entity_type = b.entity_type AND a.entity_id = b.entity_id AND a.category = b.category AND a.manufacturer IS NOT DISTINCT FROM b.manufacturer AND a.metric = b.metric",
         f"{_FACTS}, m AS (SELECT month(period_start) AS m FROM f WHERE year(period_start) IN (1997, 1998) GROUP BY 1 HAVING count(DISTINCT year(period_start)) = 2), a AS ({_ranges('year(period_start) = 1998 AND month(period_start) IN (SELECT m FROM m)')}), b AS ({_ranges('year(period_start) = 1997 AND month(period_start) IN (SELECT m FROM m)')})"),
     "metric_templates": e("SELECT metric, max(period_start) AS period_start, arg_max(range_strategy, (period_start, range_strategy)) AS range_strategy, any_value(share_scope) AS share_scope FROM f GROUP BY metric", _FACTS),
-    "filter_grain_rollup": e(f"SELECT period, 'brand' AS entity_type, brand AS entity_id, CAST(sum(CAST(revenue_net AS DECIMAL(24,8))) AS DOUBLE) AS revenue_net, CAST(sum(CAST(units AS DECIMAL(24,8))) AS DOUBLE) AS units, CAST(sum(CAST(margin_abs AS DECIMAL(24,8))) AS DOUBLE) AS margin_abs FROM ss WHERE brand IN ('Brand#11', 'Brand#12', 'Brand#7', 'Brand#8') AND store IN ('STORE_1', 'STORE_2', 'STORE_3') GROUP BY period, category, manufacturer, brand", _SS),
-    "sign_issues": c("SELECT issue_code, severity, count(*) AS n_rows FROM (SELECT CASE WHEN units < 0 AND revenue_vat < 0 THEN 'BUSINESS_EXCEPTION' WHEN units >= 0 AND revenue_vat >= 0 THEN NULL ELSE 'SUSPICIOUS' END AS issue_code, CASE WHEN units < 0 AND revenue_vat < 0 THEN 'INFO' ELSE 'WARNING' END AS severity FROM canon) WHERE issue_code IS NOT NULL GROUP BY 1, 2"),
-    "price_issues": c("SELECT 'MISSING_OPTIONAL_PRICE' AS issue_code, 'input_price_vat' AS field, count(*) AS n_rows FROM canon WHERE input_price_vat IS NULL"),
+    "filter_grain_rollup": e(f"SELECT period, 'store' AS entity_type, store AS entity_id, CAST(sum(CAST(revenue_net AS DECIMAL(24,8))) AS DOUBLE) AS revenue_net, CAST(sum(CAST(units AS DECIMAL(24,8))) AS DOUBLE) AS units, CAST(sum(CAST(margin_abs AS DECIMAL(24,8))) AS DOUBLE) AS margin_abs FROM ss WHERE brand IN ('Brand#11', 'Brand#12', 'Brand#7', 'Brand#8') AND store IN ('STORE_1', 'STORE_2', 'STORE_3') GROUP BY period, store", _SS),
+    "sign_issues": c("SELECT issue_code, severity, count(*) AS n_rows, min(source_row_number) AS first_row, max(source_row_number) AS last_row FROM (SELECT source_row_number, CASE WHEN units < 0 AND revenue_vat < 0 THEN 'BUSINESS_EXCEPTION' WHEN units >= 0 AND revenue_vat >= 0 THEN NULL ELSE 'SUSPICIOUS' END AS issue_code, CASE WHEN units < 0 AND revenue_vat < 0 THEN 'INFO' ELSE 'WARNING' END AS severity FROM num) WHERE issue_code IS NOT NULL GROUP BY 1, 2", _NUM),
+    "price_issues": c("SELECT 'MISSING_OPTIONAL_PRICE' AS issue_code, 'input_price_vat' AS field, count(*) AS n_rows, min(source_row_number) AS first_row, max(source_row_number) AS last_row FROM num WHERE input_price_vat IS NULL HAVING count(*) > 0", _NUM),
     "quality_summary": c("SELECT CASE WHEN units >= 0 AND revenue_vat >= 0 THEN 'valid' ELSE 'review' END AS quality_status, concat_ws(',', CASE WHEN input_price_vat IS NULL THEN 'no_input_price' END, CASE WHEN private_label IS NULL THEN 'unknown_private_label' END) AS quality_flags, count(*) AS n_rows FROM canon GROUP BY 1, 2"),
     "row_sequence": c("SELECT count(*) AS n_rows, 1 AS first, count(*) AS last, count(*) AS n_numbers, true AS in_sequence FROM canon"),
     "totals_reconcile": c(f"SELECT measure, total AS source_total, total AS made_total, true AS reconciled FROM (SELECT 'rows' AS measure, CAST(count(*) AS DOUBLE) AS total FROM canon UNION ALL SELECT 'units', CAST(sum({U}) AS DOUBLE) FROM canon)"),
@@ -306,16 +306,10 @@ _KINDS = [
     ("PRICE_INCREASE", "PRICE", "avg_shelf_price", "delta_pct >= 0.03"), ("PRICE_DECREASE", "PRICE", "avg_shelf_price", "delta_pct <= -0.03"),
     ("MARGIN_PCT_GAIN", "MARGIN_PCT", "margin_pct", "delta_abs >= 0.01"), ("MARGIN_PCT_EROSION", "MARGIN_PCT", "margin_pct", "delta_abs <= -0.01"),
 ]
-_BM = f"""{_PRODUCTS}, act AS (SELECT {STORES} AS active_stores FROM e WHERE period = {CUR}),
- pm AS (SELECT category, sku, prod.is_own, prod.carbonation, price_segment, unnest(['revenue_net', 'units', 'units_per_selling_store', 'retailer_margin_abs', 'numeric_distribution', 'weighted_shelf_price_vat']) AS metric,
- unnest([revenue_net, units, {r('units', 'selling_stores')}, margin_abs, {r('selling_stores', 'active_stores')}, avg_shelf_price]) AS v FROM prod JOIN seg USING (category, sku), act),
- px AS (SELECT 'BROAD' AS scope, category AS scope_key, sku, is_own, metric, v FROM pm WHERE v IS NOT NULL UNION ALL SELECT 'DIRECT', category || '|' || carbonation || '|' || price_segment, sku, is_own, metric, v FROM pm WHERE v IS NOT NULL AND carbonation IS NOT NULL)"""
 ORACLES |= {
     "compare_features": e("SELECT * FROM cmp", _CF),
     "event_families": e(" UNION ALL ".join(f"SELECT '{k}' AS event_type, '{f}' AS event_family, entity_id, period, metric, current_value, reference_value, delta_pct, delta_pp, CASE WHEN comparison_quality = 'LOW' THEN 'MEDIUM' ELSE 'HIGH' END AS confidence FROM cmp WHERE metric = '{m}' AND {x}" for k, f, m, x in _KINDS), _CF),
     "event_patterns": e("""SELECT kind AS event_type, 'PATTERN_CANDIDATE' AS event_family, entity_id, period, p.delta_pct AS avg_shelf_price, u.delta_pct AS units FROM (SELECT * FROM cmp WHERE metric = 'avg_shelf_price') p JOIN (SELECT * FROM cmp WHERE metric = 'units') u USING (entity_id, period)
  JOIN (VALUES ('PRICE_POWER_PATTERN'), ('PRICE_PRESSURE_PATTERN'), ('PROMO_LIKE_PATTERN')) k(kind) ON (kind = 'PRICE_POWER_PATTERN' AND p.delta_pct >= 0.03 AND u.delta_pct >= 0) OR (kind = 'PRICE_PRESSURE_PATTERN' AND p.delta_pct >= 0.03 AND u.delta_pct <= -0.10) OR (kind = 'PROMO_LIKE_PATTERN' AND p.delta_pct <= -0.03 AND u.delta_pct >= 0.10)""", _CF),
     "event_candidates": e("SELECT 'any' AS rule_id, metric, count(*) AS n_facts FROM cmp GROUP BY metric UNION ALL SELECT 'good', metric, count(*) FROM cmp WHERE comparison_quality = 'HIGH' GROUP BY metric", _CF),
-    "benchmark_features": e("""SELECT *, CASE WHEN population > 1 THEN 1 - (rank + (ties - 1) / 2.0::DOUBLE - 1) / (population - 1) END AS percentile FROM (SELECT a.scope, a.scope_key, a.metric, a.sku, a.is_own, a.v AS value, 1 + count(*) FILTER (WHERE CASE WHEN a.metric = 'weighted_shelf_price_vat' THEN b.v < a.v ELSE b.v > a.v END) AS rank,
- count(*) FILTER (WHERE b.v = a.v) + CAST(a.is_own AS INT) AS ties, count(b.sku) + CAST(a.is_own AS INT) AS population FROM px a LEFT JOIN (SELECT * FROM px WHERE NOT is_own) b ON a.scope = b.scope AND a.scope_key = b.scope_key AND a.metric = b.metric GROUP BY a.scope, a.scope_key, a.metric, a.sku, a.is_own, a.v)""", _BM),
 }

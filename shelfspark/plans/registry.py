@@ -17,9 +17,10 @@ from ..operators import mart as M
 from ..operators import metrics as K
 from ..operators import periods as P
 from ..operators import portfolio as Q
-from ..sources.store import open_build
 from ..sources.tables import load_canonical, table
 from ..streaming import incremental as S
+from . import mart_oracles, mart_queries
+from .inputs import based, enriched, grain_facts, month
 from .oracles import CURRENT, GAP, ORACLES, REFERENCE
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -31,24 +32,6 @@ def query(f):
     return f
 
 
-def enriched(spark, d):
-    return E.load_enriched(spark, d)
-
-
-#: What sales rows are told by in the stored base; SKUs and stores with conflicting attributes keep a row for each.
-BASE = (*N.DIMENSIONS, "store_format", "region", "package", "carbonation", "volume_l", "private_label", "is_own")
-
-
-def based(spark, d):
-    """The presence base of the sales: stored once for a build and read by every query on sums and counts."""
-    made = lambda: N.presence(enriched(spark, d), N.standard_definitions(), BASE, K.base_parts())
-    return open_build(spark, d).dataset("presence", made)
-
-
-def month(df, p=CURRENT):
-    return df.where(F.col("period") == F.lit(p).cast("date"))
-
-
 @query
 def category_month_economics(spark, d):
     return K.grain_metrics(based(spark, d), "category").select("period", "category", "revenue_vat", "revenue_net", "units", "margin_pct", "avg_shelf_price")
@@ -296,38 +279,30 @@ def relative_price(spark, d):
     return B.relative_prices(_products(spark, d))
 
 
-def _facts(spark, d):
-    rows = based(spark, d)
-    makers = K.grain_metrics(rows, "manufacturer")
-    whole = F.sum(F.col("revenue_net").cast("decimal(24,8)")).over(Window.partitionBy("period", "category"))
-    makers = makers.withColumns({"category_revenue": whole.cast("double"), "category_revenue_share": ratio("revenue_net", whole)})
-    return M.metric_facts(K.grain_metrics(rows, "category")).unionByName(M.metric_facts(makers))
-
-
 @query
 def metric_facts(spark, d):
-    return _facts(spark, d)
+    return grain_facts(spark, d)
 
 
 @query
 def duplicate_fact_identity(spark, d):
-    return M.duplicate_identities(_facts(spark, d))
+    return M.duplicate_identities(grain_facts(spark, d))
 
 
 @query
 def fact_scan(spark, d):
-    return M.scan_facts(_facts(spark, d), "1998-01-01", "1998-06-01", ("revenue_net", "units"), ("category",), True).select("period_start", "entity_id", "metric", "value")
+    return M.scan_facts(grain_facts(spark, d), "1998-01-01", "1998-06-01", ("revenue_net", "units"), ("category",), True).select("period_start", "entity_id", "metric", "value")
 
 
 @query
 def range_aggregate(spark, d):
-    return M.range_aggregate(M.scan_facts(_facts(spark, d), "1998-01-01", "1998-06-01"))
+    return M.range_aggregate(M.scan_facts(grain_facts(spark, d), "1998-01-01", "1998-06-01"))
 
 
 @query
 def scoped_rollup(spark, d):
     """Manufacturers selected by filter, summed to the network for metrics that can be added."""
-    rows = M.scan_facts(_facts(spark, d), "1998-01-01", "1998-06-01", ("revenue_net", "units"), ("manufacturer",)).where("entity_id in ('MFR_1', 'MFR_2')")
+    rows = M.scan_facts(grain_facts(spark, d), "1998-01-01", "1998-06-01", ("revenue_net", "units"), ("manufacturer",)).where("entity_id in ('MFR_1', 'MFR_2')")
     return rows.groupBy("period_start", "metric").agg(exact_sum(F.col("value").cast("decimal(24,8)")).alias("value"), F.countDistinct("entity_id").alias("n_entities"))
 
 
@@ -351,12 +326,12 @@ def catalog_match(spark, d):
     schema = "metric string, label string, enabled boolean"
     public = spark.createDataFrame([("revenue_net", "Net revenue", True), ("units", "Units", True), ("margin_pct", "Margin", True)], schema)
     private = spark.createDataFrame([("units", "Pieces", False), ("margin_abs", "Margin sum", True)], schema)
-    return M.match_catalog(_facts(spark, d), public, private)
+    return M.match_catalog(grain_facts(spark, d), public, private)
 
 
 @query
 def provenance(spark, d):
-    return M.provenance(_facts(spark, d))
+    return M.provenance(grain_facts(spark, d))
 
 
 @query
@@ -436,7 +411,7 @@ def coverage_grid(spark, d):
 
 @query
 def contribution(spark, d):
-    return Q.contribution(based(spark, d), "category", "brand", "revenue_net", CURRENT, REFERENCE)
+    return Q.contribution(based(spark, d), "category", "brand", "revenue", CURRENT, REFERENCE)
 
 
 @query
@@ -499,11 +474,6 @@ def event_ids(spark, d):
     return events.select("rule_id", "entity_id", "period", "event_id")
 
 
-@query
-def signal_feed(spark, d):
-    return V.signal_feed(V.detect(_event_facts(spark, d)))
-
-
 def _revisions(spark, d):
     """Each store's months as a source revision; the hash is of what the revision holds."""
     rows = load_canonical(spark, d).groupBy("store", "period").agg(F.count("*").alias("n"))
@@ -541,7 +511,7 @@ def incremental_rebuild(spark, d):
 
 def _contribution(parent, child):
     def run(spark, d):
-        return Q.contribution(based(spark, d), parent, child, "revenue_net", CURRENT, REFERENCE)
+        return Q.contribution(based(spark, d), parent, child, "revenue", CURRENT, REFERENCE)
 
     QUERIES[f"contribution_{parent}_{child}"] = run
 
@@ -565,17 +535,17 @@ def comparison_issues(spark, d):
 
 @query
 def fact_comparison(spark, d):
-    return M.fact_comparison(_facts(spark, d), CURRENT, REFERENCE)
+    return M.fact_comparison(grain_facts(spark, d), CURRENT, REFERENCE)
 
 
 @query
 def month_set_ranges(spark, d):
-    return M.month_set_ranges(_facts(spark, d), 1998, 1997)
+    return M.month_set_ranges(grain_facts(spark, d), 1998, 1997)
 
 
 @query
 def metric_templates(spark, d):
-    return M.metric_templates(_facts(spark, d))
+    return M.metric_templates(grain_facts(spark, d))
 
 
 @query
@@ -585,19 +555,23 @@ def filter_grain_rollup(spark, d):
 
 
 def _numbered(spark, d):
-    """Canonical rows with their place in the source order; several rows of one place are numbered by what they hold."""
-    rows = load_canonical(spark, d)
-    return rows.withColumn("source_row_number", F.xxhash64(*rows.columns))
+    """Canonical rows with their row numbers in the source order."""
+    return I.numbered(load_canonical(spark, d), ("period", "store"))
+
+
+def _rows_of(issues, *keys):
+    """Issues counted, with the first row that has each and the last."""
+    return issues.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.min("source_row_number").alias("first_row"), F.max("source_row_number").alias("last_row"))
 
 
 @query
 def sign_issues(spark, d):
-    return G.sign_issues(_numbered(spark, d)).groupBy("issue_code", "severity").agg(F.count("*").alias("n_rows"))
+    return _rows_of(G.sign_issues(_numbered(spark, d)), "issue_code", "severity")
 
 
 @query
 def price_issues(spark, d):
-    return G.price_issues(_numbered(spark, d)).groupBy("issue_code", "field").agg(F.count("*").alias("n_rows"))
+    return _rows_of(G.price_issues(_numbered(spark, d)), "issue_code", "field")
 
 
 @query
@@ -722,13 +696,5 @@ def event_candidates(spark, d):
     return V.candidates(facts, F.broadcast(rules)).groupBy("rule_id", "metric").agg(F.count("*").alias("n_facts"))
 
 
-@query
-def benchmark_features(spark, d):
-    rows = based(spark, d)
-    active = month(rows).agg(K.selling(rows, "store").alias("active_stores"))
-    products = B.price_segments(_products(spark, d)).crossJoin(F.broadcast(active))  # one row
-    products = products.withColumns({
-        "units_per_selling_store": ratio("units", "selling_stores"), "numeric_distribution": ratio("selling_stores", "active_stores"),
-        "retailer_margin_abs": F.col("margin_abs"), "weighted_shelf_price_vat": F.col("avg_shelf_price"),
-    })
-    return B.benchmark_features(products)
+QUERIES |= mart_queries.QUERIES
+ORACLES |= mart_oracles.ORACLES

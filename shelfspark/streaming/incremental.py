@@ -22,8 +22,3 @@ def rebuild(rows: DataFrame, changed: DataFrame, build: Callable[[DataFrame], Da
 def ingest_stream(files: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
     """Runs the sink on each micro-batch of newly arrived files, then stops; progress is kept in ``checkpoint``."""
     return files.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def monthly_totals(stream: DataFrame) -> DataFrame:
-    """Watermarked monthly totals of a stream with an event time."""
-    return stream.withWatermark("ts", "40 days").groupBy(F.window("ts", "30 days").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
