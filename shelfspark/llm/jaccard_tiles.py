@@ -6,8 +6,9 @@ any common order (the smaller's few are fewer still); tiles are the units of two
 shingle. The order puts shingles that many documents hold last, so common passages make no large tiles. In a tile each unit
 has a bitmap of twice its band's size with one bit flipped for each shingle: the bits in which two bitmaps differ are at
 least as many as the shingles in which the sets do not, which bounds the overlap from above. What passes is decided on the whole
-sorted sets. Only components are asked for, so a tile's members first meet its hub, the member with most company; pairs that
-are joined by then are not compared again.
+sorted sets. Only components are asked for, so the units of a shingle first meet its hub, the one that shares the largest part
+of its leading shingles. Tiles then hold a shingle's units outside its largest component on the left and all of its units on
+the right; pairs that are joined already are not compared.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from .words import groups, mixed
 
 #: One text in SAMPLED tells which shingles are frequent; it fixes an order only, so no result depends on it.
 SAMPLED, FREQUENT, LISTED = 64, 8, 1 << 16
-#: Expected members on a side of a tile.
-BLOCK = 256
+#: Expected members on a side of a tile; their bitmaps are a few hundred kilobytes.
+BLOCK = 2048
+#: Tiles are compared by bitmaps folded to this part of their width; what these let pass is compared by the whole bitmaps.
+FOLDED = 4
 #: Rows (tags of 16 bytes and a unit) that a task may hold to pick texts from.
 BROADCAST_ROWS = 500_000
 
@@ -116,41 +119,50 @@ def shingle_rows(tagged: DataFrame, width: int, percent: int, hot: np.ndarray, r
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for s in text_sets(batch.column(1), width):
                 n, digest = len(s), xxhash.xxh128_digest(s.tobytes())
                 row, cold = (s, 0) if not n else ordered(s, hot, rank)
                 lead = n and n - needed(n, -(-percent * n // 100), percent) + 1
                 own = n and n - needed(n, n, percent) + 1
-                values = (n, *np.frombuffer(digest, "<i8").tolist(), row[:lead].view(np.int64), own, cold, bitmap(s, bits_of(n, percent)).tobytes() if n else b"")
+                bits = bitmap(s, bits_of(n, percent)) if n else np.zeros(0, np.uint64)
+                values = (n, *np.frombuffer(digest, "<i8").tolist(), row[:lead].view(np.int64), own, cold, bits.tobytes(), folded(bits, max(1, len(bits) // FOLDED)).tobytes())
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary(), pa.binary())
             arrays = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *arrays], names=["doc_id", "tag1", "tag2", "n", "h1", "h2", "lead", "own", "cold", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *arrays], names=["doc_id", "tag1", "tag2", "n", "h1", "h2", "lead", "own", "cold", "bits", "small"])
 
-    return tagged.mapInArrow(run, "doc_id long, tag1 long, tag2 long, n long, h1 long, h2 long, lead array<long>, own int, cold int, bits binary")
+    return tagged.mapInArrow(run, "doc_id long, tag1 long, tag2 long, n long, h1 long, h2 long, lead array<long>, own int, cold int, bits binary, small binary")
 
 
 def _shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token first, sorted) whose token has another row; runs of rare tokens are short."""
+    """Rows (token first, sorted) whose token has another row and an ``own`` one; runs of rare tokens are short."""
+
+    def shared(table: pa.Table) -> list[pa.RecordBatch]:
+        token = table.column("token").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        sizes = np.diff(np.append(starts, len(token)))
+        good = (sizes > 1) & (np.add.reduceat(table.column("own").to_numpy().astype(np.int64), starts) > 0)
+        return table.filter(pa.array(np.repeat(good, sizes))).to_batches()
+
     held = None
     for batch in batches:
         table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
         if not len(table):
             continue
         token = table.column(0).to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        held = table.slice(int(starts[-1]))
-        sizes = np.diff(starts)
-        yield from table.slice(0, int(starts[-1])).filter(pa.array(np.repeat(sizes > 1, sizes))).to_batches()
-    if held is not None and len(held) > 1:
-        yield from held.to_batches()
+        last = len(token) - int(np.argmin(token[::-1] == token[-1])) if token[0] != token[-1] else 0
+        held = table.slice(last)
+        if last:
+            yield from shared(table.slice(0, last))
+    if held is not None and len(held):
+        yield from shared(held)
 
 
-def tile_members(units: DataFrame) -> DataFrame:
-    """``(token, u, n, own)``: units by those of their leading shingles that another unit leads with, too."""
-    posts = units.select("u", "n", "own", "cold", F.posexplode("lead").alias("pos", "token"))
+def tile_members(units: DataFrame, leads: DataFrame) -> DataFrame:
+    """``(token, u, n, own)``: units by those of their leading shingles that another unit leads with, too, one of them as the smaller of a pair."""
+    posts = leads.join(units, "u").select("u", "n", "own", "cold", F.posexplode("lead").alias("pos", "token"))
     posts = posts.select("token", "u", "n", (F.col("pos") < F.col("own")).alias("own"), (F.col("pos") >= F.col("cold")).alias("hot"))
     # a frequent shingle is shared for sure: its rows need not meet to be told
     rare = posts.where("not hot").drop("hot").repartition("token").sortWithinPartitions("token").mapInArrow(_shared_runs, "token long, u long, n long, own boolean")
@@ -162,7 +174,7 @@ def may_link(a, b, differing, percent: int):
     return (a + b - differing) // 2 >= needed(a, b, percent)
 
 
-def _bounded(pairs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
+def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(u, v, shared)`` that the bitmaps do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +186,7 @@ def _bounded(pairs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
                 keep.append(may_link(a, b, int(np.bitwise_count(folded(x, width) ^ folded(y, width)).sum()), percent))
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in range(3)], names=["u", "v", "shared"])
 
-    side = units.select("u", "n", "bits")
+    side = bits.select("u", "n", "bits")
     both = pairs.join(side.toDF("u", "a", "x"), "u").join(side.toDF("v", "b", "y"), "v")
     return both.select("u", "v", "shared", "a", "b", "x", "y").mapInArrow(run, "u long, v long, shared long")
 
@@ -220,17 +232,16 @@ def _in_width(bits: list[bytes], rows: np.ndarray, width: int) -> np.ndarray:
 
 
 def tile_pairs(cell: np.ndarray, rows: dict[str, np.ndarray], bits: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (a, b) of pairs that are in different components and that the bitmaps do not rule out.
+    """Places (left, right) of pairs that are in different components and that the bitmaps do not rule out.
 
-    Rows come tile by tile (``cell`` grows with the tile), those of the left side first; ``half`` tiles compare their left
-    side with itself, too.
+    Rows come tile by tile (``cell`` grows with the tile), those of the left side first. Two units that are both ``other``
+    meet in two tiles and are taken in one of them.
     """
     n = len(cell)
-    start = np.searchsorted(cell, cell, "left")
-    stop = np.searchsorted(cell, cell, "right")
+    start, stop = np.searchsorted(cell, cell, "left"), np.searchsorted(cell, cell, "right")
     lefts = np.concatenate([[0], np.cumsum(~rows["right"])])
-    first = np.where(rows["half"], np.arange(n) + 1, start + lefts[stop] - lefts[start])
-    count = np.where(rows["right"], 0, stop - np.maximum(first, start))
+    first = start + lefts[stop] - lefts[start]
+    count = np.where(rows["right"], 0, stop - first)
     words = np.array([len(b) // 8 for b in bits])
     done = 0
     totals = np.cumsum(count)
@@ -239,7 +250,7 @@ def tile_pairs(cell: np.ndarray, rows: dict[str, np.ndarray], bits: list[bytes],
         own = np.arange(done, upto)
         a = np.repeat(own, count[own])
         b = np.arange(len(a)) - np.repeat(np.cumsum(count[own]) - count[own], count[own]) + first[a]
-        keep = (rows["root"][a] != rows["root"][b]) & (rows["own"][a] | rows["own"][b])
+        keep = (rows["root"][a] != rows["root"][b]) & (rows["own"][a] | rows["own"][b]) & (~rows["other"][b] | (rows["u"][a] < rows["u"][b]))
         a, b = a[keep], b[keep]
         low, high = np.minimum(rows["n"][a], rows["n"][b]), np.maximum(rows["n"][a], rows["n"][b])
         keep = low * 100 >= high * percent
@@ -262,7 +273,7 @@ def tile_pairs(cell: np.ndarray, rows: dict[str, np.ndarray], bits: list[bytes],
 
 
 def _compared(percent: int):
-    """Rows (token, tile, i, j, right, u, n, own, root, bits), sorted by tile, to pairs; a tile is held until its last row is there."""
+    """Rows (token, tile, i, j, right, u, n, own, root, other, bits), sorted by tile, to pairs; a tile is held until its last row is there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(table: pa.Table) -> pa.RecordBatch:
@@ -270,8 +281,7 @@ def _compared(percent: int):
             new = np.zeros(len(table), bool)
             for k in keys:
                 new[1:] |= k[1:] != k[:-1]
-            rows = {name: table.column(name).to_numpy() for name in ("right", "u", "n", "own", "root")}
-            rows["half"] = (keys[2] == keys[3]) & ~rows["right"]
+            rows = {name: table.column(name).to_numpy() for name in ("right", "u", "n", "own", "root", "other")}
             found = list(tile_pairs(np.cumsum(new), rows, table.column("bits").to_pylist(), percent))
             ends = [rows["u"][np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)])] for k in range(2)]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends))], names=["u", "v"])
@@ -294,41 +304,39 @@ def _compared(percent: int):
     return run
 
 
-def _tile_candidates(members: DataFrame, roots: DataFrame, units: DataFrame, percent: int) -> DataFrame:
-    """Pairs of tile members in different components that the bitmaps do not rule out."""
+def _tile_candidates(members: DataFrame, roots: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs of units of a shingle in different components that the folded bitmaps do not rule out."""
     own = members.join(roots.toDF("u", "root"), "u", "left").withColumn("root", F.coalesce("root", "u"))
-    own = cut(own.withColumn("band", F.floor(F.log("n") / F.lit(math.log(100 / percent) * (1 + 1e-9))).cast("int")))
-    open_ = own.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("own").alias("any")).where("lo <> hi and any")
-    dealt = own.join(open_.select("token", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("m")), "token")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("u"), F.col("m")).cast("int"))
-    every, before = F.sequence(F.lit(0), F.col("m") - 1), F.when(F.col("block") > 0, F.sequence(F.lit(0), F.col("block") - 1))
-    # a tile holds a block of one band on its left; the rest of that band and the next band on its right
-    cell = lambda band, i, j, right: F.struct(band.cast("int").alias("tile"), i.alias("i"), j.alias("j"), F.lit(right).alias("right"))
-    places = F.concat(
-        F.transform(every, lambda j: cell(F.col("band"), F.col("block"), j, False)),
-        F.coalesce(F.transform(before, lambda i: cell(F.col("band"), i, F.col("block"), True)), F.array().cast("array<struct<tile:int,i:int,j:int,right:boolean>>")),
-        F.transform(every, lambda i: cell(F.col("band") - 1, i, F.col("block"), True)),
-    )
-    cells = dealt.select("token", "u", "n", "own", "root", F.explode(places).alias("p")).select("token", "p.*", "u", "n", "own", "root")
-    # tiles of one component, or without a left side, have nothing to compare
+    own = own.withColumn("band", F.floor(F.log("n") / F.lit(math.log(100 / percent) * (1 + 1e-9))).cast("int"))
+    sizes = own.groupBy("token", "root").agg(F.count("*").alias("size"), F.max("own").alias("any"))
+    open_ = sizes.groupBy("token").agg(F.sum("size").alias("size"), F.max(F.struct("size", "root")).alias("most"), F.max("any").alias("any"), F.count("*").alias("roots")).where("roots > 1 and any")
+    parts = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
+    open_ = open_.select("token", F.col("most.root").alias("largest"), parts(F.col("size") - F.col("most.size")).alias("lefts"), parts(F.col("size")).alias("rights"))
+    dealt = own.join(open_, "token").withColumn("other", F.col("root") != F.col("largest"))
+    place = lambda n: F.pmod(F.xxhash64("u"), n).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda band, i, j, right: F.struct(band.cast("int").alias("tile"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(right).alias("right"))
+    right = F.transform(upto(F.col("lefts")), lambda i: cell(F.col("band"), i, place(F.col("rights")), True))
+    left = F.flatten(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda t: F.transform(upto(F.col("rights")), lambda j: cell(F.col("band") + t, place(F.col("lefts")), j, False))))
+    cells = dealt.select("token", "u", "n", "own", "root", "other", F.explode(F.when(F.col("other"), F.concat(right, left)).otherwise(right)).alias("p")).select("token", "p.*", "u", "n", "own", "root", "other")
+    # tiles without one of the sides have nothing to compare
     keys = ["token", "tile", "i", "j"]
-    busy = cells.groupBy(*keys).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(~F.col("right")).alias("left")).where("lo <> hi and left")
-    cells = cells.join(busy.select(*keys), keys, "left_semi").join(units.select("u", "bits"), "u")
-
+    busy = cells.groupBy(*keys).agg(F.min("right").alias("lo"), F.max("right").alias("hi")).where("lo <> hi")
+    cells = cells.join(busy.select(*keys), keys, "left_semi").join(bits.select("u", F.col("small").alias("bits")), "u")
     # most tiles hold a few rows, so tasks take them as they come instead of one group at a time
-    placed = cells.select(*keys, "right", "u", "n", "own", "root", "bits").repartition(*keys).sortWithinPartitions(*keys, "right")
+    placed = cells.select(*keys, "right", "u", "n", "own", "root", "other", "bits").repartition(*keys).sortWithinPartitions(*keys, "right")
     return placed.mapInArrow(_compared(percent), "u long, v long").distinct()
 
 
-def unit_links(units: DataFrame, tagged: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links ``(u, v)`` with the components of "similar enough" among units."""
-    members = tile_members(units)
-    counts = members.groupBy("token").agg(F.count("*").alias("size"))
-    company = members.join(counts, "token").groupBy("u").agg(F.sum("size").alias("company"))
+def unit_links(units: DataFrame, rows: DataFrame, tagged: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links ``(u, v)`` with the components of "similar enough" among units; ``rows`` holds their leading shingles and bitmaps by u."""
+    members = tile_members(units.select("u", "n", "own", "cold"), rows.select("u", "lead"))
+    bits = rows.select("u", "n", "bits", "small")
+    company = members.groupBy("u").agg((F.count("*") / F.max("n")).alias("company"))  # about the shared part of its leading shingles
     hubs = members.join(company, "u").groupBy("token").agg(F.max(F.struct("company", "u", "n")).alias("hub")).select("token", F.col("hub.u").alias("v"), F.col("hub.n").alias("size"))
     least, most = F.least("n", "size"), F.greatest("n", "size")
     met = members.join(hubs, "token").where((F.col("u") != F.col("v")) & (least * 100 >= most * percent)).groupBy("u", "v").agg(F.count("*").alias("shared"))
-    close = cut(_bounded(met, units, percent))
+    close = cut(_bounded(met, bits, percent))
     sets = _sets_of(close, units, tagged, width)
     first = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("shared"), "v"))
     best = close.withColumn("place", first).where("place = 1")
@@ -336,7 +344,8 @@ def unit_links(units: DataFrame, tagged: DataFrame, width: int, percent: int) ->
     roots = cut(components(links))
     apart = close.join(roots.toDF("u", "ru"), "u", "left").join(roots.toDF("v", "rv"), "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v"))
     links = cut(links.unionByName(_verified(apart, sets, percent)))
-    rest = cut(_tile_candidates(members, cut(components(links)), units, percent))
+    passed = _tile_candidates(members, cut(components(links)), bits, percent).withColumn("shared", F.lit(1).cast("long"))
+    rest = cut(_bounded(passed, bits, percent))
     return links.unionByName(_verified(rest, _sets_of(rest, units, tagged, width), percent))
 
 
@@ -352,13 +361,12 @@ def jaccard_join(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str
     """
     spark, tagged = docs.sparkSession, _tagged(docs, id_col, text_col)
     folder = shared_folder(spark, "jaccard")
-    shingle_rows(tagged, width, percent, *frequent_shingles(tagged, width)).write.parquet(f"{folder}/rows")
+    made = shingle_rows(tagged, width, percent, *frequent_shingles(tagged, width))
+    made.withColumn("u", F.monotonically_increasing_id()).write.parquet(f"{folder}/rows")  # a row's number stands for its unit if it is the first of it
     rows = spark.read.parquet(f"{folder}/rows")
-    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag1", "tag2", "n", "own", "cold", "lead", "bits")).alias("one")
-    units = rows.where("n > 0").groupBy("h1", "h2").agg(one)
-    units.select(F.monotonically_increasing_id().alias("u"), "h1", "h2", "one.*").drop("col1").write.parquet(f"{folder}/units")
-    units = spark.read.parquet(f"{folder}/units")
-    roots = components(unit_links(units, tagged, width, percent)).toDF("u", "root")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "u", "tag1", "tag2", "n", "own", "cold")).alias("one")
+    units = cut(rows.where("n > 0").groupBy("h1", "h2").agg(one).select("h1", "h2", "one.*").drop("none"))
+    roots = components(unit_links(units, rows, tagged, width, percent)).toDF("u", "root")
     placed = units.select("u", "h1", "h2", "doc_id").join(roots, "u", "left").withColumn("root", F.coalesce("root", "u"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     member = cut(placed.join(least, "root").select("h1", "h2", "component_id"))
