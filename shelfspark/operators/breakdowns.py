@@ -98,6 +98,37 @@ def volume_facet(df: DataFrame) -> DataFrame:
     return df.where("volume_l > 0").groupBy(volume_range("volume_l").alias("volume_range"), F.round("volume_l", 6).alias("volume")).agg(F.countDistinct("sku").alias("n_skus"))
 
 
+def seek_page(df: DataFrame, order: tuple[str, ...], size: int, after: tuple | None = None) -> DataFrame:
+    """The next page behind a row of a total order, which is given by its values; a page has at most 100 rows.
+
+    Every task keeps its first rows behind the key only, so any page costs what the first one does. NULLs come first, as in
+    an ascending order. The first conditions are on the leading columns, so a leading month reaches stored partitions.
+    """
+    if after is not None:
+        behind, same = F.lit(False), F.lit(True)
+        for c, v in zip(order, after, strict=True):
+            kind = dict(df.dtypes)[c]
+            key = F.lit(v).cast(kind)
+            behind = behind | (same & (F.col(c).isNotNull() if v is None else F.col(c) > key))
+            same = same & F.col(c).eqNullSafe(key)
+        first = dict(df.dtypes)[order[0]]
+        df = df.where(F.coalesce(behind, F.lit(False)))
+        df = df if after[0] is None else df.where(F.col(order[0]) >= F.lit(after[0]).cast(first))
+    return df.orderBy(*order).limit(min(size, 100))
+
+
+def browse(df: DataFrame, order: tuple[str, ...], size: int, after: tuple | None = None, first=None, last=None, filters: dict[str, tuple] | None = None) -> DataFrame:
+    """A page of the source rows of a scope (window of months, lists of values) with the number of rows in the scope."""
+    if first is not None:
+        df = df.where(F.col("period") >= F.lit(first).cast("date"))
+    if last is not None:
+        df = df.where(F.col("period") <= F.lit(last).cast("date"))
+    for name, values in (filters or {}).items():
+        df = df.where(F.col(name).isin(*values)) if values else df
+    total = df.agg(F.count("*").alias("total_count"))
+    return seek_page(df, order, size, after).crossJoin(F.broadcast(total))  # one row
+
+
 def source_page(df: DataFrame, order: tuple[str, ...], size: int, page: int) -> DataFrame:
     """One page of source rows in a total order; a page has at most 100 rows."""
     return df.orderBy(*order).offset(size * page).limit(min(size, 100))

@@ -35,7 +35,7 @@ def priced(df: DataFrame):
 def base_parts():
     """What a presence base holds beside the parts of the configured metrics."""
     value, units = (F.when(F.col("units") > 0, c) for c in ((F.col("shelf_price_vat") * F.col("units")).cast("decimal(24,8)"), F.col("units").cast("decimal(18,2)")))
-    return (F.sum(value).alias("priced_value"), F.sum(units).alias("priced_units"), F.count("*").alias("n_rows"), F.sum(F.col("margin_abs").isNull().cast("int")).cast("long").alias("null_margins"))
+    return (F.sum(value).alias("priced_value"), F.sum(units).alias("priced_units"), F.count("*").alias("n_rows"), F.sum(F.col("margin_abs").isNull().cast("int")).cast("long").alias("null_margins"), F.sum((F.col("units") < 0).cast("int")).cast("long").alias("return_rows"))
 
 
 def sums(df: DataFrame, one: str | None = None):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.definitions import config_hash, standard_definitions
-from .oracles import _ACTIVE, CUR, GRAINS, STORES, SUMS, U, _PRODUCTS, abc, compare, e, grain, have, r, s
+from .oracles import _ACTIVE, CUR, GRAINS, STORES, SUMS, U, _PRODUCTS, abc, c, compare, e, grain, have, r, s
 
 HASH = config_hash(standard_definitions())
 _WINDOW = "period_start BETWEEN DATE '1998-01-01' AND DATE '1998-06-30'"
@@ -138,3 +138,41 @@ ORACLES: dict[str, str] = {
  concat_ws(',', CASE WHEN m IS NULL THEN 'EMPTY_DIRECT_PEER_GROUP' END, CASE WHEN m IS NULL OR m = 0 THEN 'ZERO_PEER_MEDIAN' END) AS issues FROM (SELECT t.scope, t.scope_key, t.sku, t.price, CASE WHEN t.price IS NOT NULL THEN median(p.price) FILTER (p.price > 0) END AS m, count(*) AS population_size
  FROM pool t JOIN pool p ON p.scope = t.scope AND p.scope_key = t.scope_key AND p.in_pool AND p.sku <> t.sku GROUP BY t.scope, t.scope_key, t.sku, t.price)""", _PROD),
 }
+
+
+def _parts(keys: str) -> str:
+    """SKU x store facts of seven concepts, rolled up to the keys."""
+    concepts = (
+        ("revenue_vat", "s", "revenue_vat", None, None), ("revenue", "s", "revenue_net", None, None), ("units", "s", "units", None, None), ("retailer_margin_abs", "s", "margin_abs", None, None),
+        ("retailer_margin_pct", "r", None, "margin_abs", "revenue_net"), ("weighted_shelf_price_vat", "w", None, "sv", "sw"), ("weighted_input_price_vat", "w", None, "iv", "iw"),
+    )
+    flags = (("missing_margin", "null_margins > 0"), ("returns", "return_rows > 0"), ("unknown_private_label", "private_label IS NULL"))
+    out = []
+    for k, kind, v, n, d in concepts:
+        zero = lambda x: f"count(*) FILTER ({x} IS NULL)" if x else "count(*)"
+        total = lambda x: f"CAST(sum({x}) AS DOUBLE)"
+        value = f"CASE WHEN {zero(v)} = 0 THEN {total(v)} END" if kind == "s" else f"CASE WHEN {zero(n)} = 0 AND {zero(d)} = 0 THEN {total(n)} / nullif({total(d)}, 0) END"
+        part = lambda x, n=n, d=d, kind=kind: "CAST(NULL AS DOUBLE)" if kind == "s" else f"CASE WHEN ({zero(n)} = 0 AND {zero(d)} = 0) OR count(*) = 1 THEN {total(x)} END"
+        mix = "concat_ws(',', " + ", ".join(f"CASE WHEN count(*) FILTER ({c}) > 0 THEN '{f}=' || count(*) FILTER ({c}) END" for f, c in flags) + ")"
+        names = "concat_ws(',', " + ", ".join(f"CASE WHEN count(*) FILTER ({c}) > 0 THEN '{f}' END" for f, c in flags) + ")"
+        out.append(f"""SELECT {keys}, '{k}' AS metric_concept, {value} AS value, {part(n or v)} AS numerator_value, {part(d or v)} AS denominator_value, count(*) AS n_facts, {zero(v)} AS null_value, {zero(n)} AS null_numerator, {zero(d)} AS null_denominator,
+ CASE WHEN count(*) FILTER (null_margins > 0) = 0 THEN 'valid' ELSE 'mixed' END AS quality_status, {names} AS quality_flags, {mix} AS flag_counts, max(period) AS latest_period FROM base GROUP BY {keys}""")
+    return " UNION ALL ".join(out)
+
+
+_BASE = f"""base AS (SELECT period, category, manufacturer, brand, sku, store, store_format, region, package, carbonation, volume_l, private_label, is_own, sum(CAST(revenue_vat AS DECIMAL(24,8))) AS revenue_vat, sum(revenue_net) AS revenue_net, sum(CAST(units AS DECIMAL(24,8))) AS units, sum(margin_abs) AS margin_abs,
+ sum(CASE WHEN {_SHELF} THEN CAST(shelf_price_vat * units AS DECIMAL(24,8)) END) AS sv, sum(CASE WHEN {_SHELF} THEN CAST(units AS DECIMAL(24,8)) END) AS sw, sum(CASE WHEN {_INPUT} THEN CAST(input_price_vat * units AS DECIMAL(24,8)) END) AS iv, sum(CASE WHEN {_INPUT} THEN CAST(units AS DECIMAL(24,8)) END) AS iw,
+ count(*) FILTER (margin_abs IS NULL) AS null_margins, count(*) FILTER (units < 0) AS return_rows, 'rev_' || replace(region, ' ', '') || '_' || CAST(year(period) AS VARCHAR) AS rev, 'run_' || lower(store_format) AS run FROM e GROUP BY ALL)"""
+_AFTER = "(period, category, manufacturer, brand, sku_name, store, sku, units, CAST(revenue_vat AS DOUBLE), shelf_price_vat) > (DATE '1998-05-01', 'ECONOMY', 'MFR_2', '', '', '', '', 0.0, 0.0, 0.0)"
+_SCOPE = "period BETWEEN DATE '1998-01-01' AND DATE '1998-12-01' AND category IN ('ECONOMY', 'SMALL')"
+ORACLES |= {
+    "product_store_quality": e(_parts("category"), _BASE),
+    "product_store_months": e(f"SELECT * EXCLUDE (latest_period) FROM ({_parts('period, category, store_format')})", _BASE),
+    "lineage": e(f"""SELECT category, region, metric_concept, count(*) AS n_facts, CASE WHEN count(*) FILTER (null_margins > 0) = 0 THEN 'valid' ELSE 'mixed' END AS quality_status,
+ concat_ws(',', CASE WHEN count(*) FILTER (null_margins > 0) > 0 THEN 'missing_margin' END, CASE WHEN count(*) FILTER (return_rows > 0) > 0 THEN 'returns' END, CASE WHEN count(*) FILTER (private_label IS NULL) > 0 THEN 'unknown_private_label' END) AS quality_flags,
+ max(period) AS latest_period, max(rev) AS latest_revision_id, array_to_string(list_sort(list(DISTINCT rev)), ',') AS source_revision_ids, array_to_string(list_sort(list(DISTINCT run)), ',') AS analysis_run_ids
+ FROM base CROSS JOIN (VALUES ('revenue_vat'), ('revenue'), ('units'), ('retailer_margin_abs'), ('retailer_margin_pct'), ('weighted_shelf_price_vat'), ('weighted_input_price_vat')) k(metric_concept) GROUP BY category, region, metric_concept""", _BASE),
+    "source_rows_seek": c(f"SELECT period, category, manufacturer, brand, sku_name, store, sku, units, CAST(revenue_vat AS DOUBLE) AS revenue_vat, shelf_price_vat, (SELECT count(*) FROM canon WHERE {_SCOPE}) AS total_count FROM canon WHERE {_SCOPE} AND {_AFTER} ORDER BY period, category, manufacturer, brand, sku_name, store, sku, units, CAST(revenue_vat AS DOUBLE), shelf_price_vat LIMIT 100"),
+    "mart_rebuild": e(f"SELECT period, category, {s("CASE WHEN period = DATE '1998-02-01' AND store = 'STORE_1' THEN 2 * revenue_net ELSE revenue_net END")} AS revenue_net, {s(U)} AS units, CASE WHEN (SELECT count(*) FROM canon WHERE period = DATE '1998-02-01' AND store = 'STORE_1') > 0 AND period IN (DATE '1998-02-01', DATE '1998-03-01', DATE '1999-02-01') THEN 'build_2' ELSE 'build_1' END AS mart_build_id FROM e GROUP BY period, category"),
+    "stream_ingest": c(f"SELECT period, category, CAST(sum(revenue_vat) AS DOUBLE) AS revenue_vat, CAST(sum({U}) AS DOUBLE) AS units, {STORES} AS selling_stores, (SELECT count(DISTINCT period) + 1 FROM canon) AS n_files, 1 AS n_duplicates FROM canon GROUP BY period, category"),
+}

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import ratio
 from ..operators import benchmarking as B
+from ..operators import breakdowns as D
 from ..operators import mart as M
 from ..operators import metrics as K
 from ..operators import periods as P
 from ..operators import portfolio as Q
+from ..operators import product_store as T
 from ..operators import rules as R
 from ..operators import signals as X
-from ..sources.store import open_build
+from ..sources.store import mart_root, open_build
+from ..sources.tables import load_canonical
+from ..streaming import incremental as S
+from ..streaming import ingest_files as W
 from .inputs import CONTEXT, based, mart_facts, month
 from .oracles import CURRENT
 
@@ -163,3 +170,74 @@ def benchmark_features(spark, d):
 @query
 def benchmark_prices(spark, d):
     return B.pool_prices(_products(spark, d))
+
+
+def _product_store(spark, d) -> DataFrame:
+    rows = based(spark, d)
+    revision = F.concat_ws("_", F.lit("rev"), F.regexp_replace("region", " ", ""), F.year("period").cast("string"))
+    return T.product_store_facts(rows, ("category", "brand", "region", "store_format"), {"source_revision_id": revision, "analysis_run_id": F.concat_ws("_", F.lit("run"), F.lower("store_format"))})
+
+
+@query
+def product_store_quality(spark, d):
+    """SKU x store facts rolled up to brands by month, then to categories over all months, with the count of facts by flag."""
+    months = T.rolled_up(_product_store(spark, d), ("period", "category", "brand"))
+    return T.served(T.rolled_up(months, ("category",)), ("category",)).drop("source_revision_ids", "analysis_run_ids", "latest_revision_id")
+
+
+@query
+def product_store_months(spark, d):
+    """The same by month, category and store format."""
+    return T.served(T.rolled_up(_product_store(spark, d), ("period", "category", "store_format")), ("period", "category", "store_format")).drop("source_revision_ids", "analysis_run_ids", "latest_revision_id", "latest_period")
+
+
+@query
+def lineage(spark, d):
+    """Revisions and runs behind each result, carried from the rows through two roll-ups."""
+    months = T.rolled_up(_product_store(spark, d), ("period", "category", "region"))
+    return T.served(T.rolled_up(months, ("category", "region")), ("category", "region")).select("category", "region", "metric_concept", "n_facts", "quality_status", "quality_flags", "latest_period", "latest_revision_id", "source_revision_ids", "analysis_run_ids")
+
+
+PAGE = ("period", "category", "manufacturer", "brand", "sku_name", "store", "sku", "units", "revenue_vat", "shelf_price_vat")
+
+
+@query
+def source_rows_seek(spark, d):
+    """The page behind a given row in the scope of a year and two categories."""
+    rows = load_canonical(spark, d).withColumn("revenue_vat", F.col("revenue_vat").cast("double"))
+    after = ("1998-05-01", "ECONOMY", "MFR_2", "", "", "", "", 0.0, 0.0, 0.0)
+    return D.browse(rows.select(*PAGE), PAGE, 100, after, "1998-01-01", "1998-12-01", {"category": ("ECONOMY", "SMALL")})
+
+
+def _monthly(rows: DataFrame) -> DataFrame:
+    return K.grain_metrics(rows, "category").select("period", "category", "revenue_net", "units")
+
+
+@query
+def mart_rebuild(spark, d):
+    """A mart by month, a correction of one month written back, and the mart as read behind it: only affected months carry the new build."""
+    path = f"{mart_root(spark)}/rebuild-{uuid.uuid4().hex}"
+    rows = based(spark, d)
+    _monthly(rows).withColumn("mart_build_id", F.lit("build_1")).hint("rebalance", "period").write.partitionBy("period").parquet(path)
+    wrong = (F.col("period") == F.lit("1998-02-01").cast("date")) & (F.col("store") == "STORE_1")
+    fixed = rows.withColumn("revenue_net", F.when(wrong, F.col("revenue_net") * 2).otherwise(F.col("revenue_net")))
+    S.write_back(fixed, rows.where(wrong), lambda r: _monthly(r).withColumn("mart_build_id", F.lit("build_2")), path)
+    return spark.read.parquet(path)
+
+
+@query
+def stream_ingest(spark, d):
+    """All months as files, one of them twice under another name, taken in micro-batches; then the facts and what the ledger says."""
+    root = f"{mart_root(spark)}/stream-{uuid.uuid4().hex}"
+    columns = ("period", "store", "sku", "category", "manufacturer", "brand", "units", "revenue_vat")
+    rows = load_canonical(spark, d).select(*columns)
+    month_files = rows.withColumn("month", F.col("period")).repartition("month")  # a file a month
+    month_files.write.partitionBy("month").parquet(f"{root}/landing")
+    month_files.where(F.col("month") == F.lit(CURRENT).cast("date")).drop("month").coalesce(1).write.parquet(f"{root}/landing/again")
+
+    def build(r: DataFrame) -> DataFrame:
+        return r.groupBy("period", "category").agg(F.sum("revenue_vat").cast("double").alias("revenue_vat"), F.sum(F.col("units").cast("decimal(18,2)")).cast("double").alias("units"), F.countDistinct(F.when(F.col("units") > 0, F.col("store"))).alias("selling_stores"))
+
+    W.ingest_files(spark, f"{root}/landing", root, rows.schema, build, "retailer_a", "source_a", 48)
+    entries = W.ledger(spark, root).groupBy().agg(F.count("*").alias("n_files"), F.count(F.when(F.col("registration") == "IDENTICAL_DUPLICATE", 1)).alias("n_duplicates"))
+    return spark.read.parquet(f"{root}/facts").crossJoin(F.broadcast(entries))  # one row

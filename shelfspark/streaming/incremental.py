@@ -19,6 +19,12 @@ def rebuild(rows: DataFrame, changed: DataFrame, build: Callable[[DataFrame], Da
     return build(rows.join(F.broadcast(affected_periods(changed)), "period", "left_semi"))  # months are few
 
 
+def write_back(rows: DataFrame, changed: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, month: str = "period") -> None:
+    """Rebuilds the affected months and replaces their partitions of a table stored by month; the files of other months stay as they are."""
+    made = rebuild(rows, changed, build)
+    made.hint("rebalance", month).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(month).parquet(path)
+
+
 def ingest_stream(files: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
     """Runs the sink on each micro-batch of newly arrived files, then stops; progress is kept in ``checkpoint``."""
     return files.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -78,8 +78,13 @@ def test_definitions_on_hand_rows(spark):
 
 def test_filter_grain():
     assert definitions.effective_grain("network", {"brand": ("b",), "category": ("c",)}) == ("brand", False)
-    assert definitions.effective_grain("network", {"sku": ("s",), "store": ("t",)}) == ("sku", True)
+    assert definitions.effective_grain("network", {"sku": ("s",), "store": ("t",)}) == ("store", True)
     assert definitions.effective_grain("category", {}) == ("category", False)
+    assert definitions.effective_grain("sku", {"category": ("c",)}) == ("sku", False)
+    assert definitions.effective_grain("brand", {"store": ("t",)}) == ("store", True)
+    assert definitions.effective_grain("store", {"category": ("c",)}) == ("store", True)
+    assert definitions.effective_grain("store", {"store": ("t",)}) == ("store", False)
+    assert definitions.effective_grain("network", {"package": ("p",)}) == ("network", True)
 
 
 @pytest.mark.parametrize(
@@ -152,13 +157,33 @@ def test_families_and_patterns(spark):
     assert [r["event_type"] for r in events.patterns(compared).collect()] == ["PROMO_LIKE_PATTERN"]
 
 
-def test_benchmark_features_of_hand_rows(spark):
-    rows = [("c", "own", True, "still", None, 5.0, 2.0), ("c", "x", False, "still", "MID", 9.0, 3.0), ("c", "y", False, "still", "MID", 5.0, None)]
-    df = spark.createDataFrame(rows, "category string, sku string, is_own boolean, carbonation string, price_segment string, units double, weighted_shelf_price_vat double")
-    got = {(r["scope"], r["metric"], r["sku"]): (r["rank"], r["population"]) for r in benchmarking.benchmark_features(df, ("units", "weighted_shelf_price_vat")).collect()}
-    assert got["BROAD", "units", "own"] == (2, 3) and got["BROAD", "units", "x"] == (1, 2)
-    assert got["BROAD", "weighted_shelf_price_vat", "own"] == (1, 2) and ("BROAD", "weighted_shelf_price_vat", "y") not in got
-    assert ("DIRECT", "units", "own") not in got and got["DIRECT", "units", "y"] == (2, 2)
+def products(spark):
+    """Two competitors and an own product of a group, one competitor without price and one of another group."""
+    rows = [
+        ("c", "own", True, "still", "b", "MID", "pet", 5.0, 2.0, 2.0), ("c", "x", False, "still", "b", "MID", "pet", 9.0, 3.0, 3.0), ("c", "y", False, "still", "b", "MID", "pet", 5.0, None, None),
+        ("c", "z", False, "still", None, "MID", "pet", 1.0, 4.0, 4.0), ("d", "alone", False, "still", "b", "MID", "pet", 1.0, 4.0, 4.0),
+    ]
+    return spark.createDataFrame(rows, "category string, sku string, is_own boolean, carbonation string, volume_band string, price_segment string, package string, units double, weighted_shelf_price_vat double, price double")
+
+
+def test_benchmark_features_of_hand_rows(spark, monkeypatch):
+    monkeypatch.setattr(benchmarking.pooled, "__defaults__", (("units",), 2, benchmarking.DIRECT))
+    got = {(r["scope"], r["metric"], r["sku"]): (r["rank"], r["percentile"], r["population_size"]) for r in benchmarking.benchmark_features(products(spark), ("units", "weighted_shelf_price_vat")).collect()}
+    assert got["BROAD", "units", "own"] == (2, 0.5, 4) and got["BROAD", "units", "x"] == (1, 1.0, 3)
+    assert got["BROAD", "weighted_shelf_price_vat", "own"] == (1, 1.0, 4) and got["BROAD", "weighted_shelf_price_vat", "y"] == (None, None, 3)
+    assert got["TOP_N", "units", "z"] == (3, 0.0, 3) and got["TOP_N", "units", "x"] == (1, 1.0, 2) and got["TOP_N", "units", "own"] == (2, 0.25, 3)
+    assert got["DIRECT", "units", "own"] == (2, 0.25, 3) and ("DIRECT", "units", "z") not in got
+    assert not [k for k in got if k[2] == "alone"]
+
+
+def test_pool_prices_of_hand_rows(spark, monkeypatch):
+    monkeypatch.setattr(benchmarking.pooled, "__defaults__", (("units",), 2, benchmarking.DIRECT))
+    got = {(r["scope"], r["sku"]): (r["peer_median_price"], r["price_vs_peer_median_abs"], r["price_index_to_peer_median"], r["population_size"], r["issues"]) for r in benchmarking.pool_prices(products(spark)).collect()}
+    assert got["BROAD", "own"] == (3.5, -1.5, pytest.approx(100 * 2 / 3.5), 3, "")
+    assert got["BROAD", "x"] == (4.0, -1.0, 75.0, 2, "") and got["BROAD", "z"] == (3.0, 1.0, pytest.approx(400 / 3), 2, "")
+    assert got["BROAD", "y"] == (None, None, None, 2, "EMPTY_DIRECT_PEER_GROUP,ZERO_PEER_MEDIAN")
+    assert got["TOP_N", "x"] == (None, None, None, 1, "EMPTY_DIRECT_PEER_GROUP,ZERO_PEER_MEDIAN")
+    assert got["DIRECT", "own"] == (3.0, -1.0, pytest.approx(200 / 3), 2, "")
 
 
 def test_revisions_and_builds(spark):
