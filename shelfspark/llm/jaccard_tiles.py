@@ -29,7 +29,7 @@ from .words import groups, mixed
 #: One text in SAMPLED tells which shingles are frequent; it fixes an order only, so no result depends on it.
 SAMPLED, FREQUENT, LISTED = 64, 8, 1 << 16
 #: Expected members on a side of a tile; their bitmaps are a few hundred kilobytes.
-BLOCK = 2048
+BLOCK = 1024
 #: Tiles are compared by bitmaps folded to this part of their width; what these let pass is compared by the whole bitmaps.
 FOLDED = 4
 #: Rows (tags of 16 bytes and a unit) that a task may hold to pick texts from.
@@ -52,6 +52,13 @@ def bits_of(n: int, percent: int) -> int:
     return max(64, 1 << math.ceil(math.log2(2 * top)))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces, so that few sets and texts are Python objects at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def bitmap(hashes: np.ndarray, bits: int) -> np.ndarray:
     """Words of 64 bits; a bit is set if an odd number of shingles falls on it."""
     odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
@@ -118,7 +125,7 @@ def shingle_rows(tagged: DataFrame, width: int, percent: int, hot: np.ndarray, r
     """Per text its set's size and digest, the leading shingles (``own`` of them as the smaller of a pair, ``cold`` not frequent) and the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches, 1024):
             out: list[list] = [[] for _ in range(8)]
             for s in text_sets(batch.column(1), width):
                 n, digest = len(s), xxhash.xxh128_digest(s.tobytes())
@@ -178,7 +185,7 @@ def _bounded(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(u, v, shared)`` that the bitmaps do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             keep = []
             for a, b, x, y in zip(*(batch.column(k).to_pylist() for k in range(3, 7)), strict=True):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
@@ -195,7 +202,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sorted sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = sorted((np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")), key=len)
@@ -211,7 +218,7 @@ def _sets_of(pairs: DataFrame, units: DataFrame, tagged: DataFrame, width: int)
     """``(u, shingles)`` of the units in the pairs, made from one text each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             made = [s.tobytes() for s in text_sets(batch.column(1), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["u", "shingles"])
 
@@ -224,7 +231,7 @@ def _sets_of(pairs: DataFrame, units: DataFrame, tagged: DataFrame, width: int)
 
 
 #: Pairs of a tile that are held against each other in one go.
-PAIRS = 1 << 17
+PAIRS = 1 << 15
 
 
 def _in_width(bits: list[bytes], rows: np.ndarray, width: int) -> np.ndarray:
@@ -258,7 +265,7 @@ def tile_pairs(cell: np.ndarray, rows: dict[str, np.ndarray], bits: list[bytes],
         width = np.minimum(words[a], words[b])
         for w in np.unique(width).tolist():
             x, y = a[width == w], b[width == w]
-            step = max(1, (1 << 22) // w)
+            step = max(1, (1 << 19) // w)
             for lo in range(0, len(x), step):
                 one, two = x[lo : lo + step], y[lo : lo + step]
                 held, place = np.unique(np.concatenate([one, two]), return_inverse=True)
@@ -287,7 +294,7 @@ def _compared(percent: int):
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends))], names=["u", "v"])
 
         held = None
-        for batch in batches:
+        for batch in _pieces(batches, 2048):
             table = pa.Table.from_batches([batch])
             table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
             if not len(table):
