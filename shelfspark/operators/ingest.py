@@ -73,3 +73,60 @@ def numbered(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
     numbered_ = df.withColumn("_within", within)
     joined = numbered_.join(starts, same(numbered_, starts, by)).select(*[numbered_[c] for c in numbered_.columns], "_offset")
     return joined.withColumn("source_row_number", F.col("_offset") + F.col("_within")).drop("_within", "_offset")
+
+
+def _issue(code, field: str):
+    return F.struct(code.alias("issue_code") if not isinstance(code, str) else F.lit(code).alias("issue_code"), F.lit(field).alias("field"))
+
+
+def typed(df: DataFrame, strings=(), integers=(), numbers=(), booleans=(), required: tuple[str, ...] = (), row: str = "source_row_number") -> tuple[DataFrame, DataFrame]:
+    """Fields with their types, and the issues ``(issue_code, field, source_row_number)`` of values that did not fit; fields that are not there are skipped.
+
+    Blank required strings keep their text; integers are always required; blank or wrong numbers become NULL. Both tables
+    come from the rows as they are, without a shuffle.
+    """
+    there = lambda names: [c for c in names if c in df.columns]
+    blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+    as_type = lambda c, t: F.expr(f"try_cast(trim(cast(`{c}` as string)) as {t})")
+    issues = [F.when(blank(c), _issue("blank_required_string", c)) for c in there(strings) if c in required]
+    issues += [F.when(blank(c), _issue("null_integer_value", c)).when(as_type(c, "bigint").isNull(), _issue("invalid_integer_value", c)) for c in there(integers)]
+    for c in there(numbers):
+        wrong = _issue("invalid_numeric_value", c)
+        issues.append(F.when(blank(c), _issue("null_numeric_value", c) if c in required else F.lit(None)).when(as_type(c, "double").isNull(), wrong))
+    made = {c: F.col(c).cast("string") for c in there(strings)} | {c: as_type(c, "bigint") for c in there(integers)} | {c: as_type(c, "double") for c in there(numbers)} | {c: as_type(c, "boolean") for c in there(booleans)}
+    listed = F.array_compact(F.array(*issues)) if issues else F.array().cast("array<struct<issue_code:string,field:string>>")
+    return df.withColumns(made), df.select(F.explode(listed).alias("i"), F.col(row).cast("long").alias("source_row_number")).select("i.*", "source_row_number")
+
+
+def value_issues(df: DataFrame, column: str, values: dict[str, str], row: str = "source_row_number") -> DataFrame:
+    """``(issue_code, field, source_value, source_row_number)`` of values that a mapping does not know; NULL is no value."""
+    c = F.col(column)
+    return df.where(c.isNotNull() & ~c.isin(*values)).select(F.lit("unknown_value").alias("issue_code"), F.lit(column).alias("field"), c.cast("string").alias("source_value"), F.col(row).cast("long").alias("source_row_number"))
+
+
+def mapping_issue_rows(spark, columns: list[str], mapping: dict[str, str], required: tuple[str, ...], allowed: tuple[str, ...], unmapped: tuple[str, ...] = ()) -> DataFrame:
+    """``(issue_code, severity, subject)`` of a column mapping, source columns that nothing maps and nobody lists included."""
+    targets = list(mapping.values())
+    rows = [("unknown_source_column", "ERROR", c) for c in mapping if c not in columns] + [("unknown_canonical_target", "ERROR", t) for t in dict.fromkeys(targets) if t not in allowed]
+    rows += [("missing_required_mapping", "ERROR", t) for t in required if t not in targets] + [("duplicate_target_mapping", "ERROR", t) for t in dict.fromkeys(targets) if targets.count(t) > 1]
+    rows += [("unmapped_source_column", "WARNING", c) for c in columns if c not in mapping and c not in unmapped]
+    return spark.createDataFrame(rows, "issue_code string, severity string, subject string")
+
+
+def alias_issues(aliases: DataFrame) -> DataFrame:
+    """Source stores ``(source_store, canonical_store)`` of a scope with more than one canonical store."""
+    counted = aliases.groupBy("source_store").agg(F.countDistinct("canonical_store").alias("n"))
+    return counted.where("n > 1").select(F.lit("conflicting_store_alias").alias("issue_code"), "source_store")
+
+
+def scoped_aliases(aliases: DataFrame, retailer_id: str, source_id: str, rule_version: str) -> DataFrame:
+    """Aliases of a context (NULL scopes take any), one canonical store for each source store: the first listed by ``place``."""
+    for name, value in (("retailer_id", retailer_id), ("source_id", source_id), ("rule_version", rule_version)):
+        aliases = aliases.where(F.col(name).isNull() | (F.col(name) == value))
+    return aliases.groupBy("source_store").agg(F.min(F.struct("place", "canonical_store")).alias("first")).select("source_store", F.col("first.canonical_store").alias("canonical_store"))
+
+
+def alias_version(aliases: DataFrame) -> DataFrame:
+    """One row: the number of aliases and 16 digits that stand for them, whatever their order."""
+    own = F.conv(F.substring(F.sha2(F.concat_ws("|", "source_store", "canonical_store"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return aliases.agg(F.count("*").alias("n_aliases"), F.substring(F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.coalesce(F.sum(own), F.lit(0)).cast("string")), 256), 1, 16).alias("alias_mapping_version"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.definitions import config_hash, standard_definitions
-from .oracles import _ACTIVE, CUR, GRAINS, STORES, SUMS, U, _PRODUCTS, abc, c, compare, e, grain, have, r, s
+from .oracles import _ACTIVE, _NUM, CUR, GRAINS, STORES, SUMS, U, _PRODUCTS, abc, c, compare, e, grain, have, r, s
 
 HASH = config_hash(standard_definitions())
 _WINDOW = "period_start BETWEEN DATE '1998-01-01' AND DATE '1998-06-30'"
@@ -176,3 +176,37 @@ ORACLES |= {
     "mart_rebuild": e(f"SELECT period, category, {s("CASE WHEN period = DATE '1998-02-01' AND store = 'STORE_1' THEN 2 * revenue_net ELSE revenue_net END")} AS revenue_net, {s(U)} AS units, CASE WHEN (SELECT count(*) FROM canon WHERE period = DATE '1998-02-01' AND store = 'STORE_1') > 0 AND period IN (DATE '1998-02-01', DATE '1998-03-01', DATE '1999-02-01') THEN 'build_2' ELSE 'build_1' END AS mart_build_id FROM e GROUP BY period, category"),
     "stream_ingest": c(f"SELECT period, category, CAST(sum(revenue_vat) AS DOUBLE) AS revenue_vat, CAST(sum({U}) AS DOUBLE) AS units, {STORES} AS selling_stores, (SELECT count(DISTINCT period) + 1 FROM canon) AS n_files, 1 AS n_duplicates FROM canon GROUP BY period, category"),
 }
+
+
+def _positions(months: str) -> str:
+    """Ranks, shares and classes by concept, each as a query of its own."""
+    base = f"""pb AS (SELECT grain_id, CASE WHEN grain_id = 'category' THEN 'ALL' ELSE json_extract_string(parent_entity_ids, '$.category') END AS universe, entity_id, parent_entity_ids, metric_concept AS basis, sum(CAST(value AS DECIMAL(24,8))) AS v
+ FROM mart WHERE period_start IN ({months}) AND grain_id IN ('category', 'manufacturer', 'brand', 'sku') AND metric_concept IN ('revenue', 'units', 'retailer_margin_abs') GROUP BY ALL HAVING count(*) = count(value)),
+ pp AS (SELECT *, CAST(v AS DOUBLE) AS value, rank() OVER (k ORDER BY v DESC) AS rk, count(*) OVER (PARTITION BY grain_id, universe, basis, v) AS ties, count(*) OVER k AS pop, row_number() OVER w AS place, min(v) OVER k AS least, CAST(sum(v) OVER k AS DOUBLE) AS total,
+  CAST(sum(v) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS running FROM pb WINDOW k AS (PARTITION BY grain_id, universe, basis), w AS (PARTITION BY grain_id, universe, basis ORDER BY v DESC, entity_id, parent_entity_ids))"""
+    row = lambda k, where, rank="NULL", ties="NULL", share="NULL", run="NULL", label="NULL", code="NULL": f"SELECT '{k}' AS concept_id, CAST({rank} AS INTEGER) AS rank, CAST({ties} AS BIGINT) AS tie_count, pop AS population, CAST({share} AS DOUBLE) AS share, CAST({run} AS DOUBLE) AS cumulative_share, CAST({label} AS VARCHAR) AS abc_class, CAST({code} AS VARCHAR) AS limitation, grain_id, universe, entity_id, parent_entity_ids, value FROM pp WHERE {where}"
+    out = []
+    for b, name in (("revenue", "revenue"), ("units", "units"), ("retailer_margin_abs", "margin_abs")):
+        out += [row(f"{g}_rank_{name}", f"grain_id = '{g}' AND basis = '{b}'", "rk", "ties") for g in ("category", "manufacturer", "brand", "sku")]
+        short = name.replace("_abs", "")
+        out += [row(f"entity_{short}_share", f"grain_id <> 'category' AND basis = '{b}'", share="CASE WHEN total > 0 THEN value / total END"), row(f"entity_cumulative_{short}_share", f"grain_id <> 'category' AND basis = '{b}'", run="CASE WHEN total > 0 THEN running / total END")]
+        refused = "CASE WHEN least < 0 THEN 'abc_negative_contribution_semantics_unsupported' WHEN total <= 0 THEN 'abc_positive_universe_required' END"
+        label = "CASE WHEN least < 0 OR total <= 0 THEN NULL WHEN v = 0 THEN 'C' WHEN place = 1 OR running / total <= 0.8 THEN 'A' WHEN running / total <= 0.95 THEN 'B' ELSE 'C' END"
+        out += [row(f"{g}_abc_{name}", f"grain_id = '{g}' AND basis = '{b}'", run="CASE WHEN least >= 0 AND total > 0 THEN running / total END", label=label, code=refused) for g in ("manufacturer", "sku")]
+    return e(" UNION ALL ".join(out), f"{_MART}, {base}")
+
+
+_FLAWED = f"""{_NUM}, tx AS (SELECT source_row_number AS n, source_row_number % 13 AS f, year(period) AS y, units, store_format FROM num)"""
+ORACLES |= {
+    "portfolio_positions": _positions(CUR),
+    "portfolio_positions_year": _positions(", ".join(f"DATE '1998-{m:02d}-01'" for m in range(1, 13))),
+    "catalog_limitations": """SELECT * FROM (VALUES ('metric_not_in_catalog', NULL, 'velocity'), ('metric_definition_not_in_catalog', 'network.revenue.v1', 'revenue'), ('metric_definition_not_in_catalog', 'manufacturer.revenue.v1', 'revenue'), ('metric_definition_not_in_catalog', 'brand.revenue.v1', 'revenue'), ('metric_definition_not_in_catalog', 'store.revenue.v1', 'revenue'),
+ ('metric_not_supported_for_private_label_scope', 'sku.revenue.v1', 'revenue'), ('catalog_range_strategy_mismatch', 'sku.revenue.v1', 'revenue'), ('ambiguous_catalog_entry', 'category.units.v1', 'units'), ('ambiguous_catalog_entry', 'brand.units.v1', 'units'), ('metric_not_supported_for_grain', 'brand.units.v1', 'units'),
+ ('metric_not_supported_for_period_grain', 'sku.units.v1', 'units'), ('metric_not_available', 'sku.units.v1', 'units'), ('metric_definition_not_in_catalog', 'network.units.v1', 'units'), ('metric_definition_not_in_catalog', 'manufacturer.units.v1', 'units'), ('metric_definition_not_in_catalog', 'store.units.v1', 'units'),
+ ('metric_not_supported_for_comparison', 'category.distribution.v1', 'distribution'), ('catalog_range_strategy_mismatch', 'category.distribution.v1', 'distribution'), ('metric_definition_not_in_catalog', 'manufacturer.distribution.v1', 'distribution'), ('metric_definition_not_in_catalog', 'brand.distribution.v1', 'distribution'), ('metric_definition_not_in_catalog', 'sku.distribution.v1', 'distribution')
+ ) v(issue_code, metric_definition_id, metric_concept)""",
+    "typing_issues": c("SELECT code AS issue_code, field, n AS source_row_number FROM tx JOIN (VALUES (0, 'blank_required_string', 'sku'), (1, 'invalid_integer_value', 'year'), (2, 'null_integer_value', 'year'), (3, 'invalid_numeric_value', 'units'), (4, 'null_numeric_value', 'units'), (5, 'invalid_numeric_value', 'shelf_price')) k(f, code, field) USING (f)", _FLAWED),
+    "typed_rows": c("SELECT CASE WHEN f NOT IN (1, 2) THEN y END AS year, count(*) AS n_rows, count(*) FILTER (f NOT IN (3, 4)) AS n_units, count(*) FILTER (f NOT IN (5, 6)) AS n_prices, CAST(sum(CASE WHEN f NOT IN (3, 4) THEN CAST(units AS DECIMAL(18,2)) END) AS DOUBLE) AS units FROM tx GROUP BY 1", _FLAWED),
+    "unknown_values": c("SELECT 'unknown_value' AS issue_code, 'store_format' AS field, store_format AS source_value, n AS source_row_number FROM tx WHERE store_format NOT IN ('HYPER', 'SUPER')", _FLAWED),
+    "store_alias_scope": c("SELECT CASE WHEN store IN ('STORE_2', 'STORE_4') THEN 'STORE_1' ELSE store END AS canonical_store, count(*) AS n_rows, count(DISTINCT store) AS n_sources FROM canon GROUP BY 1"),
+}

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.expr import ratio
 from ..operators import benchmarking as B
 from ..operators import breakdowns as D
+from ..operators import catalog as C
+from ..operators import ingest as I
 from ..operators import mart as M
 from ..operators import metrics as K
 from ..operators import periods as P
 from ..operators import portfolio as Q
+from ..operators import positions as Z
 from ..operators import product_store as T
 from ..operators import rules as R
 from ..operators import signals as X
@@ -241,3 +244,78 @@ def stream_ingest(spark, d):
     W.ingest_files(spark, f"{root}/landing", root, rows.schema, build, "retailer_a", "source_a", 48)
     entries = W.ledger(spark, root).groupBy().agg(F.count("*").alias("n_files"), F.count(F.when(F.col("registration") == "IDENTICAL_DUPLICATE", 1)).alias("n_duplicates"))
     return spark.read.parquet(f"{root}/facts").crossJoin(F.broadcast(entries))  # one row
+
+
+@query
+def portfolio_positions(spark, d):
+    """Ranks, shares and classes of a month by all concepts."""
+    return Z.positions(Z.month_set(mart_facts(spark, d), (CURRENT,)))
+
+
+@query
+def portfolio_positions_year(spark, d):
+    """The same over the months of a year that are there."""
+    return Z.positions(Z.month_set(mart_facts(spark, d), tuple(f"1998-{m:02d}-01" for m in range(1, 13))))
+
+
+def _catalog(spark):
+    public = [("revenue", "Net revenue", ["NONE", "YOY"], "sum_available_periods"), ("units", "Units", ["NONE", "YOY", "MOM"], "sum_available_periods"), ("distribution", "Distribution", ["NONE"], "period_only"), ("retailer_margin_pct", "Margin", ["NONE", "YOY"], "ratio_of_sums"), ("units", "Pieces", ["NONE"], "sum_available_periods")]
+    own = lambda concept, definition, **more: tuple({
+        "retailer_id": "retailer_a", "source_id": None, "metric_concept": concept, "metric_definition_id": definition, "metric_definition_version": "v1", "metric_config_hash": None, "rule_version": None, "display_label": None, "grain_support": ["category", "brand", "sku"],
+        "period_support": ["month"], "comparison_support": [], "private_label_scope_support": ["INCLUDE"], "range_strategy": None, "availability_status": "AVAILABLE", "sort_order": 1, **more,
+    }.values())
+    private = [
+        own("revenue", "category.revenue.v1"), own("revenue", "brand.revenue.v1", metric_config_hash="another"), own("revenue", "sku.revenue.v1", range_strategy="period_only", private_label_scope_support=["ONLY"]), own("units", "category.units.v1", rule_version="rules_v1"), own("units", "category.units.v1"),
+        own("units", "brand.units.v1", grain_support=["sku"]), own("units", "sku.units.v1", availability_status="NOT_AVAILABLE", period_support=["week"]), own("units", "store.units.v1", source_id="source_b"), own("distribution", "category.distribution.v1", range_strategy="ratio_of_sums", comparison_support=["NONE", "ODD"]),
+        own("nothing", "category.nothing.v1", grain_support=["shelf"]), own("units", "brand.units.v1", grain_support=["shelf", "sku"]), own("revenue", "network.revenue.v1", retailer_id="retailer_b"),
+    ]
+    return spark.createDataFrame(public, C.PUBLIC), spark.createDataFrame(private, C.PRIVATE)
+
+
+@query
+def catalog_limitations(spark, d):
+    """What the effective catalog has to say about the facts of a request."""
+    public, private = _catalog(spark)
+    public = public.where("default_label <> 'Pieces'")
+    own = C.effective_catalog(public, private, "retailer_a", "source_a")
+    return C.catalog_limitations(mart_facts(spark, d), own, C.Request("retailer_a", "source_a", "category", ("revenue", "units", "distribution", "velocity"), comparison_mode="YOY"))
+
+
+def _texts(spark, d) -> DataFrame:
+    """Sales as a source gives them, numbers as text, with flaws that follow from the row."""
+    rows = I.numbered(load_canonical(spark, d), ("period", "store"))
+    flaw = F.pmod(F.col("source_row_number"), F.lit(13))
+    return rows.select(
+        "source_row_number", F.when(flaw == 0, " ").otherwise(F.col("sku")).alias("sku"), F.when(flaw == 1, "x").when(flaw == 2, F.lit(None)).otherwise(F.year("period").cast("string")).alias("year"),
+        F.when(flaw == 3, "n/a").when(flaw == 4, "").otherwise(F.col("units").cast("string")).alias("units"), F.when(flaw == 5, "free").when(flaw == 6, F.lit(None)).otherwise(F.col("shelf_price_vat").cast("string")).alias("shelf_price"), "store_format",
+    )
+
+
+@query
+def typing_issues(spark, d):
+    """Every value that does not fit its field, with its row."""
+    _, issues = I.typed(_texts(spark, d), ("sku",), ("year",), ("units", "shelf_price"), (), ("sku", "units"))
+    return issues
+
+
+@query
+def typed_rows(spark, d):
+    """The typed fields of all rows, summed up by year."""
+    rows, _ = I.typed(_texts(spark, d), ("sku",), ("year",), ("units", "shelf_price"), (), ("sku", "units"))
+    return rows.groupBy("year").agg(F.count("*").alias("n_rows"), F.count("units").alias("n_units"), F.count("shelf_price").alias("n_prices"), F.sum(F.col("units").cast("decimal(18,2)")).cast("double").alias("units"))
+
+
+@query
+def unknown_values(spark, d):
+    """Rows whose store format a mapping does not know."""
+    return I.value_issues(_texts(spark, d), "store_format", {"HYPER": "hypermarket", "SUPER": "supermarket"})
+
+
+@query
+def store_alias_scope(spark, d):
+    """Aliases of a context: those of another source take no part, and of two targets the first listed counts."""
+    given = [(1, "retailer_a", None, "rules_v1", "STORE_2", "STORE_1"), (2, None, "source_b", None, "STORE_3", "STORE_1"), (3, "retailer_a", "source_a", None, "STORE_4", "STORE_1"), (4, None, None, None, "STORE_4", "STORE_5"), (5, None, None, "rules_v2", "STORE_6", "STORE_1")]
+    aliases = spark.createDataFrame(given, "place int, retailer_id string, source_id string, rule_version string, source_store string, canonical_store string")
+    own = I.scoped_aliases(aliases, "retailer_a", "source_a", "rules_v1")
+    rows = I.canonical_stores(load_canonical(spark, d), own)
+    return rows.groupBy("canonical_store").agg(F.count("*").alias("n_rows"), F.countDistinct("store").alias("n_sources"))
