@@ -28,24 +28,25 @@ LARGEST = 2**63 - 1
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``(vec_id, v)`` with v = floor(64 x) per component; rows with NULL or non-finite parts, or without an id, are left out."""
+    """``(rid, vec_id, v)`` with v = floor(64 x) per component; rows with NULL or non-finite parts are left out. rid tells rows apart."""
     x = F.transform(F.col(vec_col), lambda c: c.cast("double"))
     bad = F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).where("x is not null and vec_id is not null").where(~F.coalesce(bad, F.lit(True)))
-    return rows.select("vec_id", F.transform("x", lambda c: F.greatest(F.floor(F.greatest(F.least(c * SCALE, F.lit(float(2**63))), F.lit(-float(2**63)))).cast("long"), F.lit(-LARGEST))).alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).where("x is not null").where(~F.coalesce(bad, F.lit(True)))
+    return rows.select(F.monotonically_increasing_id().alias("rid"), "vec_id", F.transform("x", lambda c: F.greatest(F.floor(F.greatest(F.least(c * SCALE, F.lit(float(2**63))), F.lit(-float(2**63)))).cast("long"), F.lit(-LARGEST))).alias("v"))
 
 
 def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
     return column.values.slice(column.offsets[0].as_py(), len(column) * width).to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(candidate ids, scores by query) of parts of a task's rows; a query's own row has the lowest score."""
+def _scored(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rids of candidates, whether they have no id, their ids, scores by query) of parts of a task's rows."""
     exact = np.abs(q).max(initial=0) < 2**20
     qf = q.T.astype(np.float64)
     step = max(1, SCORE_CELLS // max(1, len(ids)))
     for batch in batches:
-        own, m = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), q.shape[1])
+        own, m = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(2), q.shape[1])
+        none, vec = batch.column(1).is_null().to_numpy(zero_copy_only=False), batch.column(1).fill_null(0).to_numpy(zero_copy_only=False)
         for lo in range(0, len(own), step):
             part = m[lo : lo + step]
             # doubles hold the sums exactly while every product and sum stays under 2**53
@@ -54,7 +55,8 @@ def _scored(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray) -
                 scores = (part.astype(np.float64) @ qf).astype(np.int64)
             else:  # whole numbers of any size, cut to a long at the end
                 scores = np.clip(part.astype(object) @ q.T.astype(object), -LARGEST, LARGEST).astype(np.int64)
-            yield own[lo : lo + step], scores
+            at = slice(lo, lo + step)
+            yield own[at], none[at], vec[at], scores
 
 
 def _histograms(ids, q, low, width, k):
@@ -63,7 +65,7 @@ def _histograms(ids, q, low, width, k):
     def run(batches):
         counts = np.zeros((len(ids), BINS + 1), np.int64)
         flat = counts.reshape(-1)
-        for own, scores in _scored(batches, ids, q):
+        for own, _, _, scores in _scored(batches, ids, q):
             above = (scores - low).view(np.uint64)  # right even where the difference is no long
             bins = np.minimum(above // width.astype(np.uint64), np.uint64(BINS)).astype(np.int64)
             row, col = np.nonzero((scores >= low) & (own[:, None] != ids[None, :]))
@@ -78,14 +80,15 @@ def _histograms(ids, q, low, width, k):
 
 def _kept(ids, q, floor_, k):
     def run(batches):
-        for own, scores in _scored(batches, ids, q):
+        for own, none, vec, scores in _scored(batches, ids, q):
             row, col = np.nonzero((scores >= floor_) & (own[:, None] != ids[None, :]))
             value = scores[row, col]
-            order = np.lexsort((own[row], -value, col))
-            col, value, own_ids = col[order], value[order], own[row][order]
+            order = np.lexsort((vec[row], none[row], -value, col))
+            col, value, row = col[order], value[order], row[order]
             place = np.arange(len(col)) - np.searchsorted(col, col)  # within the query
             best = place < k
-            yield pa.RecordBatch.from_arrays([pa.array(ids[col[best]]), pa.array(own_ids[best]), pa.array(value[best])], names=["query_id", "vec_id", "score"])
+            found = row[best]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[col[best]]), pa.array(vec[found], mask=none[found]), pa.array(own[found]), pa.array(value[best])], names=["query", "vec_id", "rid", "score"])
 
     return run
 
@@ -111,9 +114,9 @@ def kth_scores(rows: DataFrame, ids: np.ndarray, q: np.ndarray, bound: int, k: i
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row whose id is divisible by ``every`` the k highest integer inner products.
 
-    All other rows are candidates; equal scores go to the smaller id. Vectors that are NULL or hold NULL or non-finite
+    Every row but the query's own is a candidate; equal scores go to the smaller id, rows without id last. Vectors that are NULL or hold NULL or non-finite
     parts take no part; vectors of another length than the table's longest are compared as if filled up with zeros.
-    Components and scores beyond a long are the nearest long. Rows with the same id are candidates each, but never of their own id, and count as one query (the smallest vector).
+    Components and scores beyond a long are the nearest long. Rows that repeat an id are rows of their own, as queries and as candidates.
     An empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -124,23 +127,24 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     if not seen["n"] or not seen["queries"]:
         return empty
     width = max(1, seen["width"])
-    rows = cut(rows.select("vec_id", F.when(F.size("v") == width, F.col("v")).otherwise(F.slice(F.concat("v", F.array_repeat(F.lit(0).cast("long"), width)), 1, width)).alias("v")))
-    queries = cut(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")))
+    rows = cut(rows.select("rid", "vec_id", F.when(F.size("v") == width, F.col("v")).otherwise(F.slice(F.concat("v", F.array_repeat(F.lit(0).cast("long"), width)), 1, width)).alias("v")))
+    queries = rows.where(F.col("vec_id") % every == 0)
     groups = -(-seen["queries"] // QUERY_BLOCK)
     folder, written = shared_folder(spark, "top-k"), False
     for g in range(groups):
         # one block at a time; the bound on its size is QUERY_BLOCK times the spread of the hash
-        block = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g).orderBy("vec_id").toPandas()
+        block = queries.where(F.pmod(F.xxhash64("rid"), F.lit(groups)) == g).orderBy("rid").toPandas()
         if not len(block):
             continue
-        ids, q = block["vec_id"].to_numpy(np.int64), np.array(block["v"].tolist(), np.int64).reshape(len(block), width)
+        ids, q = block["rid"].to_numpy(np.int64), np.array(block["v"].tolist(), np.int64).reshape(len(block), width)
         bound = min(LARGEST, max(sum(map(abs, x)) for x in q.tolist()) * int(seen["top"]) + 1)
         floor_ = kth_scores(rows, ids, q, bound, k)
-        kept = rows.mapInArrow(_kept(ids, q, floor_, k), "query_id long, vec_id long, score long")
-        kept.write.mode("append").parquet(folder)  # so that the plan does not grow with the queries
+        kept = rows.mapInArrow(_kept(ids, q, floor_, k), "query long, vec_id long, rid long, score long")
+        named = spark.createDataFrame(list(zip(ids.tolist(), block["vec_id"].tolist(), strict=True)), "query long, query_id long")
+        kept.join(F.broadcast(named), "query").write.mode("append").parquet(folder)  # so that the plan does not grow with the queries
         written = True
     if not written:
         return empty
     best = spark.read.parquet(folder)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "rid"))
     return best.select("query_id", place.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
