@@ -4,7 +4,8 @@ A page becomes a row of text blocks, each named by the path of the elements arou
 after another: equal texts at equal paths anchor the alignment; between anchors, blocks at equal paths whose texts differ
 resolve into text slots; what one side lacks becomes optional, and neighbours at the path of a slot fold into it as a
 repeated slot. This gives the host's wrapper. What stays the same text in at least half of a host's distinct pages is
-template text; the rest is content, unless the nearest telling element around it is boilerplate by its tag or class.
+template text, unless it is most of a page; the rest is content, unless the nearest telling element around it is boilerplate
+by its tag or class.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ from .url_templates import url_host
 
 _QUOTED = re.compile(r"</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_MARK = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_MARK = re.compile(r"""(?<![\w-])(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "template"))
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 _INLINE = frozenset(("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "label"))
 _SKIPPED = frozenset(("head", "nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "svg", "button", "select", "textarea", "option", "menu", "dialog", "object", "audio", "video", "canvas", "title", "math", "map", "fieldset", "xmp"))
 _SKIPPED_MARKS = frozenset(("nav", "navbar", "navigation", "menu", "header", "masthead", "footer", "sidebar", "aside", "ad", "ads", "advert", "adverts", "advertisement", "banner", "promo", "sponsor", "sponsored", "cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "share", "sharing", "social", "related", "recommended", "comment", "comments", "replies", "reply", "respond", "disqus", "breadcrumb", "breadcrumbs", "pagination", "pager", "widget", "toolbar", "login", "search", "form", "copyright", "hidden"))
 _MAIN = frozenset(("article", "main"))
+#: Words that tell boilerplate unless the name they stand in ends as that of a piece of content does.
+_OF_CONTENT, _CONTENT = frozenset(("social", "notice", "alert", "form", "search", "banner", "hidden", "header", "login")), frozenset(("post", "article", "story", "entry"))
 #: Elements that an open paragraph or list item ends at.
 _CLOSES_P = frozenset(("address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"))
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -81,7 +84,7 @@ def told_by_class(token: str) -> list[str]:
         for name in "".join(value).lower().split():
             words = re.split(r"[^a-z0-9]+", name)
             if words[0] not in _ABSENT:
-                out.update(w for w in words if w in _SKIPPED_MARKS)
+                out.update(w for w in words if w in _SKIPPED_MARKS and not (w in _OF_CONTENT and words[-1] in _CONTENT))
     return sorted(out)
 
 
@@ -144,7 +147,8 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
                 flush()
                 if not token.endswith("/>"):
                     marks = [] if tag in ("html", "body") or tag in _MAIN else told_by_class(token)
-                    state = "m" if tag in _MAIN else "s" if tag in _SKIPPED or marks else path[0]
+                    own_header = tag == "header" and path[0] == "m"  # an article's header holds its title
+                    state = "m" if tag in _MAIN else "s" if tag in _SKIPPED and not own_header or marks else path[0]
                     path = f"{state}{path[1:]}/{'.'.join([tag, *marks])}"
                     if len(path) > PATH_CHARS:
                         path = f"{state}#{xxhash.xxh64_hexdigest(path)}"
@@ -254,11 +258,21 @@ def template_texts(wrapper: str) -> frozenset[tuple[str, int]]:
 
 
 def main_text(page: str | None, template: frozenset[tuple[str, int]]) -> str:
-    """The content blocks joined by a space; where a page has a main element, only those inside."""
+    """The content blocks joined by a space.
+
+    Main elements are the content where they hold at least half of the characters that are no boilerplate; else they are
+    teasers beside it and all blocks stay. Template text goes where it is the smaller part of the page: pages that are mostly the same
+    text are copies of each other, and what copies share is their content.
+    """
     own = [(path, text) for path, text in blocks(page) if not boilerplate(path)]
-    if any(in_main(path) for path, _ in own):
-        own = [(path, text) for path, text in own if in_main(path)]
-    return " ".join(text for path, text in own if (path, said(text)) not in template)
+    inside = [(path, text) for path, text in own if in_main(path)]
+    size = lambda rows: sum(len(text) for _, text in rows)
+    if 2 * size(inside) >= size(own):
+        own = inside or own
+    kept = [(path, text) for path, text in own if (path, said(text)) not in template]
+    if 2 * size(kept) >= size(own):
+        own = kept
+    return " ".join(text for _, text in own)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

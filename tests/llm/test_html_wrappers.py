@@ -17,13 +17,15 @@ def extract(spark, pages):
 def test_texts_of_every_page_are_template_text_as_brute_force_says(spark):
     rng, pages, rows = random.Random(3), [], []
     for k in range(40):
-        parts = [f"{rng.random()} own {i}" for i in range(rng.randint(1, 6))]
+        parts = [f"{rng.random()} own {i} " + "word " * 9 + "end" for i in range(rng.randint(1, 6))]
         parts = ["Please accept our notice", *parts, *(["An offer for you"] if k % 4 else []), "Call us today"]
         pages.append(("a.net", page(*parts)))
         rows.append(parts)
     shared = Counter(p for parts in rows for p in parts)
     got = extract(spark, pages)
-    assert got == {k: " ".join(p for p in parts if shared[p] < 20) for k, parts in enumerate(rows)}
+    own = {k: [p for p in parts if shared[p] < 20] for k, parts in enumerate(rows)}
+    assert got == {k: " ".join(own[k] if 2 * sum(map(len, own[k])) >= sum(map(len, parts)) else parts) for k, parts in enumerate(rows)}
+    assert sum(own[k] != parts and got[k] == " ".join(own[k]) for k, parts in enumerate(rows)) >= 35
 
 
 def test_the_alignment_decides(spark, monkeypatch):
@@ -45,6 +47,24 @@ def test_the_nearest_element_tells(spark):
     assert set(extract(spark, pages).values()) == {"kept"}
 
 
+def test_copies_of_an_article_keep_it(spark):
+    story = [f"paragraph {i} " + "of the story " * 20 for i in range(4)]
+    got = extract(spark, [("a.net", page(*story, f"read {k} times")) for k in range(3)])
+    assert got == {k: " ".join([*(" ".join(p.split()) for p in story), f"read {k} times"]) for k in range(3)}
+
+
+def test_names_and_headers_of_articles_lose_nothing(spark):
+    long = "The story itself, which is longer than the teaser beside it by far."
+    pages = [
+        ("a.net", "<body><div class='social-post'><div class='text'><p>the story</p></div></div><div class='social-share'>gone</div></body>"),
+        ("b.net", "<body><article><p>the story</p><div data-class='ad'><p>goes on</p></div></article></body>"),
+        ("c.net", "<body><header>gone</header><article><header><h1>Title</h1><div class='share'>gone</div></header><p>the story</p><footer>gone</footer></article></body>"),
+        ("d.net", f"<body><nav>gone</nav><div class='page'><p>{long}</p></div><article><p>Teaser</p></article></body>"),
+        ("e.net", f"<body><p>Menu</p><article><p>{long}</p></article></body>"),
+    ]
+    assert extract(spark, pages) == {0: "the story", 1: "the story goes on", 2: "Title the story", 3: f"{long} Teaser", 4: long}
+
+
 def test_unclosed_markup_takes_linear_time():
     for piece in ('<a "', "<div>", "<!--", "<p", "</x>", "<script>", "<ul><li>"):
         began = time.time()
