@@ -122,7 +122,8 @@ _CLASS = """CASE WHEN event_type IN ('PROMO_LIKE_PATTERN', 'ABC_CLASS_CHANGE', '
 _SIGNALS = f"{_FIRED}, own AS (SELECT *, {_CLASS} AS signal_type FROM fired WHERE period = {CUR}), placed AS (SELECT *, row_number() OVER (PARTITION BY signal_type ORDER BY severity, event_type, entity_type, entity_id, period, event_rule_id, feature_name) AS place FROM own WHERE signal_type IS NOT NULL)"
 
 ORACLES: dict[str, str] = {
-    "mart_metric_facts": e("SELECT * FROM mart", _MART),
+    "mart_metric_facts": e("SELECT period_start, period_end, grain_id, entity_id, parent_entity_ids, metric_definition_id, value, numerator_value, denominator_value, range_aggregation_strategy FROM mart", _MART),
+    "mart_fact_descriptions": e("SELECT period_start, * EXCLUDE (period_start, period_end, grain_id, entity_id, parent_entity_ids, value, numerator_value, denominator_value, range_aggregation_strategy), count(*) AS n_facts FROM mart GROUP BY ALL", _MART),
     "mart_fact_scan": e(f"SELECT retailer_id, source_id, period_start, grain_id, entity_id, metric_definition_id, value FROM mart WHERE {_WINDOW} AND period_end <= DATE '1998-06-30' AND grain_id = 'category' AND metric_concept = 'revenue'", _MART),
     "mart_parent_scan": e(f"SELECT period_start, entity_id, parent_entity_ids, metric_concept, value FROM mart WHERE {_WINDOW} AND grain_id = 'brand' AND metric_concept IN ('revenue', 'units') AND (parent_entity_ids LIKE '%\"category\": \"ECONOMY\"%' OR parent_entity_ids LIKE '%\"category\": \"SMALL\"%') AND parent_entity_ids LIKE '%\"manufacturer\": \"MFR_1\"%'", _MART),
     "fact_validation": e(f"SELECT 'OUTSIDE_BUILD' AS issue_code, 'analysis_run_id=run_a' AS subject, (SELECT count(*) FROM mart) + (SELECT count(*) FROM mart WHERE grain_id = 'network' AND period_start = {CUR}) AS n_rows UNION ALL SELECT 'DUPLICATE_IDENTITY', 'network|ALL|' || metric_definition_id || '|1998-03-01', 2 FROM mart WHERE grain_id = 'network' AND period_start = {CUR}", _MART),

@@ -37,10 +37,21 @@ def query(f):
     return f
 
 
+#: Columns of facts that tell one fact from another, and its values; the others are the same for many facts.
+TELLING = ("period_start", "period_end", "grain_id", "entity_id", "parent_entity_ids", "metric_definition_id", "value", "numerator_value", "denominator_value", "range_aggregation_strategy")
+
+
 @query
 def mart_metric_facts(spark, d):
-    """Stored facts of all configured metrics; what names the build and the time of writing is left out."""
-    return mart_facts(spark, d).drop("source_revision_id", "mart_build_id", "created_at")
+    """Stored facts of all configured metrics."""
+    return mart_facts(spark, d).select(*TELLING)
+
+
+@query
+def mart_fact_descriptions(spark, d):
+    """The other columns of the stored facts, counted by month; what names the build and the time of writing is left out."""
+    facts = mart_facts(spark, d).drop("source_revision_id", "mart_build_id", "created_at")
+    return facts.groupBy("period_start", *[c for c in facts.columns if c not in TELLING], "metric_definition_id").agg(F.count("*").alias("n_facts"))
 
 
 @query
