@@ -126,46 +126,44 @@ def _counted(definitions) -> list[tuple[Definition, tuple[str, ...], str]]:
 
 
 def rolled_up(base: DataFrame, order: list[Definition]) -> DataFrame:
-    """One row for each month, grain and entity with the parts and counts of all grains side by side, from one pass over the base.
+    """One row for each month, grain and entity with the parts and counts of all grains side by side, from the base.
 
-    Distinct values are counted in two steps: GROUPING SETS bring the base to one row for each entity and counted value, and
-    those rows are counted by entity, so no set of values is held anywhere. A grain's sums come from the smallest of these
-    sets that tells its entities apart. Counts by coarser keys are joined back.
+    Sums of all grains come from one GROUPING SETS pass. Distinct values are counted in two steps: GROUPING SETS bring the
+    base to one row for each entity and counted value, with flags only, and those rows are counted by entity, so no set of
+    values is held anywhere. Both meet in one grouping. Counts by coarser keys are joined back.
     """
     keys = tuple(k for k in DIMENSIONS if k != "period")
     grains, counted = list(dict.fromkeys(d.grain for d in order)), _counted(order)
-    names = list(parts(order))
-    flags = [n for n in names if n in {f for _, _, f in counted}]
-    sums = [n for n in names if n not in flags]
-    sets = {frozenset((*by, d.column)) for d, by, _ in counted} | {frozenset(GRAINS[g]) for g in grains if not any(d.grain == g and d.broadcast is None for d, _, _ in counted)}
-    carrier = {g: min((s for s in sets if s >= set(GRAINS[g])), key=lambda s: (len(s), sorted(s))) for g in grains}
-    sets = {s for s in sets if any(frozenset((*by, d.column)) == s for d, by, _ in counted) or s in carrier.values()}
-    listed = sorted(sets, key=lambda s: (len(s), sorted(s)))
-    merged = [F.sum(n).alias(n) for n in sums] + [F.max(n).alias(n) for n in flags]
-    gid = lambda s: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s)
-    one = base.groupingSets([("period", *[k for k in keys if k in s]) for s in listed], "period", *keys).agg(F.grouping_id().alias("gid"), *merged)
+    flags = list(dict.fromkeys(f for _, _, f in counted))
+    sums = [n for n in parts(order) if n not in flags]
     slots = list(dict.fromkeys((by, d.column, f) for d, by, f in counted))
-    # a row of a set goes to the grains that take their sums from it and to the keys that count it
+    gid = lambda s: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s)
+    grouped = lambda sets, *aggs: base.groupingSets([("period", *[k for k in keys if k in s]) for s in sets], "period", *keys).agg(F.grouping_id().alias("gid"), *aggs)
+    label = lambda by: "+".join(by)
     targets = {tuple(GRAINS[g]): g for g in grains}
 
-    def goes_to(s: frozenset) -> list[Column]:
-        out = []
-        for by in dict.fromkeys([*targets, *[by for by, _, _ in slots]]):
-            here = [k for k, (b, c, _) in enumerate(slots) if b == by and frozenset((*b, c)) == s]
-            sums_here = by in targets and carrier[targets[by]] == s
-            if here or sums_here:
-                own = [F.col(k) if k in by else F.lit(None).cast("string") for k in keys]
-                out.append(F.struct(F.lit("+".join(by)).alias("by"), *[c.cast("string").alias(k) for c, k in zip(own, keys, strict=True)], F.lit(sums_here).alias("carried"), *[F.lit(k in here).alias(f"slot{k}") for k in range(len(slots))]))
-        return out
+    named_sets = None
+    for by in targets:
+        named_sets = (F if named_sets is None else named_sets).when(F.col("gid") == gid(by), label(by))
+    added = grouped(targets, *[F.sum(n).alias(n) for n in sums])
+    added = added.select("period", named_sets.alias("by"), *[F.col(k).cast("string").alias(k) for k in keys], *sums, *[F.lit(0).alias(f"slot{k}") for k in range(len(slots))], F.lit(True).alias("carried"))
 
+    # each row of a set goes to the keys that count its values
+    sets = sorted({frozenset((*by, c)) for by, c, _ in slots}, key=lambda x: (len(x), sorted(x)))
     to = None
-    for s in listed:
-        to = (F if to is None else to).when(F.col("gid") == gid(s), F.array(*goes_to(s)))
-    rows = one.select("period", F.explode(to).alias("to"), *keys, *sums, *flags)
-    seen = lambda k: F.count(F.when(F.col(f"to.slot{k}") & F.col(slots[k][2]) & F.col(slots[k][1]).isNotNull(), 1)).cast("double")
-    two = rows.groupBy("period", "to.by", *[F.col(f"to.{k}").alias(k) for k in keys]).agg(
-        *[F.sum(F.when(F.col("to.carried"), F.col(n))).alias(n) for n in sums], *[seen(k).alias(f"count{k}") for k in range(len(slots))], F.max("to.carried").alias("carried")
-    )
+    for s in sets:
+        places = [(by, [k for k, (b, c, _) in enumerate(slots) if b == by and frozenset((*b, c)) == s]) for by in dict.fromkeys(b for b, _, _ in slots)]
+        seen = lambda k: (F.col(slots[k][2]) & F.col(slots[k][1]).isNotNull()).cast("int")
+        items = [
+            F.struct(F.lit(label(by)).alias("by"), *[(F.col(k) if k in by else F.lit(None)).cast("string").alias(k) for k in keys], *[(seen(k) if k in here else F.lit(0)).alias(f"slot{k}") for k in range(len(slots))])
+            for by, here in places if here
+        ]
+        to = (F if to is None else to).when(F.col("gid") == gid(s), F.array(*items))
+    rows = added
+    if sets:
+        found = grouped(sets, *[F.max(n).alias(n) for n in flags]).select("period", F.explode(to).alias("to")).select("period", "to.*", F.lit(False).alias("carried"))
+        rows = added.unionByName(found, allowMissingColumns=True)
+    two = rows.groupBy("period", "by", *keys).agg(*[F.sum(n).alias(n) for n in sums], *[F.sum(f"slot{k}").cast("double").alias(f"count{k}") for k in range(len(slots))], F.max("carried").alias("carried"))
     out = two.where("carried")
     for by in dict.fromkeys(d.broadcast for d, _, _ in counted if d.broadcast is not None):
         own = [k for k, (b, _, _) in enumerate(slots) if b == by]
