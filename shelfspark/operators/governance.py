@@ -99,12 +99,6 @@ def with_ids(revisions: DataFrame) -> DataFrame:
     })
 
 
-def build_id(retailer_id: Column, revisions: Column, build_version: str) -> Column:
-    """Stands for what a build was made of, not for when."""
-    parts = F.concat_ws("|", retailer_id, F.concat_ws(",", F.array_sort(revisions)), F.lit(build_version))
-    return F.concat(F.lit("mart_build_"), F.substring(F.sha2(parts, 256), 1, 16))
-
-
 def active_revisions(activated: DataFrame) -> DataFrame:
     """Revisions that are active for any period, with these periods."""
     rows = activated.where("is_active").groupBy("retailer_id", "source_id", "revision")
