@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .tables import FACT_PARTITIONS
 
-VERSION = "mart_v2"
+VERSION = "mart_v3"
 RETAILER, SOURCE, GRAIN = "retailer_a", "source_a", "month"
 SOURCE_TABLES = ("lineitem", "part", "supplier", "nation", "region")
 _local: dict[str, str] = {}
