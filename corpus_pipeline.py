@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm import fm_dedup, golay_simhash, mixing, piece_codec, weak_quality
-from shelfspark.llm.common import WORD_PATTERN, shared_folder, table
+from shelfspark.llm.common import WORD_PATTERN, shared_folder, shuffle_files_dropped, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -32,7 +32,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     NULL and empty texts form one group. Rows of one id with different texts are different documents.
     """
-    groups = golay_simhash.near_duplicates(docs, width=5, similarity=0.8, tag=row_tag())
+    with shuffle_files_dropped(spark):  # dozens of steps, each with files for every task
+        groups = golay_simhash.near_duplicates(docs, width=5, similarity=0.8, tag=row_tag())
     kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("first")).select(F.col("first.tag").alias("tag"))
     tagged = docs.select(*COLUMNS, row_tag().alias("tag")).join(kept, "tag", "left_semi")
     return tagged.dropDuplicates(["tag"]).select(*COLUMNS)  # equal rows only

@@ -1,5 +1,7 @@
 import hashlib
+import os
 import random
+import time
 from collections import Counter
 
 import corpus_pipeline as p
@@ -51,6 +53,23 @@ def test_near_dedup_keeps_one_row_of_each_group(spark, odd):
         assert len(kept) == 1 and kept[0][0] == (min(ids) if ids else None)
 
 
+def shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f for top in folders for _, _, names in os.walk(top.getPath()) for f in names if f.startswith("shuffle_")}
+
+
+def test_near_dedup_leaves_no_shuffle_files_of_its_steps(spark, odd):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(name), shuffle_files(spark)
+    stage = p.near_dedup_stage(spark, odd, "")  # some thirty steps; what remains to be done is the last
+    assert spark.conf.get(name) == setting
+    until = time.time() + 20  # executors remove files in their own time
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.5)
+    assert not left
+    assert stage.count() == stage.count() == 10  # what is left to the caller can run again
+
+
 def test_substring_stage_keeps_other_documents_whole(spark, odd):
     docs = [tuple(r) for r in odd.select(*p.COLUMNS).collect()]
     words = [(d[1] or "").split() for d in docs]
