@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,8 +97,23 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] =
     return docs.select(row.alias("row")).select(F.xxhash64("row.text").alias("t"), "row")
 
 
+def _alike(text: np.ndarray, anchor: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the places of one text with equal surroundings: the first ones; then for each further place its first one, and the place."""
+    order = np.argsort(around + text.astype(np.uint64) * _A, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([np.diff(x[order]) != 0 for x in (text, anchor, around)], axis=0)
+    first = order[new]
+    owner = first[np.cumsum(new) - 1][~new]
+    by_owner = np.argsort(owner, kind="stable")
+    return np.sort(first), owner[by_owner], order[~new][by_owner]
+
+
 def occurrences(keyed: DataFrame, whole: bool = True) -> DataFrame:
-    """``(anchor, t, pos, around, low, n)`` for every anchor of every text, where t stands for the text; only ``anchor`` if not whole."""
+    """``(anchor, t, pos, around, low, n, more)`` for every anchor and surroundings of every text; only ``anchor``, for every place, if not whole.
+
+    t stands for the text, pos is the first place in it and ``more`` lists the others (NULL if none), so a line that a text
+    repeats is one row of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,15 +121,22 @@ def occurrences(keyed: DataFrame, whole: bool = True) -> DataFrame:
             for group in groups(batch.column(0)):
                 line, begin = spaced(group)
                 place, anchor, *more = anchors(line, begin, np.diff(group.edges), whole)
-                columns = [pa.array(anchor.view(np.int64))]
-                if whole:
-                    text = np.searchsorted(begin, place, "right") - 1
-                    columns += [pa.array(keys[group.first + text]), pa.array((place - begin[text]).astype(np.int32)), pa.array(more[0].view(np.int64)), *(pa.array(m.astype(np.int8)) for m in more[1:])]
-                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "t", "pos", "around", "low", "n"][: len(columns)])
+                if not whole:
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64))], names=["anchor"])
+                    continue
+                around, low, n = more
+                text = np.searchsorted(begin, place, "right") - 1
+                pos = (place - begin[text]).astype(np.int32)
+                head, owner, rest = _alike(text, anchor, around)
+                ends = np.searchsorted(owner, head, "right").astype(np.int32)
+                starts = np.concatenate([np.zeros(1, np.int32), ends[:-1]])[: len(ends)]
+                others = pa.ListArray.from_arrays(pa.array(np.concatenate([starts, ends[-1:]])) if len(ends) else pa.array([0], pa.int32()), pa.array(pos[rest]), mask=pa.array(starts == ends))
+                columns = [pa.array(x) for x in (anchor[head].view(np.int64), keys[group.first + text[head]], pos[head], around[head].view(np.int64), low[head].astype(np.int8), n[head].astype(np.int8))]
+                yield pa.RecordBatch.from_arrays([*columns, others], names=["anchor", "t", "pos", "around", "low", "n", "more"])
 
     if not whole:
         return keyed.select("row.text").mapInArrow(run, "anchor long")
-    return keyed.select("row.text", "t").mapInArrow(run, "anchor long, t long, pos int, around long, low byte, n byte")
+    return keyed.select("row.text", "t").mapInArrow(run, "anchor long, t long, pos int, around long, low byte, n byte, more array<int>")
 
 
 class WaveletMatrix:
@@ -236,11 +259,23 @@ def _shard(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"anchor": pa.array(anchor[own][found].view(np.int64)), "around": pa.array(around[own][found]), "mask": pa.array(mask[found].astype(np.int32))})
 
 
-def _asked(column: pa.ListArray, lo: int, hi: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(text, fields) of the list entries of the texts lo to hi."""
+def _entries(column: pa.ListArray, lo: int, hi: int) -> tuple[np.ndarray, list[pa.Array]]:
+    """(text, fields) of the list entries of the texts lo to hi; NULL lists are empty."""
     offsets = column.offsets.to_numpy()
     part = column.values.slice(offsets[lo], offsets[hi] - offsets[lo])
-    return np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1])), [f.to_numpy(zero_copy_only=False) for f in part.flatten()]
+    return np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1])), part.flatten()
+
+
+def _asked(column: pa.ListArray, lo: int, hi: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    text, fields = _entries(column, lo, hi)
+    return text, [f.to_numpy(zero_copy_only=False) for f in fields]
+
+
+def _places(column: pa.ListArray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, pos, mask) of all places that the list entries (pos, mask, more) of the texts lo to hi name."""
+    text, (pos, mask, more) = _entries(column, lo, hi)
+    mask, further = mask.to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(more), 0).to_numpy()
+    return np.concatenate([text, np.repeat(text, further)]), np.concatenate([pos.to_numpy(zero_copy_only=False), more.flatten().to_numpy(zero_copy_only=False)]), np.concatenate([mask, np.repeat(mask, further)])
 
 
 def _cut_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -319,19 +354,20 @@ def _masks(keyed: DataFrame, sent: DataFrame) -> DataFrame:
 
 
 def covered_windows(keyed: DataFrame) -> DataFrame:
-    """``(t, pos, mask)``: bit o says that the window starting at word ``pos - 27 + o`` of text t starts elsewhere too.
+    """``(t, pos, more, mask)``: bit o says that the window starting at word ``pos - 27 + o`` of text t starts elsewhere too.
 
-    Exact copies of a text count as one text here.
+    The same holds at the places listed in ``more``. Exact copies of a text count as one text here. The joins give each row of
+    ``occurrences`` one mask at most.
     """
     twice = cut(occurrences(keyed, whole=False).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    shared = cut(occurrences(keyed).join(twice, "anchor", "left_semi").dropDuplicates(["t", "pos"]))
+    shared = cut(occurrences(keyed).join(twice, "anchor", "left_semi").dropDuplicates())
     place = F.struct("t", "pos", "low", "n")
-    kinds = shared.groupBy("anchor", "around").agg(F.min(place).alias("a"), F.max(place).alias("b"))
-    kinds = cut(kinds.select("anchor", "around", "a.t", "a.pos", "a.low", "a.n", (F.col("a") != F.col("b")).alias("known")))
+    kinds = shared.groupBy("anchor", "around").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.bool_or(F.col("more").isNotNull()).alias("again"))
+    kinds = cut(kinds.select("anchor", "around", "a.t", "a.pos", "a.low", "a.n", (F.col("again") | (F.col("a") != F.col("b"))).alias("known")))
     varied = kinds.groupBy("anchor").agg(F.count("*").cast("int").alias("k"), F.bool_and("known").alias("all_known"))
     sent = cut(kinds.join(varied.where("k > 1 and not all_known").select("anchor", "k"), "anchor"))
     full = kinds.where("known").select("anchor", "around", F.expr("shiftleft(shiftleft(1, cast(n as int)) - 1, cast(low as int))").alias("mask"))
-    return shared.join(full.unionByName(_masks(keyed, sent)), ["anchor", "around"]).select("t", "pos", "mask")
+    return shared.join(full.unionByName(_masks(keyed, sent)), ["anchor", "around"]).select("t", "pos", "more", "mask")
 
 
 def removed_words(edges: np.ndarray, text: np.ndarray, pos: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -358,8 +394,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     windows cover; an empty table gives no rows; other columns are ignored.
     """
     keyed = _keyed(docs, id_col, text_col, carry)
-    copies = keyed.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t", F.lit(-1).alias("pos"), F.lit(0).alias("mask"))
-    covered = covered_windows(keyed).unionByName(copies).groupBy("t").agg(F.collect_list(F.struct("pos", "mask")).alias("found"))
+    copies = keyed.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t", F.lit(-1).alias("pos"), F.lit(None).cast("array<int>").alias("more"), F.lit(0).alias("mask"))
+    covered = covered_windows(keyed).unionByName(copies).groupBy("t").agg(F.collect_list(F.struct("pos", "mask", "more")).alias("found"))
     extra = ", kept string" if keep_text else ""
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * keep_text, *carry]
 
@@ -368,7 +404,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             own = batch.column(0).flatten()
             for group in groups(own[1]):
                 lo, hi = group.first, group.first + len(group)
-                text, (pos, mask) = _asked(batch.column(1), lo, hi)  # NULL lists are empty
+                text, pos, mask = _places(batch.column(1), lo, hi)
                 gone = removed_words(group.edges, text, pos, mask)
                 data, bounds = kept_text(group, ~gone)
                 before = np.concatenate([[0], np.cumsum(gone)])

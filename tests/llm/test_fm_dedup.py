@@ -70,3 +70,15 @@ def test_hot_route_gives_the_same(tricky, monkeypatch):
 def test_odd_rows(odd_docs, no_docs):
     compare(odd_docs)
     assert f.dedup_substrings(no_docs).count() == 0
+
+
+def test_a_line_that_texts_repeat_is_one_row_of_each(spark):
+    """Rows joined follow the texts that hold a line, not how often each repeats it."""
+    line = [f"l{k}" for k in range(8)]
+    counts = {}
+    for n in (20, 40):
+        docs = [[f"a{i}"] * (i % 3) + line * 30 + [f"b{i}", f"c{i}"] + line[: i % 8] for i in range(n)]
+        df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string").repartition(3)
+        compare(df)
+        counts[n] = f.covered_windows(f._keyed(df, "doc_id", "text")).count()
+    assert counts[20] <= 6 * 20 and counts[40] <= 2.1 * counts[20]
