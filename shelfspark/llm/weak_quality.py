@@ -61,8 +61,8 @@ class Lexicon:
 
     def __init__(self, entries: tuple[bytes, ...], toxic: float, clean: float):
         self.entries, self.toxic, self.clean = frozenset(entries), toxic, clean
-        self.sizes = tuple(sorted({len(e) for e in entries if not e.endswith(b" ")}))
-        self.whole = any(e.endswith(b" ") for e in entries)
+        # without entries that begin with another one, so that a word is found by one entry at most
+        self.sought = tuple(b" " + e for e in sorted(self.entries) if not any(e[:k] in self.entries for k in range(len(e))))
 
     def odds(self, hits: int, n: int) -> float:
         """Log of how much likelier so many hits in n words are in a toxic text than in a clean one."""
@@ -70,10 +70,8 @@ class Lexicon:
 
     def hits(self, words: list[bytes]) -> int:
         """How many of the words are learned or begin with a learned stem."""
-        held, n = self.entries, 0
-        for w in words:
-            n += any(w[:k] in held for k in self.sizes) or (self.whole and w + b" " in held)
-        return n
+        line = b" %b " % b"  ".join(words)  # a space before and one behind each word
+        return sum(map(line.count, self.sought))
 
 
 def plain_words(text: str | None) -> list[bytes]:

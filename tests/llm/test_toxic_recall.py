@@ -46,3 +46,24 @@ def test_near_copies_teach_one_word():
     counts = {b"bad": (2, 2), b"badx": (0, 0), b"copied ": (0, 0), b"alone": (0, 0)}
     holders = [{b"bad": 4, b"badx": 1, b"copied ": 1}] * 9 + [{b"bad": 2}] * 5 + [{b"alone": 1}] * 6
     assert w.abusive_words(counts, holders, (20, 300), (2000, 30_000), 11.0) == (b"bad", b"alone")
+
+
+def test_learned_words_are_found_without_a_step_for_each_word():
+    rng = np.random.default_rng(3)
+    vocabulary = [b"bad", b"badly", b"ba", b"rot", b"rott", b"rotten", b"rotte", b"abad", b"xrot", b"x" * 500, b"bad" + b"y" * 500, "b\u00e4d".encode(), *(f"w{k}".encode() for k in range(300))]
+    words = [vocabulary[k] for k in rng.integers(0, 12, 200).tolist() + rng.integers(0, len(vocabulary), 20_000).tolist()]
+    for entries in ((b"bad", b"rott", b"rot ", b"badly", b"rotten "), (b"rot ",), (b"ba", b"b\xc3", b"xrot "), ()):
+        lexicon = w.Lexicon(entries, 0.02, 0.001)
+        want = sum(any(x.startswith(e) if not e.endswith(b" ") else x + b" " == e for e in entries) for x in words)
+        assert lexicon.hits(words) == want and lexicon.hits([b"rot"] * 7) == 7 * (b"rot " in entries) and lexicon.hits([]) == 0
+
+    class Counting(frozenset):
+        asked = 0
+
+        def __contains__(self, word):
+            Counting.asked += 1
+            return super().__contains__(word)
+
+    lexicon = w.Lexicon((b"bad", b"rott", b"rot "), 0.02, 0.001)
+    lexicon.entries = Counting(lexicon.entries)
+    assert lexicon.hits(words) > 0 and Counting.asked < len(words) / 100
