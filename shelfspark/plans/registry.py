@@ -20,7 +20,7 @@ from ..operators import portfolio as Q
 from ..sources.tables import load_canonical, table
 from ..streaming import incremental as S
 from . import mart_oracles, mart_queries
-from .inputs import based, enriched, grain_facts, month
+from .inputs import based, dealt, enriched, grain_facts, month
 from .oracles import CURRENT, GAP, ORACLES, REFERENCE
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -523,7 +523,7 @@ for _pair in (("network", "category"), ("category", "manufacturer"), ("category"
 @query
 def metric_definitions(spark, d):
     """All configured metrics of all grains, in dependency order, one aggregation for each grain."""
-    rows, _ = N.calculate_base(based(spark, d), N.standard_definitions())
+    rows, _ = N.calculate_base(based(spark, d), N.standard_definitions(), dealt(spark, d))
     return rows.select("period", "entity_type", "entity_id", "concept", "metric_name", "metric_value")
 
 
