@@ -253,7 +253,7 @@ def price_segments(spark, d):
 @query
 def peers_broad(spark, d):
     rows = _products(spark, d)
-    return B.peers(rows, rows, ("category",)).groupBy("target").agg(F.count("*").alias("n_peers"))
+    return B.peer_counts(rows, rows, ("category",))
 
 
 @query

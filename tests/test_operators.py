@@ -122,3 +122,14 @@ def test_event_confidence(spark):
     rows = [("comparison", "e", d("2025-01-01"), 2.0, 1.0, 1.0, "LOW", None)]
     facts = spark.createDataFrame(rows, "feature string, entity_id string, period date, current_value double, reference_value double, delta_pct double, comparison_quality string, label_changed boolean")
     assert [(r["rule_id"], r["confidence"]) for r in events.detect(facts).collect()] == [("revenue_up", "MEDIUM")]
+
+
+def test_peer_counts_equal_pairs_without_making_them(spark):
+    """A SKU in two groups, one of an unknown owner, one without a group, NULL SKUs, and a group whose only rival is the target."""
+    rows = [("a", "s1", False), ("a", "s2", False), ("a", "s3", True), ("a", "s4", None), ("b", "s1", False), ("b", "s2", False), ("b", "s5", False), ("c", "s6", False), (None, "s7", False), ("a", None, False), ("b", "s5", False), ("d", "s8", True), ("d", "s9", False)]
+    df = spark.createDataFrame(rows, "category string, sku string, is_own boolean")
+    want = sorted(map(tuple, benchmarking.peers(df, df, ("category",)).groupBy("target").count().collect()))
+    assert sorted(map(tuple, benchmarking.peer_counts(df, df, ("category",)).collect())) == want == [("s1", 2), ("s2", 2), ("s3", 2), ("s4", 2), ("s5", 2), ("s8", 1)]
+    many = spark.range(20_000).selectExpr("'a' as category", "concat('s', id) as sku", "false as is_own")  # 400 million pairs
+    counted = benchmarking.peer_counts(many, many, ("category",)).agg({"n_peers": "sum"}).first()[0]
+    assert counted == 20_000 * 19_999
