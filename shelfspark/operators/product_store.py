@@ -49,8 +49,12 @@ def rolled_up(rows: DataFrame, keys: tuple[str, ...], sets: tuple[str, ...] = ("
     """Rows of product_store_facts at coarser keys; the result can be rolled up again and comes out the same by any way.
 
     Sums and counters add up, the latest row describes the result, and sets of revisions and runs are united. Sets are as
-    large as the number of different revisions behind a result.
+    large as the number of different revisions behind a result. Rows of equal sets are added up first, by numbers and dates
+    only, which tasks keep in a table; structs and sets would have them sort all rows.
     """
+    first, *others = [c for c in rows.schema["latest"].dataType.names]
+    rows = rows.groupBy(*keys, "metric_concept", "strategy", *sets, *[F.col(f"latest.{c}").alias(f"latest_{c}") for c in others]).agg(*[F.sum(c).alias(c) for c in (*_SUMS, *COUNTERS)], F.max(f"latest.{first}").alias(f"latest_{first}"))
+    rows = rows.withColumn("latest", F.struct(*[F.col(f"latest_{c}").alias(c) for c in (first, *others)])).drop(*[f"latest_{c}" for c in (first, *others)])
     united = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in sets]
     return rows.groupBy(*keys, "metric_concept", "strategy").agg(*[F.sum(c).alias(c) for c in _SUMS], *[F.sum(c).alias(c) for c in COUNTERS], F.max("latest").alias("latest"), *united)
 

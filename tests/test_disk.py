@@ -1,9 +1,12 @@
 """What queries shuffle and store for each sales row, the making of what they read included."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.plans import registry
+from shelfspark.operators import mart, product_store
+from shelfspark.plans import mart_queries, registry
 from shelfspark.sources import store
 
 SF, N_ROWS = "/root/testdata/sf0.001", 6000
@@ -35,6 +38,7 @@ def costs(spark, tmp_path, name):
 #: Query -> most records and bytes shuffled, and rows stored.
 MOST = {
     "catalog_limitations": (15, 1000, 3),
+    "fact_validation": (20, 1200, 3),
 }
 
 
@@ -43,3 +47,21 @@ def test_shuffles_and_stored_rows_are_few(spark, tmp_path, name):
     got = costs(spark, tmp_path, name)
     print(name, got)
     assert all(a <= b for a, b in zip(got, MOST[name], strict=True)), got
+
+
+def test_product_store_rows_are_added_up_without_sorting_them(spark):
+    """The first aggregation of a roll-up keeps numbers and dates only, so tasks hold a table of groups and do not sort or spill the rows."""
+    rows = product_store.rolled_up(mart_queries._product_store(spark, SF), ("period", "category", "brand"))
+    text = rows._jdf.queryExecution().executedPlan().toString()
+    first = [x for x in re.findall(r"(\w*Aggregate)\(keys=.*partial_sum", text) if x]
+    assert first[-1] == "HashAggregate" and "latest" not in re.findall(r"functions=\[(.*)", text)[-1]
+
+
+def test_validation_finds_repeated_identities_in_lists(spark):
+    """Facts that stand two and three times, in an entity with other facts; NULL parts of an identity are equal."""
+    names = list(mart.FACT_SCHEMA)
+    one = {k: None for k in names} | {"grain_id": "sku", "entity_id": "s", "source_revision_id": "r"}
+    rows = [one | {"metric_definition_id": m} for m in ("a", "b", "b", "c", "c", "c", None, None)] + [one | {"entity_id": "t", "metric_definition_id": "b"}]
+    df = spark.createDataFrame([tuple(r[k] for k in names) for r in rows], ", ".join(f"{k} {t}" for k, t in mart.FACT_SCHEMA.items()))
+    got = {(r["subject"], r["n_rows"]) for r in mart.fact_issues(df, {}).where("issue_code = 'DUPLICATE_IDENTITY'").collect()}
+    assert got == {("sku|s|b", 2), ("sku|s|c", 3), ("sku|s", 2)}
