@@ -38,6 +38,7 @@ def costs(spark, tmp_path, name):
 #: Query -> most records and bytes shuffled, and rows stored.
 MOST = {
     "catalog_limitations": (15, 1000, 3),
+    "metric_templates": (11, 550, 5),
     "portfolio_positions": (15, 1000, 3),
     "mart_fact_descriptions": (20, 1200, 3),
     "fact_validation": (20, 1200, 3),
