@@ -38,6 +38,7 @@ def costs(spark, tmp_path, name):
 #: Query -> most records and bytes shuffled, and rows stored.
 MOST = {
     "catalog_limitations": (15, 1000, 3),
+    "events_deduplicated": (5, 300, 1.1),
     "store_format_distribution": (4, 250, 1.1),
     "metric_templates": (11, 550, 5),
     "portfolio_positions": (15, 1000, 3),
