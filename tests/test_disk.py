@@ -38,6 +38,7 @@ def costs(spark, tmp_path, name):
 #: Query -> most records and bytes shuffled, and rows stored.
 MOST = {
     "catalog_limitations": (15, 1000, 3),
+    "month_set_compare": (2, 200, 1.1),
     "served_category_share": (3, 250, 1.1),
     "events_deduplicated": (5, 300, 1.1),
     "store_format_distribution": (4, 250, 1.1),
