@@ -38,6 +38,7 @@ def costs(spark, tmp_path, name):
 #: Query -> most records and bytes shuffled, and rows stored.
 MOST = {
     "catalog_limitations": (15, 1000, 3),
+    "metrics_brand": (5, 400, 1.1),
     "category_share": (2, 200, 1.1),
     "month_set_compare": (2, 200, 1.1),
     "served_category_share": (3, 250, 1.1),
