@@ -38,6 +38,7 @@ def costs(spark, tmp_path, name):
 #: Query -> most records and bytes shuffled, and rows stored.
 MOST = {
     "catalog_limitations": (15, 1000, 3),
+    "event_families": (9, 520, 1.1),
     "fact_comparison": (11, 550, 5),
     "metrics_brand": (5, 400, 1.1),
     "category_share": (2, 200, 1.1),
