@@ -38,6 +38,7 @@ def costs(spark, tmp_path, name):
 #: Query -> most records and bytes shuffled, and rows stored.
 MOST = {
     "catalog_limitations": (15, 1000, 3),
+    "product_filter": (4, 300, 1.1),
     "compare_features": (9, 520, 1.1),
     "event_families": (9, 520, 1.1),
     "fact_comparison": (11, 550, 5),
